@@ -254,7 +254,9 @@ def evergreen_roles(queue: DataFrame) -> DataFrame:
 
 def mark_evergreen(queue: DataFrame) -> DataFrame:
     """Queue with `ghost_status` and `ghost_evidence` set from `evergreen_roles`."""
-    roles = evergreen_roles(queue).drop("postings")
+    likely = evergreen_roles(queue).where("ghost_status = 'Likely'").drop("postings")
     rows = queue.drop("ghost_status", "ghost_evidence").withColumn(
         "fp", tx.role_fingerprint(F.col("role"), F.col("location")))
-    return lookup(rows, roles, ["company", "fp"], ["posting_id"], salts=8).select(*queue.columns)
+    return (lookup(rows, likely, ["company", "fp"], ["posting_id"])
+            .withColumn("ghost_status", F.coalesce("ghost_status", F.lit("Unclear")))
+            .withColumn("ghost_evidence", F.coalesce("ghost_evidence", F.lit(""))).select(*queue.columns))
