@@ -1,0 +1,6 @@
+"""All registered queries."""
+
+from postingworks.catalog import text_queries  # noqa: F401
+from postingworks.catalog.registry import CHECKS, QUERIES
+
+__all__ = ["CHECKS", "QUERIES"]

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postingworks.functions import fixed_values as fv
+from postingworks.functions.spans import let
 from postingworks.functions.text import java_literal
 
 PATTERN_LIMIT = 400
@@ -61,18 +62,21 @@ def first_match(text: Column, terms: Sequence[str]) -> Column:
 
 def word_ngrams(text: Column, longest: int) -> Column:
     """Every run of up to `longest` words with the text between them as written, lower case."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    gaps = F.slice(F.split(F.lower(text), "[a-z0-9]+", -1), 2, F.greatest(F.size(words), F.lit(1)))
-    joined = F.zip_with(words, gaps, lambda w, g: F.concat(w, g))
-
-    def runs(start: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.least(F.lit(longest), F.size(words) - start) - 1),
-            lambda extra: F.concat(F.array_join(F.slice(joined, start + 1, extra), ""),
-                                   F.element_at(words, start + extra + 1)))
-
-    every = F.flatten(F.transform(F.sequence(F.lit(0), F.size(words) - 1), runs))
-    return F.when(F.size(words) > 0, every).otherwise(F.array().cast("array<string>"))
+    lowered = F.lower(text)
+    words = F.regexp_extract_all(lowered, F.lit("[a-z0-9]+"), F.lit(0))
+    # text between two words; the first piece stands before the first word
+    gaps = F.split(lowered, "[a-z0-9]+", -1)
+
+    def runs(t: Column) -> Column:
+        def run(length: int) -> Column:
+            def join(i: Column) -> Column:
+                steps = [x for k in range(length - 1) for x in (t["words"][i + k], t["gaps"][i + k + 1])]
+                return F.concat(*steps, t["words"][i + length - 1])
+            return F.when(F.size(t["words"]) >= length, F.transform(
+                F.sequence(F.lit(0), F.size(t["words"]) - length), join)).otherwise(F.array().cast("array<string>"))
+        return F.concat(t["words"], *[run(n) for n in range(2, longest + 1)])
+
+    return let(F.struct(words.alias("words"), gaps.alias("gaps")), runs)
 
 
 def contains_any_ngrams(text: Column, terms: Sequence[str]) -> Column:
