@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from postingworks.catalog import text_queries  # noqa: F401
+from postingworks.catalog import (  # noqa: F401
+    classify_queries,
+    filter_queries,
+    join_queries,
+    lifecycle_queries,
+    text_queries,
+)
 from postingworks.catalog.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

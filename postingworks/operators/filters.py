@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from postingworks.functions import fixed_values as fv
 from postingworks.functions import terms as tm
 from postingworks.functions import text as tx
+from postingworks.functions.spans import let
 
 
 @dataclass(frozen=True)
@@ -49,56 +50,74 @@ def _excludes(rules: FilterRules) -> tuple[list[str], list[str]]:
     return every, [t for t in every if t.lower() not in fv.SEASON_EXEMPT_TERMS]
 
 
+def _title(title: Column, body) -> Column:
+    """`body(t)` for the collapsed title `t.text` and its seasonal flag `t.season`, both computed once."""
+    collapsed = tx.collapse(title)
+    return let(collapsed, lambda text: let(
+        F.struct(text.alias("text"), F.coalesce(text.rlike("(?i)" + fv.SEASON_TITLE), F.lit(False)).alias("season")), body))
+
+
+def _included(t: Column, rules: FilterRules) -> Column:
+    return t["season"] | tm.contains_any(t["text"], rules.title_include) if rules.title_include else F.lit(True)
+
+
 def title_included(title: Column, rules: FilterRules) -> Column:
-    t = tx.collapse(title)
-    if not rules.title_include:
-        return F.lit(True)
-    return is_season_title(title) | tm.contains_any(t, rules.title_include)
+    return _title(title, lambda t: _included(t, rules))
 
 
 def title_reason(title: Column, rules: FilterRules) -> Column:
     """STRUCT<kind, term> of the rule hiding a title that has an include hit, else null."""
-    t = tx.collapse(title)
     every, season = _excludes(rules)
-    term = F.when(is_season_title(title), tm.first_match(t, season)).otherwise(tm.first_match(t, every))
-    term = F.lower(term)
-    reason = F.when(term.isNotNull(), F.struct(F.lit("title_exclude").alias("kind"), term.alias("term")))
-    for rule in rules.title_exclude_unless:
-        reason = reason.when(
-            tm.contains_any(t, rule.terms) & ~tm.contains_any(t, rule.unless),
-            F.struct(F.lit("title_exclude_unless").alias("kind"),
-                     F.coalesce(F.lower(tm.first_match(t, rule.terms)), F.lit("")).alias("term")))
-    return F.when(title_included(title, rules), reason)
+
+    def read(t: Column) -> Column:
+        term = tm.first_match(t["text"], every)
+        if season != every:
+            term = F.when(t["season"], tm.first_match(t["text"], season)).otherwise(term)
+
+        def reason(found: Column) -> Column:
+            out = F.when(found.isNotNull(), F.struct(F.lit("title_exclude").alias("kind"), found.alias("term")))
+            for rule in rules.title_exclude_unless:
+                out = out.when(
+                    tm.contains_any(t["text"], rule.terms) & ~tm.contains_any(t["text"], rule.unless),
+                    F.struct(F.lit("title_exclude_unless").alias("kind"),
+                             F.coalesce(F.lower(tm.first_match(t["text"], rule.terms)), F.lit("")).alias("term")))
+            return out
+
+        return F.when(_included(t, rules), let(F.lower(term), reason))
+
+    return _title(title, read)
 
 
 def title_passes(title: Column, rules: FilterRules) -> Column:
-    t = tx.collapse(title)
     every, season = _excludes(rules)
-    ok = title_included(title, rules)
-    if season == every:
-        ok = ok & ~tm.contains_any(t, every)
-    else:
-        ok = ok & ~F.when(is_season_title(title), tm.contains_any(t, season)).otherwise(tm.contains_any(t, every))
-    for rule in rules.title_exclude_unless:
-        ok = ok & ~(tm.contains_any(t, rule.terms) & ~tm.contains_any(t, rule.unless))
-    return ok
+
+    def read(t: Column) -> Column:
+        excluded = tm.contains_any(t["text"], every)
+        if season != every:
+            excluded = F.when(t["season"], tm.contains_any(t["text"], season)).otherwise(excluded)
+        ok = _included(t, rules) & ~excluded
+        for rule in rules.title_exclude_unless:
+            ok = ok & ~(tm.contains_any(t["text"], rule.terms) & ~tm.contains_any(t["text"], rule.unless))
+        return ok
+
+    return _title(title, read)
 
 
 def location_rule(location: Column, rules: FilterRules) -> Column:
     """Name of the first rule that drops a location, null when it passes."""
-    raw = F.coalesce(location, F.lit(""))
-    lowered = F.lower(raw)
-    folded = tx.fold_accents(lowered)
-    named = [F.when((raw if where == "raw" else folded).rlike(pattern), F.lit(name))
-             for name, pattern, where in fv.LOCATION_SHAPES]
-    if rules.locations_include:
-        wanted = F.lit(False)
-        for term in rules.locations_include:
-            wanted = wanted | lowered.contains(term.lower())
-        named.append(F.when(~wanted, F.lit("not_included")))
-    if rules.locations_exclude:
-        named.append(F.when(tm.contains_any(folded, rules.locations_exclude), F.lit("excluded_term")))
-    return F.coalesce(*named)
+    def check(w: Column) -> Column:
+        named = [F.when(w[where].rlike(pattern), F.lit(name)) for name, pattern, where in fv.LOCATION_SHAPES]
+        if rules.locations_include:
+            wanted = F.lit(False)
+            for term in rules.locations_include:
+                wanted = wanted | w["lowered"].contains(term.lower())
+            named.append(F.when(~wanted, F.lit("not_included")))
+        if rules.locations_exclude:
+            named.append(F.when(tm.contains_any(w["folded"], rules.locations_exclude), F.lit("excluded_term")))
+        return F.coalesce(*named)
+
+    return let(F.coalesce(location, F.lit("")), lambda raw: let(
+        F.struct(raw.alias("raw"), F.lower(raw).alias("lowered"), tx.fold_accents(F.lower(raw)).alias("folded")), check))
 
 
 def with_rules(postings: DataFrame, rules: FilterRules, title: str = "title", location: str = "location",
