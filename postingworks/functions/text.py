@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html.entities
+import json
 import re
 import unicodedata
 from collections.abc import Sequence
@@ -44,8 +45,8 @@ _LEGACY = sorted((n for n in html.entities.html5 if not n.endswith(";")), key=le
 
 
 def _lookup(names: Sequence[str]) -> Column:
-    flat = [F.lit(x) for n in names for x in (n, html.entities.html5[n])]
-    return F.create_map(*flat)
+    """Reference names to their text: one foldable literal, so plans stay small."""
+    return F.from_json(F.lit(json.dumps({n: html.entities.html5[n] for n in names})), "map<string,string>")
 
 
 def _code_point(ref: Column) -> Column:
@@ -73,20 +74,20 @@ def unescape(text: Column) -> Column:
     """HTML character references resolved once, as browsers do."""
     def piece(p):
         ref, rest = F.substring_index(p, CLOSE, 1), F.substring_index(p, CLOSE, -1)
-        prefix = F.regexp_extract(ref, "^(?:" + "|".join(_LEGACY) + ")", 0)
-        everything = _lookup(list(html.entities.html5))
-        named = F.coalesce(
-            _lookup(_COMMON)[ref],
-            everything[ref],
-            F.when(prefix != "", F.concat(everything[prefix], F.substring(ref, F.length(prefix) + 1, 40))),
-            F.concat(F.lit("&"), ref),
-        )
+        known = F.coalesce(_lookup(_COMMON)[ref], _lookup(list(html.entities.html5))[ref])
+        # old names count without their semicolon, whatever follows them
+        prefixed = let(F.regexp_extract(ref, "^(?:" + "|".join(_LEGACY) + ")", 0), lambda p: F.when(
+            p != "", F.concat(_lookup(_LEGACY)[p], F.substring(ref, F.length(p) + 1, 40))))
+        named = F.coalesce(known, prefixed, F.concat(F.lit("&"), ref))
         return F.concat(F.when(ref.startswith("#"), _code_point(ref)).otherwise(named), rest)
 
-    joined = let(F.split(F.regexp_replace(untagged(text), _ENTITY, f"{OPEN}$1{CLOSE}"), OPEN, -1),
-                 lambda pieces: F.concat(pieces[0], F.array_join(F.transform(
-                     F.slice(pieces, 2, F.size(pieces)), piece), "")))
-    return F.when(text.rlike(_ENTITY), joined).otherwise(text)
+    def resolve(t):
+        return F.when(t.rlike(_ENTITY), let(
+            F.split(F.regexp_replace(untagged(t), _ENTITY, f"{OPEN}$1{CLOSE}"), OPEN, -1),
+            lambda pieces: F.concat(pieces[0], F.array_join(F.transform(
+                F.slice(pieces, 2, F.size(pieces)), piece), "")))).otherwise(t)
+
+    return let(text, resolve)
 
 
 def strip_html(text: Column) -> Column:
@@ -124,7 +125,7 @@ def fold_accents(text: Column) -> Column:
     Covers every script up to the letter-like symbols and the full-width forms; characters that decompose into
     several letters (ligatures, fractions) keep their form.
     """
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, _SINGLES + _MARKS, _BASES)).otherwise(text)
+    return let(text, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), F.translate(t, _SINGLES + _MARKS, _BASES)).otherwise(t))
 
 
 def alnum_key(text: Column) -> Column:

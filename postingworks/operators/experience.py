@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postingworks.functions import fixed_values as fv
 from postingworks.functions.spans import FLAGS, excerpt, first_span, last_end, matches, shaped, spans, window
+from postingworks.session import built_once
 
 
 def _number(token: Column) -> Column:
@@ -50,31 +51,40 @@ def _plausible(m: Column) -> Column:
     return lo.isNotNull() & (top <= fv.EXPERIENCE_MAX_YEARS) & ((bottom > 0) | hi.isNotNull())
 
 
-def classify_experience(df: DataFrame, text: str = "description") -> DataFrame:
-    """Adds `experience` (lowest stated years, 0 for entry level, null when unstated) and `experience_evidence`."""
+@built_once
+def _stages(text: str) -> list[tuple[str, Column]]:
+    """The columns of the reading, each building on the ones before it."""
     raw, hay = F.col("_raw"), F.col("_hay")
-    staged = df.withColumn("_raw", F.coalesce(F.col(text), F.lit(""))).withColumn("_hay", shaped(raw))
     groups = F.array(*[F.regexp_extract(hay, FLAGS + fv.EXPERIENCE_YEARS, g).try_cast("int") for g in range(1, 5)])
-    staged = (staged
-              .withColumn("_entry", F.when(matches(hay, fv.ENTRY_PHRASE), first_span(hay, fv.ENTRY_PHRASE)))
-              .withColumn("_plain", F.when(F.col("_entry").isNull() & matches(hay, fv.EXPERIENCE_YEARS), F.struct(
-                  F.array_min(groups).alias("years"), first_span(hay, fv.EXPERIENCE_YEARS).alias("span")))))
-    open_ = F.col("_entry").isNull() & F.col("_plain").isNull() & matches(hay, r"years?\b|yrs?\b")
     structured = F.filter(spans(hay, fv.STRUCTURED_YEARS, 1),
                           lambda m: m["groups"][0].cast("int").between(1, fv.EXPERIENCE_MAX_YEARS))
-    staged = staged.withColumn("_field", F.when(open_ & matches(hay, fv.STRUCTURED_YEARS), F.get(structured, 0)))
     stated = F.filter(F.filter(spans(hay, fv.STATED_YEARS, 2), _plausible), lambda m: _is_requirement(hay, m))
-    staged = staged.withColumn("_stated", F.when(open_ & F.col("_field").isNull(), F.get(stated, 0)))
-
     entry, plain, field, said = (F.col(c) for c in ("_entry", "_plain", "_field", "_stated"))
-    years = (F.when(entry.isNotNull(), 0)
-             .when(plain.isNotNull(), plain["years"])
-             .when(field.isNotNull(), field["groups"][0].cast("int"))
-             .when(said.isNotNull(), F.least(_number(said["groups"][0]), _number(F.nullif(said["groups"][1], F.lit(""))))))
-    evidence = (F.when(entry.isNotNull(), excerpt(raw, entry["start"], entry["end"], 40))
-                .when(plain.isNotNull(), excerpt(raw, plain["span"]["start"], plain["span"]["end"], 40))
-                .when(field.isNotNull(), excerpt(raw, field["start"], field["end"], 20))
-                .when(said.isNotNull(), excerpt(raw, said["start"], said["end"], 40))
-                .otherwise("No years-of-experience language found."))
-    return (staged.withColumn("experience", years).withColumn("experience_evidence", evidence)
-            .drop("_raw", "_hay", "_entry", "_plain", "_field", "_stated"))
+    spelled = F.least(_number(said["groups"][0]), _number(F.nullif(said["groups"][1], F.lit(""))))
+    return [
+        ("_raw", F.coalesce(F.col(text), F.lit(""))),
+        ("_hay", shaped(raw)),
+        ("_entry", F.when(matches(hay, fv.ENTRY_PHRASE), first_span(hay, fv.ENTRY_PHRASE))),
+        # every other form names years
+        ("_years", F.col("_entry").isNull() & matches(hay, r"years?\b|yrs?\b")),
+        ("_plain", F.when(F.col("_years") & matches(hay, fv.EXPERIENCE_YEARS), F.struct(
+            F.array_min(groups).alias("years"), first_span(hay, fv.EXPERIENCE_YEARS).alias("span")))),
+        ("_open", F.col("_years") & plain.isNull()),
+        ("_field", F.when(F.col("_open") & matches(hay, fv.STRUCTURED_YEARS), F.get(structured, 0))),
+        ("_stated", F.when(F.col("_open") & field.isNull(), F.get(stated, 0))),
+        ("experience", F.when(entry.isNotNull(), 0).when(plain.isNotNull(), plain["years"])
+         .when(field.isNotNull(), field["groups"][0].cast("int")).when(said.isNotNull(), spelled)),
+        ("experience_evidence", F.when(entry.isNotNull(), excerpt(raw, entry["start"], entry["end"], 40))
+         .when(plain.isNotNull(), excerpt(raw, plain["span"]["start"], plain["span"]["end"], 40))
+         .when(field.isNotNull(), excerpt(raw, field["start"], field["end"], 20))
+         .when(said.isNotNull(), excerpt(raw, said["start"], said["end"], 40))
+         .otherwise("No years-of-experience language found.")),
+    ]
+
+
+def classify_experience(df: DataFrame, text: str = "description") -> DataFrame:
+    """Adds `experience` (lowest stated years, 0 for entry level, null when unstated) and `experience_evidence`."""
+    stages = _stages(text)
+    for name, column in stages:
+        df = df.withColumn(name, column)
+    return df.drop(*[name for name, _ in stages if name.startswith("_")])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from postingworks.functions import fixed_values as fv
 from postingworks.functions.pay import render_salary
 from postingworks.functions.spans import FLAGS, matches, shaped, spans, strip, window
+from postingworks.session import built_once
 
 _FIGURE = "struct<start:int,end:int,lo:double,hi:double,period:string,sym:string>"
 _SPAN = "struct<start:int,end:int>"
@@ -160,37 +161,36 @@ def _converted(period: Column) -> Column:
     return F.when(period != "year", F.concat(F.lit("[converted from "), period, F.lit("ly pay] "))).otherwise("")
 
 
-def classify_salary(df: DataFrame, text: str = "description") -> DataFrame:
-    """Adds `salary` (rendered, `Unclear` when unstated) and `salary_evidence`."""
-    raw = F.col(text)
-    flat = F.regexp_replace(raw, r"(?U)\s+", " ")
+@built_once
+def _stages(text: str) -> list[tuple[str, Column]]:
+    """The columns of the reading, each building on the ones before it."""
+    raw, flat, hay, settled = F.col(text), F.col("_flat"), F.col("_hay"), F.col("_settled")
     # without a currency mark or a thousands suffix no pattern can match
-    staged = df.withColumn("_flat", F.when(raw.rlike(r"(?i)[$£€]|usd|cad|gbp|eur|\d\s?k\b"), flat))
-    flat, hay = F.col("_flat"), F.col("_hay")
-    staged = staged.withColumn("_hay", shaped(flat))
-    staged = (staged
-              .withColumn("_pairs", F.when(hay.isNotNull(), F.concat(
-                  F.when(matches(hay, r"\bmin"), _pairs(hay, fv.SALARY_MINMAX, True)).otherwise(F.array()),
-                  F.when(matches(hay, r"\bfrom\s"), _pairs(hay, fv.SALARY_FROM_TO, False)).otherwise(F.array()))))
-              .withColumn("_ranges", F.when(hay.isNotNull(), _ranges(hay)))
-              .withColumn("_settled", _settle(F.col("_pairs"), F.col("_ranges"))))
-    settled = F.col("_settled")
-    staged = staged.withColumn("_taken", F.array_sort(settled["taken"]))
-    staged = staged.withColumn("_single", F.when(F.size("_taken") == 0, F.get(_singles(hay, settled), 0)))
-
+    stages = [
+        ("_flat", F.when(raw.rlike(r"(?i)[$£€]|usd|cad|gbp|eur|\d\s?k\b"), F.regexp_replace(raw, r"(?U)\s+", " "))),
+        ("_hay", shaped(flat)),
+        ("_pairs", F.when(hay.isNotNull(), F.concat(
+            F.when(matches(hay, r"\bmin"), _pairs(hay, fv.SALARY_MINMAX, True)).otherwise(F.array()),
+            F.when(matches(hay, r"\bfrom\s"), _pairs(hay, fv.SALARY_FROM_TO, False)).otherwise(F.array())))),
+        ("_ranges", F.when(hay.isNotNull(), _ranges(hay))),
+        ("_settled", _settle(F.col("_pairs"), F.col("_ranges"))),
+        ("_taken", F.array_sort(settled["taken"])),
+        ("_single", F.when(F.size("_taken") == 0, F.get(_singles(hay, settled), 0))),
+    ]
     # ranges of one period and currency listed close together form a location table
     first = F.col("_taken")[0]
     chain = F.aggregate(
         F.slice("_taken", 2, F.greatest(F.size("_taken") - 1, F.lit(0))), F.array(first),
         lambda acc, d: F.when((d["period"] == first["period"]) & (d["sym"] == first["sym"])
                               & (d["start"] - F.element_at(acc, -1)["end"] <= 400), F.array_append(acc, d)).otherwise(acc))
-    staged = staged.withColumn("_chain", F.when(F.size("_taken") > 0, chain))
     lows, highs = F.transform("_chain", lambda d: d["lo"]), F.transform("_chain", lambda d: d["hi"])
     kinds = F.size(F.array_distinct(F.transform("_chain", lambda d: F.struct(d["lo"], d["hi"]))))
-    staged = staged.withColumn("_pick", F.when(F.col("_chain").isNotNull(), F.struct(
-        F.array_min(lows).alias("lo"), F.array_max(highs).alias("hi"), kinds.alias("kinds"),
-        ((kinds > 1) & (F.array_max(highs) <= 2.2 * F.array_min(lows))).alias("table"))))
-
+    stages += [
+        ("_chain", F.when(F.size("_taken") > 0, chain)),
+        ("_pick", F.when(F.col("_chain").isNotNull(), F.struct(
+            F.array_min(lows).alias("lo"), F.array_max(highs).alias("hi"), kinds.alias("kinds"),
+            ((kinds > 1) & (F.array_max(highs) <= 2.2 * F.array_min(lows))).alias("table")))),
+    ]
     chain, pick, single = F.col("_chain"), F.col("_pick"), F.col("_single")
     first = chain[0]
     lo = F.when(pick["table"], pick["lo"]).otherwise(first["lo"])
@@ -199,12 +199,20 @@ def classify_salary(df: DataFrame, text: str = "description") -> DataFrame:
     listed = F.when(pick["table"], F.concat(F.lit("["), pick["kinds"].cast("string"),
                                             F.lit(" ranges listed, widest shown] "))).otherwise("")
     quoted = F.concat(_converted(first["period"]), listed, strip(window(flat, first["start"] - 40, end + 40)))
-    salary = (F.when(pick.isNotNull(), render_salary(lo, hi, first["period"], first["sym"]))
-              .when(single.isNotNull(), render_salary(single["lo"], single["hi"], single["period"], single["sym"],
-                                                      single["qual"])).otherwise("Unclear"))
-    evidence = (F.when(pick.isNotNull(), F.substring(quoted, 1, 400))
-                .when(single.isNotNull(), F.concat(_converted(single["period"]),
-                                                   strip(window(flat, single["start"] - 40, single["end"] + 40))))
-                .otherwise(""))
-    return (staged.withColumn("salary", salary).withColumn("salary_evidence", evidence)
-            .drop("_flat", "_hay", "_pairs", "_ranges", "_settled", "_taken", "_single", "_chain", "_pick"))
+    stages += [
+        ("salary", F.when(pick.isNotNull(), render_salary(lo, hi, first["period"], first["sym"]))
+         .when(single.isNotNull(), render_salary(single["lo"], single["hi"], single["period"], single["sym"], single["qual"]))
+         .otherwise("Unclear")),
+        ("salary_evidence", F.when(pick.isNotNull(), F.substring(quoted, 1, 400))
+         .when(single.isNotNull(), F.concat(_converted(single["period"]), strip(window(flat, single["start"] - 40, single["end"] + 40))))
+         .otherwise("")),
+    ]
+    return stages
+
+
+def classify_salary(df: DataFrame, text: str = "description") -> DataFrame:
+    """Adds `salary` (rendered, `Unclear` when unstated) and `salary_evidence`."""
+    stages = _stages(text)
+    for name, column in stages:
+        df = df.withColumn(name, column)
+    return df.drop(*[name for name, _ in stages if name.startswith("_")])

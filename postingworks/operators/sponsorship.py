@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postingworks.functions import fixed_values as fv
 from postingworks.functions.spans import excerpt, first_span, matches, shaped, spans, window
+from postingworks.session import built_once
 
 # words of which a text must hold one before the pattern at the same place in its list can match
 _HARD_NEEDS = (
@@ -56,50 +57,51 @@ def _training_words(plain: Column, span: Column) -> Column:
     return F.transform(spans(near, fv.OPT_WORD), verdict)
 
 
-def classify_sponsorship(df: DataFrame, text: str = "description") -> DataFrame:
-    """Adds `sponsorship_status` (Blocked, OPT Only, Unclear) and `sponsorship_evidence`."""
-    raw = F.col(text)
-    staged = df.withColumn(
-        "_plain", F.lower(shaped(plain_abbreviations(raw))))
-    plain = F.col("_plain")
+def _refusing(words: Column) -> Column:
+    """The first training-authorisation word that decides, null when all are welcome."""
+    return F.get(F.filter(words, lambda w: w != "stem_welcome"), 0)
+
 
+@built_once
+def _stages(text: str) -> list[tuple[str, Column]]:
+    """The columns of the reading, each building on the ones before it."""
+    raw, plain = F.col(text), F.col("_plain")
     # the first hard pattern in list order decides, wherever it stands
     hard = F.coalesce(*[F.when(_mentions(plain, needs) & matches(plain, p), first_span(plain, p))
                         for needs, p in zip(_HARD_NEEDS, fv.HARD_BLOCK_PATTERNS, strict=True)])
-    staged = staged.withColumn("_hard", hard)
-
     empty = F.array().cast("array<struct<start:int,end:int,match:string,groups:array<string>>>")
     refusals = F.flatten(F.array(*[
         F.when(_mentions(plain, needs) & matches(plain, p), spans(plain, p)).otherwise(empty)
         for needs, p in zip(_SOFT_NEEDS, fv.SOFT_BLOCK_PATTERNS, strict=True)]))
-    soft = F.when(plain.isNotNull() & F.col("_hard").isNull(), refusals)
-    staged = staged.withColumn("_soft", soft)
-    staged = staged.withColumn(
-        "_soft", F.transform("_soft", lambda m: F.struct(
-            m["start"].alias("start"), m["end"].alias("end"), _training_words(plain, m).alias("words"))))
-
-    def refusing(words: Column) -> Column:
-        return F.get(F.filter(words, lambda w: w != "stem_welcome"), 0)
-
-    staged = staged.withColumn("_first", F.get("_soft", 0)).withColumn(
-        "_block", F.get(F.filter("_soft", lambda m: refusing(m["words"]).isNotNull()), 0))
     first, block = F.col("_first"), F.col("_block")
-    welcome = F.exists("_soft", lambda m: F.array_contains(m["words"], "stem_welcome"))
+    welcome = F.exists("_read", lambda m: F.array_contains(m["words"], "stem_welcome"))
     later = matches(window(plain, first["start"], first["end"] + 60), r"\bfuture\b")
     tag = F.when(welcome, "[STEM OPT welcome] ").when(later, "[now or future] ").otherwise("")
+    return [
+        ("_plain", F.lower(shaped(plain_abbreviations(raw)))),
+        ("_hard", hard),
+        ("_soft", F.when(plain.isNotNull() & F.col("_hard").isNull(), refusals)),
+        ("_read", F.transform("_soft", lambda m: F.struct(
+            m["start"].alias("start"), m["end"].alias("end"), _training_words(plain, m).alias("words")))),
+        ("_first", F.get("_read", 0)),
+        ("_block", F.get(F.filter("_read", lambda m: _refusing(m["words"]).isNotNull()), 0)),
+        ("sponsorship_status", F.when(F.col("_hard").isNotNull() | block.isNotNull(), "Blocked")
+         .when(first.isNotNull(), "OPT Only").otherwise("Unclear")),
+        ("sponsorship_evidence", F.when(raw.isNull() | (raw == ""), "Description unavailable; not checked.")
+         .when(F.col("_hard").isNotNull(), _quote(raw, F.col("_hard")))
+         .when(block.isNotNull(), F.concat(
+             F.when(_refusing(block["words"]) == "stem_refused", "[no STEM OPT] ").otherwise(""), _quote(raw, block)))
+         .when(first.isNotNull(), F.concat(tag, _quote(raw, first)))
+         .otherwise("No sponsorship language in the description.")),
+    ]
+
 
-    missing = raw.isNull() | (raw == "")
-    status = (F.when(F.col("_hard").isNotNull() | block.isNotNull(), "Blocked")
-              .when(first.isNotNull(), "OPT Only").otherwise("Unclear"))
-    evidence = (F.when(missing, "Description unavailable; not checked.")
-                .when(F.col("_hard").isNotNull(), _quote(raw, F.col("_hard")))
-                .when(block.isNotNull(),
-                      F.concat(F.when(refusing(block["words"]) == "stem_refused", "[no STEM OPT] ").otherwise(""),
-                               _quote(raw, block)))
-                .when(first.isNotNull(), F.concat(tag, _quote(raw, first)))
-                .otherwise("No sponsorship language in the description."))
-    return (staged.withColumn("sponsorship_status", status).withColumn("sponsorship_evidence", evidence)
-            .drop("_plain", "_hard", "_soft", "_first", "_block"))
+def classify_sponsorship(df: DataFrame, text: str = "description") -> DataFrame:
+    """Adds `sponsorship_status` (Blocked, OPT Only, Unclear) and `sponsorship_evidence`."""
+    stages = _stages(text)
+    for name, column in stages:
+        df = df.withColumn(name, column)
+    return df.drop(*[name for name, _ in stages if name.startswith("_")])
 
 
 def sponsorship_facets(df: DataFrame, text: str = "description") -> DataFrame:

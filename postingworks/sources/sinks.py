@@ -11,7 +11,7 @@ from postingworks.functions import fixed_values as fv
 from postingworks.functions.text import description_key
 from postingworks.operators.views import queue_order
 
-_POINTER = "_current"
+_POINTER = "CURRENT"
 
 
 def _path(spark: SparkSession, path: str):
@@ -19,43 +19,41 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def current_version(spark: SparkSession, table: str) -> str | None:
-    """Folder of the version readers see."""
-    pointer, fs = _path(spark, f"{table}/{_POINTER}")
+def current_version(spark: SparkSession, folder: str) -> tuple[str, str] | None:
+    """(folder, note) of the version readers see."""
+    pointer, fs = _path(spark, f"{folder}/{_POINTER}")
     if not fs.exists(pointer):
         return None
-    return f"{table}/" + spark.read.text(f"{table}/{_POINTER}").first()["value"]
+    version, _, note = spark.read.text(f"{folder}/{_POINTER}").first()["value"].partition(" ")
+    return f"{folder}/{version}", note
 
 
-def replace_table(df: DataFrame, table: str) -> str:
-    """Writes a new version and then moves the pointer; readers see the old version or the new, never a mix."""
-    spark = df.sparkSession
+def replace_tables(tables: dict[str, DataFrame], folder: str, note: str = "") -> str:
+    """Writes a new version of several tables and then moves one pointer.
+
+    Readers see all the old tables or all the new ones, so a crash never marks a posting seen without its row. The old
+    version stays readable for jobs that started from it.
+    """
+    spark = next(iter(tables.values())).sparkSession
     version = f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{table}/{version}")
-    pointer, fs = _path(spark, f"{table}/{_POINTER}")
-    fresh, _ = _path(spark, f"{table}/_next-{version}")
+    for name, df in tables.items():
+        df.write.parquet(f"{folder}/{version}/{name}")
+    pointer, fs = _path(spark, f"{folder}/{_POINTER}")
+    fresh, _ = _path(spark, f"{folder}/NEXT-{version}")
     out = fs.create(fresh, True)
-    out.write(bytearray(version.encode()))
+    out.write(bytearray(f"{version} {note}".encode()))
     out.close()
-    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri())
-    rename = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    options = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = rename
-    context.rename(fresh, pointer, options)
-    return f"{table}/{version}"
-
-
-def read_table(spark: SparkSession, table: str, schema: str) -> DataFrame:
-    """The current version, or an empty table when there is none yet."""
-    version = current_version(spark, table)
-    return spark.read.schema(schema).parquet(version) if version else spark.createDataFrame([], schema)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(pointer.toUri() if pointer.toUri().getScheme() else fs.getUri()).rename(fresh, pointer, options)
+    return f"{folder}/{version}"
 
 
-def save_state(queue: DataFrame, seen: DataFrame, seeded: DataFrame, folder: str) -> None:
-    """Queue first: a crash in between must not leave a posting marked seen without its row."""
-    replace_table(queue, f"{folder}/queue")
-    replace_table(seen, f"{folder}/seen")
-    replace_table(seeded, f"{folder}/seeded")
+def read_table(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    """A table of the current version, or an empty one when there is no version yet."""
+    version = current_version(spark, folder)
+    return spark.read.schema(schema).parquet(f"{version[0]}/{name}") if version else spark.createDataFrame([], schema)
 
 
 def append_log(rows: DataFrame, path: str, day: str = "on") -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postingworks.functions import dates as dt
-from postingworks.functions.spans import strip
+from postingworks.functions.spans import let, strip
 from postingworks.functions.text import distinct_sites, split_title_place, strip_html, unescape
 
 # fixed value: paths that look like one posting
@@ -26,9 +26,9 @@ def elements(xml: Column, tag: str) -> Column:
 
 def inner(xml: Column, tag: str) -> Column:
     """Raw content of the first element, CDATA opened."""
-    raw = F.regexp_extract(xml, rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1)
     data = r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$"
-    return F.when(raw.rlike(data), F.regexp_extract(raw, data, 1)).otherwise(unescape(raw))
+    return let(F.regexp_extract(xml, rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1), lambda raw: F.when(
+        raw.rlike(data), F.regexp_extract(raw, data, 1)).otherwise(unescape(raw)))
 
 
 def value(xml: Column, tag: str) -> Column:

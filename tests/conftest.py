@@ -2,18 +2,14 @@ import sys
 from pathlib import Path
 
 import pytest
-from pyspark.sql import SparkSession
-
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from postingworks.session import local_session  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
-    session = (SparkSession.builder.master("local[4]").appName("postingworks-tests")
-               .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-               .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g")
-               .getOrCreate())
-    session.sparkContext.setLogLevel("ERROR")
+    session = local_session(4, "6g", "postingworks-tests")
     yield session
     session.stop()
 
