@@ -295,8 +295,7 @@ def stream_liveness(spark, sf):
              .withColumn("repost_count", L(0)).withColumn("reposted_on", L(None).cast("date")))
     folder = run_folder(spark, "live")
     snapshots.follow_snapshots(rows, first, folder, run_folder(spark, "live-checkpoint")).awaitTermination()
-    schema = first.schema.simpleString()[7:-1]
-    return sinks.read_table(spark, folder, "queue", schema).select(
+    return sinks.read_table(spark, folder, "queue", first.schema).select(
         "id", C("last_seen_live").cast("string").alias("last_seen_live"), "miss_count", C("closed_on").cast("string").alias("closed_on"), "repost_count")
 
 

@@ -56,10 +56,16 @@ def _code_point(ref: Column) -> Column:
     number = F.when(hexa, F.conv(F.substring(body, 2, 40), 16, 10)).otherwise(F.substring(body, 1, 40)).try_cast("bigint")
     # 128..159 are read as Windows-1252, as browsers do
     low = [(n, bytes([n]).decode("cp1252")) for n in range(128, 160) if _cp1252(n)]
-    number = F.coalesce(F.create_map(*[F.lit(x) for n, ch in low for x in (n, ord(ch))])[number.cast("int")], number)
-    valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-    char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-    return F.when(valid, char).otherwise(F.lit("�"))
+    remapped = F.create_map(*[F.lit(x) for n, ch in low for x in (n, ord(ch))])[number.try_cast("int")]
+
+    def resolve(n):
+        silent = (n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF)
+                  | n.bitwiseAND(F.lit(0xFFFE)).eqNullSafe(F.lit(0xFFFE)))
+        valid = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        return F.when(~F.coalesce(valid, F.lit(False)), "\ufffd").when(silent, "").otherwise(char)
+
+    return let(F.coalesce(remapped, number).cast("bigint"), resolve)
 
 
 def _cp1252(n: int) -> bool:

@@ -48,11 +48,9 @@ def id_date_correlation(anchors: DataFrame) -> DataFrame:
              .select("company", "num_id", (F.col("_before") + F.col("_upto") - F.col("_n") + (F.col("_n") - 1) / 2).alias("r_id")))
     ranked = lookup(anchors.join(ranks, ["company", "num_id"]), days, ["company", "day"], ["num_id"])
     stats = ranked.groupBy("company").agg(
-        F.count(F.lit(1)).alias("anchors"), F.corr("r_id", "r_day").alias("_corr"),
-        F.count_distinct("num_id").alias("ids"), F.count_distinct("day").alias("days"))
-    flat = (F.col("ids") < 2) | (F.col("days") < 2)
-    return stats.select("company", "anchors", F.when(flat, 0.0).otherwise(F.coalesce(F.nanvl("_corr", F.lit(0.0)),
-                                                                                     F.lit(0.0))).alias("spearman"))
+        F.count(F.lit(1)).alias("anchors"), F.covar_pop("r_id", "r_day").alias("_both"),
+        F.sqrt(F.var_pop("r_id") * F.var_pop("r_day")).alias("_each"))
+    return stats.select("company", "anchors", F.coalesce(F.try_divide("_both", "_each"), F.lit(0.0)).alias("spearman"))
 
 
 def neighbours(targets: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from postingworks.functions import fixed_values as fv
 from postingworks.functions.text import description_key
@@ -50,7 +51,7 @@ def replace_tables(tables: dict[str, DataFrame], folder: str, note: str = "") ->
     return f"{folder}/{version}"
 
 
-def read_table(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+def read_table(spark: SparkSession, folder: str, name: str, schema: StructType | str) -> DataFrame:
     """A table of the current version, or an empty one when there is no version yet."""
     version = current_version(spark, folder)
     return spark.read.schema(schema).parquet(f"{version[0]}/{name}") if version else spark.createDataFrame([], schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from postingworks.operators.lifecycle import update_liveness
 from postingworks.sources.sinks import current_version, read_table, replace_tables
@@ -24,7 +25,7 @@ def distinct_sightings(sightings: DataFrame, late: str = "2 days") -> DataFrame:
     return sightings.withWatermark("ts", late).dropDuplicatesWithinWatermark(["company", "posting_id", "run_date"])
 
 
-def _apply_run(spark: SparkSession, folder: str, schema: str, rows: DataFrame, day, note: str) -> None:
+def _apply_run(spark: SparkSession, folder: str, schema: StructType, rows: DataFrame, day, note: str) -> None:
     """One run day: boards whose clock is already at or past the day are late and change nothing."""
     queue = read_table(spark, folder, "queue", schema)
     clock = read_table(spark, folder, "clock", CLOCK)
@@ -43,7 +44,7 @@ def _apply_run(spark: SparkSession, folder: str, schema: str, rows: DataFrame, d
     replace_tables({"queue": after, "clock": moved}, folder, note)
 
 
-def apply_snapshots(batch: DataFrame, batch_id: int, folder: str, schema: str) -> None:
+def apply_snapshots(batch: DataFrame, batch_id: int, folder: str, schema: StructType) -> None:
     """Applies a micro-batch of snapshot rows (company, posting_id, run_date, complete, board_type) to the queue.
 
     The run days of a batch are applied in order. Queue and clocks move together behind one pointer whose note names the
@@ -67,6 +68,6 @@ def follow_snapshots(snapshots: DataFrame, queue: DataFrame, folder: str, checkp
     spark = queue.sparkSession
     if current_version(spark, folder) is None:
         replace_tables({"queue": queue, "clock": spark.createDataFrame([], CLOCK)}, folder)
-    schema = queue.schema.simpleString()[7:-1]
+    schema = queue.schema
     return (snapshots.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
             .foreachBatch(lambda df, i: apply_snapshots(df, i, folder, schema)).start())
