@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from postingworks.catalog.fixtures import fixture, select, table
+from postingworks.catalog.fixtures import fixture, select, wide_table
 from postingworks.catalog.registry import query
 from postingworks.functions import pay
+from postingworks.functions.scale import spread
 from postingworks.operators.experience import classify_experience
 from postingworks.operators.salary import classify_salary
 from postingworks.operators.sponsorship import classify_sponsorship, sponsorship_facets
@@ -36,7 +37,7 @@ SELECT o_orderkey, CASE shape WHEN 0 THEN '$' || lo || ',000 - $' || hi || ',000
   CASE WHEN shape = 7 AND hi + 7 <= 2.2 * lo THEN '[2 ranges listed' WHEN shape = 3 THEN '[converted from ' WHEN shape IN (4, 6) THEN '' ELSE 'plain' END AS note
 FROM pay""", pay=_PAY)
 def salary_extraction(spark, sf):
-    rows = spark.sql(_PAY_TEXT.replace("FROM pay", "FROM {pay}"), pay=select(spark, sf, _PAY))
+    rows = spark.sql(_PAY_TEXT.replace("FROM pay", "FROM {pay}"), pay=spread(select(spark, sf, _PAY)))
     ev = C("salary_evidence")
     note = (F.when(ev.startswith("[2 ranges listed"), "[2 ranges listed").when(ev.startswith("[converted from "), "[converted from ")
             .when(ev == "", "").otherwise("plain"))
@@ -59,7 +60,7 @@ _YEARS_TEXT = """SELECT *, CASE shape
 @query("experience_extraction", """
 SELECT o_orderkey, CASE WHEN shape IN (0, 1, 3, 8) THEN n WHEN shape = 2 THEN 0 END AS experience FROM years""", years=_YEARS)
 def experience_extraction(spark, sf):
-    rows = spark.sql(_YEARS_TEXT.replace("FROM years", "FROM {years}"), years=select(spark, sf, _YEARS))
+    rows = spark.sql(_YEARS_TEXT.replace("FROM years", "FROM {years}"), years=spread(select(spark, sf, _YEARS)))
     return classify_experience(rows).select("o_orderkey", "experience")
 
 
@@ -80,7 +81,7 @@ _VISA_TEXT = """SELECT *, CASE shape
 SELECT o_orderkey, CASE WHEN shape IN (1, 3, 7, 8) THEN 'Blocked' WHEN shape IN (0, 2, 5) THEN 'OPT Only' ELSE 'Unclear' END AS sponsorship_status,
   CASE shape WHEN 2 THEN '[now or future] ' WHEN 5 THEN '[STEM OPT welcome] ' WHEN 3 THEN '[no STEM OPT] ' ELSE '' END AS tag FROM visa""", visa=_VISA)
 def sponsorship_class(spark, sf):
-    rows = spark.sql(_VISA_TEXT.replace("FROM visa", "FROM {visa}"), visa=select(spark, sf, _VISA))
+    rows = spark.sql(_VISA_TEXT.replace("FROM visa", "FROM {visa}"), visa=spread(select(spark, sf, _VISA)))
     return classify_sponsorship(rows).select("o_orderkey", "sponsorship_status",
                                              F.regexp_extract("sponsorship_evidence", r"^\[[^\]]+\] ", 0).alias("tag"))
 
@@ -91,7 +92,7 @@ SELECT o_orderkey, CASE WHEN shape IN (0, 1, 2, 5) THEN 'refused' WHEN shape = 3
   CASE shape WHEN 8 THEN '...Secret clearance is required for this position....' WHEN 1 THEN '...Must be a U.S. citizen. We do not sponsor visas....' ELSE '' END AS citizenship_quote
 FROM visa""", visa=_VISA)
 def facets(spark, sf):
-    rows = spark.sql(_VISA_TEXT.replace("FROM visa", "FROM {visa}"), visa=select(spark, sf, _VISA))
+    rows = spark.sql(_VISA_TEXT.replace("FROM visa", "FROM {visa}"), visa=spread(select(spark, sf, _VISA)))
     return sponsorship_facets(rows).select("o_orderkey", "future_sponsorship", "citizenship", "citizenship_quote")
 
 
@@ -101,7 +102,7 @@ def document_facts(spark, sf):
     text = F.concat(C("text"), L("\n"), F.when(C("doc_id") % 3 == 0, "We do not sponsor visas.").otherwise("Open to all."),
                     L(" Salary range $"), (60 + C("doc_id") % 90).cast("string"), L(",000 - $"), (170 + C("doc_id") % 90).cast("string"),
                     L(",000. Required: five years of experience."))
-    rows = table(spark, sf, "documents").select("doc_id", text.alias("description"))
+    rows = wide_table(spark, sf, "documents").select("doc_id", text.alias("description"))
     return classify_salary(classify_experience(classify_sponsorship(rows))).select("doc_id", "sponsorship_status", "experience", "salary")
 
 
@@ -114,7 +115,7 @@ def pay_sentence(spark, sf):
     low = F.when(hourly, q + 10).otherwise(q * 1000).cast("string")
     high = F.when(hourly, q).otherwise(q * 1000).cast("string")
     unit = F.when(C("l_linenumber") == 7, "per project").when(hourly, "HOUR").otherwise("")
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", pay.pay_sentence(
+    return wide_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", pay.pay_sentence(
         F.when(hourly, "usd").otherwise("eur"), low, high, unit).alias("sentence"))
 
 

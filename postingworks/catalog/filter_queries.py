@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from postingworks.catalog.fixtures import fixture, table
+from postingworks.catalog.fixtures import fixture, table, wide_table
 from postingworks.catalog.registry import query
 from postingworks.functions import terms as tm
 from postingworks.operators import audit, categories, filters
@@ -60,7 +60,7 @@ def hidden_totals(spark, sf):
 @query("title_rules_top", """
 SELECT why AS rule_term, count(*) AS n FROM ruled WHERE kind IS NOT NULL AND rule IS NULL GROUP BY 1 ORDER BY n DESC, rule_term LIMIT 25""", ruled=RULED)
 def title_rules_top(spark, sf):
-    return audit.rule_histogram(filters.hidden_by_title(fixture(spark, sf, "postings"), RULES, cap=2**31 - 1)[0], 25)
+    return audit.rule_histogram(filters.hidden_roles(fixture(spark, sf, "postings"), RULES), 25)
 
 
 @query("flagged_hidden_roles", """
@@ -68,7 +68,7 @@ SELECT company || ':' || posting_id AS id, why AS rule_term, CAST(p_size % 2 = 0
 WHERE kind IS NOT NULL AND rule IS NULL AND why NOT IN ('intern', 'promo') AND regexp_matches(t, '(^|[^a-z0-9])(ring|small gizmo|bolt)([^a-z0-9]|$)')""", ruled=RULED)
 def flagged_hidden_roles(spark, sf):
     posts = fixture(spark, sf, "postings")
-    hidden, _ = filters.hidden_by_title(posts, RULES, cap=2**31 - 1)
+    hidden = filters.hidden_roles(posts, RULES)
     known = posts.where("p_size % 2 = 1").select(F.concat_ws(":", "company", "posting_id").alias("id"))
     flagged = audit.flag_hidden(hidden, ("ring", "small gizmo", "bolt"), ("intern", "promo"), known)
     return flagged.select("id", "rule_term", C("is_new").cast("int").alias("is_new"))
@@ -78,7 +78,7 @@ def flagged_hidden_roles(spark, sf):
 SELECT h.company, h.posting_id, h.why AS rule_term, n AS rule_n FROM ruled h JOIN (SELECT why, count(*) AS n FROM ruled
   WHERE kind IS NOT NULL AND rule IS NULL GROUP BY why) c ON h.why = c.why WHERE h.kind IS NOT NULL AND h.rule IS NULL""", ruled=RULED)
 def hidden_report(spark, sf):
-    hidden, _ = filters.hidden_by_title(fixture(spark, sf, "postings"), RULES, cap=2**31 - 1)
+    hidden = filters.hidden_roles(fixture(spark, sf, "postings"), RULES)
     return audit.hidden_report(hidden).select("company", "posting_id", "rule_term", "rule_n")
 
 
@@ -115,7 +115,7 @@ _DOC_TERMS = ("the", "and", "le", "der", "of the")
 SELECT lang, source, CAST(regexp_matches(lower(text), '(^|[^a-z0-9])(the|and|le|der|of the)([^a-z0-9]|$)') AS INT) AS included, count(*) AS n
 FROM documents GROUP BY 1, 2, 3""")
 def document_term_rules(spark, sf):
-    rows = table(spark, sf, "documents").select("lang", "source", tm.contains_any(C("text"), _DOC_TERMS).cast("int").alias("included"))
+    rows = wide_table(spark, sf, "documents").select("lang", "source", tm.contains_any(C("text"), _DOC_TERMS).cast("int").alias("included"))
     return rows.groupBy("lang", "source", "included").agg(F.count(L(1)).alias("n"))
 
 
@@ -123,7 +123,7 @@ def document_term_rules(spark, sf):
 WITH m AS (SELECT regexp_extract(lower(text), '(?:^|[^a-z0-9])(of the|the|and|der|le)(?:[^a-z0-9]|$)', 1) AS term FROM documents)
 SELECT term, count(*) AS n FROM m WHERE term <> '' GROUP BY term ORDER BY n DESC, term""")
 def document_first_terms(spark, sf):
-    rows = table(spark, sf, "documents").select(F.lower(tm.first_match(C("text"), _DOC_TERMS)).alias("rule_term")).where("rule_term is not null")
+    rows = wide_table(spark, sf, "documents").select(F.lower(tm.first_match(C("text"), _DOC_TERMS)).alias("rule_term")).where("rule_term is not null")
     return audit.rule_histogram(rows).withColumnRenamed("rule_term", "term")
 
 

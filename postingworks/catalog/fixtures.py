@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from postingworks.functions.scale import spread
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
 AS_OF = "1999-06-01"
@@ -95,6 +97,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows cost much work each, over all cores even when it is one small file."""
+    return spread(table(spark, sf_dir, name))
+
+
 def select(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A SELECT over the given tables, run by Spark."""
     args = {n: table(spark, sf_dir, n) for n in names_used(sql, TABLES)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from postingworks.catalog.fixtures import AS_OF, fixture, table
+from postingworks.catalog.fixtures import AS_OF, fixture, table, wide_table
 from postingworks.catalog.registry import query
 from postingworks.functions import dates as dt
 from postingworks.functions import terms as tm
@@ -23,7 +23,7 @@ def _plain(expr: str) -> str:
 
 @query("strip_html", f"SELECT page_id, md5({_plain('html')}) AS digest, length({_plain('html')}) AS chars FROM pages")
 def strip_html(spark, sf):
-    plain = table(spark, sf, "pages").select("page_id", tx.strip_html(C("html")).alias("plain"))
+    plain = wide_table(spark, sf, "pages").select("page_id", tx.strip_html(C("html")).alias("plain"))
     return plain.select("page_id", F.md5("plain").alias("digest"), F.length("plain").cast("bigint").alias("chars"))
 
 
@@ -34,12 +34,12 @@ for _tag in ("script", "style", "nav", "header", "footer", "form"):
 
 @query("visible_page_text", f"SELECT page_id, md5({_plain(_DROPPED)}) AS digest FROM pages")
 def visible_page_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.md5(tx.strip_html(tx.drop_blocks(C("html")))).alias("digest"))
+    return wide_table(spark, sf, "pages").select("page_id", F.md5(tx.strip_html(tx.drop_blocks(C("html")))).alias("digest"))
 
 
 @query("fold_accents", "SELECT doc_id, md5(strip_accents(text)) AS digest FROM documents")
 def fold_accents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(tx.fold_accents(C("text"))).alias("digest"))
+    return wide_table(spark, sf, "documents").select("doc_id", F.md5(tx.fold_accents(C("text"))).alias("digest"))
 
 
 @query("name_keys", """
@@ -55,14 +55,14 @@ def name_keys(spark, sf):
 WITH u AS (SELECT page_id, regexp_replace(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.-]*://', ''), 'utm_source=[^&]*&?', '') AS s FROM pages)
 SELECT page_id, regexp_replace(regexp_replace(s, '[?]$', ''), '/+$', '') AS link FROM u""")
 def link_identity(spark, sf):
-    return table(spark, sf, "pages").select("page_id", tx.normalize_link(C("url")).alias("link"))
+    return wide_table(spark, sf, "pages").select("page_id", tx.normalize_link(C("url")).alias("link"))
 
 
 @query("pages_by_link", """
 WITH u AS (SELECT page_id, regexp_replace(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.-]*://', ''), 'utm_source=[^&]*&?', '') AS s FROM pages)
 SELECT regexp_replace(regexp_replace(s, '[?]$', ''), '/+$', '') AS link, count(*) AS pages, min(page_id) AS first_page FROM u GROUP BY 1""")
 def pages_by_link(spark, sf):
-    links = table(spark, sf, "pages").select("page_id", tx.normalize_link(C("url")).alias("link"))
+    links = wide_table(spark, sf, "pages").select("page_id", tx.normalize_link(C("url")).alias("link"))
     return links.groupBy("link").agg(F.count(L(1)).alias("pages"), F.min("page_id").alias("first_page"))
 
 
@@ -109,7 +109,7 @@ _WORDS = ("the", "and", "le", "und", "zzz")
     + ") AS hits FROM documents")
 def keyword_hits(spark, sf):
     hits = tx.keyword_hits(C("source"), C("text"), _WORDS)
-    return table(spark, sf, "documents").select("doc_id", F.array_join(hits, ",").alias("hits"))
+    return wide_table(spark, sf, "documents").select("doc_id", F.array_join(hits, ",").alias("hits"))
 
 
 @query("term_variants", """
@@ -143,7 +143,7 @@ def board_links(spark, sf):
     extra = (F.when(k == 0, F.concat(L('<a href="https://boards.greenhouse.io/co'), C("page_id"), L('/jobs"><a href="https://jobs.lever.co/embed">')))
              .when(k == 1, '<a href="https://acme.wd5.myworkdayjobs.com/en-US/Careers/job/1">')
              .otherwise(F.concat(L('<a href="https://careers-'), C("page_id"), L('.icims.com/x"><img src="https://static1.icims.com">'))))
-    return page_links(table(spark, sf, "pages").select("page_id", F.concat("html", extra).alias("html")))
+    return page_links(wide_table(spark, sf, "pages").select("page_id", F.concat("html", extra).alias("html")))
 
 
 @query("filters_signature", "SELECT p_partkey, substr(sha1('{\"title_exclude\": [\"' || p_name || '\"]}'), 1, 16) AS sig FROM part")
@@ -165,7 +165,7 @@ SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Z][a-z]+')) AS BIGINT) AS n
   CAST(list_sum(list_transform(regexp_extract_all(text, '[A-Z][a-z]+'), lambda m: length(m))) AS BIGINT) AS matched FROM documents
 WHERE regexp_matches(text, '[A-Z][a-z]+')""")
 def match_spans(spark, sf):
-    found = table(spark, sf, "documents").select("doc_id", "text", spans(C("text"), "[A-Z][a-z]+", flags="").alias("s")).where(F.size("s") > 0)
+    found = wide_table(spark, sf, "documents").select("doc_id", "text", spans(C("text"), "[A-Z][a-z]+", flags="").alias("s")).where(F.size("s") > 0)
     inside = F.forall("s", lambda x: F.substring(C("text"), x["start"] + 1, x["end"] - x["start"]) == x["match"])
     return found.where(inside).select("doc_id", F.size("s").cast("bigint").alias("n"), C("s")[0]["start"].cast("bigint").alias("first_start"),
                                       F.aggregate("s", L(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"]).alias("matched"))
@@ -258,6 +258,6 @@ def age_bucket_dates(spark, sf):
 
 @query("long_vocabulary", "SELECT doc_id, CAST(regexp_matches(lower(text), '(^|[^a-z0-9])(the|and of|le la|thth|der)([^a-z0-9]|$)') AS INT) AS found FROM documents")
 def long_vocabulary(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tm.contains_any_ngrams(C("text"), ["the", "and of", "le la", "thth", "der"]).cast("int").alias("found"))
+    return wide_table(spark, sf, "documents").select("doc_id", tm.contains_any_ngrams(C("text"), ["the", "and of", "le la", "thth", "der"]).cast("int").alias("found"))
 
 

@@ -6,48 +6,49 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postingworks.functions import fixed_values as fv
+from postingworks.functions.spans import let
 
 _UNITS = {"hour": "hr", "week": "wk", "month": "mo"}
 
 
-def _plain_number(x: Column, digits: int) -> Column:
-    return F.format_number(x, digits)
-
-
 def pay_sentence(currency: Column, low: Column, high: Column, unit: Column) -> Column:
     """Structured pay fields as one sentence; empty when the figures, currency or unit say nothing."""
-    unit = F.lower(F.coalesce(F.nullif(unit, F.lit("")), F.lit("year")))
-    name = F.lit(None).cast("string")
-    for u in reversed(list(fv.PAY_UNITS)):
-        name = F.when(unit.contains(u), u).otherwise(name)
-    number = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-    text_ok = F.lit(True)
-    values = []
-    for v in (low, high):
-        s = F.coalesce(F.nullif(v.cast("string"), F.lit("")), F.lit("0"))
-        text_ok = text_ok & s.rlike(number)
-        values.append(s.try_cast("double"))
-    top, bottom = F.greatest(*values), F.least(*values)
-    bottom = F.when(bottom == 0, top).otherwise(bottom)
-
-    def show(x: Column) -> Column:
-        cents = F.regexp_replace(F.regexp_replace(_plain_number(x, 2), "0+$", ""), r"\.$", "")
-        return F.when(name == "hour", cents).otherwise(_plain_number(x, 0))
-
-    span = F.when(bottom == top, show(bottom)).otherwise(F.concat(show(bottom), F.lit(" - "), show(top)))
-    per = F.create_map(*[F.lit(x) for pair in fv.PAY_UNITS.items() for x in pair])[name]
-    ok = name.isNotNull() & text_ok & F.coalesce(currency, F.lit("")).rlike("^[A-Za-z]{3}$") & (top > 0)
-    sentence = F.concat(F.lit(" Compensation: "), F.upper(currency), F.lit(" "), span, F.lit(" "), per, F.lit("."))
-    return F.when(F.coalesce(ok, F.lit(False)), sentence).otherwise("")
+    def name_of(u: Column) -> Column:
+        name = F.lit(None).cast("string")
+        for known in reversed(list(fv.PAY_UNITS)):
+            name = F.when(u.contains(known), known).otherwise(name)
+        return name
+
+    def number(v: Column) -> Column:
+        """The figure; 0 for a missing one, null for text that is none."""
+        s = F.trim(F.coalesce(F.nullif(v.cast("string"), F.lit("")), F.lit("0")))
+        return F.when(s.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), s.try_cast("double"))
+
+    def sentence(p: Column) -> Column:
+        top, bottom = F.greatest(p["a"], p["b"]), F.least(p["a"], p["b"])
+
+        def show(x: Column) -> Column:
+            cents = F.rtrim(F.rtrim(F.format_number(x, 2), F.lit("0")), F.lit("."))
+            return F.when(p["unit"] == "hour", cents).otherwise(F.format_number(x, 0))
+
+        per = F.create_map(*[F.lit(x) for pair in fv.PAY_UNITS.items() for x in pair])[p["unit"]]
+        span = F.when((bottom == 0) | (bottom == top), show(top)).otherwise(F.concat(show(bottom), F.lit(" - "), show(top)))
+        ok = (p["unit"].isNotNull() & p["a"].isNotNull() & p["b"].isNotNull() & p["currency"].rlike("^[A-Za-z]{3}$") & (top > 0))
+        text = F.concat(F.lit(" Compensation: "), F.upper(p["currency"]), F.lit(" "), span, F.lit(" "), per, F.lit("."))
+        return F.when(F.coalesce(ok, F.lit(False)), text).otherwise("")
+
+    unit = name_of(F.lower(F.coalesce(F.nullif(unit, F.lit("")), F.lit("year"))))
+    return let(F.struct(unit.alias("unit"), number(low).alias("a"), number(high).alias("b"),
+                        F.coalesce(currency, F.lit("")).alias("currency")), sentence)
 
 
 def money(x: Column, symbol: Column) -> Column:
     whole = F.abs(x - F.rint(x)) < 0.005
-    return F.concat(symbol, F.when(whole, _plain_number(x, 0)).otherwise(_plain_number(x, 2)))
+    return F.concat(symbol, F.when(whole, F.format_number(x, 0)).otherwise(F.format_number(x, 2)))
 
 
 def thousands(x: Column, symbol: Column) -> Column:
-    return F.concat(symbol, F.regexp_replace(F.concat(_plain_number(x / 1000, 1), F.lit("k")), r"\.0k", "k"))
+    return F.concat(symbol, F.regexp_replace(F.concat(F.format_number(x / 1000, 1), F.lit("k")), r"\.0k", "k"))
 
 
 def annual_factor(period: Column) -> Column:

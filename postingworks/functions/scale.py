@@ -11,6 +11,16 @@ SALTS = 32
 BLOCK_ROWS = 100_000
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores when its scan has fewer splits than there are cores, as it is otherwise.
+
+    A small table often sits in one row group, which one task would read and process alone. A large table has more
+    splits than cores and is not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def lookup(fact: DataFrame, per_key: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "left",
            salts: int = SALTS) -> DataFrame:
     """`fact` joined to a table with one row per key, each key of `fact` spread over `salts` partitions.

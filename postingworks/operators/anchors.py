@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postingworks.functions import fixed_values as fv
 from postingworks.functions.scale import lookup
 
-BLOCKS = 256
+COARSE = 16
+BLOCKS = COARSE * COARSE
 
 
 def average_ranks(values: DataFrame, keys: list[str], column: str, out: str = "avg_rank") -> DataFrame:
@@ -25,8 +26,16 @@ def _blocked(points: DataFrame) -> DataFrame:
     """Points with `_block`: an ordered slice of their company's ids, about 1/256 of them, so no company is one sort."""
     cuts = points.groupBy("company").agg(
         F.percentile_approx("num_id", [i / BLOCKS for i in range(1, BLOCKS)], F.lit(10_000)).alias("_cuts"))
-    return (lookup(points, cuts, ["company"], ["num_id"])
-            .withColumn("_block", F.size(F.filter("_cuts", lambda c: c < F.col("num_id")))).drop("_cuts"))
+    # every 16th cut finds the coarse slice, the cuts between two of them the fine one
+    cuts = cuts.withColumn("_coarse", F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)),
+                                                  lambda i: F.element_at("_cuts", i * COARSE)))
+
+    def below(bounds) -> Column:
+        return F.size(F.filter(bounds, lambda c: c < F.col("num_id")))
+
+    return (lookup(points, cuts, ["company"], ["num_id"]).withColumn("_slice", below(F.col("_coarse")))
+            .withColumn("_block", F.col("_slice") * COARSE + below(
+                F.slice("_cuts", F.col("_slice") * COARSE + 1, F.lit(COARSE - 1)))).drop("_cuts", "_coarse", "_slice"))
 
 
 def id_date_correlation(anchors: DataFrame) -> DataFrame:
@@ -91,7 +100,7 @@ def estimate_dates(queue: DataFrame, companies: DataFrame) -> DataFrame:
     anchors whose ids and dates correlate, no anchor with the same id, neighbours whose dates do not run backwards, and
     never exceeds the first sighting; without an upper neighbour the lower one counts if it predates the sighting.
     """
-    rows = (queue.join(companies.select("company").distinct(), "company", "left_semi")
+    rows = (lookup(queue, companies.select("company").distinct(), ["company"], ["posting_id"], "left_semi")
             .withColumn("num_id", F.when(F.col("posting_id").rlike(r"^\d+$"), F.col("posting_id").try_cast("bigint"))))
     own = F.col("posted").isNotNull() & ~F.coalesce("posted_est", F.lit(False))
     later = ~F.coalesce("first_run", F.lit(False)) & F.col("first_seen").isNotNull()

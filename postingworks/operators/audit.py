@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from postingworks.functions import terms as tm
 from postingworks.functions import text as tx
+from postingworks.functions.scale import lookup
 
 
 def rule_histogram(hidden: DataFrame, top: int | None = None) -> DataFrame:
@@ -30,4 +31,4 @@ def flag_hidden(hidden: DataFrame, watch_terms: Sequence[str], intentional: Sequ
 def hidden_report(hidden: DataFrame) -> DataFrame:
     """Hidden rows with the size of their rule, in report order: big rules first."""
     sizes = hidden.groupBy("rule_term").agg(F.count(F.lit(1)).alias("rule_n"))
-    return hidden.join(sizes, "rule_term").orderBy(F.desc("rule_n"), "rule_term", "company", "ord")
+    return lookup(hidden, sizes, ["rule_term"], ["posting_id"], "inner").orderBy(F.desc("rule_n"), "rule_term", "company", "ord")

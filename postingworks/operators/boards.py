@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postingworks.functions import fixed_values as fv
+from postingworks.functions.scale import lookup
 
 TERM = ["company", "site", "term"]
 EXACT_SIGNATURE_IDS = 25_000
@@ -73,7 +74,7 @@ def id_signature(listing: DataFrame) -> DataFrame:
     folded = ids.groupBy("company").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(half(1)).alias("x"), F.sum(half(13).cast("decimal(38,0)")).alias("s"))
     small = folded.where(F.col("n") <= EXACT_SIGNATURE_IDS).select("company")
-    exact = (ids.join(small, "company", "left_semi").groupBy("company")
+    exact = (lookup(ids, small, ["company"], ["id"], "left_semi").groupBy("company")
              .agg(F.substring(F.md5(F.array_join(F.array_sort(F.collect_list("id")), ",")), 1, 12).alias("exact")))
     return (folded.join(exact, "company", "left").select(
         "company", "n", F.coalesce("exact", F.substring(F.md5(F.concat_ws("|", "n", "x", "s")), 1, 12)).alias("sig")))

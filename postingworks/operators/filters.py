@@ -138,17 +138,24 @@ def matching(postings: DataFrame, rules: FilterRules, title: str = "title", loca
     return postings.where(title_passes(F.col(title), rules)).where(location_rule(where, rules).isNull())
 
 
-def hidden_by_title(postings: DataFrame, rules: FilterRules, cap: int = fv.FILTERED_ROW_CAP) -> tuple[DataFrame, DataFrame]:
-    """Roles a title rule hides although the location rules pass: (rows, the report's first `cap` per company; totals).
+def hidden_roles(postings: DataFrame, rules: FilterRules) -> DataFrame:
+    """Every role a title rule hides although the location rules pass, with that rule.
 
-    A hidden role fails the title rules, so it is never a hit and no anti join is needed. The row cap is the report's;
-    the totals count every row. The ranking keeps only `cap` rows per company before its shuffle.
+    A hidden role fails the title rules, so it is never a hit and no anti join is needed.
     """
     place = tx.effective_location(F.col("location"), F.lit(""), F.lit("x"))
-    hidden = (postings.withColumn("_reason", title_reason(F.col("title"), rules)).where("_reason is not null")
+    return (postings.withColumn("_reason", title_reason(F.col("title"), rules)).where("_reason is not null")
               .where(location_rule(place, rules.location_only()).isNull())
               .select("company", "posting_id", "title", "location", "url", F.col("_reason.kind").alias("rule_kind"),
                       F.col("_reason.term").alias("rule_term"), "ord"))
+
+
+def hidden_by_title(postings: DataFrame, rules: FilterRules, cap: int = fv.FILTERED_ROW_CAP) -> tuple[DataFrame, DataFrame]:
+    """(the report's first `cap` hidden roles per company, the count of all of them per company).
+
+    The ranking keeps only `cap` rows per company before its shuffle.
+    """
+    hidden = hidden_roles(postings, rules)
     rows = (hidden.withColumn("_n", F.row_number().over(Window.partitionBy("company").orderBy("ord")))
             .where(F.col("_n") <= cap).drop("_n"))
     totals = hidden.groupBy("company").agg(F.count(F.lit(1)).alias("n"))

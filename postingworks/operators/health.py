@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postingworks.functions import fixed_values as fv
-from postingworks.functions.scale import last_row
+from postingworks.functions.scale import last_row, lookup
 
 
 def read_states(companies: DataFrame, fetched: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def listing_counts(jobs: DataFrame, states: DataFrame) -> DataFrame:
     clean = states.where("outcome = 'ok'").select("company")
     last = last_row(jobs.select("company", "posting_id", "posted", "has_desc", "desc", "title", "ord"),
                     ["company", "posting_id"], F.col("ord"))
-    rows = last.join(clean, "company", "left_semi")
+    rows = lookup(last, clean, ["company"], ["posting_id"], "left_semi")
     empty = F.col("has_desc") & (F.trim(F.coalesce("desc", F.lit(""))) == "")
     return rows.agg(
         F.count(F.lit(1)).alias("jobs_returned"), F.count_if(F.col("posted").isNull()).alias("missing_posted_dates"),
@@ -95,7 +95,7 @@ def missing_descriptions(jobs: DataFrame, states: DataFrame, log_failures: DataF
     clean = states.where("outcome = 'ok'").select("company")
     last = last_row(jobs.select("company", "posting_id", "has_desc", "desc", "title", "ord"),
                     ["company", "posting_id"], F.col("ord"))
-    empty = (last.join(clean, "company", "left_semi")
+    empty = (lookup(last, clean, ["company"], ["posting_id"], "left_semi")
              .where(F.col("has_desc") & (F.trim(F.coalesce("desc", F.lit(""))) == ""))
              .select("company", F.coalesce("title", "posting_id").alias("role")))
     return empty.unionByName(log_failures.select("company", "role")).distinct()

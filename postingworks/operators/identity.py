@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from postingworks.functions import fixed_values as fv
 from postingworks.functions import text as tx
+from postingworks.functions.scale import lookup
+
+# copies of a lookup side that may itself be large: enough to split a hot key, the runtime splits further
+FEW = 8
 
 
 def _metadata_key(company: str, role: str, location: str) -> Column:
@@ -30,8 +34,8 @@ def match_identity(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     # linkless candidates get keys of their own: a null key would put them all in one partition
     own = F.coalesce(F.nullif(tx.normalize_link(F.col("link")), F.lit("")),
                      F.concat(F.lit("\x00"), F.xxhash64(*candidates.columns).cast("string")))
-    out = (candidates.withColumn("_link", own).withColumn("_meta", _metadata_key("company", "role", "location"))
-           .join(by_link, "_link", "left").join(by_meta, "_meta", "left"))
+    keys = candidates.withColumn("_link", own).withColumn("_meta", _metadata_key("company", "role", "location"))
+    out = lookup(lookup(keys, by_link, ["_link"], candidates.columns, salts=FEW), by_meta, ["_meta"], candidates.columns, salts=FEW)
     linked = ~F.col("_link").startswith("\x00")
     return (out.withColumn("match_key", F.when(linked, F.coalesce("_by_link", "_by_linkless")).otherwise(F.col("_by_meta")))
             .select(*candidates.columns, "match_key"))
@@ -47,8 +51,8 @@ def mark_tracked(cards: DataFrame, known: DataFrame) -> DataFrame:
     """Adds `tracked`: the (company, title) key of a card is already known."""
     keys = (known.select(tx.alnum_key(F.col("company")).alias("_c"), tx.alnum_key(F.col("title")).alias("_t"))
             .distinct().withColumn("tracked", F.lit(True)))
-    return (cards.withColumn("_c", tx.alnum_key(F.col("company"))).withColumn("_t", tx.alnum_key(F.col("title")))
-            .join(keys, ["_c", "_t"], "left").withColumn("tracked", F.coalesce("tracked", F.lit(False))).drop("_c", "_t"))
+    keyed = cards.withColumn("_c", tx.alnum_key(F.col("company"))).withColumn("_t", tx.alnum_key(F.col("title")))
+    return (lookup(keyed, keys, ["_c", "_t"], cards.columns, salts=FEW).withColumn("tracked", F.coalesce("tracked", F.lit(False))).drop("_c", "_t"))
 
 
 def untracked(cards: DataFrame, known: DataFrame) -> DataFrame:
@@ -74,7 +78,7 @@ def mark_covered(names: DataFrame, boards: DataFrame, name: str = "company", boa
     starts_a_board = wanted.join(board_heads, F.col("_n") == F.col("_p"), "left_semi")
     covered = (equal.unionByName(starts_with_board).unionByName(starts_a_board).distinct()
                .withColumn("has_board", F.lit(True)))
-    return (names.withColumn("_n", tx.alnum_key(F.col(name))).join(covered, "_n", "left")
+    return (lookup(names.withColumn("_n", tx.alnum_key(F.col(name))), covered, ["_n"], names.columns, salts=FEW)
             .withColumn("has_board", F.coalesce("has_board", F.lit(False))).drop("_n"))
 
 
@@ -157,7 +161,7 @@ def unanimous_dates(entries: DataFrame, cards: DataFrame) -> DataFrame:
     for part in (unplaced, inside, first_part, around):
         every = every.unionByName(part.select(cols))
     verdict = every.groupBy(*title, "_a", "_f").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
-    return (wanted.join(verdict, [*title, "_a", "_f"], "left")
+    return (lookup(wanted, verdict, [*title, "_a", "_f"], entries.columns, salts=FEW)
             .withColumn("card_date", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")))
             .select(*entries.columns, "card_date"))
 
@@ -165,7 +169,7 @@ def unanimous_dates(entries: DataFrame, cards: DataFrame) -> DataFrame:
 def already_polled(found: DataFrame, boards: DataFrame) -> DataFrame:
     """Adds `polled_as`: the company whose board has the same type and endpoint key, null when new."""
     known = boards.groupBy("board_type", "endpoint").agg(F.min_by("company", "ord").alias("polled_as"))
-    return found.join(known, ["board_type", "endpoint"], "left")
+    return lookup(found, known, ["board_type", "endpoint"], found.columns, salts=FEW)
 
 
 def dates_from_listing(entries: DataFrame, listing: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def due_for_check(queue: DataFrame, listing: DataFrame, boards: DataFrame, as_of
     after = update_liveness(queue, listing, boards, as_of,
                             queue.select("id", F.lit("gone").alias("verdict")))
     types = boards.where(F.col("board_type").isin(*fv.CHECKABLE_TYPES)).select("company")
-    return after.where("event = 'closed'").join(types.distinct(), "company", "left_semi").select("id", *POSTING)
+    return lookup(after.where("event = 'closed'"), types.distinct(), ["company"], ["posting_id"], "left_semi").select("id", *POSTING)
 
 
 def renewal_candidates(queue: DataFrame, listing: DataFrame, boards: DataFrame) -> DataFrame:
@@ -88,8 +88,8 @@ def renewal_candidates(queue: DataFrame, listing: DataFrame, boards: DataFrame)
     listed = listing.where("posted is not null").groupBy(*POSTING).agg(F.max("posted").alias("listed"))
     jump = F.datediff(F.col("listed"), F.col("posted")) >= fv.REFRESH_MIN_JUMP_DAYS
     estimated = F.coalesce("posted_est", F.lit(False))
-    return (queue.where(F.col("closed_on").isNull() & F.col("posted").isNotNull() & ~estimated)
-            .join(listed, POSTING).where(jump).join(types, "company", "left_semi"))
+    rows = queue.where(F.col("closed_on").isNull() & F.col("posted").isNotNull() & ~estimated)
+    return lookup(rows.join(listed, POSTING).where(jump), types, ["company"], ["posting_id"], "left_semi")
 
 
 def apply_renewals(queue: DataFrame, details: DataFrame) -> DataFrame:
@@ -113,8 +113,8 @@ def reverify_window(queue: DataFrame, boards: DataFrame, as_of: Column,
     types = boards.where(F.col("board_type") == fv.RELATIVE_DATE_TYPE).select("company").distinct()
     recent = F.col("first_seen").between(F.date_sub(as_of, fv.REVERIFY_MAX_AGE_DAYS),
                                          F.date_sub(as_of, fv.REVERIFY_MIN_AGE_DAYS))
-    return (queue.where(recent & F.col("closed_on").isNull() & ~F.coalesce("posted_reverified", F.lit(False)))
-            .join(types, "company", "left_semi").orderBy("ord", "id").limit(cap))
+    rows = queue.where(recent & F.col("closed_on").isNull() & ~F.coalesce("posted_reverified", F.lit(False)))
+    return lookup(rows, types, ["company"], ["posting_id"], "left_semi").orderBy("ord", "id").limit(cap)
 
 
 def apply_reverified(queue: DataFrame, details: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postingworks.functions import fixed_values as fv
+from postingworks.functions.scale import lookup
 from postingworks.operators import anchors, boards, dedup, health, intake, lifecycle
 from postingworks.operators.filters import FilterRules, drop_rejected_locations, hidden_by_title, matching, rescue_multi_site
 from postingworks.session import materialize
@@ -54,8 +55,8 @@ def daily_run(run: RunInput, state: State, rules: FilterRules, keywords: Sequenc
     """One run as a fixed sequence of set-wide steps; every step covers all companies together."""
     order = run.companies.select("company", "board_type", F.col("ord").alias("company_ord"))
     clean = run.fetched.where("err is null").select("company")
-    postings = dedup.last_wins(run.listing.join(clean, "company", "left_semi"))
-    typed = postings.join(order, "company")
+    postings = dedup.last_wins(lookup(run.listing, clean, ["company"], ["posting_id"], "left_semi"))
+    typed = lookup(postings, order, ["company"], ["posting_id"], "inner")
     hits = matching(typed, rules)
     rescued = rescue_multi_site(typed, run.sites, rules)
     # read by the flood test, intake and recall
@@ -65,7 +66,7 @@ def daily_run(run: RunInput, state: State, rules: FilterRules, keywords: Sequenc
     complete = run.fetched.where("err is null and complete").select("company")
     # the text readers are the costly step: their result is written once and the descriptions are gone from it
     described = materialize(intake.describe_entries(merge_details(fresh, run.details), keywords), "described")
-    relisted = described.where("not first_run").join(complete, "company", "left_semi")
+    relisted = lookup(described.where("not first_run"), complete, ["company"], ["posting_id"], "left_semi")
     sources = materialize(intake.repost_sources(relisted, state.queue, postings, as_of), "reposts")
     entries = intake.new_entries(described, sources, state.queue, as_of)
     floods = boards.flooded(hits, described, described.where("first_run"))
@@ -79,7 +80,7 @@ def daily_run(run: RunInput, state: State, rules: FilterRules, keywords: Sequenc
         recalled = intake.new_entries(read, sources.limit(0), state.queue, as_of)
         added = added.unionByName(recalled.select(
             "*", *[(F.lit("recall") if c == "origin" else F.lit(None).cast(queue.schema[c].dataType)).alias(c) for c in extra]))
-    candidates = intake.alert_candidates(entries.join(order.drop("board_type"), "company"), floods)
+    candidates = intake.alert_candidates(lookup(entries, order.drop("board_type"), ["company"], ["posting_id"], "inner"), floods)
     alerts = intake.select_alerts(candidates)
 
     read_boards = run.fetched.where("err is null").join(order, "company").select("company", "complete", "board_type", "n_jobs")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from postingworks.functions import fixed_values as fv
+from postingworks.functions.scale import lookup
 from postingworks.functions.text import description_key
 from postingworks.operators.views import queue_order
 
@@ -64,7 +65,8 @@ def append_log(rows: DataFrame, path: str, day: str = "on") -> None:
 def refresh_partly(old: DataFrame, new: DataFrame, unverified: DataFrame) -> DataFrame:
     """Rows of boards not cleanly read this run stay, all others are replaced."""
     keep = unverified.select("company").distinct()
-    return old.join(keep, "company", "left_semi").unionByName(new.join(keep, "company", "left_anti"))
+    return lookup(old, keep, ["company"], ["posting_id"], "left_semi").unionByName(
+        lookup(new, keep, ["company"], ["posting_id"], "left_anti"))
 
 
 def shown(queue: DataFrame) -> DataFrame:

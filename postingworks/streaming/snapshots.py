@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from postingworks.functions.scale import lookup
 from postingworks.operators.lifecycle import update_liveness
 from postingworks.sources.sinks import current_version, read_table, replace_tables
 
@@ -32,7 +33,7 @@ def _apply_run(spark: SparkSession, folder: str, schema: StructType, rows: DataF
     as_of = F.lit(day).cast("date")
     today = rows.where(F.col("run_date") == as_of)
     late = clock.where(F.col("last_run") >= as_of).select("company")
-    fresh = today.join(late, "company", "left_anti")
+    fresh = lookup(today, late, ["company"], ["posting_id"], "left_anti")
     # a board's marker row carries its completeness and type; posting rows carry an id
     boards = fresh.groupBy("company").agg(
         F.coalesce(F.bool_and("complete"), F.lit(True)).alias("complete"), F.max("board_type").alias("board_type"),
