@@ -185,6 +185,12 @@ def renewal_candidates(spark, sf):
     return out.select("id", C("listed").cast("string").alias("listed"))
 
 
+@query("renewals_to_check", f"SELECT q.id {_RENEW} ORDER BY q.ord LIMIT 100")
+def renewals_to_check(spark, sf):
+    found = lifecycle.renewal_candidates(fixture(spark, sf, "queue"), fixture(spark, sf, "listing"), fixture(spark, sf, "boards"))
+    return lifecycle.renewals_to_check(found).select("id")
+
+
 @query("renewals_applied", f"""
 WITH d AS (SELECT q.id, listed AS d {_RENEW})
 SELECT q.id, CAST(coalesce(d.d, posted) AS STRING) AS posted, CASE WHEN d.d IS NULL THEN posted_source ELSE 'exact' END AS posted_source,
@@ -223,6 +229,25 @@ def enrichment_due(spark, sf):
     return out.select("id", "enrich_attempts", C("enrich_next").cast("string").alias("enrich_next"))
 
 
+@query("enrichment_applied", f"""
+WITH t AS (SELECT id FROM queue WHERE closed_on IS NULL AND enrich_attempts < 5 AND (enrich_next IS NULL OR enrich_next <= {DAY})
+  AND (description_status = 'failed' OR (company IN ('1-URGENT', '3-MEDIUM') AND posted IS NULL)) ORDER BY ord LIMIT 40),
+r AS (SELECT q.*, t.id IS NOT NULL AS tried, t.id IS NOT NULL AND o_custkey % 2 = 0 AS good FROM queue q LEFT JOIN t ON q.id = t.id)
+SELECT id, CASE WHEN good AND description_status = 'failed' THEN 'ok' ELSE description_status END AS description_status,
+  CASE WHEN good AND description_status = 'failed' THEN 'Blocked' ELSE sponsorship_status END AS sponsorship_status,
+  CASE WHEN good AND description_status = 'failed' AND state = 'new' THEN 'auto_blocked' ELSE state END AS state,
+  CAST(CASE WHEN good AND posted IS NULL THEN first_seen ELSE posted END AS STRING) AS posted,
+  enrich_attempts + CASE WHEN tried THEN 1 ELSE 0 END AS enrich_attempts FROM r""")
+def enrichment_applied(spark, sf):
+    queue = fixture(spark, sf, "queue").withColumn("kw_hits", L(None).cast("array<string>"))
+    due = lifecycle.enrichment_due(queue, fixture(spark, sf, "boards"), as_of())
+    reread = due.select("id", (C("o_custkey") % 2 == 0).alias("ok"), "location", C("first_seen").alias("posted"), L("exact").alias("posted_source"),
+                        L("Blocked").alias("sponsorship_status"), L("e").alias("sponsorship_evidence"), L(3).alias("experience"), L("e").alias("experience_evidence"),
+                        L("Unclear").alias("salary"), L("").alias("salary_evidence"), "kw_hits", L(True).alias("has_text"))
+    out = lifecycle.apply_enriched(queue, reread, as_of())
+    return text_dates(out.select("id", "description_status", "sponsorship_status", "state", "posted", "enrich_attempts"), "posted")
+
+
 _STALE = f"""state IN ('new', 'opt_only', 'auto_blocked') AND coalesce(posted < {DAY} - 60, FALSE) AND NOT (coalesce(last_seen_live = {DAY}, FALSE) AND closed_on IS NULL)
   AND company NOT IN ('3-MEDIUM', '5-LOW') AND (closed_on IS NOT NULL OR company = '4-NOT SPECIFIED')"""
 

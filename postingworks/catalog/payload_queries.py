@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postingworks import schemas
-from postingworks.catalog.fixtures import AS_OF, fixture, select, table
+from postingworks.catalog.fixtures import AS_OF, fixture, select, table, wide_table
 from postingworks.catalog.filter_queries import RULES
 from postingworks.catalog.registry import query
 from postingworks.functions import text as tx
 from postingworks.operators import dedup, identity, lifecycle
 from postingworks.plans import daily_run as plan
 from postingworks.session import run_folder
-from postingworks.sources import files, html_boards, json_boards, jsonld, sinks, xml_boards
+from postingworks.sources import details, files, html_boards, json_boards, jsonld, sinks, xml_boards
 from postingworks.streaming import snapshots
 
 C, L = F.col, F.lit
@@ -156,11 +156,67 @@ def merged_details(spark, sf):
     listed = q.select("company", "posting_id", F.when(k % 2 == 0, "from list").alias("description"), "posted", "posted_source", L("2 Locations (Ohio)").alias("location"))
     info = F.struct(F.struct(L("from <b>detail</b>").alias("jobDescription"), L("1999-05-23").alias("startDate"), L("Ohio").alias("location"),
                              F.array(L("Iowa"), L("Ohio")).alias("additionalLocations")).alias("jobPostingInfo"))
-    payloads = q.where(k % 3 < 2).select("company", "posting_id", F.when(k % 3 == 0, F.to_json(info)).otherwise("gateway error").alias("payload"))
-    out = jsonld.merge_details(listed, jsonld.start_date_details(payloads, as_of()))
+    payloads = q.where(k % 3 < 2).select("company", L("workday").alias("board_type"), "posting_id", L(None).cast("date").alias("sitemap_date"),
+                                         F.when(k % 3 == 0, F.to_json(info)).otherwise("gateway error").alias("payload"))
+    out = jsonld.merge_details(listed, details.normalize_details(payloads, as_of(), ("workday",)))
     return out.select("posting_id", "description", C("posted").cast("string").alias("posted"), "posted_source", "location", C("desc_failed").cast("int").alias("desc_failed"))
 
 
+DETAIL_TYPES = ("greenhouse", "smartrecruiters", "icims", "avature", "ukg", "talentsoft", "bamboohr", "paylocity")
+
+
+@query("detail_payloads", f"""
+WITH p AS (SELECT p_partkey, p_name, p_size % 8 AS k, DATE '1999-01-01' + CAST(p_size AS INT) AS d FROM part)
+SELECT CAST(p_partkey AS STRING) AS posting_id, p_name || ' & co' || CASE k WHEN 0 THEN ' Compensation: USD 90,000 - 120,000 per year.' WHEN 1 THEN ' second'
+    WHEN 3 THEN ' Compensation: EUR 50,000 per year.' WHEN 4 THEN ' Pay range: $90,000 to $120,000' ELSE '' END AS detail_description,
+  CASE k WHEN 2 THEN CASE WHEN p_partkey % 2 = 0 THEN CAST(d AS STRING) ELSE '1999-05-05' END WHEN 3 THEN CAST(d AS STRING) WHEN 5 THEN CAST(d AS STRING)
+    WHEN 6 THEN CAST(d AS STRING) WHEN 7 THEN CAST(d AS STRING) END AS detail_posted,
+  CASE k WHEN 2 THEN CASE WHEN p_partkey % 2 = 0 THEN 'exact' ELSE 'approx' END WHEN 3 THEN 'exact' WHEN 5 THEN 'approx' WHEN 6 THEN 'exact' WHEN 7 THEN 'exact' END AS detail_source FROM p""")
+def detail_payloads(spark, sf):
+    part = wide_table(spark, sf, "part").withColumn("d", F.date_add(L("1999-01-01").cast("date"), C("p_size")))
+    k, name = C("p_size") % 8, F.concat("p_name", L(" &amp; co"))
+    iso = C("d").cast("string")
+
+    def js(**fields):
+        return F.struct(*[v.alias(n) for n, v in fields.items()])
+
+    def ld(**fields):
+        return F.concat(L('<script type="application/ld+json">'), F.to_json(js(**{"@type": L("JobPosting"), **fields})), L("</script>"))
+
+    stamp = F.concat(iso, F.when(C("p_partkey") % 2 == 0, "T04:00:00.000Z").otherwise("T04:13:59Z"))
+    shapes = [
+        F.to_json(js(content=F.concat(L("&lt;p&gt;"), "p_name", L(" &amp;amp; co&lt;/p&gt;")), pay_input_ranges=F.array(js(min_cents=L(9000000), max_cents=L(12000000), currency_type=L("USD"))))),
+        F.to_json(js(jobAd=js(sections=js(a=js(text=name), b=js(text=L("<b>second</b>")))))),
+        F.concat(L("<html>"), ld(description=name, datePosted=stamp), L("</html>")),
+        F.concat(L("<html><header>menu</header><p>"), name, L("</p>"), ld(datePosted=iso, baseSalary=js(currency=L("EUR"), value=js(value=L(50000), unitText=L("YEAR")))),
+                 L("</html>")),
+        F.concat(L("<script>var x = new CandidateOpportunityDetail("), F.to_json(js(Description=F.concat(L("<p>"), name, L("</p>")), PayRangeVisible=L(True),
+                                                                                   PayRange=js(PayRangeMinimum=L(90000), PayRangeMaximum=L(120000)))), L(");</script>")),
+        F.concat(L('<div class="ts-offer-page__body">'), name, L('</div><script>'), L('ts-offer-page__maj-date"><h3>Updated</h3> '), F.date_format("d", "dd/MM/yyyy"), L("</script>")),
+        F.to_json(js(result=js(jobOpening=js(description=name, datePosted=iso)))),
+        F.concat(L("<html>"), ld(description=name, datePosted=iso), L("</html>")),
+    ]
+    payload, kind = shapes[0], L(DETAIL_TYPES[0])
+    for i in range(1, len(shapes)):
+        payload, kind = F.when(k == i, shapes[i]).otherwise(payload), F.when(k == i, DETAIL_TYPES[i]).otherwise(kind)
+    rows = part.select(C("p_brand").alias("company"), kind.alias("board_type"), C("p_partkey").cast("string").alias("posting_id"), payload.alias("payload"),
+                       L("1999-05-05").cast("date").alias("sitemap_date"))
+    return details.normalize_details(rows, as_of(), DETAIL_TYPES).select("posting_id", "detail_description", C("detail_posted").cast("string").alias("detail_posted"), "detail_source")
+
+
+@query("exported_queue", """
+SELECT id, row_number() OVER (ORDER BY coalesce(posted, first_seen) DESC, company, ord) AS place FROM queue QUALIFY place <= 100""")
+def exported_queue(spark, sf):
+    path = run_folder(spark, "export")
+    sinks.export_queue(fixture(spark, sf, "queue").withColumn("kw_hits", F.array().cast("array<string>")), path)
+    # files and lines keep the written order: the first hundred lines are the newest rows
+    lines = spark.read.text(path).select(C("_metadata.file_name").alias("file"), C("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"),
+                                         F.get_json_object("value", "$.id").alias("id"))
+    from pyspark.sql import Window
+    top = lines.orderBy("file", "at", "n").limit(100)
+    return top.select("id", F.row_number().over(Window.orderBy("file", "at", "n")).cast("bigint").alias("place"))
+
+
 @query("payload_counts", """
 SELECT l_orderkey, l_linenumber, CAST(CASE l_linenumber % 4 WHEN 0 THEN l_quantity WHEN 3 THEN 0 ELSE l_linenumber END AS INT) AS n FROM lineitem""")
 def payload_counts(spark, sf):

@@ -40,11 +40,6 @@ def matches(text: Column, pattern: str, flags: str = FLAGS) -> Column:
     return text.rlike(flags + pattern)
 
 
-def extract(text: Column, pattern: str, group: int = 0, flags: str = FLAGS) -> Column:
-    """Text of a group of the first match, null when there is none."""
-    return F.nullif(F.regexp_extract(text, flags + pattern, group), F.lit(""))
-
-
 def _tagged(text: Column, pattern: str, groups: int, flags: str) -> Column:
     marks = "".join(f"${g}{GROUP}" for g in range(1, groups + 1))
     return F.regexp_replace(text, flags + "(?:" + pattern + ")", f"{OPEN}{marks}$0{CLOSE}")

@@ -171,10 +171,6 @@ def entry_id(company: Column, posting_id: Column) -> Column:
     return F.concat_ws(":", company, posting_id)
 
 
-def posting_id_of(entry: Column) -> Column:
-    return F.regexp_extract(entry, r"(?s)^[^:]*:(.*)$", 1)
-
-
 def description_key(entry: Column) -> Column:
     return F.substring(F.sha1(entry), 1, 20)
 

@@ -61,10 +61,6 @@ def _included(t: Column, rules: FilterRules) -> Column:
     return t["season"] | tm.contains_any(t["text"], rules.title_include) if rules.title_include else F.lit(True)
 
 
-def title_included(title: Column, rules: FilterRules) -> Column:
-    return _title(title, lambda t: _included(t, rules))
-
-
 def title_reason(title: Column, rules: FilterRules) -> Column:
     """STRUCT<kind, term> of the rule hiding a title that has an include hit, else null."""
     every, season = _excludes(rules)

@@ -92,6 +92,11 @@ def renewal_candidates(queue: DataFrame, listing: DataFrame, boards: DataFrame)
     return lookup(rows.join(listed, POSTING).where(jump), types, ["company"], ["posting_id"], "left_semi")
 
 
+def renewals_to_check(candidates: DataFrame, cap: int = fv.REFRESH_MAX_PER_RUN) -> DataFrame:
+    """The run's share of renewal candidates, in queue order; the others come up again in later runs."""
+    return candidates.orderBy("ord", "id").limit(cap)
+
+
 def apply_renewals(queue: DataFrame, details: DataFrame) -> DataFrame:
     """Queue with renewed postings moved to the date their detail page confirms: `details(id, detail_posted, detail_source)`."""
     rows = queue.join(details, "id", "left")
@@ -150,6 +155,30 @@ def state_for(status: Column, state: Column) -> Column:
             .when((state == "new") & (status == "OPT Only"), "opt_only").otherwise(state))
 
 
+def apply_enriched(queue: DataFrame, reread: DataFrame, as_of: Column) -> DataFrame:
+    """Queue after a retry round. `reread(id, ok, location, posted, posted_source, sponsorship_status,
+    sponsorship_evidence, experience, experience_evidence, salary, salary_evidence, kw_hits, has_text)`: one row per row
+    of `enrichment_due`; every tried row counts an attempt, a readable one fills what was missing.
+    """
+    new = reread.select("id", *[F.col(c).alias(f"n_{c}") for c in reread.columns if c != "id"], F.lit(True).alias("_tried"))
+    rows = queue.join(new, "id", "left")
+    tried, ok = F.coalesce("_tried", F.lit(False)), F.coalesce("n_ok", F.lit(False))
+    facts = ok & (F.col("description_status") == "failed") & F.coalesce("n_has_text", F.lit(False))
+    dated = ok & F.col("posted").isNull() & F.col("n_posted").isNotNull()
+    read = ("sponsorship_status", "sponsorship_evidence", "experience", "experience_evidence", "salary", "salary_evidence", "kw_hits")
+    changed = {
+        **{c: F.when(facts, F.col(f"n_{c}")).otherwise(F.col(c)) for c in read},
+        "description_status": F.when(facts, "ok").otherwise(F.col("description_status")),
+        "state": F.when(facts, state_for(F.col("n_sponsorship_status"), F.col("state"))).otherwise(F.col("state")),
+        "location": F.when(ok, F.coalesce("n_location", "location")).otherwise(F.col("location")),
+        "posted": F.when(dated, F.col("n_posted")).otherwise(F.col("posted")),
+        "posted_source": F.when(dated, F.col("n_posted_source")).otherwise(F.col("posted_source")),
+        "enrich_attempts": F.when(tried, F.coalesce("enrich_attempts", F.lit(0)) + 1).otherwise(F.col("enrich_attempts")),
+        "enrich_next": F.when(tried, F.date_add(as_of, 1)).otherwise(F.col("enrich_next")),
+    }
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in queue.columns])
+
+
 def retry_alerts(queue: DataFrame, outcomes: DataFrame, budget_left: int) -> DataFrame:
     """Pending alerts after a retry round: `outcomes(id, failed_now, delivered)`.
 

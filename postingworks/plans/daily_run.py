@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postingworks import schemas
 from postingworks.functions import fixed_values as fv
 from postingworks.functions.scale import lookup
 from postingworks.operators import anchors, boards, dedup, health, intake, lifecycle
 from postingworks.operators.filters import FilterRules, drop_rejected_locations, hidden_by_title, matching, rescue_multi_site
 from postingworks.session import materialize
 from postingworks.sources.jsonld import merge_details
-from postingworks.sources.sinks import refresh_partly, replace_tables
+from postingworks.sources.sinks import read_table, refresh_partly, replace_tables
 
 
 @dataclass
@@ -109,6 +110,13 @@ def save(state: State, folder: str) -> str:
                            "filtered": state.filtered, "freshness": state.freshness}, folder)
 
 
+def load(spark: SparkSession, folder: str) -> State:
+    """The saved state; empty tables before the first run."""
+    return State(read_table(spark, folder, "queue", schemas.QUEUE), read_table(spark, folder, "seen", schemas.SEEN),
+                 read_table(spark, folder, "seeded", schemas.SEEDED), read_table(spark, folder, "tombstones", schemas.TOMBSTONES),
+                 read_table(spark, folder, "filtered", schemas.FILTERED), read_table(spark, folder, "freshness", schemas.FRESHNESS))
+
+
 def alert_overflow(candidates: DataFrame, cap: int = fv.ALERT_CAP_PER_RUN) -> DataFrame:
     """One row `n`: alerts over the run's budget."""
     return candidates.agg(F.greatest(F.count(F.lit(1)) - F.lit(cap), F.lit(0)).alias("n"))

@@ -1,11 +1,5 @@
 """Column sets of the tables that pass between jobs."""
 
-POSTING = ("company string, board_type string, posting_id string, title string, location string, url string, posted date, "
-           "posted_source string, site string, description string, ord bigint")
-
-RAW_PAGES = ("company string, board_type string, endpoint map<string,string>, site string, term string, page_no int, "
-             "offset bigint, reported_total bigint, payload string")
-
 QUEUE = ("id string, company string, posting_id string, role string, location string, link string, posted date, "
          "posted_source string, posted_reverified boolean, description_status string, site string, first_seen date, "
          "sponsorship_status string, sponsorship_evidence string, experience int, experience_evidence string, "
@@ -15,15 +9,9 @@ QUEUE = ("id string, company string, posting_id string, role string, location st
          "ord bigint, alert_pending boolean, alert_attempts int, enrich_attempts int, enrich_next date, "
          "posted_before_refresh date, posted_est boolean, origin string")
 
-COMPANIES = "ord int, company string, board_type string, endpoint map<string,string>, sites array<string>"
 SEEN = "company string, posting_id string"
 SEEDED = "company string"
 TOMBSTONES = "id string, reason string, on date"
 FILTERED = ("company string, posting_id string, title string, location string, url string, rule_kind string, "
             "rule_term string, ord bigint")
-FILTERED_TOTALS = "company string, n bigint"
 FRESHNESS = "company string, n bigint, sig string, checked date, changed date"
-FETCH_TIMES = "company string, secs double"
-HISTORY = "company string, last_success timestamp, last_fetch_ok timestamp"
-CACHE = ("id string, ord bigint, status string, salary string, salary_evidence string, experience int, "
-         "experience_evidence string")

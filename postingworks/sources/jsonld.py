@@ -97,18 +97,3 @@ def merge_details(listed: DataFrame, details: DataFrame) -> DataFrame:
     }
     return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in listed.columns],
                        (~F.coalesce("ok", F.lit(True))).alias("desc_failed"))
-
-
-def start_date_details(details: DataFrame, as_of: Column) -> DataFrame:
-    """Detail payloads of the relative-date type: full site list, text, and the start date or its relative fallback."""
-    tree = F.try_parse_json("payload")
-    node = F.try_variant_get(tree, "$.jobPostingInfo", "variant")
-    staged = details.withColumn("_n", node)
-    n = F.col("_n")
-    more = F.coalesce(F.try_variant_get(n, "$.additionalLocations", "array<string>"), F.array().cast("array<string>"))
-    dated = dt.start_date_or_age(_get(n, "startDate"), _get(n, "postedOn"), as_of)
-    from postingworks.functions.text import distinct_sites
-    return staged.select("company", "posting_id", strip_html(_get(n, "jobDescription")).alias("detail_description"),
-                         dated["posted"].alias("detail_posted"), dated["posted_source"].alias("detail_source"),
-                         distinct_sites(F.concat(F.array(_get(n, "location")), more)).alias("detail_location"),
-                         n.isNotNull().alias("ok"))

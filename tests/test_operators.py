@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postingworks.functions.scale import lookup, numbered
 from postingworks.operators import anchors, boards, identity, intake, lifecycle
-from postingworks.operators.filters import FilterRules, UnlessRule, location_rule, title_passes, title_reason
+from postingworks.operators.filters import FilterRules, UnlessRule, location_rule, rules_from_tables, title_passes, title_reason
 from postingworks.operators.views import search
 
 DAY = datetime.date(2026, 11, 20)
@@ -205,3 +205,31 @@ def test_alias_groups_chain_in_order(spark):
     companies = spark.createDataFrame([("Alpha",)], "name string")
     groups = spark.createDataFrame([(0, "Gamma"), (0, "Delta"), (1, "Alpha"), (1, "Beta"), (2, "Beta"), (2, "Gamma"), (3, "Delta"), (3, "Omega")], "group_no int, name string")
     assert {r.key for r in identity.covered_keys(companies, groups).collect()} == {"alpha", "beta", "gamma"}
+
+
+def test_rules_from_term_rows():
+    rows = [("title_include", "risk"), ("title_include", ""), ("title_exclude", "intern"), ("title_include", "risk"), ("title_include", "alm")]
+    rules = rules_from_tables(rows)
+    assert rules.title_include == ("risk", "alm") and rules.title_exclude == ("intern",) and rules.locations_exclude == ()
+    assert rules.as_json() == rules_from_tables(rows[:5]).as_json() != rules_from_tables(rows[:3]).as_json()
+
+
+def test_board_name_check(spark):
+    from postingworks.sources.json_boards import name_fits
+    df = spark.createDataFrame([("Acme, Inc.", "ACME"), ("Other", "Acme"), ("", "Acme")], "board string, company string")
+    assert [r.ok for r in df.select(name_fits(F.col("board"), F.col("company")).alias("ok")).collect()] == [True, False, False]
+
+
+def test_one_hot_key_is_split(spark):
+    """A board with most rows is spread by a lookup and ranked in bounded blocks."""
+    df = spark.range(4000).select(F.when(F.col("id") % 3 < 2, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("company"), F.col("id").alias("ord"))
+    facts = df.select("company").distinct().withColumn("v", F.lit(1))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = lookup(df, facts, ["company"], ["ord"]).where("company = 'hot'").withColumn("p", F.spark_partition_id())
+        sizes = [r["count"] for r in joined.groupBy("p").count().collect()]
+        assert sum(sizes) == 2667 and len(sizes) == 4 and max(sizes) < 0.6 * sum(sizes)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
