@@ -96,7 +96,9 @@ def facets(spark, sf):
     return sponsorship_facets(rows).select("o_orderkey", "future_sponsorship", "citizenship", "citizenship_quote")
 
 
-@query("document_facts")
+@query("document_facts", """
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'OPT Only' ELSE 'Unclear' END AS sponsorship_status, 5 AS experience,
+  '$' || 60 + doc_id % 90 || ',000 - $' || 170 + doc_id % 90 || ',000' AS salary FROM documents""")
 def document_facts(spark, sf):
     """All three readers over whole prose documents with one composed closing line."""
     text = F.concat(C("text"), L("\n"), F.when(C("doc_id") % 3 == 0, "We do not sponsor visas.").otherwise("Open to all."),

@@ -88,7 +88,8 @@ def daily_run(run: RunInput, state: State, rules: FilterRules, keywords: Sequenc
     after = lifecycle.update_liveness(queue.unionByName(added.select(*queue.columns)), postings, read_boards, as_of, run.verdicts)
     after = materialize(after, "live")
     dated = anchors.fill_dates(after.drop("event"), run.companies.where("endpoint['date_from_id'] = 'true'"))
-    marked = lifecycle.mark_evergreen(dated)
+    # read by the kept and the pruned half and by the counters
+    marked = materialize(lifecycle.mark_evergreen(dated), "marked")
     verified = lifecycle.verified_companies(run.fetched)
     kept, pruned = lifecycle.split_stale(marked, verified, run.companies, as_of)
     kept = drop_rejected_locations(kept, rules)

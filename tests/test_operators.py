@@ -233,3 +233,10 @@ def test_one_hot_key_is_split(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_fetch_times_fold_in_file_order(spark):
+    known = spark.createDataFrame([("a", 10.0), ("c", 3.0)], "company string, secs double")
+    measured = spark.createDataFrame([("a", "s2", 1.0), ("a", "s1", 20.0), ("b", "s1", 4.126), ("b", "s2", None)], "company string, file string, secs double")
+    got = {r.company: r.secs for r in boards.update_fetch_times(known, measured).collect()}
+    assert got == {"a": 8.0, "b": 4.13, "c": 3.0}
