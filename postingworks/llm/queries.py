@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postingworks.llm import decontamination, fingerprints
+from postingworks.llm import decontamination, fingerprints, pii
 from postingworks.llm.common import read
 from postingworks.llm.registry import CHECKS, QUERIES, query
 
@@ -17,3 +17,9 @@ def op9(spark, sf_dir):
 @query("op10_decontamination", decontamination.SQL)
 def op10(spark, sf_dir):
     return decontamination.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op8_personal_data")
+def op8(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digest(docs, pii.fit(docs))
