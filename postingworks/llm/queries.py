@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postingworks.llm import decontamination, fingerprints, pii
+from postingworks.llm import decontamination, fingerprints, licenses, pii
 from postingworks.llm.common import read
 from postingworks.llm.registry import CHECKS, QUERIES, query
 
@@ -23,3 +23,8 @@ def op10(spark, sf_dir):
 def op8(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.digest(docs, pii.fit(docs))
+
+
+@query("op4_licenses", licenses.SQL)
+def op4(spark, sf_dir):
+    return licenses.digest(read(spark, sf_dir, "documents"), licenses.templates(spark))
