@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from postingworks.llm import decontamination, fingerprints, licenses, pii
+from postingworks.llm import decontamination, fingerprints, licenses, packing, pii, token_files
 from postingworks.llm.common import read
 from postingworks.llm.registry import CHECKS, QUERIES, query
+from postingworks.llm.tokens import tokenizer_path
 
 __all__ = ["CHECKS", "QUERIES"]
 
@@ -28,3 +29,13 @@ def op8(spark, sf_dir):
 @query("op4_licenses", licenses.SQL)
 def op4(spark, sf_dir):
     return licenses.digest(read(spark, sf_dir, "documents"), licenses.templates(spark))
+
+
+@query("op1_packing")
+def op1(spark, sf_dir):
+    return packing.digest(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op7_token_files")
+def op7(spark, sf_dir):
+    return token_files.digest(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))

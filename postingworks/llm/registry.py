@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,11 +15,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers look for the package where the driver found it, as spark.executorEnv.PYTHONPATH would."""
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    return spark
+
+
 def query(name: str, check: str | None = None):
     def register(fn):
         @functools.wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(configure(spark), sf_dir)
+            return fn(configure(importable(spark)), sf_dir)
 
         QUERIES[name] = run
         if check:
