@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postingworks.llm import decontamination, fingerprints, licenses, packing, pii, token_files
+from postingworks.llm import decontamination, fingerprints, language, licenses, minhash, packing, pii, token_files
 from postingworks.llm.common import read
 from postingworks.llm.registry import CHECKS, QUERIES, query
 from postingworks.llm.tokens import tokenizer_path
@@ -39,3 +39,13 @@ def op1(spark, sf_dir):
 @query("op7_token_files")
 def op7(spark, sf_dir):
     return token_files.digest(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query("op2_near_duplicates")
+def op2(spark, sf_dir):
+    return minhash.digest(read(spark, sf_dir, "documents"))
+
+
+@query("op6_language")
+def op6(spark, sf_dir):
+    return language.digest(read(spark, sf_dir, "documents"))
