@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from postingworks.llm import decontamination, fingerprints, language, licenses, minhash, packing, pii, token_files
+from postingworks.llm import (
+    debruijn,
+    decontamination,
+    fingerprints,
+    language,
+    licenses,
+    minhash,
+    packing,
+    pii,
+    suffixes,
+    token_files,
+)
 from postingworks.llm.common import read
 from postingworks.llm.registry import CHECKS, QUERIES, query
 from postingworks.llm.tokens import tokenizer_path
@@ -49,3 +60,13 @@ def op2(spark, sf_dir):
 @query("op6_language")
 def op6(spark, sf_dir):
     return language.digest(read(spark, sf_dir, "documents"))
+
+
+@query("op3_substrings")
+def op3(spark, sf_dir):
+    return debruijn.digest(read(spark, sf_dir, "documents"))
+
+
+@query("op5_suffixes")
+def op5(spark, sf_dir):
+    return suffixes.digest(read(spark, sf_dir, "documents"))

@@ -15,8 +15,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
 
-def importable(spark: SparkSession) -> SparkSession:
-    """Lets Python workers look for the package where the driver found it, as spark.executorEnv.PYTHONPATH would."""
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with Arrow batches bounded in bytes, so long texts don't add up in a worker, and with Python workers
+    that look for the package where the driver found it, as spark.executorEnv.PYTHONPATH would say."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment
     paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -29,7 +31,7 @@ def query(name: str, check: str | None = None):
     def register(fn):
         @functools.wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(configure(importable(spark)), sf_dir)
+            return fn(configure(prepared(spark)), sf_dir)
 
         QUERIES[name] = run
         if check:
