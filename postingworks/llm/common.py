@@ -25,26 +25,35 @@ def hex_text(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def prefix_sums(values: Column, block: int = 64) -> Column:
-    """The sum of all earlier values, for each place of an array of integers.
+def earlier(values: Column, zero: Column, merge, block: int = 64) -> Column:
+    """For each place of an array, its earlier values merged by an associative `merge` with the neutral value `zero`.
 
-    Sums are built per block of places, so the work stays near linear in the array's length.
+    Values are merged per block of places first, so the work stays near linear in the array's length.
     """
+    kind = "array<bigint>"
+
     def with_values(v: Column) -> Column:
         blocks = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int"))
-        add = lambda a, x: a + x
-        zero = F.lit(0).cast("bigint")
-        totals = F.transform(blocks, lambda b: F.aggregate(F.slice(v, b * block + 1, block), zero, add))
+        totals = F.transform(blocks, lambda b: F.aggregate(F.slice(v, b * block + 1, block), zero, merge))
 
         def with_totals(t: Column) -> Column:
-            before = F.transform(blocks, lambda b: F.aggregate(F.slice(t, F.lit(1), b), zero, add))
-            return bound(before, lambda p: F.transform(v, lambda x, i: F.get(p, F.floor(i / block).cast("int")) + F.aggregate(
-                F.slice(v, F.floor(i / block).cast("int") * block + 1, i % block), zero, add)))
+            before = F.transform(blocks, lambda b: F.aggregate(F.slice(t, F.lit(1), b), zero, merge))
+            return bound(before, lambda p: F.transform(v, lambda x, i: merge(F.get(p, F.floor(i / block).cast("int")), F.aggregate(
+                F.slice(v, F.floor(i / block).cast("int") * block + 1, i % block), zero, merge))))
 
         return bound(totals, with_totals)
 
-    return F.when(F.size(values) > 0, bound(values.cast("array<bigint>"), with_values)).otherwise(
-        F.array().cast("array<bigint>"))
+    return F.when(F.size(values) > 0, bound(values.cast(kind), with_values)).otherwise(F.array().cast(kind))
+
+
+def prefix_sums(values: Column) -> Column:
+    """The sum of all earlier values, for each place of an array of whole numbers."""
+    return earlier(values, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
+def prefix_maxima(values: Column) -> Column:
+    """The greatest of all earlier values, 0 at least, for each place of an array of whole numbers."""
+    return earlier(values, F.lit(0).cast("bigint"), lambda a, x: F.greatest(a, x))
 
 
 def drop_unused(spark: SparkSession) -> None:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postingworks.llm.common import bound, hex_text, prefix_sums
+from postingworks.llm.common import bound, hex_text, prefix_maxima, prefix_sums
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -57,7 +57,8 @@ CONTEXT = 24
 
 
 def matches(text: Column, pattern: str, guard: Column) -> Column:
-    """Leftmost non-overlapping matches as [(start, end, value)], in code points; `guard` false means there are none.
+    """Leftmost non-overlapping matches as [(start, end, value, before, after)], in code points; `guard` false means there
+    are none. `before` and `after` are the text next to a match, up to the matches around it.
 
     Matches are set off by a character no pattern knows; a text's own such characters are replaced by their neighbour.
     """
@@ -66,10 +67,12 @@ def matches(text: Column, pattern: str, guard: Column) -> Column:
     def placed(parts: Column) -> Column:
         starts = prefix_sums(F.transform(parts, lambda p: F.length(p)))
         spans = bound(starts, lambda s: F.transform(parts, lambda p, i: F.struct(
-            F.get(s, i).cast("int").alias("start"), (F.get(s, i).cast("int") + F.length(p)).alias("end"), p.alias("value"))))
+            F.get(s, i).cast("int").alias("start"), (F.get(s, i).cast("int") + F.length(p)).alias("end"), p.alias("value"),
+            F.right(F.coalesce(F.get(parts, i - 1), F.lit("")), F.lit(CONTEXT)).alias("before"),
+            F.left(F.coalesce(F.get(parts, i + 1), F.lit("")), F.lit(1)).alias("after"))))
         return F.filter(spans, lambda _, i: i % 2 == 1)
 
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    none = F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>")
     return F.when(guard, bound(F.split(marked, "\x01"), placed)).otherwise(none)
 
 
@@ -113,10 +116,8 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
-def _features(family: int, text: Column, m: Column) -> Column:
-    value = m["value"]
-    before = F.substring(text, F.greatest(m["start"] - CONTEXT + 1, F.lit(1)), F.least(m["start"], F.lit(CONTEXT)))
-    after = F.substring(text, m["end"] + 1, F.lit(1))
+def _features(family: int, m: Column) -> Column:
+    value, before, after = m["value"], m["before"], m["after"]
 
     def build(digits: Column) -> Column:
         n = F.length(digits)
@@ -143,7 +144,7 @@ def candidates(text: Column, base: Column) -> Column:
     """All proposed spans as [(start, end, features, strict)]; strict: it overlaps a base span."""
     def of(family: int, name: str, pattern: str) -> Column:
         return F.transform(matches(text, pattern, text.rlike(GUARDS[name])), lambda m: F.struct(
-            m["start"].alias("start"), m["end"].alias("end"), _features(family, text, m).alias("features"),
+            m["start"].alias("start"), m["end"].alias("end"), _features(family, m).alias("features"),
             F.exists(base, lambda b: overlaps(m, b)).alias("strict")))
 
     return F.concat(*[of(i, name, pattern) for i, (name, pattern) in enumerate(GENERATORS.items())])
@@ -282,35 +283,45 @@ def find(docs: DataFrame, model: Trees, *, id_col: str = "doc_id", text_col: str
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with each stretch of overlapping spans replaced by its first span's kind in brackets."""
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] > s["start"]),
-                      F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(
-            F.concat(acc, F.array(s)))
+    def rebuilt(ordered: Column) -> Column:
+        reach = prefix_maxima(F.transform(ordered, lambda s: s["end"]))
+        chars = F.split(text, "")  # one per code point, so that every cut costs its own length only
+        return bound(chars, lambda c: bound(reach, lambda r: pieces(ordered, r, c)))
+
+    def pieces(ordered: Column, r: Column, c: Column) -> Column:
+        # a span that starts under the reach of those before it belongs to their stretch
+        heads = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: F.get(ordered, i)["start"] >= F.get(r, i))
+        parts = F.transform(heads, lambda i: F.concat(
+            F.array_join(F.slice(c, F.get(r, i).cast("int") + 1, F.get(ordered, i)["start"] - F.get(r, i).cast("int")), ""),
+            F.lit("["), F.upper(F.get(ordered, i)["kind"]), F.lit("]")))
+        last = F.size(ordered) - 1
+        end = F.greatest(F.get(r, last).cast("int"), F.get(ordered, last)["end"])
+        return F.concat(F.array_join(parts, ""), F.array_join(F.slice(c, end + 1, F.size(c)), ""))
 
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"),
                                                                  s["kind"].alias("kind"))))
-    merged = F.aggregate(ordered, F.array().cast("array<struct<start:int,end:int,kind:string>>"), merge)
+    return F.when(F.size(spans) > 0, bound(ordered, rebuilt)).otherwise(text)
 
-    def rebuilt(m: Column) -> Column:
-        pieces = F.transform(m, lambda s, i: F.concat(
-            F.substring(text, F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(0) + 1,
-                        s["start"] - F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(0)),
-            F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        tail = F.get(m, F.size(m) - 1)["end"]
-        return F.concat(F.array_join(pieces, ""), F.substring(text, tail + 1, F.length(text) - tail))
 
-    return F.when(F.size(spans) > 0, bound(merged, rebuilt)).otherwise(text)
-
-
-def redacted(docs: DataFrame, model: Trees, *, text_col: str = "text") -> DataFrame:
-    """`docs` with all spans of the text column redacted; null texts and all other columns stay as they are."""
+def redacted(docs: DataFrame, model: Trees, *, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """`docs` with all spans of the text column redacted; null texts and all other columns stay as they are, but for
+    `length_col`, where it is named, which follows the length of changed texts.
+    """
     def clean(t: Column) -> Column:
         return bound(base_spans(t), lambda b: redact(t, F.concat(b, added_spans(t, b, model))))
 
-    text = F.when(F.col(text_col).isNull(), F.lit(None)).otherwise(bound(F.coalesce(F.col(text_col), F.lit("")), clean))
-    return docs.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    held = docs.select(F.struct("*").alias("_doc"), F.when(F.col(text_col).isNotNull(), bound(
+        F.coalesce(F.col(text_col), F.lit("")), clean)).alias("_text"))
+
+    def column(c: str) -> Column:
+        if c == text_col:
+            return F.col("_text").alias(c)
+        if c == length_col:
+            changed = ~F.col("_text").eqNullSafe(F.col("_doc")[text_col])
+            return F.when(changed, F.length("_text")).otherwise(F.col("_doc")[c]).cast(docs.schema[c].dataType).alias(c)
+        return F.col("_doc")[c].alias(c)
+
+    return held.select(*[column(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame, model: Trees) -> DataFrame:
