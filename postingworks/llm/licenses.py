@@ -124,7 +124,7 @@ def scan(docs: DataFrame, table: DataFrame, *, threshold: float = THRESHOLD, id_
                     & (F.col("t_size") * (2 - t) >= F.col("size") * t), "left")
     met = met.where(F.col("license").isNotNull() | (F.col("segment") == 0))
     shared = met.groupBy("id", "text_hash", "segment", "license").agg(
-        F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.max("t_size").alias("t_size"))
+        F.size(F.collect_set("gram")).alias("n"), F.max("size").alias("size"), F.max("t_size").alias("t_size"))
     scored = shared.withColumn("dice", F.when(F.col("license").isNotNull(), 2.0 * F.col("n") / (F.col("size") + F.col("t_size"))))
     good = scored.where((F.col("segment") == 0) | (F.col("dice") >= t))
     best = good.groupBy("id", "text_hash", "segment").agg(

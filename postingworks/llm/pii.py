@@ -52,7 +52,8 @@ CUES = (
     r"(?:tel|phone|call|fax|mobile|cell)\W*$", r"(?:mail|contact|write)\W*$", r"(?:card|visa|credit|account|iban)\W*$",
     r"(?:ip|host|server|address)\W*$", r"(?:version|isbn|no|order|page|v)\W*$",
 )
-FEATURES = ("family", "digits", "separators", "groups", "plus", "cue", "luhn", "octets", "domain", "joined")
+# what only tells strict spans apart, as the sign before a number does, is left out, or the trees would learn just that
+FEATURES = ("family", "digits", "separators", "groups", "cue", "luhn", "octets", "domain", "joined")
 CONTEXT = 24
 
 
@@ -127,11 +128,11 @@ def _features(family: int, m: Column) -> Column:
         cue = F.lit(0)
         for i, pattern in enumerate(CUES, 1):
             cue = F.when(F.lower(before).rlike(pattern), i).otherwise(cue)
-        groups = F.least(F.size(F.filter(F.split(value, "[^0-9]+"), lambda g: g != "")), F.lit(5))
+        groups = F.least(F.size(F.filter(F.split(value, "[^0-9]+"), lambda g: g != "")), F.lit(3))
         domain = F.when(value.rlike(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"), 1).when(
             value.rlike(r"[(\[{]"), 2).otherwise(0)
         parts = {"family": F.lit(family), "digits": level, "separators": others, "groups": groups,
-                 "plus": value.startswith("+").cast("int"), "cue": cue,
+                 "cue": cue,
                  "luhn": F.when(n.between(12, 19), luhn(digits).cast("int")).otherwise(0),
                  "octets": valid("ip", value).cast("int"), "domain": domain,
                  "joined": after.rlike("[0-9A-Za-z]").cast("int")}

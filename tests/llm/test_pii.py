@@ -1,0 +1,136 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from postingworks.llm import pii
+from postingworks.llm.queries import QUERIES
+from tests.llm.conftest import by_id
+
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+         "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        c = int(c)
+        total += c if i % 2 == 0 else c * 2 - 9 if c > 4 else c * 2
+    return total % 10 == 0
+
+
+def plain(text):
+    out = []
+    for kind, pattern in PLAIN.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")),
+                    "card": 16 <= len(digits) <= 19 and luhn(digits), "phone": 8 <= len(digits) <= 15}[kind]
+            if good:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def plain_redaction(text):
+    spans, out, at, i = sorted((a, e, k) for k, a, e in plain(text)), [], 0, 0
+    while i < len(spans):
+        a, e, kind = spans[i]
+        i += 1
+        while i < len(spans) and spans[i][0] < e:
+            e = max(e, spans[i][1])
+            i += 1
+        out.append(text[at:a] + f"[{kind.upper()}]")
+        at = e
+    return "".join(out) + text[at:]
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(3)
+    out = ["".join(rng.choice("a1 2.@-+0()%_é9\x01😀:") for _ in range(rng.randint(0, 60))) for _ in range(600)]
+    out += [".".join(str(rng.choice([1, 255, 256, 0, 7, 300, 25])) for _ in range(rng.randint(3, 9))) for _ in range(100)]
+    out += ["".join(rng.choice("0123456789- ") for _ in range(rng.randint(14, 26))) for _ in range(800)]
+    return out + ["a@b.c%d@e.f", "a@b.c@d.e", "x@y.z.@q.r", None, "", "ü 4539578763621486 x", "+1 4539578763621486 99",
+                  "x 4539578763621486 +1 2222 3333😀", "1.2.3.4 a@b.c é 5.6.7.8", " ".join(["1.2.3.4 a@b.co"] * 300)]
+
+
+def test_base_spans_equal_the_plain_patterns(documents, texts):
+    docs = documents(texts, clashing=True)
+    got = {r.doc_id: [tuple(s) for s in r.b] for r in docs.select("doc_id", pii.base_spans(F.coalesce("text", F.lit(""))).alias("b")).collect()}
+    assert [got[i] for i in range(len(texts))] == [plain(t) for t in texts]
+
+
+def test_redaction_equals_the_plain_one(documents, texts):
+    docs = documents(texts, clashing=True)
+    clean = pii.redacted(docs, pii.Trees(), length_col="n_chars")
+    assert clean.columns == docs.columns
+    got = by_id(clean)
+    for i, t in enumerate(texts):
+        assert got[i].text == (None if t is None else plain_redaction(t))
+        assert got[i].n_chars == (None if t is None else len(plain_redaction(t)))
+
+
+def test_very_long_texts_neither_hang_nor_overflow(documents):
+    texts = ["a." * 50_000 + "@b.c", "1" * 100_000, "a@" + "b." * 50_000 + "c", "+1" + " " * 100_000, "9 " * 60_000, "a" * 200_000]
+    docs = documents(texts)
+    got = {r.doc_id: [tuple(s) for s in r.b] for r in docs.select("doc_id", pii.base_spans(F.col("text")).alias("b")).collect()}
+    assert got == {0: [("email", 0, len(texts[0]))], 1: [], 2: [("email", 0, len(texts[2]))], 3: [], 4: [], 5: []}
+
+
+def test_trees_learn_and_thresholds_hold():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 4, (400, len(pii.FEATURES)))
+    truth = ((x[:, 1] > 1) & (x[:, 4] < 3)).astype(float)
+    total = np.full(400, 5.0)
+    model = pii.calibrated(pii.boost(x, truth * 5, total), x, truth * 5, total, 0.9)
+    chosen = model.scores(x) >= model.least_score
+    assert (chosen == truth.astype(bool)).mean() > 0.97
+    shares = [p for _, p in model.steps]
+    assert shares == sorted(shares)
+    assert pii.Trees().least_score is None
+
+
+def test_scores_are_the_same_in_a_plan(spark):
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 4, (50, len(pii.FEATURES)))
+    model = pii.boost(x, (x[:, 2] > 1) * 3.0, np.full(50, 3.0))
+    df = spark.createDataFrame([(i, dict(zip(pii.FEATURES, map(int, row), strict=True))) for i, row in enumerate(x)],
+                               "i int, f struct<" + ",".join(f"{f}:int" for f in pii.FEATURES) + ">")
+    got = [r.s for r in df.select("i", model.score(F.col("f")).alias("s")).orderBy("i").collect()]
+    assert np.allclose(got, model.scores(x))
+
+
+def test_the_method_adds_spans_like_those_it_knows(documents):
+    """Numbers like the strict ones but for their plus sign are found once the rest tells them from others."""
+    rng = random.Random(4)
+    number = lambda: f"({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+    texts = [f"please call +1 {number()} today" for _ in range(1500)] + [f"item {rng.randint(10**8, 10**9)} of the list" for _ in range(300)]
+    texts += [f"please call {number()} today" for _ in range(10)]
+    docs = documents(texts)
+    model = pii.fit(docs, threshold=0.9)
+    got = by_id(pii.digest(docs, model))
+    assert sum(got[i].n_added for i in range(1800, 1810)) >= 8
+    assert sum(got[i].n_added for i in range(1500, 1800)) == 0
+    assert all(got[i].n_phone == 1 and got[i].n_added == 0 for i in range(1500))
+
+
+def test_empty_tables_and_repeated_rows(documents):
+    docs = documents([None, "call +1 (222) 555-1234"])
+    none = docs.where("false")
+    assert pii.digest(none, pii.fit(none)).count() == 0
+    assert pii.digest(docs.unionAll(docs), pii.fit(docs)).count() == 4
+
+
+def test_query_equals_the_plain_patterns(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    frame = QUERIES["op8_personal_data"](spark, "/root/testdata/sf0.001")
+    plan = frame._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    got = by_id(frame)
+    for r in docs:
+        spans = plain(r.text)
+        assert got[r.doc_id].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{e}" for k, a, e in spans).encode()).hexdigest()
+        assert got[r.doc_id].n_phone == sum(k == "phone" for k, *_ in spans)
