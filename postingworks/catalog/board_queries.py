@@ -64,16 +64,21 @@ def facet_choice(spark, sf):
     return boards.choose_facet(select(spark, sf, FACETS))
 
 
-@query("board_signatures", """
-SELECT company, count(*) AS n, substr(md5(string_agg(posting_id, ',' ORDER BY posting_id)), 1, 12) AS sig FROM (
+# digests of the ids, folded without an order
+SIGNATURE = """md5(concat_ws('|', count(*), bit_xor(CAST('0x' || substr(md5(posting_id), 1, 12) AS BIGINT)),
+  sum(CAST('0x' || substr(md5(posting_id), 13, 12) AS BIGINT))))"""
+
+
+@query("board_signatures", f"""
+SELECT company, count(*) AS n, substr({SIGNATURE}, 1, 12) AS sig FROM (
   SELECT company, posting_id FROM listing) GROUP BY company""")
 def board_signatures(spark, sf):
     return boards.id_signature(fixture(spark, sf, "listing"))
 
 
 @query("board_freshness", f"""
-WITH a AS (SELECT company, count(*) AS n, md5(string_agg(posting_id, ',' ORDER BY posting_id)) AS sig FROM (SELECT DISTINCT company, posting_id FROM sightings WHERE day(run_date) <= 15) GROUP BY company),
-b AS (SELECT company, count(*) AS n, md5(string_agg(posting_id, ',' ORDER BY posting_id)) AS sig FROM (SELECT DISTINCT company, posting_id FROM sightings WHERE day(run_date) <= 16 OR company = 'view') WHERE company <> 'error' GROUP BY company)
+WITH a AS (SELECT company, count(*) AS n, {SIGNATURE} AS sig FROM (SELECT DISTINCT company, posting_id FROM sightings WHERE day(run_date) <= 15) GROUP BY company),
+b AS (SELECT company, count(*) AS n, {SIGNATURE} AS sig FROM (SELECT DISTINCT company, posting_id FROM sightings WHERE day(run_date) <= 16 OR company = 'view') WHERE company <> 'error' GROUP BY company)
 SELECT coalesce(a.company, b.company) AS company, coalesce(b.n, a.n) AS n, substr(coalesce(b.sig, a.sig), 1, 12) AS sig,
   CASE WHEN b.sig IS NOT NULL THEN '{AS_OF}' ELSE '1999-05-01' END AS checked, CASE WHEN b.sig IS NULL OR a.sig = b.sig THEN '1999-05-01' ELSE '{AS_OF}' END AS changed
 FROM a FULL JOIN b ON a.company = b.company""")
@@ -118,7 +123,7 @@ SELECT company, url, place FROM (SELECT *, row_number() OVER (PARTITION BY compa
 def newest_pages(spark, sf):
     pages = table(spark, sf, "orders").select(C("o_orderpriority").alias("company"), C("o_orderdate").cast("date").cast("string").alias("lastmod"),
                                               F.concat(L("u"), "o_custkey").alias("url"))
-    return boards.newest_pages(pages)[0].select("company", "url", C("place").cast("bigint").alias("place"))
+    return boards.newest_pages(pages, 60)[0].select("company", "url", C("place").cast("bigint").alias("place"))
 
 
 @query("pages_capped", """
@@ -126,7 +131,7 @@ SELECT company, CAST(count(*) <= 60 AS INT) AS complete FROM (SELECT DISTINCT o_
 def pages_capped(spark, sf):
     pages = table(spark, sf, "orders").select(C("o_orderpriority").alias("company"), C("o_orderdate").cast("date").cast("string").alias("lastmod"),
                                               F.concat(L("u"), "o_custkey").alias("url"))
-    return boards.newest_pages(pages)[1].withColumn("complete", C("complete").cast("int"))
+    return boards.newest_pages(pages, 60)[1].withColumn("complete", C("complete").cast("int"))
 
 
 # employers read as fetch results

@@ -1,7 +1,6 @@
-"""Whole-word term lists with alias expansion.
+"""Whole-word term lists with alias expansion, as one alternation pattern whatever the list's length.
 
-Two equivalent forms: one alternation pattern for ordinary lists, and word
-n-grams looked up in a hash set for vocabularies too long for a pattern.
+A second form by word runs exists under a name of its own.
 """
 
 from __future__ import annotations
@@ -16,8 +15,6 @@ from postingworks.functions import fixed_values as fv
 from postingworks.functions.spans import let
 from postingworks.functions.text import java_literal
 
-PATTERN_LIMIT = 400
-
 
 def variants(term: str) -> set[str]:
     """A term with its aliases, one hop."""
@@ -48,8 +45,6 @@ def contains_any(text: Column, terms: Sequence[str]) -> Column:
     """True when any term (or alias) stands in the text as a whole word."""
     if not terms:
         return F.lit(False)
-    if len(terms) > PATTERN_LIMIT:
-        return contains_any_ngrams(text, terms)
     return F.coalesce(text.rlike(pattern(terms)), F.lit(False))
 
 
@@ -80,7 +75,10 @@ def word_ngrams(text: Column, longest: int) -> Column:
 
 
 def contains_any_ngrams(text: Column, terms: Sequence[str]) -> Column:
-    """`contains_any` for long vocabularies. Terms that start or end with punctuation keep the pattern."""
+    """`contains_any` by word runs, for vocabularies whose pattern would be slow: a caller names it, no length chooses it.
+
+    Letters are compared in lower case, without the pattern's further case folding. Terms that start or end with punctuation keep the pattern.
+    """
     every = expand(t.lower() for t in terms)
     plain = [t for t in every if re.fullmatch(r"[a-z0-9](?:.*[a-z0-9])?", t)]
     odd = [t for t in every if t not in set(plain)]
@@ -97,14 +95,10 @@ def alias_table(spark) -> DataFrame:
 
 
 def expand_table(terms: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Term table with one row per variant: the term, a phrase's acronym, or all phrases of an acronym.
-
-    The alias table is a fixed list of a few rows, so it is broadcast.
-    """
+    """Term table with one row per variant: the term, a phrase's acronym, or all phrases of an acronym."""
     key = F.lower("term")
-    small = F.broadcast(aliases)
-    as_phrase = terms.join(small, key == F.col("phrase")).select("term", F.col("acronym").alias("variant"))
-    as_acronym = (terms.join(small, key == F.col("acronym"))
-                  .join(F.broadcast(aliases.select(F.col("phrase").alias("p"))), F.lower("term") == F.col("p"), "left_anti")
+    as_phrase = terms.join(aliases, key == F.col("phrase")).select("term", F.col("acronym").alias("variant"))
+    as_acronym = (terms.join(aliases, key == F.col("acronym"))
+                  .join(aliases.select(F.col("phrase").alias("p")), F.lower("term") == F.col("p"), "left_anti")
                   .select("term", F.col("phrase").alias("variant")))
     return terms.select("term", F.col("term").alias("variant")).unionByName(as_phrase).unionByName(as_acronym).distinct()

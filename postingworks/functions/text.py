@@ -53,7 +53,7 @@ def _code_point(ref: Column) -> Column:
     """Character of a numeric reference such as ``#233;`` or ``#xe9;``."""
     body = F.regexp_replace(ref, "[;#]", "")
     hexa = F.lower(F.substring(body, 1, 1)) == "x"
-    number = F.when(hexa, F.conv(F.substring(body, 2, 40), 16, 10)).otherwise(F.substring(body, 1, 40)).try_cast("bigint")
+    number = F.when(hexa, F.conv(F.substring(body, F.lit(2), F.length(body)), 16, 10)).otherwise(body).try_cast("bigint")
     # 128..159 are read as Windows-1252, as browsers do
     low = [(n, bytes([n]).decode("cp1252")) for n in range(128, 160) if _cp1252(n)]
     remapped = F.create_map(*[F.lit(x) for n, ch in low for x in (n, ord(ch))])[number.try_cast("int")]
@@ -83,7 +83,7 @@ def unescape(text: Column) -> Column:
         known = F.coalesce(_lookup(_COMMON)[ref], _lookup(list(html.entities.html5))[ref])
         # old names count without their semicolon, whatever follows them
         prefixed = let(F.regexp_extract(ref, "^(?:" + "|".join(_LEGACY) + ")", 0), lambda p: F.when(
-            p != "", F.concat(_lookup(_LEGACY)[p], F.substring(ref, F.length(p) + 1, 40))))
+            p != "", F.concat(_lookup(_LEGACY)[p], F.substring(ref, F.length(p) + 1, F.length(ref)))))
         named = F.coalesce(known, prefixed, F.concat(F.lit("&"), ref))
         return F.concat(F.when(ref.startswith("#"), _code_point(ref)).otherwise(named), rest)
 

@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postingworks.functions import fixed_values as fv
-from postingworks.functions.scale import lookup
 
 TERM = ["company", "site", "term"]
-EXACT_SIGNATURE_IDS = 25_000
 
 
 def listing_completeness(pages: DataFrame, rows: DataFrame) -> DataFrame:
@@ -66,18 +64,14 @@ def choose_facet(facets: DataFrame) -> DataFrame:
 def id_signature(listing: DataFrame) -> DataFrame:
     """Per company: posting count and a 12-character signature of its id set.
 
-    Boards up to 25,000 ids (a full read's ceiling) get the digest of their sorted ids. Beyond it the ids are folded
-    into two commutative sums map-side, so no board is ever gathered in one task.
+    The digests of the ids are folded into a count, an exclusive or and a sum, which need no order: boards of any size
+    get the same formula, and their ids are reduced map-side.
     """
     ids = listing.select("company", F.col("posting_id").cast("string").alias("id"))
     half = lambda at: F.conv(F.substring(F.md5("id"), at, 12), 16, 10).cast("bigint")
     folded = ids.groupBy("company").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(half(1)).alias("x"), F.sum(half(13).cast("decimal(38,0)")).alias("s"))
-    small = folded.where(F.col("n") <= EXACT_SIGNATURE_IDS).select("company")
-    exact = (lookup(ids, small, ["company"], ["id"], "left_semi").groupBy("company")
-             .agg(F.substring(F.md5(F.array_join(F.array_sort(F.collect_list("id")), ",")), 1, 12).alias("exact")))
-    return (folded.join(exact, "company", "left").select(
-        "company", "n", F.coalesce("exact", F.substring(F.md5(F.concat_ws("|", "n", "x", "s")), 1, 12)).alias("sig")))
+    return folded.select("company", "n", F.substring(F.md5(F.concat_ws("|", "n", "x", "s")), 1, 12).alias("sig"))
 
 
 def update_freshness(known: DataFrame, signatures: DataFrame, as_of: Column) -> DataFrame:
@@ -132,9 +126,12 @@ def update_fetch_times(known: DataFrame, measured: DataFrame) -> DataFrame:
             .select("company", F.when(F.col("runs").isNull(), F.col("secs")).otherwise(fold).alias("secs")))
 
 
-def newest_pages(pages: DataFrame, cap: int = fv.SITEMAP_PAGE_CAP) -> tuple[DataFrame, DataFrame]:
-    """The feature's newest `cap` distinct pages per board by last change, and per board whether that was all of them."""
+def newest_pages(pages: DataFrame, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The distinct pages per board, only its newest `cap` by last change if that is given, and whether those are all."""
     distinct = pages.select("company", "lastmod", "url").distinct()
+    if cap is None:
+        everything = distinct.withColumn("place", F.lit(None).cast("int"))
+        return everything, distinct.select("company", F.lit(True).alias("complete")).distinct()
     w = Window.partitionBy("company").orderBy(F.desc("lastmod"), F.desc("url"))
     newest = distinct.withColumn("place", F.row_number().over(w)).where(F.col("place") <= cap)
     complete = distinct.groupBy("company").agg((F.count(F.lit(1)) <= cap).alias("complete"))

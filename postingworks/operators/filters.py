@@ -146,14 +146,14 @@ def hidden_roles(postings: DataFrame, rules: FilterRules) -> DataFrame:
                       F.col("_reason.term").alias("rule_term"), "ord"))
 
 
-def hidden_by_title(postings: DataFrame, rules: FilterRules, cap: int = fv.FILTERED_ROW_CAP) -> tuple[DataFrame, DataFrame]:
-    """(the report's first `cap` hidden roles per company, the count of all of them per company).
+def hidden_by_title(postings: DataFrame, rules: FilterRules, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the hidden roles, the count of them per company).
 
-    The ranking keeps only `cap` rows per company before its shuffle.
+    A report may ask for the first `cap` per company; the ranking then keeps only those before its shuffle.
     """
     hidden = hidden_roles(postings, rules)
-    rows = (hidden.withColumn("_n", F.row_number().over(Window.partitionBy("company").orderBy("ord")))
-            .where(F.col("_n") <= cap).drop("_n"))
+    rows = hidden if cap is None else (
+        hidden.withColumn("_n", F.row_number().over(Window.partitionBy("company").orderBy("ord"))).where(F.col("_n") <= cap).drop("_n"))
     totals = hidden.groupBy("company").agg(F.count(F.lit(1)).alias("n"))
     return rows, totals
 

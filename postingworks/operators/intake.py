@@ -118,11 +118,14 @@ def select_alerts(candidates: DataFrame, cap: int = fv.ALERT_CAP_PER_RUN) -> Dat
 
 
 def recall(hits: DataFrame, seen: DataFrame, queue: DataFrame, tombstones: DataFrame, as_of: Column,
-           cap: int = fv.RECALL_MAX) -> DataFrame:
-    """Postings seen before that match today's rules but were never queued; old or removed ones stay out."""
+           cap: int | None = None) -> DataFrame:
+    """Postings seen before that match today's rules but were never queued; old or removed ones stay out.
+
+    With `cap`, the first so many in company and listing order; the rest comes up again.
+    """
     eid = tx.entry_id(F.col("company"), F.col("posting_id"))
     recent = F.col("posted").isNull() | (F.col("posted") >= F.date_sub(as_of, fv.PRUNE_AFTER_DAYS))
-    return (hits.where(recent).withColumn("id", eid)
+    found = (hits.where(recent).withColumn("id", eid)
             .join(seen.select(*POSTING), POSTING, "left_semi").join(queue.select(*POSTING), POSTING, "left_anti")
-            .join(tombstones.select("id"), "id", "left_anti").withColumn("origin", F.lit("recall"))
-            .orderBy("company_ord", "ord", "id").limit(cap))
+            .join(tombstones.select("id"), "id", "left_anti").withColumn("origin", F.lit("recall")))
+    return found if cap is None else found.orderBy("company_ord", "ord", "id").limit(cap)

@@ -203,7 +203,7 @@ def _stages(text: str) -> list[tuple[str, Column]]:
         ("salary", F.when(pick.isNotNull(), render_salary(lo, hi, first["period"], first["sym"]))
          .when(single.isNotNull(), render_salary(single["lo"], single["hi"], single["period"], single["sym"], single["qual"]))
          .otherwise("Unclear")),
-        ("salary_evidence", F.when(pick.isNotNull(), F.substring(quoted, 1, 400))
+        ("salary_evidence", F.when(pick.isNotNull(), quoted)
          .when(single.isNotNull(), F.concat(_converted(single["period"]), strip(window(flat, single["start"] - 40, single["end"] + 40))))
          .otherwise("")),
     ]

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postingworks.functions import dates as dt
-from postingworks.functions import fixed_values as fv
 from postingworks.functions.pay import pay_sentence
 from postingworks.functions.spans import let
 from postingworks.functions.text import distinct_sites, drop_blocks, first_filled, strip_html
@@ -85,7 +84,7 @@ def _ld_text(page: Column) -> Column:
 
 
 def _with_pay(page: Column) -> Column:
-    return F.concat(F.substring(_page_text(page), 1, fv.DESCRIPTION_CAP), posting_pay(job_posting(page)))
+    return F.concat(_page_text(page), posting_pay(job_posting(page)))
 
 
 def _ukg(page: Column) -> Column:
@@ -198,6 +197,6 @@ def normalize_details(payloads: DataFrame, as_of: Column, types: Iterable[str] |
     places = ladder(lambda d: d.places(source(d)) if d.places else None, F.lit(None).cast("string"))
     readable = F.col("payload").isNotNull() & (kind.isin(*[t for t in types if DETAILS[t].page]) | F.col("_tree").isNotNull())
     return (staged.withColumn("_day", day).select(
-        "company", "posting_id", F.substring(F.coalesce(text, F.lit("")), 1, fv.DESCRIPTION_CAP).alias("detail_description"),
+        "company", "posting_id", F.coalesce(text, F.lit("")).alias("detail_description"),
         F.col("_day.posted").alias("detail_posted"), F.col("_day.posted_source").alias("detail_source"),
         places.alias("detail_location"), readable.alias("ok")))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postingworks.functions import dates as dt
-from postingworks.functions import fixed_values as fv
 from postingworks.functions.pay import pay_sentence
 from postingworks.functions.text import drop_blocks, first_filled, join_location, strip_html
 
@@ -74,7 +73,7 @@ def read_pages(pages: DataFrame, as_of: Column, html: str = "html") -> DataFrame
             .withColumn("ld_location", posting_places(node))
             .withColumn("ld_posted", F.coalesce(dt.loose_posted_date(_get(node, "datePosted"), as_of), dt.page_date(F.col(html))))
             .withColumn("ld_pay", posting_pay(node))
-            .withColumn("ld_description", F.concat(F.substring(strip_html(body), 1, fv.DESCRIPTION_CAP), F.col("ld_pay")))
+            .withColumn("ld_description", F.concat(strip_html(body), F.col("ld_pay")))
             .drop("_node", "ld_pay"))
 
 
@@ -82,15 +81,13 @@ def merge_details(listed: DataFrame, details: DataFrame) -> DataFrame:
     """Postings with their detail payload: `details(company, posting_id, detail_description, detail_posted, detail_source,
     detail_location, ok)`.
 
-    A description of the list wins, a detail date replaces the listed one, the body is capped like the detail reader's,
-    a full site list replaces `N Locations`; a failed detail read marks the posting.
+    A description of the list wins, a detail date replaces the listed one, a full site list replaces `N Locations`; a failed detail read marks the posting.
     """
     rows = listed.join(details, ["company", "posting_id"], "left")
     dated = F.col("detail_posted").isNotNull()
     several = F.split(F.coalesce("location", F.lit("")), r" \(", 2)[0].rlike(r"(?i)^\s*\d+\s+locations?\s*$")
     new = {
-        "description": F.substring(F.coalesce(first_filled(F.col("description"), F.col("detail_description")), F.lit("")), 1,
-                                   fv.DESCRIPTION_CAP),
+        "description": F.coalesce(first_filled(F.col("description"), F.col("detail_description")), F.lit("")),
         "posted": F.coalesce("detail_posted", "posted"),
         "posted_source": F.when(dated, F.col("detail_source")).otherwise(F.col("posted_source")),
         "location": F.when(several & (F.coalesce("detail_location", F.lit("")) != ""), F.col("detail_location")).otherwise(F.col("location")),
