@@ -109,7 +109,11 @@ def mass_vanish(spark, sf):
     return counts.select("company", boards.is_mass_vanish(C("o"), C("m")).cast("int").alias("vanish"))
 
 
-@query("fetch_times")
+@query("fetch_times", """
+WITH d AS (SELECT company, strftime(run_date, '%Y-%m-%d') AS file, round(avg(secs), 2) AS secs FROM sightings GROUP BY 1, 2),
+l AS (SELECT company, list(secs ORDER BY file) AS runs, CASE WHEN company <> 'view' THEN min(secs) END AS known FROM d GROUP BY company)
+SELECT company, list_reduce(CASE WHEN known IS NULL THEN list_prepend(round_even(runs[1], 2), runs[2:]) ELSE list_prepend(known, runs) END,
+  lambda a, x: round_even(0.5 * a + 0.5 * x, 2)) AS secs FROM l""")
 def fetch_times(spark, sf):
     """Half-old, half-new seconds per board, folded over the daily averages of its sightings."""
     daily = fixture(spark, sf, "sightings").groupBy("company", F.date_format("run_date", "yyyy-MM-dd").alias("file")).agg(F.round(F.avg("secs"), 2).alias("secs"))

@@ -246,6 +246,30 @@ def guest_cards(spark, sf):
     return out.select(C("id").cast("bigint").alias("id"), F.regexp_replace("title", r" \d+$", "").alias("title"), "company", C("posted").cast("string").alias("posted"), C("tracked").cast("int").alias("tracked"))
 
 
+@query("sitemap_board", """
+SELECT p_brand AS company, 'id' || p_partkey AS posting_id, p_name || ' & Co' AS title, CASE WHEN p_partkey % 2 = 0 THEN 'Boston, MA' ELSE 'Boston' END AS location,
+  'https://x.com/jobs/' || p_partkey AS url, CASE WHEN p_partkey % 5 = 0 THEN '1999-02-03' ELSE '1999-01-' || lpad(CAST(1 + p_partkey % 28 AS VARCHAR), 2, '0') END AS posted,
+  'Text ' || p_size AS description FROM part WHERE p_partkey % 3 = 1
+UNION ALL SELECT p_brand, 'https://x.com/jobs/' || p_partkey, p_name || ' & Co', '', 'https://x.com/jobs/' || p_partkey, '1999-01-' || lpad(CAST(1 + p_partkey % 28 AS VARCHAR), 2, '0'), 'Text ' || p_size
+FROM part WHERE p_partkey % 3 = 2""")
+def sitemap_board(spark, sf):
+    k = C("p_partkey")
+    day = F.lpad((1 + k % 28).cast("string"), 2, "0")
+    payload = F.concat(L('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://x.com/jobs/'), k, L("</loc><lastmod>1999-01-"), day,
+                       L("</lastmod></url><url><loc>https://x.com/about</loc></url></urlset>"))
+    region = F.when(k % 2 == 0, ', "addressRegion": "MA"').otherwise("")
+    full = F.concat(L('"identifier": {"value": "id'), k, L('"}, '), F.when(k % 5 == 0, '"datePosted": "1999-02-03T10:00:00", ').otherwise(""),
+                    L('"jobLocation": [{"address": {"addressLocality": "Boston"'), region, L("}}], "))
+    node = F.concat(L('{"@type": "JobPosting", '), F.when(k % 3 == 1, full).otherwise(""), L('"title": "'), C("p_name"),
+                    L(' &amp; Co", "description": "&lt;p&gt;Text '), C("p_size").cast("string"), L('&lt;/p&gt;"}'))
+    html = F.concat(L("<html><head>"), F.when(k % 3 > 0, F.concat(L('<script type="application/ld+json">'), node, L("</script>"))).otherwise(""), L("</head></html>"))
+    part = table(spark, sf, "part")
+    sitemaps = part.select(C("p_brand").alias("company"), payload.alias("payload"))
+    pages = part.select(C("p_brand").alias("company"), F.concat(L("https://x.com/jobs/"), k).alias("url"), html.alias("html"))
+    about = part.select(C("p_brand").alias("company"), L("https://x.com/about").alias("url"), L("<html></html>").alias("html")).distinct()
+    return xml_boards.sitemap_board(sitemaps, pages.unionAll(about)).withColumn("posted", C("posted").cast("string")).drop("board_type")
+
+
 @query("sitemap_postings", """
 SELECT p_brand AS company, '1999-01-' || lpad(CAST(1 + p_size % 28 AS STRING), 2, '0') AS lastmod, 'https://x.com/jobs/' || p_partkey AS url FROM part""")
 def sitemap_postings(spark, sf):

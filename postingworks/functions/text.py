@@ -108,30 +108,64 @@ def drop_blocks(html_text: Column, tags: str = "script|style|nav|header|footer|f
 
 
 # ---------------------------------------------------------------------- keys
-def _accent_tables() -> tuple[str, str, str]:
-    singles, bases, marks = [], [], []
-    for cp in (*range(0x80, 0x2200), *range(0xFF01, 0xFF5F)):
+def _accent_tables() -> tuple[str, str, str, dict[str, str]]:
+    """Characters with one letter as their base, those letters, combining marks, and characters with several letters."""
+    singles, bases, marks, several = [], [], [], {}
+    for cp in (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x30000), *range(0xE0000, 0xE0200)):
         ch = chr(cp)
         if unicodedata.combining(ch):
             marks.append(ch)
             continue
         base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
-        if len(base) == 1 and base != ch:
+        if base == ch:
+            continue
+        if len(base) == 1 and cp < 0x2200:
             singles.append(ch)
             bases.append(base)
-    return "".join(singles), "".join(bases), "".join(marks)
+        else:
+            several[ch] = base
+    return "".join(singles), "".join(bases), "".join(marks), several
+
+
+_SINGLES, _BASES, _MARKS, _SEVERAL = _accent_tables()
+
+
+def _runs(chars: Sequence[str]) -> str:
+    """A character class of consecutive runs."""
+    out, codes = [], sorted(map(ord, chars))
+    for cp in codes:
+        if out and cp == out[-1][1] + 1:
+            out[-1][1] = cp
+        else:
+            out.append([cp, cp])
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in out) + "]"
+
+
+_RARE = _runs(_SEVERAL)
+_SYLLABLES = r"[\x{AC00}-\x{D7A3}]"
+
 
+def _letters_of(ch: Column) -> Column:
+    """A rare character's letters; a syllable block's are counted out, as the standard does."""
+    def block(n: Column) -> Column:
+        def letter(code: Column) -> Column:
+            return F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32")
+        last = n % 28
+        return F.concat(letter(0x1100 + F.floor(n / 588)), letter(0x1161 + F.floor((n % 588) / 28)),
+                        F.when(last > 0, letter(0x11A7 + last)).otherwise(""))
 
-_SINGLES, _BASES, _MARKS = _accent_tables()
+    table = F.from_json(F.lit(json.dumps(_SEVERAL)), "map<string,string>")
+    number = F.conv(F.hex(F.encode(ch, "UTF-32")), 16, 10).cast("bigint") - 0xAC00
+    return F.when(ch.rlike(_SYLLABLES), let(number, block)).otherwise(F.coalesce(table[ch], ch))
 
 
 def fold_accents(text: Column) -> Column:
-    """Letters without their accents: compatibility decomposition with the combining marks dropped.
+    """Letters without their accents: compatibility decomposition with the combining marks dropped."""
+    def folded(t: Column) -> Column:
+        plain = F.translate(t, _SINGLES + _MARKS, _BASES)
+        return F.when(plain.rlike(f"{_RARE}|{_SYLLABLES}"), F.array_join(F.transform(F.split(plain, ""), _letters_of), "")).otherwise(plain)
 
-    Covers every script up to the letter-like symbols and the full-width forms; characters that decompose into
-    several letters (ligatures, fractions) keep their form.
-    """
-    return let(text, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), F.translate(t, _SINGLES + _MARKS, _BASES)).otherwise(t))
+    return let(text, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), folded(t)).otherwise(t))
 
 
 def alnum_key(text: Column) -> Column:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from postingworks.functions import dates as dt
 from postingworks.functions.spans import let, strip
-from postingworks.functions.text import distinct_sites, split_title_place, strip_html, unescape
+from postingworks.functions.text import distinct_sites, first_filled, join_location, split_title_place, strip_html, unescape
+from postingworks.operators.boards import newest_pages
+from postingworks.sources.jsonld import job_posting
 
 # fixed value: paths that look like one posting
 JOB_URL = r"(?i)/(?:jobs?|careers?|openings?|positions?|vacanc(?:y|ies)|requisitions?)/[^/]+/?$"
@@ -48,19 +50,20 @@ def _tail(url: Column) -> Column:
 
 
 def normalize_xml(pages: DataFrame) -> DataFrame:
-    """Postings of landed XML feeds, in page and element order, not yet deduplicated."""
+    """Postings of landed XML feeds, in page and element order, not yet deduplicated.
+
+    Of sitemap boards only feeds are read here; a plain list of pages gives its postings through `sitemap_board`.
+    """
     xml = without_namespaces(F.col("payload"))
     kind, e = F.col("board_type"), F.col("e")
     listed = None
     for name, tag in ELEMENTS.items():
         found = elements(F.col("_xml"), tag)
-        if name == "sitemap":
-            found = F.when(F.size(found) > 0, found).otherwise(elements(F.col("_xml"), "url"))
         listed = F.when(kind == name, found) if listed is None else listed.when(kind == name, found)
     rows = (pages.where(kind.isin(*ELEMENTS)).withColumn("_xml", xml)
             .select("company", "board_type", "endpoint", "site", "term", "page_no", F.posexplode(listed).alias("pos", "e")))
     link = F.when(kind == "tal", value(e, "id")).when(kind == "nas_recruitment", value(e, "loc")).when(
-        kind == "sitemap", F.coalesce(*[F.nullif(value(e, t), F.lit("")) for t in ("link", "guid", "loc")])).otherwise(value(e, "link"))
+        kind == "sitemap", F.coalesce(*[F.nullif(value(e, t), F.lit("")) for t in ("link", "guid")])).otherwise(value(e, "link"))
     rows = rows.withColumn("_link", link)
     host = F.coalesce(F.col("endpoint")["host"], F.col("endpoint")["slug"], F.lit(""))
     ids = (F.when(kind == "personio", value(e, "id")).when(kind == "successfactors", _tail(F.col("_link")))
@@ -79,8 +82,9 @@ def normalize_xml(pages: DataFrame) -> DataFrame:
                 .when(kind == "teamtailor", distinct_sites(F.concat(_every(e, "location"), F.array(flag))))
                 .otherwise(value(e, "location")))
     modified = dt.iso_date(value(e, "lastmod"))
+    feed_day = F.when(kind == "sitemap", None).otherwise(dt.rfc822_date(value(e, "pubDate")))
     posted = (F.when(kind == "personio", dt.iso_date(value(e, "createdAt"))).when(kind == "tal", dt.iso_date(value(e, "published")))
-              .when(kind.isin("nas_recruitment", "sitemap"), modified).otherwise(dt.rfc822_date(value(e, "pubDate"))))
+              .when(kind == "nas_recruitment", modified).otherwise(feed_day))
     url = F.when(kind == "personio", F.concat(F.lit("https://"), host, F.lit(".jobs.personio.de/job/"), value(e, "id"),
                                               F.lit("?language=en"))).when(
         kind == "successfactors", F.regexp_replace("_link", r"[?#].*$", "")).otherwise(F.col("_link"))
@@ -88,7 +92,7 @@ def normalize_xml(pages: DataFrame) -> DataFrame:
         kind.isin("tal", "nas_recruitment"), None).otherwise(strip_html(inner(e, "description")))
     return (rows.withColumn("posting_id", ids).where("posting_id <> ''").withColumn("posted", posted)
             .select("company", "board_type", "posting_id", title.alias("title"), location.alias("location"), url.alias("url"), "posted",
-                    F.when((kind.isin("nas_recruitment", "sitemap")) & F.col("posted").isNotNull(), "approx").alias("posted_source"),
+                    F.when((kind == "nas_recruitment") & F.col("posted").isNotNull(), "approx").alias("posted_source"),
                     "site", text.alias("description"), "term", "page_no", "pos"))
 
 
@@ -99,3 +103,35 @@ def sitemap_urls(pages: DataFrame, pattern: str = JOB_URL) -> DataFrame:
         "company", F.explode(elements(F.col("_xml"), "url")).alias("e"))
     return rows.select("company", value(e, "lastmod").alias("lastmod"), value(e, "loc").alias("url")).where(
         (F.col("url") != "") & F.col("url").rlike(pattern)).distinct()
+
+
+def sitemap_board(sitemaps: DataFrame, pages: DataFrame, pattern: str = JOB_URL, cap: int | None = None) -> DataFrame:
+    """Postings of boards that only have a sitemap: its posting pages joined with what their landed pages say.
+
+    `sitemaps(company, payload)` holds the sitemaps, an index's children included; `pages(company, url, html)` the pages.
+    A page without a JobPosting node is no posting. The node's own number is the id, else the address is; its date wins
+    over the sitemap's. With `cap`, only the newest so many pages per board count.
+    """
+    listed, _ = newest_pages(sitemap_urls(sitemaps, pattern), cap)
+    # an address may stand in several sitemaps with several dates
+    named = listed.groupBy("company", "url").agg(F.max("lastmod").alias("lastmod"))
+    node = F.col("_node")
+
+    def text(path: str) -> Column:
+        return F.coalesce(F.try_variant_get(node, f"$.{path}", "string"), F.lit(""))
+
+    read = named.join(pages.select("company", "url", "html"), ["company", "url"]).withColumn(
+        "_node", job_posting(F.col("html"))).where(node.isNotNull())
+    several = F.try_variant_get(node, "$.jobLocation", "array<variant>").isNotNull()
+
+    def place(field: str) -> Column:
+        return F.when(several, text(f"jobLocation[0].address.{field}")).otherwise(text(f"jobLocation.address.{field}"))
+
+    whole = F.try_variant_get(node, "$.identifier", "map<string,variant>").isNotNull()
+    number = F.when(whole, text("identifier.value")).otherwise(text("identifier"))
+    return read.select(
+        "company", F.lit("sitemap").alias("board_type"), first_filled(number, F.col("url")).alias("posting_id"),
+        strip(unescape(text("title"))).alias("title"),
+        join_location(place("addressLocality"), place("addressRegion")).alias("location"), "url",
+        dt.iso_date(F.substring(first_filled(text("datePosted"), F.col("lastmod")), 1, 10)).alias("posted"),
+        strip_html(text("description")).alias("description"))
