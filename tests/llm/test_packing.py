@@ -84,7 +84,7 @@ def test_bad_lengths_are_refused():
 def test_pieces_between_blanks_give_the_text_s_ids(name, blanks):
     random.seed(3)
     parts = [" ", "  ", "\n", " \n", "a", "b'", "'s", "Ab", "é", "é", "́", "1", "12", ".", "\t", "\x1c", "\x85",
-             " ", "　", "<|endoftext|>", "😀", "!?", "中文", "\r\n", "'LL", "İ"]
+             " ", "　", "<|endoftext|>", "😀", "!?", "中文", "\r\n", "'LL", "İ", "\x00", "A", "ÀÉ", "ŉ", "ß", "ſ", "Ĳ", "ɐ", ","]
     texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 14))) for _ in range(3000)] + [None, "", " " * 70]
     own = Encoder(tokenizer_path(name), blanks)
     whole = own.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
