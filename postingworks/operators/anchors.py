@@ -79,9 +79,10 @@ def neighbours(targets: DataFrame, anchors: DataFrame) -> DataFrame:
         "company", "_block",
         F.last("_last", ignorenulls=True).over(slices.rowsBetween(Window.unboundedPreceding, -1)).alias("_below"),
         F.first("_first", ignorenulls=True).over(slices.rowsBetween(1, Window.unboundedFollowing)).alias("_above"))
-    inside = Window.partitionBy("company", "_block").orderBy("num_id")
-    strictly_below = inside.rangeBetween(Window.unboundedPreceding, -1)
-    strictly_above = inside.rangeBetween(1, Window.unboundedFollowing)
+    # both frames grow from one end of their order, so each row is added once
+    inside = Window.partitionBy("company", "_block")
+    strictly_below = inside.orderBy("num_id").rangeBetween(Window.unboundedPreceding, -1)
+    strictly_above = inside.orderBy(F.desc("num_id")).rangeBetween(Window.unboundedPreceding, -1)
     carried = (blocked.withColumn("_lo", F.max("_a").over(strictly_below))
                .withColumn("_hi", F.min("_a").over(strictly_above)).where("target is not null")
                .join(edges, ["company", "_block"], "left"))

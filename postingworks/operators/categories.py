@@ -19,9 +19,9 @@ def _any_word(terms: Sequence[str]) -> str:
 def merge_terms(terms: DataFrame, merges: DataFrame) -> DataFrame:
     """Category terms `terms(label, label_ord, term, ord)` with labels folded by `merges(member, label)`.
 
-    A merged label keeps every member's terms once, at its first place. Both tables are short term lists.
+    A merged label keeps every member's terms once, at its first place.
     """
-    to = F.broadcast(merges.select(F.col("member").alias("_m"), F.col("label").alias("_l")))
+    to = merges.select(F.col("member").alias("_m"), F.col("label").alias("_l"))
     joined = terms.join(to, F.col("label") == F.col("_m"), "left").withColumn("label", F.coalesce("_l", "label"))
     return joined.groupBy("label", "term").agg(F.min(F.struct("label_ord", "ord")).alias("place"))
 

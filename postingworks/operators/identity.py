@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from postingworks.functions import fixed_values as fv
 from postingworks.functions import text as tx
-from postingworks.functions.scale import lookup
-
-# copies of a lookup side that may itself be large: enough to split a hot key, the runtime splits further
-FEW = 8
 
 
 def _metadata_key(company: str, role: str, location: str) -> Column:
@@ -35,7 +31,7 @@ def match_identity(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     own = F.coalesce(F.nullif(tx.normalize_link(F.col("link")), F.lit("")),
                      F.concat(F.lit("\x00"), F.xxhash64(*candidates.columns).cast("string")))
     keys = candidates.withColumn("_link", own).withColumn("_meta", _metadata_key("company", "role", "location"))
-    out = lookup(lookup(keys, by_link, ["_link"], candidates.columns, salts=FEW), by_meta, ["_meta"], candidates.columns, salts=FEW)
+    out = keys.join(by_link, ["_link"], "left").join(by_meta, ["_meta"], "left")
     linked = ~F.col("_link").startswith("\x00")
     return (out.withColumn("match_key", F.when(linked, F.coalesce("_by_link", "_by_linkless")).otherwise(F.col("_by_meta")))
             .select(*candidates.columns, "match_key"))
@@ -52,7 +48,7 @@ def mark_tracked(cards: DataFrame, known: DataFrame) -> DataFrame:
     keys = (known.select(tx.alnum_key(F.col("company")).alias("_c"), tx.alnum_key(F.col("title")).alias("_t"))
             .distinct().withColumn("tracked", F.lit(True)))
     keyed = cards.withColumn("_c", tx.alnum_key(F.col("company"))).withColumn("_t", tx.alnum_key(F.col("title")))
-    return (lookup(keyed, keys, ["_c", "_t"], cards.columns, salts=FEW).withColumn("tracked", F.coalesce("tracked", F.lit(False))).drop("_c", "_t"))
+    return (keyed.join(keys, ["_c", "_t"], "left").withColumn("tracked", F.coalesce("tracked", F.lit(False))).drop("_c", "_t"))
 
 
 def untracked(cards: DataFrame, known: DataFrame) -> DataFrame:
@@ -78,7 +74,7 @@ def mark_covered(names: DataFrame, boards: DataFrame, name: str = "company", boa
     starts_a_board = wanted.join(board_heads, F.col("_n") == F.col("_p"), "left_semi")
     covered = (equal.unionByName(starts_with_board).unionByName(starts_a_board).distinct()
                .withColumn("has_board", F.lit(True)))
-    return (lookup(names.withColumn("_n", tx.alnum_key(F.col(name))), covered, ["_n"], names.columns, salts=FEW)
+    return (names.withColumn("_n", tx.alnum_key(F.col(name))).join(covered, ["_n"], "left")
             .withColumn("has_board", F.coalesce("has_board", F.lit(False))).drop("_n"))
 
 
@@ -89,21 +85,20 @@ def coverage_key(name: Column) -> Column:
 def covered_keys(companies: DataFrame, alias_groups: DataFrame) -> DataFrame:
     """Keys of polled employers plus every member of an alias group with a covered member.
 
-    `alias_groups(group_no, name)` is a short hand-kept list. Groups are taken in order: a group sees the keys added by
-    groups before it. Each pass carries coverage one link further and the loop ends when a pass adds nothing.
+    `alias_groups(group_no, name)` is a short hand-kept list; its members alone are read here, with whether an employer is
+    polled under their key. Groups are taken in order: a group sees the keys added by groups before it.
     """
-    keys = companies.select(coverage_key(F.col("name")).alias("key"), F.lit(-1).alias("since"))
+    keys = companies.select(coverage_key(F.col("name")).alias("key")).distinct()
     members = alias_groups.select("group_no", coverage_key(F.col("name")).alias("key")).distinct()
-    hit, known = None, -1
-    while True:
-        covered = keys if hit is None else keys.unionByName(
-            members.join(hit, "group_no", "left_semi").select("key", F.col("group_no").alias("since")))
-        covered = covered.groupBy("key").agg(F.min("since").alias("since"))
-        hit = members.join(covered, "key").where("since < group_no").select("group_no").distinct()
-        count = hit.count()
-        if count == known:
-            return covered.select("key")
-        known = count
+    listed = members.join(keys.withColumn("polled", F.lit(True)), "key", "left").collect()
+    covered = {r["key"] for r in listed if r["polled"]}
+    polled = set(covered)
+    for number in sorted({r["group_no"] for r in listed}):
+        group = {r["key"] for r in listed if r["group_no"] == number}
+        if group & covered:
+            covered |= group
+    added = companies.sparkSession.createDataFrame([(k,) for k in sorted(covered - polled)], "key string")
+    return keys.unionByName(added)
 
 
 def update_uncovered(uncovered: DataFrame, answers: DataFrame, covered: DataFrame, reason: str) -> DataFrame:
@@ -161,7 +156,7 @@ def unanimous_dates(entries: DataFrame, cards: DataFrame) -> DataFrame:
     for part in (unplaced, inside, first_part, around):
         every = every.unionByName(part.select(cols))
     verdict = every.groupBy(*title, "_a", "_f").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
-    return (lookup(wanted, verdict, [*title, "_a", "_f"], entries.columns, salts=FEW)
+    return (wanted.join(verdict, [*title, "_a", "_f"], "left")
             .withColumn("card_date", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")))
             .select(*entries.columns, "card_date"))
 
@@ -169,7 +164,7 @@ def unanimous_dates(entries: DataFrame, cards: DataFrame) -> DataFrame:
 def already_polled(found: DataFrame, boards: DataFrame) -> DataFrame:
     """Adds `polled_as`: the company whose board has the same type and endpoint key, null when new."""
     known = boards.groupBy("board_type", "endpoint").agg(F.min_by("company", "ord").alias("polled_as"))
-    return lookup(found, known, ["board_type", "endpoint"], found.columns, salts=FEW)
+    return found.join(known, ["board_type", "endpoint"], "left").select(*found.columns, "polled_as")
 
 
 def dates_from_listing(entries: DataFrame, listing: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def repost_sources(fresh: DataFrame, queue: DataFrame, listing: DataFrame, as_of
               .withColumn("fp", tx.role_fingerprint(F.col("role"), F.col("location")))
               .select("company", "fp", "posting_id", "id", "first_seen", "ord")
               .join(listing.select(*POSTING), POSTING, "left_anti"))
-    priors = lookup(priors, groups, key, ["posting_id"], "left_semi", salts=8)
+    priors = priors.join(groups, key, "left_semi")
     takers = numbered(wanted, key, {"_block": ord_block()}, [F.col("ord")])
     age = -F.coalesce(F.unix_date("first_seen"), F.lit(-10_000_000))
     offers = numbered(priors, key, {"_age": age, "_block": ord_block()}, [F.col("ord")])

@@ -286,6 +286,6 @@ def mark_evergreen(queue: DataFrame) -> DataFrame:
     likely = evergreen_roles(queue).where("ghost_status = 'Likely'").drop("postings")
     rows = queue.drop("ghost_status", "ghost_evidence").withColumn(
         "fp", tx.role_fingerprint(F.col("role"), F.col("location")))
-    return (lookup(rows, likely, ["company", "fp"], ["posting_id"])
+    return (rows.join(likely, ["company", "fp"], "left")
             .withColumn("ghost_status", F.coalesce("ghost_status", F.lit("Unclear")))
             .withColumn("ghost_evidence", F.coalesce("ghost_evidence", F.lit(""))).select(*queue.columns))

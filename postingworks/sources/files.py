@@ -25,12 +25,15 @@ def read_optional(spark: SparkSession, path: str, schema: str, kind: str = "parq
 def read_tracker(spark: SparkSession, path: str, columns: Mapping[str, str | None]) -> DataFrame:
     """A CSV tracker with a header in the user's own words: `columns` maps company, role, location, link, status to it.
 
-    Unmapped columns are null. The byte order mark some spreadsheets write is dropped from the header.
+    Unmapped columns are null. The byte order mark some spreadsheets write is dropped from the header. `ord` orders rows
+    by file name, then by place in the file.
     """
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    raw = raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+    raw = raw.select(*[F.col(f"`{c}`").alias(c.lstrip("﻿")) for c in raw.columns], place.alias("_place"))
     named = [(F.col(f"`{source}`") if source else F.lit(None).cast("string")).alias(name) for name, source in columns.items()]
-    return raw.select(*named, F.monotonically_increasing_id().alias("ord"), F.monotonically_increasing_id().cast("string").alias("key"))
+    return raw.select(*named, F.col("_place").alias("ord"),
+                      F.concat_ws(":", F.col("_place.file"), F.col("_place.line").cast("string")).alias("key"))
 
 
 _FAILURE = r"! (.+?) description for (.+?): [^\n]*"
