@@ -15,3 +15,5 @@ TOMBSTONES = "id string, reason string, on date"
 FILTERED = ("company string, posting_id string, title string, location string, url string, rule_kind string, "
             "rule_term string, ord bigint")
 FRESHNESS = "company string, n bigint, sig string, checked date, changed date"
+SUMMARIES = "line string, attempts int"
+SIGNATURE = "sig string"

@@ -53,9 +53,13 @@ def replace_tables(tables: dict[str, DataFrame], folder: str, note: str = "") ->
 
 
 def read_table(spark: SparkSession, folder: str, name: str, schema: StructType | str) -> DataFrame:
-    """A table of the current version, or an empty one when there is no version yet."""
+    """A table of the current version, or an empty one when there is no version yet or it lacks the table."""
     version = current_version(spark, folder)
-    return spark.read.schema(schema).parquet(f"{version[0]}/{name}") if version else spark.createDataFrame([], schema)
+    if version:
+        table, fs = _path(spark, f"{version[0]}/{name}")
+        if fs.exists(table):
+            return spark.read.schema(schema).parquet(f"{version[0]}/{name}")
+    return spark.createDataFrame([], schema)
 
 
 def append_log(rows: DataFrame, path: str, day: str = "on") -> None:

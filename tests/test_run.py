@@ -51,3 +51,35 @@ def test_two_runs(spark, tmp_path):
     new = queue["A:4"]
     assert (new.repost_of, new.repost_count, new.lineage_root, new.lineage_first_seen, new.salary) == ("A:1", 1, "A:1", D1, "$100,000 - $120,000")
     assert queue["A:3"].last_seen_live == D2
+
+
+def test_outcomes_recall_and_retries(spark, tmp_path):
+    folder = str(tmp_path / "state")
+    ok = [("A", None, True, True, 3, 1.0), ("B", None, True, True, 0, 1.0)]
+    rows = [("A", "1", "Risk Analyst", "x"), ("A", "2", "Treasury Analyst", "x"), ("A", "3", "Risk Lead", "x")]
+    day = lambda d: F.lit(d).cast("date")
+    first = plan.daily_run(run_input(spark, rows, ok), plan.load(spark, folder), RULES, (), day(D1), recall=True)
+    plan.save(first.state, folder)
+    state = plan.load(spark, folder)
+    assert [r.sig for r in state.signature.collect()] == [plan.rules_signature(RULES)]
+
+    wider = FilterRules(title_include=("risk", "treasury"), title_exclude=("intern",))
+    marks = spark.createDataFrame([("A:1", "applied"), ("A:3", "nonsense")], "id string, mark string")
+    alerts = spark.createDataFrame([("A:3", True, False)], "id string, failed_now boolean, delivered boolean")
+    again = spark.createDataFrame([("A:3", datetime.date(2026, 10, 20), "exact")], "id string, detail_posted date, detail_source string")
+    second = plan.daily_run(run_input(spark, rows, ok), state, wider, (), day(D2), outcomes=plan.Outcomes(marks=marks, alerts=alerts, reverified=again))
+    assert second.recalled
+    queue = {r.id: r for r in second.state.queue.collect()}
+    assert (queue["A:1"].state, queue["A:3"].state, queue["A:2"].origin) == ("applied", "new", "recall")
+    assert (queue["A:3"].alert_pending, queue["A:3"].alert_attempts) == (True, 1)
+    assert (queue["A:3"].posted, queue["A:3"].posted_source, queue["A:3"].posted_reverified) == (datetime.date(2026, 10, 20), "exact", True)
+    assert {r.counter: r.n for r in second.counters.collect()}["matched"] == 1
+    assert [r.sig for r in second.state.signature.collect()] == [plan.rules_signature(wider)]
+    plan.save(second.state, folder)
+
+    failed = [("A", None, True, True, 3, 1.0), ("B", "timeout", None, False, -1, 1.0)]
+    third = plan.daily_run(run_input(spark, rows, failed), plan.load(spark, folder), RULES, (), day(D2))
+    assert third.recalled
+    assert [r.sig for r in third.state.signature.collect()] == [plan.rules_signature(wider)]   # a failed board leaves it for the next run
+    assert set(third.due) == {"closures", "renewals", "reverified", "reread"}
+    assert all(df.count() == 0 for df in third.due.values())
