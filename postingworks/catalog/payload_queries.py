@@ -71,6 +71,45 @@ def json_listings(spark, sf):
     return out.select("board_type", "posting_id", "title", "location", "url", C("posted").cast("string").alias("posted"), "posted_source", "description")
 
 
+# one payload per board type, @K@ and @T@ stand for number and title; with what its location and date must read as
+SHAPES = {
+    "adp_rm": ("""{"jobRequisitions":[{"reqId":"@K@","publishedJobTitle":"@T@","requisitionLocations":[{"address":{"cityName":"Rome","countrySubdivisionLevel1":{"codeValue":"NY"},"country":{"codeValue":"US"}}}],"postingDate":"1999-01-02T"}]}""", "Rome, NY, US", True),
+    "adp_wfn": ("""{"jobRequisitions":[{"itemID":"@K@","requisitionTitle":"@T@","requisitionLocations":[{"nameCode":{"shortName":"Rome"}}],"postDate":"1999-01-02T"}]}""", "Rome", True),
+    "bamboohr": ("""{"result":[{"id":"@K@","jobOpeningName":"@T@","location":{"city":"Rome","state":"NY"}}]}""", "Rome, NY", False),
+    "careerpuck": ("""{"jobs":[{"permalink":"@K@","title":"@T@","postedAt":"1999-01-02","status":"public"},{"permalink":"x","title":"hidden","status":"draft"}]}""", "", True),
+    "comeet": ("""[{"uid":"@K@","name":"@T@","time_updated":"1999-01-02T"}]""", "", True),
+    "deshaw": ("""<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"jobData":{"id":"@K@","displayName":"@T@","jobMetadata":{"jobLocations":[{"name":"Rome"}]}}}}}</script>""", "Rome", False),
+    "goldman": ("""{"data":{"roleSearch":{"items":[{"roleId":"@K@","jobTitle":"@T@","locations":[{"city":"Rome","state":"NY","country":"US"}],"lastPostedDate":"1999-01-02"}]}}}""", "Rome, NY, US", True),
+    "isolvedhire": ("""{"data":{"jobs":[{"id":"@K@","title":"@T@","city":"Rome","abbreviation":"NY","startDateRef":"Jan 2, 1999"}]}}""", "Rome, NY", True),
+    "jibe": ("""{"jobs":[{"data":{"req_id":"@K@","title":"@T@","full_location":"Rome","posted_date":"1999-01-02T"}}]}""", "Rome", True),
+    "marketaxess": ("""[{"job_id":"@K@","title":"@T@","location":{"name":"Rome"}}]""", "Rome", False),
+    "paylocity": ("""window.pageData = {"Jobs":[{"JobId":"@K@","JobTitle":"@T@","JobLocation":{"City":"Rome","State":"NY"},"PublishedDate":"1999-01-02T"}]};\n""", "Rome, NY", True),
+    "pinpoint": ("""{"data":[{"id":"@K@","title":"@T@","url":"u","location":{"city":"Rome"}}]}""", "Rome", False),
+    "trakstar": ("""{"objects":[{"id":"@K@","title":"@T@","location":{"city":"Rome","state":"NY","country":"US"}}]}""", "Rome, NY, US", False),
+    "ukg_ready": ("""{"job_requisitions":[{"id":"@K@","job_title":"@T@","location":{"city":"Rome","state":"NY"}}]}""", "Rome, NY", False),
+}
+
+
+def _other_types() -> str:
+    """The checking SQL: every part as one posting of the board type its key picks."""
+    kinds = ", ".join(f"({i}, '{kind}', '{place}', {str(dated).upper()})" for i, (kind, (_, place, dated)) in enumerate(SHAPES.items()))
+    return f"""
+SELECT kind AS board_type, CAST(p_partkey AS STRING) AS posting_id, p_name AS title, place AS location, CASE WHEN dated THEN '1999-01-02' END AS posted
+FROM part JOIN (VALUES {kinds}) v(i, kind, place, dated) ON p_partkey % {len(SHAPES)} = i"""
+
+
+@query("json_listings_of_other_boards", _other_types())
+def json_listings_of_other_boards(spark, sf):
+    rows = table(spark, sf, "part").withColumn("company", C("p_brand")).withColumn("page_no", L(0))
+    kind, payload = L(None).cast("string"), L(None).cast("string")
+    for i, (name, (shape, *_)) in enumerate(SHAPES.items()):
+        mine = C("p_partkey") % len(SHAPES) == i
+        kind = F.when(mine, name).otherwise(kind)
+        payload = F.when(mine, F.replace(F.replace(L(shape), L("@K@"), C("p_partkey").cast("string")), L("@T@"), C("p_name"))).otherwise(payload)
+    out = json_boards.normalize_json(_pages(rows, payload, kind, "main"), as_of(), SHAPES)
+    return out.select("board_type", "posting_id", "title", "location", C("posted").cast("string").alias("posted"))
+
+
 @query("xml_listings", """
 SELECT CASE p_size % 3 WHEN 0 THEN 'personio' WHEN 1 THEN 'successfactors' ELSE 'tal' END AS board_type, CAST(p_partkey AS STRING) AS posting_id, p_name || ' & co' AS title,
   CASE p_size % 3 WHEN 0 THEN p_brand || ', Berlin' WHEN 1 THEN p_brand ELSE '' END AS location, '1999-03-04' AS posted,
