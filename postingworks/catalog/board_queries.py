@@ -394,8 +394,7 @@ def shard_results(spark, sf):
     # shard files are written by the fetchers, one object per file; here each small file holds one company
     path = run_folder(spark, "shards")
     lines.select(F.concat(L('{"'), "company", L('":'), "json", L("}")).alias("value"), "shard").repartition(4).write.partitionBy("shard").text(path)
-    rows = (spark.read.text(path).select(C("shard").cast("string").alias("file"), F.explode(F.try_variant_get(
-        F.try_parse_json("value"), "$", "map<string,variant>")).alias("company", "row")).withColumn("fingerprint", F.sha2(F.to_json("row"), 256)))
+    rows, _ = shards.read_shards(spark, path, layout="lines")
     companies = cust.select(F.concat(L("c"), (C("c_custkey") % 1010).cast("string")).alias("company"))
     return shards.result_facts(shards.for_companies(companies, shards.merge_checked(rows))).select("company", "err", "n_jobs")
 

@@ -8,11 +8,24 @@ from pyspark.sql import functions as F
 JOB = "struct<id:string,title:string,location:string,url:string,posted:string,posted_source:string,site:string,desc:string>"
 
 
-def read_shards(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, bad files): rows(file, company, row VARIANT, fingerprint); a file that is no JSON object is an error row."""
-    raw = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"),
-                                                      F.try_variant_get(F.try_parse_json("value"), "$", "map<string,variant>").alias("m"))
-    bad = raw.where("m is null").select("file", F.lit("shard must be an object").alias("error"))
+# the largest text that Spark reads as one JSON value
+LARGEST_VALUE = 128 << 20
+
+
+def read_shards(spark: SparkSession, path: str, layout: str = "file") -> tuple[DataFrame, DataFrame]:
+    """(rows, bad files): rows(file, company, row VARIANT, fingerprint).
+
+    `layout` "file" reads each file as one object; "lines" reads one object per line, which Spark splits, so a shard may have
+    any size. A value that is no JSON object, or too large to be read as one, is an error row and never dropped silently.
+    """
+    if layout not in ("file", "lines"):
+        raise ValueError(f"layout must be file or lines, not {layout}")
+    texts = spark.read.text(path, wholetext=layout == "file").where("value <> ''" if layout == "lines" else "true")
+    raw = texts.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.octet_length("value").alias("size"),
+                       F.try_variant_get(F.try_parse_json("value"), "$", "map<string,variant>").alias("m"))
+    bad = raw.where("m is null").select("file", F.when(F.col("size") >= LARGEST_VALUE, F.concat(
+        F.lit("shard too large to read as one object: "), F.col("size").cast("string"), F.lit(" bytes"))).otherwise(
+        "shard must be an object").alias("error"))
     rows = raw.where("m is not null").select("file", F.explode("m").alias("company", "row"))
     return rows.withColumn("fingerprint", F.sha2(F.to_json("row"), 256)), bad
 

@@ -10,6 +10,13 @@ from postingworks.sources import files, shards, sinks
 from postingworks.streaming import snapshots
 
 
+def test_shards_as_lines(spark, tmp_path):
+    (tmp_path / "s1.json").write_text('{"A": {"jobs": [{"id": "1"}]}}\n\n{"B": {"jobs": []}, "C": {"jobs": null}}\n[1]\n')
+    rows, bad = shards.read_shards(spark, str(tmp_path), layout="lines")
+    assert sorted(r.company for r in rows.collect()) == ["A", "B", "C"]
+    assert [tuple(r) for r in bad.collect()] == [("s1.json", "shard must be an object")]
+
+
 def test_shards_are_merged_and_checked(spark, tmp_path):
     good = {"jobs": [{"id": "1", "title": "A", "desc": ""}, {"id": "2", "title": "B"}], "complete": True, "err": None, "secs": 2.5}
     (tmp_path / "s1.json").write_text(json.dumps({"A": good, "B": {"jobs": None, "complete": None, "err": "boom"}, "C": good}))
