@@ -6,7 +6,9 @@ word; where they don't, or where a document begins or ends, a path ends. Inside
 are one nonbranching path, the same wherever it occurs, and are carried as one row. Paths are then joined on a digest of
 all their words: only paths found at two source places at least are verified, and the words they cover are removed.
 
-A chance meeting of two window hashes ends the paths on both sides of it, and its digest stays alone, so it removes nothing.
+Window hashes keep `SPARE_BITS` bits more than it takes to number all windows, so about one in 2**SPARE_BITS meets another
+by chance. That ends the paths on both sides of it wherever it occurs, and a path that is alone removes nothing, so the
+result is exact all the same.
 
 Defined cases: a null text has no words; a text shorter than a window loses nothing; each row is a document of its own, so
 repeated rows are copies of each other; an empty table gives no rows; other columns are never read.
@@ -26,21 +28,21 @@ from postingworks.llm.common import drop_unused
 from postingworks.session import materialize
 
 WINDOW = 35
+SPARE_BITS = 13
 LOST = np.uint64(0)
 
 
 class Words:
-    """The words of a block's texts as hashes, with all its windows."""
+    """The words of a block's texts as hashes, with the hashes of all its windows cut to `width` bits."""
 
-    def __init__(self, texts: pa.Array, window: int) -> None:
-        self.data, self.offsets = hashing.text_bytes(texts)
-        starts, ends, self.rows = hashing.word_places(self.data, self.offsets)
-        self.hashes = hashing.word_hashes(self.data, starts, ends, 21)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int, width: int) -> None:
+        starts, ends, self.rows = hashing.word_places(data, offsets)
+        self.hashes = hashing.word_hashes(data, starts, ends, 21)
         n, self.window = len(self.hashes), window
         if n >= window:
             last = np.repeat(self.rows[1:], np.diff(self.rows))[:n - window + 1]
             self.at = np.flatnonzero(np.arange(n - window + 1) + window <= last)
-            self.edges = hashing.windows(self.hashes, window, 23)[self.at]
+            self.edges = hashing.windows(self.hashes, window, 23)[self.at] >> np.uint64(64 - width)
         else:
             self.at, self.edges = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
 
@@ -55,21 +57,21 @@ class Words:
                 np.where(begins[at + self.window], LOST, word[after]))
 
 
-def _one_edge_round(table: DataFrame, window: int, bits: int, level: int) -> DataFrame:
+def _one_edge_round(table: DataFrame, window: int, bits: int, width: int, level: int) -> DataFrame:
     def give(batches):
         for batch in batches:
-            for block, _, texts, flags in repeats.rows_of(batch):
-                words = Words(texts, window)
+            for block, _, data, offsets, flags in repeats.rows_of(batch):
+                words = Words(data, offsets, window, width)
                 hashes, sides = words.edges, None
                 if level == 2:
-                    again = repeats.level_flags(flags, 1, words.edges, bits)[0]
+                    again = repeats.level_flags(flags, 1, words.edges, bits, width)[0]
                     hashes, sides = words.edges[again], words.sides(words.at[again])
-                parts, data = [], []
-                for part, cell in repeats.cells(hashes, bits, sides):
+                parts, given = [], []
+                for part, cell in repeats.cells(hashes, bits, width, sides):
                     parts.append(part)
-                    data.append(cell)
+                    given.append(cell)
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(parts), pa.int64()), pa.array(parts, pa.int32()),
-                                                  pa.array(data, pa.binary())], names=["block", "part", "data"])
+                                                  pa.array(given, pa.binary())], names=["block", "part", "data"])
 
     return table.mapInArrow(give, "block bigint, part int, data binary")
 
@@ -83,19 +85,19 @@ def paths(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text
     spark = docs.sparkSession
     table = repeats.blocks(docs, id_col, text_col)
     total = table.agg(F.sum("bytes")).first()[0] or 0
-    bits = repeats.range_bits(total // 6)
-    first = repeats.answered(_one_edge_round(table.select("block", "ids", "texts"), window, bits, 1), bits, 1)
+    bits, width = repeats.range_bits(total // 6), repeats.hash_bits(total // 6, SPARE_BITS)
+    first = repeats.answered(_one_edge_round(table, window, bits, width, 1), bits, 1, width)
     drop_unused(spark)
-    second = repeats.answered(_one_edge_round(repeats.known(table, first), window, bits, 2), bits, 2, sides=True)
+    second = repeats.answered(_one_edge_round(repeats.known(table, first), window, bits, width, 2), bits, 2, width, sides=True)
     drop_unused(spark)
 
     def compact(batches):
         for batch in batches:
-            for block, ids, texts, flags in repeats.rows_of(batch):
-                words = Words(texts, window)
-                again = repeats.level_flags(flags, 1, words.edges, bits)[0]
+            for block, ids, data, offsets, flags in repeats.rows_of(batch):
+                words = Words(data, offsets, window, width)
+                again = repeats.level_flags(flags, 1, words.edges, bits, width)[0]
                 at = words.at[again]
-                from_one, to_one = repeats.level_flags(flags, 2, words.edges[again], bits, 2)
+                from_one, to_one = repeats.level_flags(flags, 2, words.edges[again], bits, width, 2)
                 # an edge goes on the path of the edge before it if neither branches in between
                 goes_on = np.concatenate([[False], (np.diff(at) == 1) & to_one[:-1] & from_one[1:]]) if len(at) else again[:0]
                 heads = np.flatnonzero(~goes_on)
@@ -103,7 +105,7 @@ def paths(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text
                 starts = at[heads]
                 of_row = np.searchsorted(words.rows, starts, side="right") - 1
                 firsts = np.searchsorted(of_row, np.arange(len(ids) + 1))
-                found, kept_texts = [], []
+                found, kept_texts, shas = [], [], []
                 for i in range(len(ids)):
                     mine = []
                     for j in range(firsts[i], firsts[i + 1]):
@@ -111,23 +113,23 @@ def paths(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text
                         digest = hashlib.blake2b(words.hashes[s:s + k + window - 1].tobytes(), digest_size=16).digest()
                         mine.append({"start": s - int(words.rows[i]), "edges": k, "path": digest})
                     found.append(mine)
-                    text = texts[i].as_py()
+                    text = data[offsets[i]:offsets[i + 1]].tobytes()
                     kept_texts.append(text if mine else None)
-                shas = [None if m else _sha(t.as_py()) for m, t in zip(found, texts, strict=True)]
+                    shas.append(None if mine else _sha(text))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([block] * len(ids), pa.int64()), pa.array(range(len(ids)), pa.int32()), ids.cast(pa.int64()),
-                    pa.array(np.diff(words.rows)), pa.array(kept_texts, pa.string()), pa.array(shas, pa.string()),
+                    pa.array(np.diff(words.rows)), pa.array(kept_texts, pa.binary()), pa.array(shas, pa.string()),
                     pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("edges", pa.int32()), ("path", pa.binary())])))],
                     names=["block", "place", "id", "n_words", "text", "sha", "paths"])
 
-    schema = ("block bigint, place int, id bigint, n_words bigint, text string, sha string, "
+    schema = ("block bigint, place int, id bigint, n_words bigint, text binary, sha string, "
               "paths array<struct<start:int,edges:int,path:binary>>")
     return materialize(repeats.known(table, first, second).mapInArrow(compact, schema), "paths")
 
 
-def _sha(text: str | None, gone: np.ndarray | None = None) -> str:
+def _sha(text: bytes, gone: np.ndarray | None = None) -> str:
     """SHA-256 of a text's words but those gone, joined by one blank."""
-    words = (text or "").encode().split()  # splits at the same six bytes
+    words = text.split()  # splits at the same six bytes
     if gone is not None:
         words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
     return hashlib.sha256(b" ".join(words)).hexdigest()

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 MASK = (1 << 64) - 1
 _tables: dict[int, np.ndarray] = {}
@@ -122,7 +123,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
 
 def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
     """The batch in stretches of at most `most` text bytes (one row at least): bounded memory whatever the lengths."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
     place = np.cumsum(sizes)
     first = 0
     while first < batch.num_rows:

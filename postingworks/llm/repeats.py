@@ -11,44 +11,56 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postingworks.llm import hashing
 from postingworks.session import run_folder
 
 BLOCK_BYTES = 4 << 20
 RANGE_ITEMS = 1 << 19
-BLOCKS = "block bigint, bytes bigint, ids array<bigint>, texts array<string>"
+BLOCKS = "block bigint, bytes bigint, ids array<bigint>, sizes binary, data binary"
 FLAGS = "block bigint, level int, part int, bits binary"
 MIXED = np.uint64(1)
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (block, bytes, ids, texts) of at most `BLOCK_BYTES` of text, one document at least, written and read back."""
+    """Rows (block, bytes, ids, sizes, data) of at most `BLOCK_BYTES` of text, one document at least, written and read back.
+
+    `data` is the compressed text of all documents in turn, `sizes` their bytes; a null text is empty.
+    """
     spark, most = docs.sparkSession, BLOCK_BYTES
 
     def pack(batches):
         from pyspark import TaskContext
         number = TaskContext.get().partitionId() << 32
+        shrink = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0), dtype=np.int64)
-            ends, first = np.cumsum(sizes), 0
+            data, ends = hashing.text_bytes(batch.column("text"))
+            first = 0
             while first < batch.num_rows:
-                before = int(ends[first - 1]) if first else 0
-                last = max(first + 1, int(np.searchsorted(ends, before + most, side="right")))
-                part = batch.slice(first, last - first)
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + most, side="right")) - 1)
+                a, b = int(ends[first]), int(ends[last])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number], pa.int64()), pa.array([int(ends[last - 1]) - before], pa.int64()),
-                     *[pa.ListArray.from_arrays(pa.array([0, last - first], pa.int32()), part.column(c)) for c in ("id", "text")]],
-                    names=["block", "bytes", "ids", "texts"])
+                    [pa.array([number], pa.int64()), pa.array([b - a], pa.int64()),
+                     pa.ListArray.from_arrays(pa.array([0, last - first], pa.int32()), batch.column("id").slice(first, last - first)),
+                     pa.array([np.diff(ends[first:last + 1]).astype("<i8").tobytes()], pa.binary()),
+                     pa.array([shrink.compress(data[a:b].tobytes())], pa.binary())],
+                    names=["block", "bytes", "ids", "sizes", "data"])
                 number, first = number + 1, last
 
     path = run_folder(spark, "blocks")
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    rows.mapInArrow(pack, BLOCKS).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(pack, BLOCKS).write.option("compression", "none").parquet(path)
     return spark.read.schema(BLOCKS).parquet(path)
 
 
+def hash_bits(items: int, spare: int) -> int:
+    """Bits of hashes of so many items of which one in about 2**spare meets another by chance; 64 at most."""
+    return min(64, max(1, items).bit_length() + spare)
+
+
 def range_bits(items: int) -> int:
     """Number of top bits that deal so many items into ranges of about `RANGE_ITEMS`."""
     return max(0, (max(1, items) // RANGE_ITEMS).bit_length())
@@ -58,7 +70,7 @@ def packed(values: np.ndarray, origin: int) -> bytes:
     """Sorted distinct values from `origin` on as gaps of a few bytes; the rare wide gaps are listed apart."""
     gaps = np.diff(values, prepend=np.uint64(origin))
     width = 8
-    for w in (5, 6, 7):
+    for w in (2, 3, 4, 5, 6, 7):
         if np.count_nonzero(gaps >> np.uint64(8 * w)) * 100 <= len(gaps):
             width = w
             break
@@ -86,8 +98,13 @@ def flags_of(bits: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(bits, np.uint8), count=n, bitorder="little").astype(bool)
 
 
-def cells(hashes: np.ndarray, bits: int, sides: tuple[np.ndarray, np.ndarray] | None = None):
-    """(part, data) of a block's item hashes, one per item; `sides` are values that go before and after each item."""
+def ranges_of(values: np.ndarray, bits: int, width: int) -> np.ndarray:
+    """The range of each hash of `width` bits, told by its top `bits`."""
+    return values >> np.uint64(width - bits) if bits else np.zeros(len(values), dtype=np.uint64)
+
+
+def cells(hashes: np.ndarray, bits: int, width: int = 64, sides: tuple[np.ndarray, np.ndarray] | None = None):
+    """(part, data) of a block's item hashes of `width` bits, one per item; `sides` are values before and after each item."""
     if not len(hashes):
         return
     order = np.argsort(hashes, kind="stable")
@@ -100,19 +117,19 @@ def cells(hashes: np.ndarray, bits: int, sides: tuple[np.ndarray, np.ndarray] |
         s = side[order]
         low, high = np.minimum.reduceat(s, firsts), np.maximum.reduceat(s, firsts)
         merged.append(np.where(low == high, low, MIXED))
-    parts = values >> np.uint64(64 - bits) if bits else np.zeros(len(values), dtype=np.uint64)
+    parts = ranges_of(values, bits, width)
     cuts = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]])).tolist()
     for a, b in zip(cuts, [*cuts[1:], len(parts)], strict=True):
         part = int(parts[a])
-        data = packed(values[a:b], part << (64 - bits) if bits else 0)
+        data = packed(values[a:b], part << (width - bits))
         yield part, b"".join([len(data).to_bytes(4, "little"), data, bitmap(twice[a:b]), *[m[a:b].tobytes() for m in merged]])
 
 
-def _reduced(bits: int, level: int, sides: bool):
+def _reduced(bits: int, width: int, level: int, sides: bool):
     """The function that answers one range: (block, level, part, bits) for each block that gave items to it."""
     def reduce(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        origin = part << (64 - bits) if bits else 0
+        origin = part << (width - bits)
         values, twice, before, after = [], [], [], []
         for data in table.column("data").to_pylist():
             size = int.from_bytes(data[:4], "little")
@@ -151,11 +168,11 @@ def _reduced(bits: int, level: int, sides: bool):
     return reduce
 
 
-def answered(given: DataFrame, bits: int, level: int, sides: bool = False) -> DataFrame:
+def answered(given: DataFrame, bits: int, level: int, width: int = 64, sides: bool = False) -> DataFrame:
     """Flags of the cells (block, part, data), written and read back."""
     spark = given.sparkSession
     path = run_folder(spark, "flags")
-    given.groupBy("part").applyInArrow(_reduced(bits, level, sides), FLAGS).write.parquet(path)
+    given.groupBy("part").applyInArrow(_reduced(bits, width, level, sides), FLAGS).write.parquet(path)
     return spark.read.schema(FLAGS).parquet(path)
 
 
@@ -165,13 +182,13 @@ def known(blocks_table: DataFrame, *flags: DataFrame) -> DataFrame:
     for more in flags[1:]:
         every = every.unionAll(more)
     per_block = every.groupBy("block").agg(F.collect_list(F.struct("level", "part", "bits")).alias("flags"))
-    return blocks_table.join(per_block, "block", "left").select("block", "ids", "texts", "flags")
+    return blocks_table.join(per_block, "block", "left").select("block", "ids", "sizes", "data", "flags")
 
 
-def level_flags(flags: list | None, level: int, hashes: np.ndarray, bits: int, kinds: int = 1) -> list[np.ndarray]:
+def level_flags(flags: list | None, level: int, hashes: np.ndarray, bits: int, width: int = 64, kinds: int = 1) -> list[np.ndarray]:
     """For each kind of answer of a level, one flag per item of the block, in the items' order."""
     values, inverse = np.unique(hashes, return_inverse=True)
-    parts = values >> np.uint64(64 - bits) if bits else np.zeros(len(values), dtype=np.uint64)
+    parts = ranges_of(values, bits, width)
     out = np.zeros((kinds, len(values)), dtype=bool)
     for f in flags or ():
         if f["level"] == level:
@@ -185,9 +202,11 @@ def level_flags(flags: list | None, level: int, hashes: np.ndarray, bits: int, k
 
 
 def rows_of(batch: pa.RecordBatch):
-    """(block, ids, texts, flags) of each block in a batch."""
-    names = batch.schema.names
+    """(block, ids, data, offsets, flags) of each block in a batch, the bytes of its texts unpacked."""
+    open_up = zstandard.ZstdDecompressor()
+    column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
     for i in range(batch.num_rows):
-        ids, texts = (batch.column(names.index(c))[i].values for c in ("ids", "texts"))
-        flags = batch.column(names.index("flags"))[i].as_py() if "flags" in names else None
-        yield batch.column(names.index("block"))[i].as_py(), ids, texts, flags
+        data = np.frombuffer(open_up.decompress(column["data"][i].as_py()), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum(np.frombuffer(column["sizes"][i].as_py(), "<i8"))])
+        flags = column["flags"][i].as_py() if "flags" in column else None
+        yield column["block"][i].as_py(), column["ids"][i].values, data, offsets, flags
