@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,9 +58,14 @@ def prefix_maxima(values: Column) -> Column:
 
 
 def drop_unused(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of finished jobs that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark's cleaner remove the shuffle files of finished jobs that nothing refers to any more.
+
+    The first collection frees what Python held, the second what that held in turn; the cleaner works meanwhile.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

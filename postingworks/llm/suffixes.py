@@ -7,7 +7,8 @@ drop out. The second round doubles the offset: the ranks at a position and half
 rank covers the whole threshold, and positions whose pair occurs again are repeated. Spark deals the ranks by their top
 bits and sorts each range; nothing beyond the threshold is ever ranked, as longer matches are runs of such positions.
 
-Ranks are 64 bits and not compared byte by byte: among n surviving positions a false meeting has chance n * n / 2**65.
+First-round ranks are sent with `SPARE_BITS` bits more than it takes to number them: a chance meeting only keeps positions in.
+Second-round ranks are 64 bits and not compared byte by byte: among n positions a false meeting has chance n * n / 2**65.
 
 Defined cases: a null text is empty; a text shorter than the threshold loses nothing; each row is a document of its own, so
 repeated rows are copies of each other; an empty table gives no rows; other columns are never read.
@@ -26,6 +27,7 @@ from postingworks.llm import hashing, repeats
 from postingworks.llm.common import drop_unused
 
 THRESHOLD = 200
+SPARE_BITS = 10
 STRETCH = 1 << 20
 SCHEMA = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<first:int,last:int>>"
 
@@ -67,45 +69,49 @@ class Ranks:
         return hashing.mix(self.half[at] * np.uint64(0x9E3779B97F4A7C15) + hashing.mix(later))
 
 
-def _pieces(texts: pa.Array, threshold: int):
+def _pieces(data: np.ndarray, offsets: np.ndarray, threshold: int):
     """(first row, last row, bytes, offsets, ranks) over stretches of whole texts, so that a block's arrays stay small."""
-    data, offsets = hashing.text_bytes(texts)
-    first = 0
-    while first < len(texts):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + STRETCH, side="right")) - 1)
-        last = min(last, len(texts))
+    first, n = 0, len(offsets) - 1
+    while first < n:
+        last = min(n, max(first + 1, int(np.searchsorted(offsets, offsets[first] + STRETCH, side="right")) - 1))
         a, b = offsets[first], offsets[last]
         own = offsets[first:last + 1] - a
         yield first, last, data[a:b], own, Ranks(data[a:b], own, threshold)
         first = last
 
 
-def _candidates(texts: pa.Array, flags: list | None, bits: int, threshold: int):
+def _sent(pieces: list, width: int) -> np.ndarray:
+    """The ranks that the stretches of a block send in the first round, cut to `width` bits."""
+    found = [p[4].sent()[1] for p in pieces]
+    return np.concatenate(found) >> np.uint64(64 - width) if found else np.empty(0, dtype=np.uint64)
+
+
+def _candidates(data: np.ndarray, offsets: np.ndarray, flags: list | None, bits: int, width: int, threshold: int):
     """For each stretch of texts, its rows, bytes, ranks and the positions that outlive the first round."""
-    pieces = [(*piece, *piece[4].sent()) for piece in _pieces(texts, threshold)]
-    hashes = np.concatenate([p[6] for p in pieces]) if pieces else np.empty(0, dtype=np.uint64)
-    again, used = repeats.level_flags(flags, 1, hashes, bits)[0], 0
+    cut = list(_pieces(data, offsets, threshold))
+    again, used = repeats.level_flags(flags, 1, _sent(cut, width), bits, width)[0], 0
+    pieces = [(*piece, *piece[4].sent()) for piece in cut]
     for first, last, data, own, ranks, places, _ in pieces:
         mine = again[used:used + len(places)]
         used += len(places)
         yield first, last, data, own, ranks, ranks.at[mine[np.searchsorted(places, ranks.picks)]] if len(places) else ranks.at
 
 
-def _round(table: DataFrame, threshold: int, bits: tuple[int, int], level: int) -> DataFrame:
+def _round(table: DataFrame, threshold: int, bits: tuple[int, int], width: int, level: int) -> DataFrame:
     def give(batches):
         for batch in batches:
-            for block, _, texts, flags in repeats.rows_of(batch):
+            for block, _, data, offsets, flags in repeats.rows_of(batch):
                 if level == 1:
-                    found = [p[4].sent()[1] for p in _pieces(texts, threshold)]
+                    hashes = _sent(list(_pieces(data, offsets, threshold)), width)
                 else:
-                    found = [ranks.pairs(at) for *_, ranks, at in _candidates(texts, flags, bits[0], threshold)]
-                hashes = np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
-                parts, data = [], []
-                for part, cell in repeats.cells(hashes, bits[level - 1]):
+                    found = [ranks.pairs(at) for *_, ranks, at in _candidates(data, offsets, flags, bits[0], width, threshold)]
+                    hashes = np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
+                parts, given = [], []
+                for part, cell in repeats.cells(hashes, bits[level - 1], width if level == 1 else 64):
                     parts.append(part)
-                    data.append(cell)
+                    given.append(cell)
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(parts), pa.int64()), pa.array(parts, pa.int32()),
-                                                  pa.array(data, pa.binary())], names=["block", "part", "data"])
+                                                  pa.array(given, pa.binary())], names=["block", "part", "data"])
 
     return table.mapInArrow(give, "block bigint, part int, data binary")
 
@@ -117,16 +123,17 @@ def deduplicated(docs: DataFrame, *, threshold: int = THRESHOLD, id_col: str = "
     spark = docs.sparkSession
     table = repeats.blocks(docs, id_col, text_col)
     total = table.agg(F.sum("bytes")).first()[0] or 0
-    bits = repeats.range_bits(total * 4 // threshold), repeats.range_bits(total // 4)
-    one = repeats.answered(_round(table.select("block", "ids", "texts"), threshold, bits, 1), bits[0], 1)
+    sampled = total * 4 // threshold
+    bits, width = (repeats.range_bits(sampled), repeats.range_bits(total // 4)), repeats.hash_bits(sampled, SPARE_BITS)
+    one = repeats.answered(_round(table, threshold, bits, width, 1), bits[0], 1, width)
     drop_unused(spark)
-    two = repeats.answered(_round(repeats.known(table, one), threshold, bits, 2), bits[1], 2)
+    two = repeats.answered(_round(repeats.known(table, one), threshold, bits, width, 2), bits[1], 2)
     drop_unused(spark)
 
     def remove(batches):
         for batch in batches:
-            for _, ids, texts, flags in repeats.rows_of(batch):
-                pieces = list(_candidates(texts, flags, bits[0], threshold))
+            for _, ids, data_in, offsets, flags in repeats.rows_of(batch):
+                pieces = list(_candidates(data_in, offsets, flags, bits[0], width, threshold))
                 pairs = [p[4].pairs(p[5]) for p in pieces]
                 again = repeats.level_flags(flags, 2, np.concatenate(pairs) if pairs else np.empty(0, np.uint64), bits[1])[0]
                 sizes, gone, spans, shas, used = [], [], [], [], 0
