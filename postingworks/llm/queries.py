@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from postingworks.llm import (
+    checks,
     debruijn,
     decontamination,
     fingerprints,
@@ -52,7 +53,7 @@ def op7(spark, sf_dir):
     return token_files.digest(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-@query("op2_near_duplicates")
+@query("op2_near_duplicates", checks.NEAR_DUPLICATES)
 def op2(spark, sf_dir):
     return minhash.digest(read(spark, sf_dir, "documents"))
 
@@ -62,11 +63,11 @@ def op6(spark, sf_dir):
     return language.digest(read(spark, sf_dir, "documents"))
 
 
-@query("op3_substrings")
+@query("op3_substrings", checks.SUBSTRINGS)
 def op3(spark, sf_dir):
     return debruijn.digest(read(spark, sf_dir, "documents"))
 
 
-@query("op5_suffixes")
+@query("op5_suffixes", checks.SUFFIXES)
 def op5(spark, sf_dir):
     return suffixes.digest(read(spark, sf_dir, "documents"))
