@@ -1,6 +1,7 @@
 """Token ids of whole texts by a public tokenizer file, with the pieces between blanks encoded once and kept.
 
-Both kinds of vocabulary treat the pieces between blanks independently: one drops white space, the other joins a blank to
+A piece of Latin letters alone, or with one mark after it, is what the tokenizer's own splitting would leave whole, so it
+goes to the tokenizer's model directly; all other pieces go through the whole tokenizer. Both kinds of vocabulary treat the pieces between blanks independently: one drops white space, the other joins a blank to
 the piece after it. So a text's ids are those of its pieces in turn, and a worker keeps the ids of the pieces it has seen,
 up to `MOST_KEPT` of them. Where a blank follows other white space a text is cut only at blanks after a visible character,
 as runs of white space share tokens there.
@@ -13,8 +14,13 @@ import re
 
 import numpy as np
 
-MOST_KEPT, LONGEST_KEPT = 400_000, 64
+MOST_KEPT, LONGEST_KEPT, SHORT = 1_200_000, 64, 10
 END = (0).to_bytes(4, "little")
+NOTHING = "a b"  # stands for no piece at all: texts are cut at every blank after a visible character
+# letters whose lower case is one letter and whose composed form is themselves
+LATIN = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0132-\u0148\u014A-\u017E]+").fullmatch
+ODD = re.compile(r" (?<=\s )").search
+CUT = re.compile(r"(?<=\S) ").split
 _open: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -23,54 +29,81 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Pieces(dict):
+    """Ids of pieces (little-endian unsigned 32-bit), encoded when first asked for.
+
+    When full it keeps its short pieces, which are the frequent ones; very long pieces are not kept at all.
+    """
+
+    def __init__(self, ids) -> None:
+        self.ids = ids
+        self[NOTHING] = b""
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.ids(piece)
+        if len(piece) <= LONGEST_KEPT:
+            if len(self) >= MOST_KEPT:
+                short = {p: v for p, v in self.items() if len(p) <= SHORT}
+                self.clear()
+                self[NOTHING] = b""
+                if len(short) < MOST_KEPT // 2:
+                    self.update(short)
+            self[piece] = found
+        return found
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it prints, else one from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes. `blanks`: the vocabulary holds blanks joined to pieces."""
+    """Ids of texts as little-endian unsigned 32-bit bytes. `blanks`: the vocabulary holds blanks joined to pieces, and
+    case; else white space is dropped and case is lowered."""
 
     def __init__(self, path: str, blanks: bool) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.blanks = blanks
-        self.kept: dict[str, bytes] = {}
-        self.odd = re.compile(r"\s ")
-        self.cut = re.compile(r"(?<=\S) ")
+        encode, model, lead = self.tokenizer.encode, self.tokenizer.model, " " if blanks else ""
+        letters = byte_letters()
+        marks = {m: self.whole(m) for m in ".,;:!?"}
+
+        def word(letters_only: str) -> bytes:
+            raw = lead + (letters_only if blanks else letters_only.lower())
+            if not raw.isascii():
+                raw = raw.encode().decode("latin-1")
+            found = model.tokenize(raw.translate(letters))
+            return np.array([t.id for t in found], dtype="<u4").tobytes()
+
+        def ids(piece: str) -> bytes:
+            if LATIN(piece):
+                return word(piece)
+            if piece[-1:] in marks and LATIN(piece[:-1]):
+                return self.kept[piece[:-1]] + marks[piece[-1]]
+            return np.array(encode(lead + piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+        self.kept = Pieces(ids)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in done]
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """One value per text; null is empty."""
-        if len(self.kept) > MOST_KEPT:
-            self.kept = {}
-        cut, firsts, unseen = [], [], set()
+        get, out = self.kept.__getitem__, []
         for text in texts:
             text = text or ""
             if self.blanks:
-                pieces = self.cut.split(text) if self.odd.search(text) else text.split(" ")
-                firsts.append(pieces[0])
-                del pieces[0]
+                pieces = CUT(text) if ODD(text) else text.split(" ")
+                first = self.whole(pieces[0])
+                pieces[0] = NOTHING
+                out.append(first + b"".join(map(get, pieces)))
             else:
-                pieces = text.split(" ")
-            cut.append(pieces)
-            unseen.update(pieces)
-        kept = self.kept
-        new = [p for p in unseen if p not in kept]
-        lead = " " if self.blanks else ""
-        long: dict[str, bytes] = {}
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            for piece, ids in zip(part, self._ids([lead + p for p in part]), strict=True):
-                (kept if len(piece) <= LONGEST_KEPT else long)[piece] = ids
-        if long:
-            of = {**long, "": kept.get("", b"")}
-            get = lambda p: kept[p] if p in kept else of[p]
-        else:
-            get = kept.__getitem__
-        tails = [b"".join(map(get, pieces)) for pieces in cut]
-        if not self.blanks:
-            return tails
-        return [a + b for a, b in zip(self._ids(firsts), tails, strict=True)]
+                out.append(b"".join(map(get, text.split(" "))))
+        return out
 
 
 def encoder(path: str, blanks: bool) -> Encoder:
