@@ -13,11 +13,12 @@ sorts first; a null id counts as the empty text in the split; repeated rows are
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIMENSIONS = 1 << 14
@@ -156,15 +157,19 @@ def fit(docs: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", text_c
     """A model of the languages of the rows that are not held out."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"),
                        (~held_out(id_col)).alias("teaches")).where("teaches AND lang IS NOT NULL AND text IS NOT NULL")
-    languages = sorted(r["lang"] for r in rows.groupBy("lang").count().collect())
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros(DIMENSIONS), np.zeros((0, DIMENSIONS + 1)))
     df, n_docs = document_frequencies(rows.select("text"))
     idf = np.log((1.0 + n_docs) / (1.0 + df)) + 1.0
     each = max(1, sample // len(languages))
-    ranked = rows.select("id", "lang", F.xxhash64("id", "text").alias("key")).withColumn("place", F.row_number().over(
-        Window.partitionBy("lang").orderBy("key", "id"))).where(F.col("place") <= each)
-    chosen = ranked.select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct()  # at most `sample` rows
+    # the rows whose hashed id lies under a share of the hashes that holds a little more than is wanted of each language
+    spread = 1 << 31
+    under = F.from_json(F.lit(json.dumps({lang: min(spread, int(spread * (1.3 * each + 50) / n)) for lang, n in sizes.items()})),
+                        "map<string,bigint>")
+    picked = rows.withColumn("key", F.pmod(F.xxhash64("id"), F.lit(spread))).where(F.col("key") < under[F.col("lang")]).select(
+        "lang", "key", "text")
 
     def features(batches):
         for batch in batches:
@@ -180,14 +185,18 @@ def fit(docs: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", text_c
                                               pa.array(ats, pa.binary()), pa.array(ns, pa.binary())],
                                              names=["lang", "key", "at", "n"])
 
-    picked = rows.withColumn("key", F.xxhash64("id", "text")).join(F.broadcast(chosen), F.col("id").eqNullSafe(F.col("_id")) & (
-        F.col("key") == F.col("_key"))).select("lang", "key", "text")
     got = picked.mapInArrow(features, "lang string, key bigint, at binary, n binary").collect()
-    got.sort(key=lambda r: (r["key"], r["lang"]))
+    got.sort(key=lambda r: (r["key"], r["lang"], r["at"], r["n"]))
+    taken = dict.fromkeys(languages, 0)
+    chosen = []
+    for r in got:
+        if taken[r["lang"]] < each:
+            taken[r["lang"]] += 1
+            chosen.append(r)
     model = Model(languages, idf, np.zeros((len(languages), DIMENSIONS + 1)))
     number = {lang: i for i, lang in enumerate(languages)}
     examples = []
-    for r in got:
+    for r in chosen:
         at = np.frombuffer(r["at"], "<u2").astype(np.int64)
         examples.append((at, model.values(at, np.frombuffer(r["n"], "<u4")), number[r["lang"]]))
     apart = [e for i, e in enumerate(examples) if i % 5 == 0]
@@ -199,7 +208,7 @@ def fit(docs: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", text_c
     return model
 
 
-def predict(docs: DataFrame, model: Model, *, text_col: str = "text", schema: str = "lang_pred string, score double") -> DataFrame:
+def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """`docs` with lang_pred and score; nothing but the text is read for them."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((model.languages, model.idf, model.weights.astype(np.float64), model.temperature))
