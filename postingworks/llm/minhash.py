@@ -7,9 +7,13 @@ of agreeing hashes m, a bit count over the planes, estimates the likeness as (m
 more than `SLACK` under the threshold are dropped, the others are confirmed on their full sets. At the default settings two
 sets of likeness 0.8 miss every band with chance 4e-8, and the estimate lies six deviations under with less.
 
-Buckets are never expanded into all pairs. First every member is held against the least member of its buckets; what that
-links is folded into components. Then only members that are not in a bucket's most frequent component are held against the
-bucket's members of other components. So a large group of copies costs its size, and no link between components is lost.
+Buckets are never expanded into all pairs. First every member is held against the least member of its buckets, and in
+buckets of over `LARGE` members whoever is still apart from the bucket's most frequent component against members of it
+chosen by hash. What that links is folded into components. Only members that are not in a bucket's most frequent component
+are then held against the members of its other components (large buckets with the same such component go together, dealt
+over parts), and a pair is made only where the two sets' counts over
+`PLACES` hashed places leave room for enough shared shingles, a bound from above that loses no link. So a large group of
+copies costs about its size, and no link between components is lost.
 
 Defined cases: words are separated by blanks and 0x09 to 0x0D, A-Z is lowered; a text with fewer words than a shingle is
 one shingle; a text without words or a null is linked with nothing; each row is a document of its own, rows without id are
@@ -32,6 +36,8 @@ from postingworks.session import materialize
 
 HASHES, ROWS, BITS = 128, 4, 4
 SLACK = 0.22
+LARGE, ROUNDS = 64, 2
+PLACES, LEVELS, SPREAD = 512, 2, 32
 SKETCH = "id bigint, n bigint, class binary, planes array<bigint>, keys array<bigint>"
 _factors = hashing.mix(np.arange(1, HASHES + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 _shifts = hashing.mix(np.arange(1001, 1001 + HASHES, dtype=np.uint64)).astype(np.uint32)
@@ -160,6 +166,34 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_
     return rows.mapInArrow(build, "class binary, shingles binary").dropDuplicates(["class"])
 
 
+def histograms(sets: DataFrame) -> DataFrame:
+    """(class, counts, more): how many shingles of a set fall on each of `PLACES` places, as bit planes.
+
+    Plane i tells where there are more than i, `more` adds up what goes beyond `LEVELS`.
+    """
+    def count(batches):
+        for batch in batches:
+            planes, more = [], []
+            for i in range(batch.num_rows):
+                shingles = np.frombuffer(batch.column("shingles")[i].as_buffer(), "<u8")
+                n = np.bincount((shingles >> np.uint64(20) & np.uint64(PLACES - 1)).astype(np.int64), minlength=PLACES)
+                bits = n[None, :] > np.arange(LEVELS)[:, None]
+                planes.append(np.packbits(bits, axis=1, bitorder="little").view("<i8").reshape(-1))
+                more.append(int(np.maximum(n - LEVELS, 0).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(planes, pa.list_(pa.int64())), pa.array(more, pa.int64())],
+                                             names=["class", "counts", "more"])
+
+    return sets.select("class", "shingles").mapInArrow(count, "class binary, counts array<bigint>, more bigint")
+
+
+def most_shared() -> Column:
+    """A bound from above on the shingles that two sets share: place by place, the lesser count."""
+    most = F.least("more_a", "more_b").cast("bigint")
+    for word in range(LEVELS * PLACES // 64):
+        most = most + F.bit_count(F.col("counts_a")[word].bitwiseAND(F.col("counts_b")[word]))
+    return most
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """Per row: id, class (null without words), n_shingles and component_id, the least id reachable by links."""
@@ -171,45 +205,56 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("planes").alias("planes"), F.first("keys").alias("keys")), "classes")
     keyed = classes.select("class", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("least")).where("size > 1")
-    members = materialize(keyed.join(buckets.select("key", "least"), "key"), "members")
+    members = materialize(keyed.join(buckets, "key"), "members")
     drop_unused(spark)
 
     # the least member of any of its buckets is held against each member
     stars = members.where("class <> least").groupBy("class").agg(F.min("least").alias("a")).select("a", F.col("class").alias("b"))
     active = members.select("class").distinct()
     sets = materialize(full_sets(docs, classes.join(active, "class").select("id", "class"), words, id_col, text_col), "sets")
-    links = materialize(confirmed(likely(stars, classes, percent), sets, percent), "pairs")
-    drop_unused(spark)
 
-    def labelled(now: DataFrame) -> DataFrame:
-        """Members of buckets that hold several components, with their component's root."""
-        roots = components(now)
-        known = members.join(roots, members["class"] == roots["node"], "left").select(
-            "key", "class", "least", F.coalesce("root", "class").alias("root"))
-        open_keys = known.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
-        return materialize(known.join(open_keys, "key"), "open")
-
-    # then the other least members, where a bucket still holds several components
-    still = labelled(links)
-    again = still.where("class <> least").select(F.col("least").alias("a"), F.col("class").alias("b")).distinct().join(
-        stars, ["a", "b"], "left_anti")
-    apart = again.join(still.select(F.col("class").alias("a"), F.col("root").alias("root_a")).distinct(), "a").join(
-        still.select(F.col("class").alias("b"), F.col("root").alias("root_b")).distinct(), "b").where("root_a <> root_b").select("a", "b")
-    links = materialize(links.unionByName(confirmed(likely(apart, classes, percent), sets, percent)), "pairs")
-    drop_unused(spark)
+    def grown(links: DataFrame | None, pairs: DataFrame) -> DataFrame:
+        found = confirmed(likely(pairs, classes, percent), sets, percent)
+        made = materialize(found if links is None else links.unionByName(found), "links")
+        drop_unused(spark)
+        return made
 
-    # last, in each bucket, whoever isn't in its most frequent component against the members of all others
-    open_rows = labelled(links).join(classes.select("class", "n", "planes"), "class")
-    major = open_rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(
-        F.max_by("root", F.struct("size", "root")).alias("major"))
-    few = open_rows.join(major, "key").where("root <> major").select(
-        "key", F.col("class").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("planes").alias("p_a"))
-    all_rows = open_rows.join(major, "key").select(
-        F.col("key").alias("key_b"), F.col("class").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"),
-        F.col("planes").alias("p_b"), (F.col("root") == F.col("major")).alias("in_major"))
-    across = passing(few.join(all_rows, (F.col("key") == F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & (
-        F.col("in_major") | (F.col("a") < F.col("b")))), percent).select("a", "b").distinct()
-    links = materialize(links.unionByName(confirmed(across, sets, percent)), "pairs")
+    def still_open(links: DataFrame) -> DataFrame:
+        """Members of buckets that hold several components: key, class, size, root and the bucket's major root."""
+        roots = components(links)
+        known = members.join(roots, members["class"] == roots["node"], "left").select(
+            "key", "class", "size", F.coalesce("root", "class").alias("root"))
+        shares = known.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+        major = shares.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("n", "root")).alias("major"))
+        return materialize(known.join(major.where("roots > 1").select("key", "major"), "key"), "open")
+
+    links = grown(None, stars)
+    rows_left = still_open(links)
+    for turn in range(ROUNDS):
+        large = rows_left.where((F.col("size") > LARGE) & (F.pmod("key", F.lit(2 * ROUNDS)) == turn))
+        if not large.limit(1).collect():
+            continue
+        centres = large.where("root = major").groupBy("key").agg(F.min_by("class", F.xxhash64("class", "key")).alias("a"))
+        links = grown(links, large.where("root <> major").join(centres, "key").select("a", F.col("class").alias("b")).distinct())
+        rows_left = still_open(links)
+
+    # who isn't in a bucket's most frequent component, against the members of all others that the counts allow; buckets of
+    # over LARGE members go together by their most frequent component, as each holds about the same members again
+    rows_left = rows_left.withColumn("group", F.when(F.col("size") <= LARGE, F.concat(F.lit("k"), F.col("key").cast("string")))
+                                     .otherwise(F.concat(F.lit("r"), F.hex("major"))))
+    together = rows_left.groupBy("group", "class").agg(F.first("root").alias("root"), F.first("major").alias("major"))
+    wide = together.join(classes.select("class", "n", "planes"), "class").join(histograms(
+        sets.join(rows_left.select("class").distinct(), "class", "left_semi")), "class")
+    named = {"class": "", "root": "root_", "n": "n_", "planes": "p_", "counts": "counts_", "more": "more_"}
+    # each large group is dealt over SPREAD parts, the few that look for links go to all of them
+    parts = F.when(F.col("group").startswith("r"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    few = wide.where("root <> major").select("group", F.explode(parts).alias("part"), *[F.col(c).alias(f"{n}a") for c, n in named.items()])
+    every = wide.select("group", F.when(F.col("group").startswith("r"), F.pmod(F.xxhash64("class"), F.lit(SPREAD)).cast("int")).otherwise(
+        0).alias("part"), "major", *[F.col(c).alias(f"{n}b") for c, n in named.items()])
+    apart = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("major")) | (F.col("a") < F.col("b")))
+    enough = (100 + percent) * most_shared() >= percent * (F.col("n_a") + F.col("n_b"))
+    across = passing(few.join(every, ["group", "part"]).where(apart), percent).where(enough).select("a", "b")
+    links = grown(links, across.distinct())
     roots = components(links)
     drop_unused(spark)
     whole = classes.select("class", "id").join(roots, classes["class"] == roots["node"], "left").select(
