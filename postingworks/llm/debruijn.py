@@ -137,10 +137,10 @@ def _sha(text: bytes, gone: np.ndarray | None = None) -> str:
 
 def alone(found: DataFrame) -> DataFrame:
     """(block, place, lone starts) of paths that no other source place confirms; there are next to none."""
-    each = found.where(F.size("paths") > 0).select("block", "place", F.explode("paths").alias("p")).select(
-        "block", "place", "p.start", "p.path")
-    once = each.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("path")
-    return each.join(once, "path").groupBy("block", "place").agg(F.collect_list("start").alias("lone"))
+    each = found.where(F.size("paths") > 0).select("block", "place", F.explode("paths").alias("p"))
+    # one place per path is enough to know where a lone one stands, so a frequent path shrinks before the shuffle
+    once = each.groupBy("p.path").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("block", "place", "p.start")).alias("at")).where("n = 1")
+    return once.groupBy("at.block", "at.place").agg(F.collect_list("at.start").alias("lone"))
 
 
 def _removed(paths_in: list[dict], lone: list[int] | None, n: int, window: int) -> np.ndarray:
