@@ -121,7 +121,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     return stretches(byte_table(seed)[data], starts, ends, seed)
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20):
     """The batch in stretches of at most `most` text bytes (one row at least): bounded memory whatever the lengths."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
     place = np.cumsum(sizes)

@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 
-MOST_KEPT, LONGEST_KEPT, SHORT = 1_200_000, 64, 10
+MOST_KEPT, LONGEST_KEPT, SHORT = 900_000, 14, 8
 END = (0).to_bytes(4, "little")
 NOTHING = "a b"  # stands for no piece at all: texts are cut at every blank after a visible character
 # letters whose lower case is one letter and whose composed form is themselves
