@@ -2,8 +2,8 @@
 
 `base_spans` finds the four strict kinds (email, ip, card, phone) with checked parts, digits and check sums. Generators
 with loose patterns then propose spans, which may overlap each other; each gets a few small whole-number features of its
-format and context. Boosted trees are fitted on all candidates of the given documents, with those that overlap a strict
-span as positives: Spark counts the candidates per feature vector, and since the vectors are few (their number is bounded
+format and context. Boosted trees are fitted on all candidates of the given documents, with those as positives that overlap
+a strict span, or are one in another form (an email with [at] or [dot] spelled out, an IPv6 address of eight groups): Spark counts the candidates per feature vector, and since the vectors are few (their number is bounded
 by the product of the features' values, whatever the input) the trees are fitted on these counts. Scores are turned into
 probabilities on documents held out of the fit, and a candidate is selected from `threshold` on. Base spans always stay.
 
@@ -36,6 +36,10 @@ PATTERNS = {
 _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?"
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
+_AT = r"[(\[{]\x20?(?:at|AT)\x20?[)\]}]"
+_DOT = r"[(\[{]\x20?(?:dot|DOT)\x20?[)\]}]"
+IPV6 = r"^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$"
+
 # broad generators; the order gives the feature `family`
 GENERATORS = {
     "address": r"[A-Za-z0-9._%+-]{1,64}\x20?(?:@|[(\[{]\x20?(?:at|AT)\x20?[)\]}])\x20?[A-Za-z0-9-]++"
@@ -113,6 +117,15 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[of(kind) for kind in KINDS])
 
 
+def known_form(family: int, value: Column) -> Column:
+    """Whether a candidate is personal data by its form though no strict pattern takes it as it is written."""
+    name = list(GENERATORS)[family]
+    if name == "address":
+        plain = F.regexp_replace(F.regexp_replace(value, rf"\x20?{_AT}\x20?", "@"), rf"\x20?{_DOT}\x20?", ".")
+        return value.rlike(rf"{_AT}|{_DOT}") & plain.rlike(rf"^{_LOCAL}+@{_LABEL}+(?:\.{_LABEL}+)+")
+    return value.rlike(IPV6) if name == "network" else F.lit(False)
+
+
 def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
@@ -134,7 +147,7 @@ def _features(family: int, m: Column) -> Column:
         parts = {"family": F.lit(family), "digits": level, "separators": others, "groups": groups,
                  "cue": cue,
                  "luhn": F.when(n.between(12, 19), luhn(digits).cast("int")).otherwise(0),
-                 "octets": valid("ip", value).cast("int"), "domain": domain,
+                 "octets": F.when(valid("ip", value), 1).when(value.rlike(IPV6), 2).otherwise(0), "domain": domain,
                  "joined": after.rlike("[0-9A-Za-z]").cast("int")}
         return F.struct(*[parts[f].cast("int").alias(f) for f in FEATURES])
 
@@ -142,11 +155,13 @@ def _features(family: int, m: Column) -> Column:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """All proposed spans as [(start, end, features, strict)]; strict: it overlaps a base span."""
+    """All proposed spans as [(start, end, features, strict, positive)]; strict: it overlaps a base span; positive: that, or
+    it is personal data in another form."""
     def of(family: int, name: str, pattern: str) -> Column:
         return F.transform(matches(text, pattern, text.rlike(GUARDS[name])), lambda m: F.struct(
             m["start"].alias("start"), m["end"].alias("end"), _features(family, m).alias("features"),
-            F.exists(base, lambda b: overlaps(m, b)).alias("strict")))
+            F.exists(base, lambda b: overlaps(m, b)).alias("strict"),
+            (F.exists(base, lambda b: overlaps(m, b)) | known_form(family, m["value"])).alias("positive")))
 
     return F.concat(*[of(i, name, pattern) for i, (name, pattern) in enumerate(GENERATORS.items())])
 
@@ -197,7 +212,7 @@ def _split(x, g, h):
 
 
 def boost(x: np.ndarray, positive: np.ndarray, total: np.ndarray, rounds: int = 40, rate: float = 0.3) -> Trees:
-    """Trees by Newton steps on the logistic loss; row i stands for `total` candidates, `positive` of them strict."""
+    """Trees by Newton steps on the logistic loss; row i stands for `total` candidates."""
     share = (positive.sum() + 0.5) / (total.sum() + 1.0)
     model = Trees(float(np.log(share / (1 - share))))
     score = np.zeros(len(x)) + model.prior
@@ -241,7 +256,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thre
     found = rows.where(F.col("text").rlike(r"[0-9@]|[(\[{]\x20?(?:at|AT)")).select("held", F.explode(
         bound(base_spans(F.col("text")), lambda b: candidates(F.col("text"), b))).alias("c"))
     counts = found.groupBy("c.features", "held").agg(
-        F.sum(F.col("c.strict").cast("bigint")).alias("positive"), F.count(F.lit(1)).alias("total")).collect()
+        F.sum(F.col("c.positive").cast("bigint")).alias("positive"), F.count(F.lit(1)).alias("total")).collect()
     if not counts:
         return Trees()
     counts.sort(key=lambda r: (tuple(r["features"]), r["held"]))
@@ -253,25 +268,46 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thre
     return calibrated(boost(x[~held], positive[~held], total[~held]), x[held], positive[held], total[held], threshold)
 
 
-def added_spans(text: Column, base: Column, model: Trees) -> Column:
-    """Selected candidates apart from the base spans as [(kind, start, end)] by start; of overlapping ones the best stays."""
+def selected(text: Column, base: Column, model: Trees) -> Column:
+    """All candidates apart from the base spans whose score selects them, by start; they may overlap."""
     least = model.least_score
-    if least is None:
-        return F.array().cast(SPANS)
     scored = F.transform(F.filter(candidates(text, base), lambda c: ~c["strict"]), lambda c: F.struct(
-        model.score(c["features"]).cast("double").alias("score"), (c["end"] - c["start"]).alias("length"),
-        (-c["start"]).alias("place"), c["features"]["family"].alias("family"), c["start"].alias("start"), c["end"].alias("end")))
-    chosen = F.filter(scored, lambda c: c["score"] >= least)
+        c["start"].alias("start"), c["end"].alias("end"), model.score(c["features"]).cast("double").alias("score"),
+        c["features"]["family"].alias("family")))
+    chosen = F.filter(scored, lambda c: c["score"] >= F.lit(least).cast("double"))
+    return F.array_sort(chosen)
+
+
+def named(spans: Column) -> Column:
+    names = F.array(*[F.lit(n) for n in GENERATORS])
+    return F.transform(spans, lambda c: F.struct(F.get(names, c["family"]).alias("kind"), c["start"].alias("start"),
+                                                 c["end"].alias("end")))
 
-    def best(items: Column) -> Column:
-        kept = F.filter(items, lambda c: ~F.exists(items, lambda o: overlaps(c, o) & (o > c)))
-        names = F.array(*[F.lit(n) for n in GENERATORS])
-        spans = F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"),
-                                                     F.get(names, c["family"]).alias("kind")))
-        return F.transform(F.array_sort(spans), lambda c: F.struct(
-            c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
 
-    return bound(chosen, best)
+def apart(items: Column) -> Column:
+    """Of spans by start, those that overlap no better one that stays: best first, by stretches of overlapping spans."""
+    def fold(group: Column) -> Column:
+        ranked = F.reverse(F.array_sort(F.transform(group, lambda c: F.struct(
+            c["score"].alias("score"), (c["end"] - c["start"]).alias("length"), (-c["start"]).alias("place"),
+            c["family"].alias("family"), c["start"].alias("start"), c["end"].alias("end")))))
+        spans = F.transform(ranked, lambda c: F.struct(*[c[f].alias(f) for f in ("start", "end", "score", "family")]))
+        none = F.filter(spans, lambda _: F.lit(False))
+        return F.array_sort(F.aggregate(spans, none, lambda kept, c: F.when(
+            F.exists(kept, lambda k: overlaps(c, k)), kept).otherwise(F.concat(kept, F.array(c)))))
+
+    def by_stretch(reach: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(items) - 1), lambda i: F.get(items, i)["start"] >= F.get(reach, i))
+        return bound(heads, lambda h: F.flatten(F.transform(h, lambda i, k: bound(F.slice(
+            items, i + 1, F.coalesce(F.get(h, k + 1), F.size(items)) - i), fold))))
+
+    return F.when(F.size(items) > 1, bound(prefix_maxima(F.transform(items, lambda c: c["end"])), by_stretch)).otherwise(items)
+
+
+def added_spans(text: Column, base: Column, model: Trees) -> Column:
+    """Selected candidates apart from the base spans as [(kind, start, end)] by start; of overlapping ones the best stays."""
+    if model.least_score is None:
+        return F.array().cast(SPANS)
+    return bound(selected(text, base, model), lambda items: named(apart(items)))
 
 
 def find(docs: DataFrame, model: Trees, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,7 +345,9 @@ def redacted(docs: DataFrame, model: Trees, *, text_col: str = "text", length_co
     `length_col`, where it is named, which follows the length of changed texts.
     """
     def clean(t: Column) -> Column:
-        return bound(base_spans(t), lambda b: redact(t, F.concat(b, added_spans(t, b, model))))
+        # all selected spans, also those a better one overlaps: what they hold beyond it goes as well
+        more = F.array().cast(SPANS)
+        return bound(base_spans(t), lambda b: redact(t, F.concat(b, more if model.least_score is None else named(selected(t, b, model)))))
 
     held = docs.select(F.struct("*").alias("_doc"), F.when(F.col(text_col).isNotNull(), bound(
         F.coalesce(F.col(text_col), F.lit("")), clean)).alias("_text"))

@@ -134,3 +134,47 @@ def test_query_equals_the_plain_patterns(spark):
         spans = plain(r.text)
         assert got[r.doc_id].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{e}" for k, a, e in spans).encode()).hexdigest()
         assert got[r.doc_id].n_phone == sum(k == "phone" for k, *_ in spans)
+
+
+def test_only_spans_that_stay_drop_others(spark):
+    """Brute force over random overlapping spans, and a chain of three whose ends overlap nothing that is kept."""
+    rng = random.Random(6)
+    rows = [[(0, 10, 0.9, 1), (8, 20, 0.8, 2), (18, 30, 0.7, 1)], []]
+    for _ in range(200):
+        starts = [rng.randint(0, 60) for _ in range(rng.randint(1, 12))]
+        rows.append(sorted((s, s + rng.randint(1, 15), rng.choice([0.5, 0.7, 0.9]), rng.randint(0, 3)) for s in starts))
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, s array<struct<start:int,end:int,score:double,family:int>>")
+    got = {r.i: [tuple(s) for s in r.s] for r in df.select("i", pii.apart(F.col("s")).alias("s")).collect()}
+    assert got[0] == [rows[0][0], rows[0][2]]
+    for i, spans in enumerate(rows):
+        kept = []
+        for a, e, score, family in sorted(spans, key=lambda s: (s[2], s[1] - s[0], -s[0], s[3]), reverse=True):
+            if all(e <= k[0] or k[1] <= a for k in kept):
+                kept.append((a, e, score, family))
+        assert got[i] == sorted(kept)
+
+
+def test_a_selected_span_is_redacted_beyond_a_better_one(documents):
+    """Every digit of every selected span goes, whichever of overlapping spans is the best."""
+    docs = documents(["call 2345 678 9012 3456 7890 12 now", "call 123.45.678.901.23.45.67 now"])
+    model = pii.Trees(0.0, [(0, 1, (0, 1, 1.0, 1.0), (0, 1, 2.0, 2.0))], [(0.5, 0.99)], 0.95)  # grouped above number
+    got = by_id(pii.redacted(docs, model))
+    assert not re.search("[0-9]", got[0].text + got[1].text)
+    spans = by_id(pii.find(docs, model))
+    assert all(a.end <= b.start for r in spans.values() for a, b in zip(r.added, r.added[1:], strict=False))
+
+
+@pytest.mark.parametrize("times", [40, 900])
+def test_other_forms_of_personal_data_are_found(documents, times):
+    """Emails with [at] and [dot] and IPv6 addresses are positives, rare or frequent; versions and times of day are not."""
+    rng = random.Random(8)
+    name = lambda: "".join(rng.choices("abcdefgh", k=6))
+    v6 = lambda: ":".join(f"{rng.randint(0, 65535):x}" for _ in range(8))
+    forms = [f"write to {name()} [at] {name()} [dot] org today" for _ in range(times)] + [f"seen at host {v6()} again" for _ in range(times)]
+    texts = forms + [f"write to {name()}@{name()}.org today" for _ in range(1500)]
+    texts += [f"seen at host 10.2.{rng.randint(0, 255)}.{rng.randint(0, 255)} again" for _ in range(1500)]
+    texts += [f"lap {rng.randint(10, 23)}:{rng.randint(10, 59)}:{rng.randint(10, 59)}:{rng.randint(10, 59)} of page {rng.randint(10**6, 10**9)}" for _ in range(600)]
+    docs = documents(texts)
+    got = by_id(pii.digest(docs, pii.fit(docs, threshold=0.95)))
+    assert all(got[i].n_added == 1 for i in range(2 * times))
+    assert sum(got[i].n_added for i in range(2 * times, len(texts))) == 0
