@@ -3,12 +3,12 @@ regularised-leader with elastic-net penalties, then calibrated by one temperatur
 
 Texts are lowered, what isn't a letter counts as a blank, and runs of one to three characters are hashed to `DIMENSIONS`
 features. Document frequencies are counted over all training documents, each partition adding up its own; the classifier
-is fitted on at most `SAMPLE` documents, spread evenly over the languages and chosen by a hash of their id, so the fit costs
-the same at any size. Every document is read whole and predicted in Arrow batches.
+is fitted on at most `SAMPLE` documents, spread evenly over the languages and chosen by a hash of their id and text, so the
+fit costs the same at any size. Every document is read whole and predicted in Arrow batches.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; rows without language or text teach nothing; a
 single language is predicted with score 1, and with nothing to learn from every text is `und`; ties go to the language that
-sorts first; a null id counts as the empty text in the split; repeated rows are kept; other columns are never read.
+sorts first; a null id counts as the empty text in the split; repeated rows are kept, and stand once in the sample; other columns are never read.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIMENSIONS = 1 << 14
@@ -157,18 +157,20 @@ def fit(docs: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", text_c
     """A model of the languages of the rows that are not held out."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"),
                        (~held_out(id_col)).alias("teaches")).where("teaches AND lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    identity = F.xxhash64("id", "text")
+    sizes = {r["lang"]: max(r["n"], 1) for r in rows.groupBy("lang").agg(F.approx_count_distinct(identity, 0.02).alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros(DIMENSIONS), np.zeros((0, DIMENSIONS + 1)))
     df, n_docs = document_frequencies(rows.select("text"))
     idf = np.log((1.0 + n_docs) / (1.0 + df)) + 1.0
     each = max(1, sample // len(languages))
-    # the rows whose hashed id lies under a share of the hashes that holds a little more than is wanted of each language
+    # the rows whose hash lies under a share of the hashes that holds a little more than is wanted of each language; neither
+    # null or repeated ids nor repeated rows, which count once, add to it
     spread = 1 << 31
-    under = F.from_json(F.lit(json.dumps({lang: min(spread, int(spread * (1.3 * each + 50) / n)) for lang, n in sizes.items()})),
+    under = F.from_json(F.lit(json.dumps({lang: min(spread, int(spread * (1.4 * each + 50) / n)) for lang, n in sizes.items()})),
                         "map<string,bigint>")
-    picked = rows.withColumn("key", F.pmod(F.xxhash64("id"), F.lit(spread))).where(F.col("key") < under[F.col("lang")]).select(
+    picked = rows.withColumn("key", F.pmod(identity, F.lit(spread))).where(F.col("key") < under[F.col("lang")]).select(
         "lang", "key", "text")
 
     def features(batches):
@@ -185,14 +187,12 @@ def fit(docs: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", text_c
                                               pa.array(ats, pa.binary()), pa.array(ns, pa.binary())],
                                              names=["lang", "key", "at", "n"])
 
-    got = picked.mapInArrow(features, "lang string, key bigint, at binary, n binary").collect()
-    got.sort(key=lambda r: (r["key"], r["lang"], r["at"], r["n"]))
-    taken = dict.fromkeys(languages, 0)
-    chosen = []
-    for r in got:
-        if taken[r["lang"]] < each:
-            taken[r["lang"]] += 1
-            chosen.append(r)
+    # repeated rows fall together before the shuffle, and the ranking sees the few rows of the share only
+    found = picked.mapInArrow(features, "lang string, key bigint, at binary, n binary").groupBy("lang", "key").agg(
+        F.min(F.struct("at", "n")).alias("f"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    chosen = found.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "key", "f.at", "f.n").collect()
+    chosen.sort(key=lambda r: (r["key"], r["lang"]))
     model = Model(languages, idf, np.zeros((len(languages), DIMENSIONS + 1)))
     number = {lang: i for i, lang in enumerate(languages)}
     examples = []

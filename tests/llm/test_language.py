@@ -93,3 +93,31 @@ def test_query_on_the_given_tables(spark):
     docs = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     got = [r for r in QUERIES["op6_language"](spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert sum(r.lang_pred == docs[r.doc_id] for r in got) / len(got) > 0.95
+
+
+def test_null_and_repeated_ids_and_rows_take_no_more_than_their_share(spark, monkeypatch):
+    """Neither more rows than the sample reach the driver, nor do rows of one id or one text fill it."""
+    rng = random.Random(5)
+    odd = "zzz qqq " + "zq " * 5
+    at = set(language.counted("zq")[0]) - set(language.counted("katomi schungein équeou")[0])
+    rows = [(None, odd + text_in(lang, 20, rng), lang) for lang in ("aa", "bb") for _ in range(700)]
+    # an id whose hash is small, and many copies of one row
+    rows += [(7, odd + text_in(lang, 20, rng), lang) for lang in ("aa", "bb") for _ in range(300)]
+    rows += [(11, odd + "kato", lang) for lang in ("aa", "bb") for _ in range(2000)]
+    rows += [(i, text_in(lang, 20, rng), lang) for lang in ("aa", "bb") for i in range(20_000, 23_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    sizes, taught = [], []
+    plain, learn = type(docs).collect, language.follow_the_leader
+    monkeypatch.setattr(type(docs), "collect", lambda df: [sizes.append((len(r), df.columns)) or r for r in [plain(df)]][0])
+    monkeypatch.setattr(language, "follow_the_leader", lambda examples, n: taught.extend(examples) or learn(examples, n))
+    language.fit(docs, sample=400)
+    assert max(n for n, columns in sizes if "at" in columns) <= 400
+    assert 250 <= len(taught) <= 400
+    share = sum(bool(at & set(a.tolist())) for a, *_ in taught) / len(taught)
+    expected = sum(odd in t for _, t in {(i, t) for i, t, _ in rows if not language_held(i)}) / len({
+        (i, t) for i, t, _ in rows if not language_held(i)})
+    assert abs(share - expected) < 0.12
+
+
+def language_held(i):
+    return zlib.crc32(("" if i is None else str(i)).encode()) % 3 == 1
