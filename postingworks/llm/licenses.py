@@ -4,7 +4,11 @@ Segments are the lines of a text, its paragraphs of several lines (set apart by
 they are not the same. Words are longest stretches of a-z and 0-9 once A-Z is lowered; a segment's set holds its distinct
 pairs of adjacent words. A template of b bigrams can only reach Dice t with a segment of a bigrams if
 a * (2 - t) >= b * t and b * (2 - t) >= a * t, so segments outside all templates' bounds are never cut into bigrams and a
-bigram meets only the templates in bounds. Templates are a small table (their bigrams are counted before the join).
+bigram meets only the templates in bounds. Licences that stand within a longer stretch, of several paragraphs or inside a
+line, are found by windows of words: a text that holds the distinct bigrams which any window with Dice t must share,
+t * b / (2 - t), is cut into windows of the template's length, an eighth of it apart, and the ends of the best ones are moved
+in ever smaller steps to where Dice is highest. Of overlapping windows the one with most shared bigrams times Dice stays, and
+it counts where no segment has its licence. Templates are a small table (their bigrams are counted before the join).
 
 Defined cases: null, empty and wordless texts have no segments and no licence, as have segments of a single word; equal
 scores go to the template that sorts first; rows that agree in id and text are one document; other columns are never read.
@@ -12,10 +16,13 @@ scores go to the template that sorts first; rows that agree in id and text are o
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postingworks.llm.common import bound, lower_ascii
+from postingworks.llm.pii import apart
 
 THRESHOLD = 0.8
 BROADCAST_BIGRAMS = 200_000
@@ -70,19 +77,44 @@ TEMPLATES = {
 }
 
 
+# further public licences, which the checking SQL doesn't know; full texts stand in files, read on the driver
+_BSD = TEMPLATES["BSD-2-Clause"]
+FURTHER = {
+    "BSD-3-Clause": _BSD.replace("THIS SOFTWARE IS", "3. Neither the name of the copyright holder nor the names of its "
+                                 "contributors may be used to endorse or promote products derived from this software without "
+                                 "specific prior written permission. THIS SOFTWARE IS", 1),
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+    "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+    "purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or "
+    "authors of this software dedicate any and all copyright interest in the software to the public domain. We make this "
+    "dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this "
+    "dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under "
+    "copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT "
+    "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+    "AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING "
+    "FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please "
+    "refer to <https://unlicense.org>",
+} | {f.stem: f.read_text() for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+
 def templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(TEMPLATES.items()), "license string, text string")
+    return spark.createDataFrame(list((TEMPLATES | FURTHER).items()), "license string, text string")
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def _placed(w: Column) -> Column:
+    """Hashes of adjacent words, by place; empty if there are under two."""
+    return bound(w, lambda v: F.when(F.size(v) >= 2, F.transform(
+        F.sequence(F.lit(0), F.size(v) - 2), lambda i: F.xxhash64(F.get(v, i), F.get(v, i + 1)))).otherwise(
+        F.array().cast("array<bigint>")))
+
+
 def _bigrams(w: Column) -> Column:
     """Distinct hashes of adjacent words; empty if there are under two."""
-    return bound(w, lambda v: F.when(F.size(v) >= 2, F.array_distinct(F.transform(
-        F.sequence(F.lit(0), F.size(v) - 2), lambda i: F.xxhash64(F.get(v, i), F.get(v, i + 1))))).otherwise(
-        F.array().cast("array<bigint>")))
+    return F.array_distinct(_placed(w))
 
 
 def template_bigrams(table: DataFrame) -> DataFrame:
@@ -99,10 +131,59 @@ def segments(text: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(lines, blocks, F.array(text)), lambda s: s.rlike("[A-Za-z0-9]")))
 
 
+def _best_windows(g: Column, grams: Column, length: Column, threshold: float) -> Column:
+    """Windows [(start, end, dice, shared)] of the bigrams `g` around the best places of a template."""
+    def score(start: Column, end: Column) -> Column:
+        return bound(F.slice(g, start + 1, F.greatest(end - start, F.lit(1))), lambda s: bound(
+            F.size(F.array_intersect(s, grams)), lambda n: F.struct(
+                (2.0 * n / (F.size(F.array_distinct(s)) + F.size(grams))).alias("dice"), n.alias("shared"),
+                (-start).alias("less"), end.alias("end"))))
+
+    def moved(w: Column, step: Column, reach: int) -> Column:
+        by = F.sequence(F.lit(-reach), F.lit(reach))
+        first = F.array_max(F.transform(by, lambda k: score(F.greatest(F.least(-w["less"] + k * step, w["end"] - 1), F.lit(0)), w["end"])))
+        return bound(first, lambda f: F.array_max(F.transform(by, lambda k: score(-f["less"], F.least(
+            F.greatest(f["end"] + k * step, 1 - f["less"]), F.size(g))))))
+
+    def stepped(part: int) -> Column:
+        return F.greatest(F.floor(length / part).cast("int"), F.lit(1))
+
+    def refined(w: Column) -> Column:
+        return bound(moved(w, stepped(16), 8), lambda a: bound(moved(a, stepped(64), 4), lambda b: moved(b, F.lit(1), 4)))
+
+    def peaks(rough: Column) -> Column:
+        best = F.filter(rough, lambda w, i: (w["dice"] >= 0.68 * threshold) & (w == F.array_max(
+            F.slice(rough, F.greatest(i - 2, F.lit(1)), F.least(i + 1, F.lit(4)) + 3))))
+        return F.filter(F.transform(best, refined), lambda w: w["dice"] >= threshold)
+
+    starts = F.sequence(F.lit(0), F.greatest(F.size(g) - length + stepped(8), F.lit(0)), stepped(8))
+    inside = F.filter(starts, lambda s: s < F.size(g))
+    return bound(F.transform(inside, lambda s: score(s, F.least(s + length, F.size(g)))), peaks)
+
+
+def windows(rows: DataFrame, table: DataFrame, threshold: float, small: bool) -> DataFrame:
+    """Rows (id, text_hash, license, dice), one per distinct window of a text (id, text_hash, text) that no better overlaps."""
+    cut = table.select("license", _placed(words(F.coalesce("text", F.lit("")))).alias("t_all")).where(F.size("t_all") > 0)
+    known = cut.select("license", F.size("t_all").alias("length"), F.array_distinct("t_all").alias("grams"))
+    least = F.ceil(F.size("grams") * (threshold / (2 - threshold)) - 1e-9)
+    met = rows.select("id", "text_hash", _placed(words(F.col("text"))).alias("g")).where(F.size("g") > 0).crossJoin(
+        F.broadcast(known) if small else known).where((F.size("g") >= least) & (F.size(F.array_intersect("g", "grams")) >= least))
+    found = met.select("id", "text_hash", "license", F.transform(
+        _best_windows(F.col("g"), F.col("grams"), F.col("length"), threshold), lambda w: F.struct(
+            (-w["less"]).alias("start"), w["end"].alias("end"), (w["shared"] * w["dice"]).alias("score"), F.lit(0).alias("family"),
+            w["dice"].alias("dice"), F.col("license").alias("license"),
+            F.xxhash64(F.slice(F.col("g"), 1 - w["less"], w["end"] + w["less"])).alias("content"))).alias("found"))
+    each = found.groupBy("id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
+    kept = each.select("id", "text_hash", F.explode(F.array_distinct(F.transform(apart(
+        F.col("found"), ("dice", "license", "content")), lambda w: F.struct(*[w[f].alias(f) for f in ("license", "dice", "content")]))))
+        .alias("w"))
+    return kept.select("id", "text_hash", "w.license", "w.dice")
+
+
 def scan(docs: DataFrame, table: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text",
          broadcast_bigrams: int = BROADCAST_BIGRAMS) -> DataFrame:
     """Per document: id, and its matches [(segment, license, dice)], the best template of each segment that reaches the
-    threshold; segments that are equal count once."""
+    threshold, then windows (segment null) with a licence that no segment has; segments that are equal count once."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
     grams = template_bigrams(table)
@@ -110,7 +191,8 @@ def scan(docs: DataFrame, table: DataFrame, *, threshold: float = THRESHOLD, id_
     t = threshold
     least = min((r["t_size"] for r in sizes), default=0) * t / (2 - t)
     most = max((r["t_size"] for r in sizes), default=0) * (2 - t) / t
-    if sum(r["n"] for r in sizes) <= broadcast_bigrams:
+    small = sum(r["n"] for r in sizes) <= broadcast_bigrams
+    if small:
         grams = F.broadcast(grams)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"),
                        F.coalesce(text_col, F.lit("")).alias("text"))
@@ -129,9 +211,14 @@ def scan(docs: DataFrame, table: DataFrame, *, threshold: float = THRESHOLD, id_
     good = scored.where((F.col("segment") == 0) | (F.col("dice") >= t))
     best = good.groupBy("id", "text_hash", "segment").agg(
         F.min(F.struct((-F.col("dice")).alias("less"), F.col("license").alias("license"))).alias("b"))
-    return best.groupBy("id", "text_hash").agg(F.array_sort(F.collect_list(F.when(F.col("segment") > 0, F.struct(
-        F.col("segment").alias("segment"), F.col("b.license").alias("license"), (-F.col("b.less")).alias("dice"))))).alias(
-        "matches")).select(F.col("id").alias(id_col), "text_hash", "matches")
+    each = best.select("id", "text_hash", "segment", F.col("b.license").alias("license"), (-F.col("b.less")).alias("dice"))
+    inner = windows(rows, table, t, small).select("id", "text_hash", F.lit(None).cast("int").alias("segment"), "license", "dice")
+    whole = each.unionByName(inner).groupBy("id", "text_hash").agg(F.collect_list(F.when(
+        F.col("license").isNotNull(), F.struct("segment", "license", "dice"))).alias("all"))
+    cut = F.array_sort(F.filter("all", lambda m: m["segment"].isNotNull()))
+    within = F.array_sort(F.filter("all", lambda m: m["segment"].isNull() & ~F.exists("all", lambda o: o["segment"].isNotNull() & (
+        o["license"] == m["license"]))))
+    return whole.select(F.col("id").alias(id_col), "text_hash", F.concat(cut, within).alias("matches"))
 
 
 def digest(docs: DataFrame, table: DataFrame) -> DataFrame:

@@ -284,13 +284,16 @@ def named(spans: Column) -> Column:
                                                  c["end"].alias("end")))
 
 
-def apart(items: Column) -> Column:
-    """Of spans by start, those that overlap no better one that stays: best first, by stretches of overlapping spans."""
+def apart(items: Column, also: tuple = ()) -> Column:
+    """Of spans by start, those that overlap no better one that stays: best first, by stretches of overlapping spans.
+
+    Spans have start, end, score and family, and keep the fields named in `also`.
+    """
     def fold(group: Column) -> Column:
         ranked = F.reverse(F.array_sort(F.transform(group, lambda c: F.struct(
             c["score"].alias("score"), (c["end"] - c["start"]).alias("length"), (-c["start"]).alias("place"),
-            c["family"].alias("family"), c["start"].alias("start"), c["end"].alias("end")))))
-        spans = F.transform(ranked, lambda c: F.struct(*[c[f].alias(f) for f in ("start", "end", "score", "family")]))
+            c["family"].alias("family"), c["start"].alias("start"), c["end"].alias("end"), *[c[f].alias(f) for f in also]))))
+        spans = F.transform(ranked, lambda c: F.struct(*[c[f].alias(f) for f in ("start", "end", "score", "family", *also)]))
         none = F.filter(spans, lambda _: F.lit(False))
         return F.array_sort(F.aggregate(spans, none, lambda kept, c: F.when(
             F.exists(kept, lambda k: overlaps(c, k)), kept).otherwise(F.concat(kept, F.array(c)))))
