@@ -3,12 +3,13 @@
 Every window of `window` words is an edge from its first to its last `window - 1` words. Round one finds the edges that
 occur more than once. Round two asks, for these, whether all occurrences go on with the same word and come from the same
 word; where they don't, or where a document begins or ends, a path ends. Inside documents the edges between such places
-are one nonbranching path, the same wherever it occurs, and are carried as one row. Paths are then joined on a digest of
-all their words: only paths found at two source places at least are verified, and the words they cover are removed.
+are one nonbranching path, the same wherever it occurs, put together per document in a Python task. One aggregate by the
+digest of a path's word hashes then finds paths that stand at one source place only; the words of all others are removed.
+Equal digests count as equal words: nothing is compared beyond them, and no join of paths on their places takes part.
 
 Window hashes keep `SPARE_BITS` bits more than it takes to number all windows, so about one in 2**SPARE_BITS meets another
 by chance. That ends the paths on both sides of it wherever it occurs, and a path that is alone removes nothing, so the
-result is exact all the same.
+result is exact as far as the hashes of words and their digests tell words apart.
 
 Defined cases: a null text has no words; a text shorter than a window loses nothing; each row is a document of its own, so
 repeated rows are copies of each other; an empty table gives no rows; other columns are never read.
