@@ -9,6 +9,7 @@ from postingworks.llm import (
     fingerprints,
     language,
     licenses,
+    manifest,
     minhash,
     packing,
     pii,
@@ -71,3 +72,8 @@ def op3(spark, sf_dir):
 @query("op5_suffixes", checks.SUFFIXES)
 def op5(spark, sf_dir):
     return suffixes.digest(read(spark, sf_dir, "documents"))
+
+
+@query("op11_manifest", manifest.SQL)
+def op11(spark, sf_dir):
+    return manifest.digest(read(spark, sf_dir, "documents"))
