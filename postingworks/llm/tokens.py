@@ -20,7 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MOST_KEPT, MOST_WORDS, BYTES_KEPT, LONGEST_KEPT = 300_000, 500_000, 32 << 20, 64
+KEPT = (150_000, 300_000)  # pieces, words
+BYTES_KEPT, LONGEST_KEPT = 48 << 20, 64
 AT_ONCE = 20_000
 END = (0).to_bytes(4, "little")
 # letters whose lower case is one letter and whose composed form is themselves
@@ -30,7 +31,7 @@ MARKS = r"!-&(-/:-@\[-`{-~"
 NOT_PLAIN = rf"[^{LATIN}0-9{MARKS}'\n]|^\n|\n$|^$|'[{MARKS}]|[{MARKS}]'|<\|"
 ODD = re.compile(r" (?<=\s )").search
 CUT = re.compile(r"(?<=\S) ").split
-_open: dict[tuple[str, bool], Encoder] = {}
+_open: dict[tuple[str, bool, tuple[int, int]], Encoder] = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -88,13 +89,13 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes. `blanks`: the vocabulary holds blanks joined to pieces, and
     case; else white space is dropped and case is lowered."""
 
-    def __init__(self, path: str, blanks: bool) -> None:
+    def __init__(self, path: str, blanks: bool, kept: tuple[int, int] = KEPT) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.blanks = blanks
         self.letters = byte_letters()
-        self.kept, self.words = Pieces(self.cut, MOST_KEPT), Pieces(self.parts, MOST_WORDS)
+        self.kept, self.words = Pieces(self.cut, kept[0]), Pieces(self.parts, kept[1])
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -156,11 +157,11 @@ class Encoder:
         return [odd[i] if i in odd else b"".join(parts[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
 
 
-def encoder(path: str, blanks: bool) -> Encoder:
+def encoder(path: str, blanks: bool, kept: tuple[int, int] = KEPT) -> Encoder:
     """The worker's encoder for a file; it lasts as long as the worker does."""
-    key = (path, blanks)
+    key = (path, blanks, kept)
     if key not in _open:
-        _open[key] = Encoder(path, blanks)
+        _open[key] = Encoder(path, blanks, kept)
     return _open[key]
 
 
