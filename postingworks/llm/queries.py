@@ -13,6 +13,7 @@ from postingworks.llm import (
     minhash,
     packing,
     pii,
+    spelling,
     suffixes,
     token_files,
 )
@@ -77,3 +78,8 @@ def op5(spark, sf_dir):
 @query("op11_manifest", manifest.SQL)
 def op11(spark, sf_dir):
     return manifest.digest(read(spark, sf_dir, "documents"))
+
+
+@query("op12_spelling", spelling.SQL)
+def op12(spark, sf_dir):
+    return spelling.digest(read(spark, sf_dir, "documents"))
