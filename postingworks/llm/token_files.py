@@ -36,7 +36,7 @@ LANES = 1024
 BLOCK_TOKENS = 1 << 17
 SEGMENT_TOKENS = 1 << 21
 MAGIC = b"RTF1"
-KEPT = (400_000, 900_000)  # pieces and words whose ids a worker keeps
+MOST_KEPT = 600_000  # words whose ids a worker keeps, in each of two generations
 LOW = np.uint64(1 << 31)
 HEAD = struct.Struct("<4sQIII")
 DOCUMENT = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("tokens", "<u8")])
@@ -182,7 +182,7 @@ def write(docs: DataFrame, folder: str, path: str, *, blanks: bool = True, end:
     def segments(batches):
         from pyspark import TaskContext
         part, number = TaskContext.get().partitionId(), 0
-        encode = encoder(path, blanks, KEPT).encode
+        encode = encoder(path, blanks, MOST_KEPT).encode
         ids, data, size = [], [], 0
 
         def close():

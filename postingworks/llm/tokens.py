@@ -2,12 +2,11 @@
 
 Both kinds of vocabulary treat the pieces between blanks independently: one drops white space, the other joins a blank to
 the piece after it. So a text's ids are those of its pieces in turn. Texts go through in slices: a slice's pieces are cut
-and numbered in Arrow, only its distinct pieces are looked up, and their ids are put together by one gather. A worker keeps
-the ids of pieces in two generations bounded in number and bytes: a full generation becomes the old one, and a piece found
-there moves to the new. Unknown pieces of Latin letters, digits and ASCII marks are cut on where the tokenizer's own
-splitting would cut them: words of letters, which many pieces share, go to its model directly and are kept as well; all
-other pieces go through the whole tokenizer. Where a blank follows other white space a text is cut only at blanks after a
-visible character, as runs of white space share tokens there.
+and numbered in Arrow, and only its distinct pieces are encoded. Pieces of Latin letters, digits and ASCII marks are cut on
+where the tokenizer's own splitting would cut them: words of letters, which many pieces share, go to its model directly; all
+other pieces go through the whole tokenizer. A worker keeps the ids of words in two generations bounded in number and bytes:
+a full generation becomes the old one, and a word found there moves to the new. Where a blank follows other white space a
+text is cut only at blanks after a visible character, as runs of white space share tokens there.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEPT = (150_000, 300_000)  # pieces, words
+MOST_KEPT = 400_000
 BYTES_KEPT, LONGEST_KEPT = 48 << 20, 64
 AT_ONCE = 20_000
 END = (0).to_bytes(4, "little")
@@ -31,7 +30,7 @@ MARKS = r"!-&(-/:-@\[-`{-~"
 NOT_PLAIN = rf"[^{LATIN}0-9{MARKS}'\n]|^\n|\n$|^$|'[{MARKS}]|[{MARKS}]'|<\|"
 ODD = re.compile(r" (?<=\s )").search
 CUT = re.compile(r"(?<=\S) ").split
-_open: dict[tuple[str, bool, tuple[int, int]], Encoder] = {}
+_open: dict[tuple[str, bool, int], Encoder] = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -39,8 +38,8 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Pieces:
-    """Ids of pieces (little-endian unsigned 32-bit), encoded when first asked for and kept in two bounded generations."""
+class Kept:
+    """Ids of words (little-endian unsigned 32-bit), encoded when first asked for and kept in two bounded generations."""
 
     def __init__(self, many, most: int) -> None:
         self.many, self.most = many, most  # `many` encodes a list of pieces
@@ -74,9 +73,6 @@ class Pieces:
             self.keep(asked, found)
         return out
 
-    def one(self, piece: str) -> bytes:
-        return self.new.get(piece) or self.find([piece])[0]
-
 
 def byte_letters() -> dict[int, str]:
     """The letter that byte-level vocabularies write for each byte: itself if it prints, else one from U+0100 on."""
@@ -89,13 +85,13 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes. `blanks`: the vocabulary holds blanks joined to pieces, and
     case; else white space is dropped and case is lowered."""
 
-    def __init__(self, path: str, blanks: bool, kept: tuple[int, int] = KEPT) -> None:
+    def __init__(self, path: str, blanks: bool, most: int = MOST_KEPT) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.blanks = blanks
         self.letters = byte_letters()
-        self.kept, self.words = Pieces(self.cut, kept[0]), Pieces(self.parts, kept[1])
+        self.words = Kept(self.parts, most)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -131,7 +127,7 @@ class Encoder:
     def by_piece(self, text: str) -> bytes:
         """Ids of a text in which a blank follows other white space."""
         pieces = CUT(text)
-        return self.whole(pieces[0]) + b"".join(map(self.kept.one, pieces[1:]))
+        return self.whole(pieces[0]) + b"".join(self.cut(pieces[1:]))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """One value per text; null is empty."""
@@ -149,7 +145,7 @@ class Encoder:
         cut = pc.split_pattern(plain, " ")
         pieces, bounds = cut.flatten(), np.asarray(cut.offsets)
         numbered = pieces.dictionary_encode()
-        found = self.kept.find(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
+        found = self.cut(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
         taken = np.array([*found, b""], dtype=object)[:-1][numbered.indices.to_numpy()]
         if self.blanks:  # the first piece of a text has no blank before it
             taken[bounds[:-1]] = [self.whole(p) if p else b"" for p in pieces.take(pa.array(bounds[:-1])).to_pylist()]
@@ -157,15 +153,15 @@ class Encoder:
         return [odd[i] if i in odd else b"".join(parts[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
 
 
-def encoder(path: str, blanks: bool, kept: tuple[int, int] = KEPT) -> Encoder:
+def encoder(path: str, blanks: bool, most: int = MOST_KEPT) -> Encoder:
     """The worker's encoder for a file; it lasts as long as the worker does."""
-    key = (path, blanks, kept)
+    key = (path, blanks, most)
     if key not in _open:
-        _open[key] = Encoder(path, blanks, kept)
+        _open[key] = Encoder(path, blanks, most)
     return _open[key]
 
 
-def in_slices(texts: list[str | None], most: int = 4 << 20):
+def in_slices(texts: list[str | None], most: int = 8 << 20):
     """Index ranges whose texts hold at most `most` characters, one text at least."""
     first, size = 0, 0
     for i, t in enumerate(texts):
