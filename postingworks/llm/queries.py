@@ -16,6 +16,7 @@ from postingworks.llm import (
     spelling,
     suffixes,
     token_files,
+    toxicity,
 )
 from postingworks.llm.common import read
 from postingworks.llm.registry import CHECKS, QUERIES, query
@@ -83,3 +84,8 @@ def op11(spark, sf_dir):
 @query("op12_spelling", spelling.SQL)
 def op12(spark, sf_dir):
     return spelling.digest(read(spark, sf_dir, "documents"))
+
+
+@query("op13_toxicity")
+def op13(spark, sf_dir):
+    return toxicity.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
