@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from postingworks.catalog.fixtures import AS_OF, fixture, select, table
 from postingworks.catalog.registry import query
+from postingworks.functions import fixed_values as fv
 from postingworks.operators import anchors, boards, intake, lifecycle
 from postingworks.operators.intake import describe_entries, new_entries
 from postingworks.sources.sinks import refresh_partly
@@ -165,14 +166,26 @@ def summary_retry(spark, sf):
     return lifecycle.retry_summaries(pending, lifecycle.summary_lines(floods, capped), pending.where("line like 'new%'"))
 
 
-@query("recall", f"""
+_RECALL = f"""
 SELECT l.company || ':' || l.posting_id AS id FROM listing l WHERE (l.posted IS NULL OR l.posted >= {DAY} - 60)
-  AND l.company || ':' || l.posting_id NOT IN (SELECT id FROM queue WHERE o_custkey % 3 = 0) AND l.ord % 5 <> 0 AND l.ord % 7 <> 0 ORDER BY l.ord LIMIT 150""")
-def recall(spark, sf):
+  AND l.company || ':' || l.posting_id NOT IN (SELECT id FROM queue WHERE o_custkey % 3 = 0) AND l.ord % 5 <> 0 AND l.ord % 7 <> 0"""
+
+
+def _recall(spark, sf, cap=None):
     hits = fixture(spark, sf, "listing").withColumn("company_ord", L(0))
     queue = fixture(spark, sf, "queue").where("o_custkey % 3 = 0")
     stones = hits.where("ord % 7 = 0").select(F.concat_ws(":", "company", "posting_id").alias("id"))
-    return intake.recall(hits, hits.where("ord % 5 <> 0"), queue, stones, as_of()).select("id")
+    return intake.recall(hits, hits.where("ord % 5 <> 0"), queue, stones, as_of(), cap).select("id")
+
+
+@query("recall", _RECALL)
+def recall(spark, sf):
+    return _recall(spark, sf)
+
+
+@query("recall_capped", f"{_RECALL} ORDER BY l.ord LIMIT 150")
+def recall_capped(spark, sf):
+    return _recall(spark, sf, fv.RECALL_MAX_PER_RUN)
 
 
 _RENEW = """FROM queue q JOIN (SELECT company, posting_id, max(posted) AS listed FROM listing WHERE posted IS NOT NULL GROUP BY 1, 2) l

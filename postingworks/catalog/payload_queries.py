@@ -13,6 +13,7 @@ from postingworks.operators import dedup, identity, lifecycle
 from postingworks.plans import daily_run as plan
 from postingworks.session import run_folder
 from postingworks.sources import details, files, html_boards, json_boards, jsonld, sinks, xml_boards
+from postingworks.streaming import boards as live
 from postingworks.streaming import snapshots
 
 C, L = F.col, F.lit
@@ -403,19 +404,66 @@ def stream_distinct_sightings(spark, sf):
     return spark.read.parquet(out).select("company", "posting_id", C("run_date").cast("string").alias("run_date"))
 
 
-@query("stream_liveness")
+# weekly listings of the event boards, folded week by week from the first sightings on
+_STREAMED = """
+WITH RECURSIVE s AS (SELECT DISTINCT event_type AS company, CAST(user_id AS STRING) AS posting_id, CAST(date_trunc('week', ts) AS DATE) AS week FROM events),
+weeks AS (SELECT week, row_number() OVER (ORDER BY week) AS k FROM (SELECT DISTINCT week FROM s)),
+r AS (SELECT DISTINCT company, week FROM s),
+st AS (
+  SELECT CAST(0 AS BIGINT) AS k, event_type AS company, CAST(user_id AS STRING) AS posting_id, min(CAST(ts AS DATE)) AS seen, 0 AS misses,
+    CAST(NULL AS DATE) AS closed_on, 0 AS reposts FROM events GROUP BY event_type, user_id
+  UNION ALL
+  SELECT k, company, posting_id, CASE WHEN live THEN week ELSE seen END, CASE WHEN live THEN 0 WHEN missed THEN misses + 1 ELSE misses END,
+    CASE WHEN missed AND misses + 1 >= CASE WHEN opened >= 3 AND gone / opened > 0.5 THEN 6 ELSE 2 END AND seen < week THEN week
+         WHEN live THEN NULL ELSE closed_on END, reposts + CASE WHEN live AND closed_on IS NOT NULL THEN 1 ELSE 0 END
+  FROM (SELECT w.k, w.week, st.company, st.posting_id, seen, misses, closed_on, reposts, s.week IS NOT NULL AS live,
+          r.week IS NOT NULL AND s.week IS NULL AND closed_on IS NULL AS missed,
+          count(*) FILTER (closed_on IS NULL) OVER (PARTITION BY st.company) AS opened,
+          CAST(count(*) FILTER (closed_on IS NULL AND s.week IS NULL) OVER (PARTITION BY st.company) AS DOUBLE) AS gone
+        FROM st JOIN weeks w ON w.k = st.k + 1 LEFT JOIN s ON s.company = st.company AND s.posting_id = st.posting_id AND s.week = w.week
+        LEFT JOIN r ON r.company = st.company AND r.week = w.week))
+SELECT company || ':' || posting_id AS id, CAST(seen AS STRING) AS last_seen_live, misses AS miss_count, CAST(closed_on AS STRING) AS closed_on,
+  reposts AS repost_count FROM st WHERE k = (SELECT max(k) FROM weeks)"""
+
+
+def _first_queue(spark, sf):
+    return (fixture(spark, sf, "sightings").groupBy("company", "posting_id").agg(F.min("run_date").alias("first_seen"))
+            .withColumn("id", F.concat_ws(":", "company", "posting_id")).withColumn("last_seen_live", C("first_seen"))
+            .withColumn("miss_count", L(0)).withColumn("closed_on", L(None).cast("date")).withColumn("closed_reason", L(None).cast("string"))
+            .withColumn("repost_count", L(0)).withColumn("reposted_on", L(None).cast("date")))
+
+
+def _lives(queue):
+    return queue.select("id", C("last_seen_live").cast("string").alias("last_seen_live"), "miss_count",
+                        C("closed_on").cast("string").alias("closed_on"), "repost_count")
+
+
+@query("stream_liveness", _STREAMED)
 def stream_liveness(spark, sf):
-    """The queue kept by weekly snapshots of the event boards; checked against the batch form in the tests."""
+    """The queue kept by weekly snapshots of the event boards, whole run days a batch."""
     week = F.date_trunc("week", "ts").cast("date")
     rows = _event_stream(spark, sf).select("company", "posting_id", week.alias("run_date"), L(True).alias("complete"), L("greenhouse").alias("board_type"))
-    first = (fixture(spark, sf, "sightings").groupBy("company", "posting_id").agg(F.min("run_date").alias("first_seen"))
-             .withColumn("id", F.concat_ws(":", "company", "posting_id")).withColumn("last_seen_live", C("first_seen"))
-             .withColumn("miss_count", L(0)).withColumn("closed_on", L(None).cast("date")).withColumn("closed_reason", L(None).cast("string"))
-             .withColumn("repost_count", L(0)).withColumn("reposted_on", L(None).cast("date")))
+    first = _first_queue(spark, sf)
     folder = run_folder(spark, "live")
     snapshots.follow_snapshots(rows, first, folder, run_folder(spark, "live-checkpoint")).awaitTermination()
-    return sinks.read_table(spark, folder, "queue", first.schema).select(
-        "id", C("last_seen_live").cast("string").alias("last_seen_live"), "miss_count", C("closed_on").cast("string").alias("closed_on"), "repost_count")
+    return _lives(sinks.read_table(spark, folder, "queue", first.schema))
+
+
+@query("stream_lifecycle", _STREAMED)
+def stream_lifecycle(spark, sf):
+    """The same queue from keyed state per board: the rows come in mixed files, a heartbeat then moves the watermark past them."""
+    landed, log = run_folder(spark, "landed"), run_folder(spark, "changes")
+    kept = "company string, posting_id string, run_date date, complete boolean, board_type string"
+    rows = fixture(spark, sf, "sightings").select("company", "posting_id", F.date_trunc("week", "run_date").cast("date").alias("run_date"),
+                                                  L(True).alias("complete"), L("greenhouse").alias("board_type"))
+    rows.repartition(3, "posting_id").write.parquet(landed)
+    last = rows.agg(F.max("run_date").alias("d"))
+    last.select(L("").alias("company"), L(None).cast("string").alias("posting_id"), F.date_add("d", 365).alias("run_date"),
+                L(None).cast("boolean").alias("complete"), L(None).cast("string").alias("board_type")).write.mode("append").parquet(landed)
+    first = _first_queue(spark, sf)
+    stream = spark.readStream.schema(kept).option("maxFilesPerTrigger", 2).parquet(landed)
+    live.follow_boards(stream, first, log, run_folder(spark, "board-checkpoint"), late="90 days").awaitTermination()
+    return _lives(live.queue_after(first, spark.read.schema(live.CHANGES).parquet(log)))
 
 
 LISTED = """SELECT o_orderpriority AS company, CONCAT('n', CAST(o_orderkey AS STRING)) AS posting_id, CONCAT(p_name, ' ', LOWER(p_type)) AS title,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postingworks.operators.lifecycle import update_liveness
 from postingworks.sources import files, shards, sinks
-from postingworks.streaming import snapshots
+from postingworks.streaming import boards, snapshots
 
 
 def test_shards_as_lines(spark, tmp_path):
@@ -108,3 +108,62 @@ def test_duplicate_deliveries_are_dropped(spark, tmp_path):
     q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+ROWS = "company string, posting_id string, run_date date, complete boolean, board_type string"
+
+
+def batch_queue(spark, first, days=range(7)):
+    queue = first
+    for day in days:
+        rows = spark.createDataFrame(snapshot_rows(day), ROWS)
+        facts = rows.groupBy("company").agg(F.lit(True).alias("complete"), F.lit("lever").alias("board_type"), F.count("posting_id").alias("n_jobs"))
+        queue = spark.createDataFrame(update_liveness(queue, rows, facts, F.lit(DAYS[day]).cast("date")).drop("event").collect(), SCHEMA)
+    return sorted(map(tuple, queue.collect()), key=str)
+
+
+def follow(spark, tmp_path, name, deliveries, first, restart):
+    """Lands deliveries (lists of days; a number alone is a heartbeat) as files and follows them, in one run or one run each."""
+    source, log, check = (str(tmp_path / f"{name}-{x}") for x in ("in", "log", "check"))
+
+    def run():
+        stream = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", 1).parquet(source)
+        boards.follow_boards(stream, first, log, check, late="2 days", silent_after=4).awaitTermination()
+
+    for days in deliveries:
+        rows = [("", None, DAYS[0] + datetime.timedelta(days=days), None, None)] if isinstance(days, int) else [
+            r for d in days for r in snapshot_rows(d)]
+        spark.createDataFrame(rows, ROWS).coalesce(1).write.mode("append").parquet(source)
+        if restart:
+            run()
+    if not restart:
+        run()
+    changes = spark.read.schema(boards.CHANGES).parquet(log)
+    return sorted(map(tuple, boards.queue_after(first, changes).collect()), key=str), changes
+
+
+def test_board_stream_equals_batch_whatever_the_order_and_restarts(spark, tmp_path):
+    first = spark.createDataFrame([(k, k[0], k[2:], DAYS[0], 0, None, None, 0, None) for k in SEEN], SCHEMA)
+    want = batch_queue(spark, first)
+    # out of order within the lateness, a repeated day, then a day that is too late, then the end of time
+    deliveries = [[1, 0], [2, 1], [4], [3, 3], [5, 6], [2], 30, 31]
+    for restart in (False, True):
+        got, changes = follow(spark, tmp_path, f"r{restart}", deliveries, first, restart)
+        assert got == want
+        silent = {(r.company, r.run_date) for r in changes.where("event = 'silent'").collect()}
+        assert ("a", DAYS[6] + datetime.timedelta(days=4)) in silent
+    # an incomplete listing never counts a miss, and an empty one changes nothing
+    assert boards.entry_after(("a", DAYS[0], 1, None, None, 0, None), False, False, 2, False, DAYS[3])[0] is None
+
+
+def test_rows_of_batch_and_keyed_state_agree_on_each_case():
+    day, before = DAYS[3], DAYS[1]
+    entry = ("x", before, 1, None, None, 0, None)
+    assert boards.entry_after(entry, False, True, 2, False, day) == ("closed", ("x", before, 2, day, "removed", 0, None))
+    assert boards.entry_after(entry, False, True, 6, False, day) == (None, ("x", before, 2, None, None, 0, None))
+    assert boards.entry_after(entry, False, True, 2, True, day) == (None, ("x", day, 0, None, None, 0, None))
+    closed = ("x", before, 2, before, "removed", 1, None)
+    assert boards.entry_after(closed, True, True, 2, False, day) == ("reopened", ("x", day, 0, None, None, 2, day))
+    assert boards.entry_after(closed, False, True, 2, False, day) == (None, closed)
+    manual = ("x", before, 2, before, "manual", 1, None)
+    assert boards.entry_after(manual, True, True, 2, False, day) == (None, ("x", day, 0, before, "manual", 1, None))
