@@ -9,6 +9,8 @@ from postingworks.catalog.registry import query
 from postingworks.functions import fixed_values as fv
 from postingworks.operators import anchors, boards, intake, lifecycle
 from postingworks.operators.intake import describe_entries, new_entries
+from postingworks.session import run_folder
+from postingworks.sources import buckets
 from postingworks.sources.sinks import refresh_partly
 
 C, L = F.col, F.lit
@@ -55,6 +57,30 @@ def liveness_double_checked(spark, sf):
     return text_dates(out.select(*_LIVE_COLUMNS), "last_seen_live", "closed_on")
 
 
+# the queue cut into buckets; a run that reads one board leaves the others' rows and files as they are
+def _bucketed(spark, sf, boards):
+    queue = fixture(spark, sf, "queue")
+    folder = run_folder(spark, "buckets")
+    buckets.create({"queue": queue}, folder, buckets=16)
+    buckets.apply_liveness(spark, folder, queue.schema, fixture(spark, sf, "listing"), boards, as_of())
+    return text_dates(buckets.read(spark, folder, "queue", queue.schema).select(*_LIVE_COLUMNS[:-1]), "last_seen_live", "closed_on")
+
+
+def _without_event(sql):
+    return f"SELECT {', '.join(_LIVE_COLUMNS[:-1])} FROM ({sql})"
+
+
+@query("bucketed_liveness", _without_event(_LIVE.format(listed="TRUE", unknown="FALSE")))
+def bucketed_liveness(spark, sf):
+    return _bucketed(spark, sf, fixture(spark, sf, "boards"))
+
+
+@query("bucketed_liveness_of_one_board", _without_event(_LIVE.format(listed="TRUE", unknown="FALSE").replace(
+    "WHERE n_jobs > 0", "WHERE n_jobs > 0 AND boards.company = '4-NOT SPECIFIED'")))
+def bucketed_liveness_of_one_board(spark, sf):
+    return _bucketed(spark, sf, fixture(spark, sf, "boards").where("company = '4-NOT SPECIFIED'"))
+
+
 @query("closures_to_check", _LIVE.format(listed="FALSE", unknown="FALSE").split("SELECT id, CAST(")[0]
        + "SELECT id FROM z WHERE due AND kind IN ('workday', 'oracle')")
 def closures_to_check(spark, sf):

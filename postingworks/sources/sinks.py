@@ -30,6 +30,24 @@ def current_version(spark: SparkSession, folder: str) -> tuple[str, str] | None:
     return f"{folder}/{version}", note
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    file, fs = _path(spark, path)
+    out = fs.create(file, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def move_pointer(spark: SparkSession, folder: str, version: str, note: str = "") -> None:
+    """Readers of the folder see `version` from now on: one rename over the old pointer."""
+    pointer, fs = _path(spark, f"{folder}/{_POINTER}")
+    write_text(spark, f"{folder}/NEXT-{version}", f"{version} {note}")
+    fresh, _ = _path(spark, f"{folder}/NEXT-{version}")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(pointer.toUri() if pointer.toUri().getScheme() else fs.getUri()).rename(fresh, pointer, options)
+
+
 def replace_tables(tables: dict[str, DataFrame], folder: str, note: str = "") -> str:
     """Writes a new version of several tables and then moves one pointer.
 
@@ -40,15 +58,7 @@ def replace_tables(tables: dict[str, DataFrame], folder: str, note: str = "") ->
     version = f"v-{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.parquet(f"{folder}/{version}/{name}")
-    pointer, fs = _path(spark, f"{folder}/{_POINTER}")
-    fresh, _ = _path(spark, f"{folder}/NEXT-{version}")
-    out = fs.create(fresh, True)
-    out.write(bytearray(f"{version} {note}".encode()))
-    out.close()
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
-    options[0] = hadoop.Options.Rename.OVERWRITE
-    hadoop.FileContext.getFileContext(pointer.toUri() if pointer.toUri().getScheme() else fs.getUri()).rename(fresh, pointer, options)
+    move_pointer(spark, folder, version, note)
     return f"{folder}/{version}"
 
 

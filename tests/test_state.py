@@ -3,10 +3,11 @@
 import datetime
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from postingworks.operators.lifecycle import update_liveness
-from postingworks.sources import files, shards, sinks
+from postingworks.sources import buckets, files, shards, sinks
 from postingworks.streaming import boards, snapshots
 
 
@@ -167,3 +168,59 @@ def test_rows_of_batch_and_keyed_state_agree_on_each_case():
     assert boards.entry_after(closed, False, True, 2, False, day) == (None, closed)
     manual = ("x", before, 2, before, "manual", 1, None)
     assert boards.entry_after(manual, True, True, 2, False, day) == (None, ("x", day, 0, before, "manual", 1, None))
+
+
+def files_of(folder):
+    return {str(p.relative_to(folder)): p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def test_a_run_rewrites_only_the_buckets_of_its_boards(spark, tmp_path):
+    folder = tmp_path / "store"
+    names = [f"board{i}" for i in range(40)]
+    rows = [(f"{c}:{k}", c, str(k), DAYS[0], 1, None, None, 0, None) for c in names for k in range(5)]
+    queue = spark.createDataFrame(rows, SCHEMA)
+    buckets.create({"queue": queue, "seen": queue.select("company", "posting_id")}, str(folder), buckets=8)
+    before = files_of(folder)
+    old = buckets.read(spark, str(folder), "queue", SCHEMA)
+    listing = spark.createDataFrame([("board3", "0"), ("board3", "1"), ("board3", "2"), ("board5", "4")], "company string, posting_id string")
+    facts = spark.createDataFrame([("board3", True, "lever", 3), ("board4", True, "lever", 0)],
+                                  "company string, complete boolean, board_type string, n_jobs int")
+    mine = buckets.apply_liveness(spark, str(folder), SCHEMA, listing, facts, F.lit(DAYS[2]).cast("date"))
+    assert mine == buckets.touched_buckets(spark, str(folder), facts.where("company = 'board3'")) and len(mine) == 1
+    after = files_of(folder)
+    assert {k: v for k, v in after.items() if k in before} == before                      # no file was touched
+    fresh = {k.split("/")[2] for k in after if k not in before}
+    assert fresh == {f"bucket={mine[0]}"} and all(k.startswith("queue/") for k in after if k not in before)
+    want = update_liveness(queue, listing, facts.where("n_jobs > 0"), F.lit(DAYS[2]).cast("date")).drop("event")
+    got = buckets.read(spark, str(folder), "queue", SCHEMA)
+    key = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert key(got) == key(want) and key(got) != key(queue)
+    assert key(old) == key(queue)                                                        # a job that began before goes on
+    assert buckets.read(spark, str(folder), "seen", "company string, posting_id string").count() == len(rows)
+    dropped = buckets.drop_unreferenced(spark, str(folder))
+    assert dropped and key(buckets.read(spark, str(folder), "queue", SCHEMA)) == key(want)
+    assert buckets.drop_unreferenced(spark, str(folder)) == []
+
+
+def test_bucket_edges(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    kept = {"queue": SCHEMA}
+    none = spark.createDataFrame([], SCHEMA)
+    assert buckets.read(spark, folder, "queue", SCHEMA).count() == 0
+    assert buckets.rewrite(spark, folder, none.select("company"), lambda t: t, kept) == []
+    one = spark.createDataFrame([("a:1", "a", "1", DAYS[0], 0, None, None, 0, None), ("n:1", None, "1", DAYS[0], 0, None, None, 0, None)], SCHEMA)
+    buckets.create({"queue": one}, folder, buckets=4)
+    # a board whose rows all go leaves no bucket behind; boards without rows may come
+    buckets.rewrite(spark, folder, one.select("company").where("company = 'a'"), lambda t: {"queue": t["queue"].where("1 = 0")}, kept)
+    assert [r.id for r in buckets.read(spark, folder, "queue", SCHEMA).collect()] == ["n:1"]
+    extra = one.where("company = 'a'").withColumn("company", F.lit("new"))
+    buckets.rewrite(spark, folder, extra.select("company"), lambda t: {"queue": t["queue"].unionByName(extra)}, kept)
+    assert buckets.read(spark, folder, "queue", SCHEMA).count() == 2
+
+    def other_run(t):
+        buckets.rewrite(spark, folder, extra.select("company"), lambda u: u, kept)
+        return t
+
+    with pytest.raises(buckets.Moved):
+        buckets.rewrite(spark, folder, extra.select("company"), other_run, kept)
+    assert buckets.read(spark, folder, "queue", SCHEMA).count() == 2
