@@ -57,6 +57,14 @@ def prefix_maxima(values: Column) -> Column:
     return earlier(values, F.lit(0).cast("bigint"), lambda a, x: F.greatest(a, x))
 
 
+def each_copy(rows: DataFrame, copies: str) -> DataFrame:
+    """`rows` as often as their column `copies` says, without it; made in bounded steps, however many there are."""
+    step = 10_000
+    parts = rows.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(copies) - 1) / step))))
+    left = F.least(F.col(copies) - F.col("_part") * step, F.lit(step))
+    return parts.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), left))).drop("_part", "_copy", copies)
+
+
 def drop_unused(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files of finished jobs that nothing refers to any more.
 

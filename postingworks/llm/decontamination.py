@@ -2,12 +2,13 @@
 
 The distinct benchmark windows are hashed; documents stream past them once, each of their windows is hashed and looked up
 and a hit is verified by its words. The windows are broadcast while their counted number is under `broadcast_windows`;
-beyond that the same join is shuffled.
+beyond that only places and hashes of the documents' windows are shuffled, and what they meet is joined back to the
+documents and verified there.
 
 Defined cases: null or wordless texts and items have no words and no windows; an item shorter than a window is one window;
-rows that agree in id and text are one document; a repeated item counts once, an item without id hits but is not listed;
-an empty table of documents gives no rows, an empty benchmark hits nothing. Other columns of the tables are never read by
-`contamination`, and `decontaminated` hands them through, whatever their names.
+repeated rows are looked up once and each returned; a repeated item counts once, an item without id hits but is not listed;
+texts of any length are read whole; an empty table of documents gives no rows, an empty benchmark hits nothing. Other columns
+of the tables are never read by `contamination`, and `decontaminated` hands them through, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postingworks.llm.common import bound, hex_text, lower_ascii
+from postingworks.llm.common import bound, each_copy, hex_text, lower_ascii
 
 WINDOW = 10
 BROADCAST_WINDOWS = 200_000
@@ -41,17 +42,19 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str =
 
 def _hits(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str,
           broadcast_windows: int) -> DataFrame:
-    """One row per document: id, text hash, number of words, sorted hit places [(at, len)] and the items' id lists."""
+    """One row per distinct id and text: id, text hash, copies, number of words, sorted hit places [(at, len)] and item ids."""
     windows = benchmark_windows(benchmark, window)
     sizes = windows.groupBy("w_len").count().collect()  # at most `window` rows
     lengths = sorted(r["w_len"] for r in sizes)
-    if sum(r["count"] for r in sizes) <= broadcast_windows:
-        windows = F.broadcast(windows)
+    small = sum(r["count"] for r in sizes) <= broadcast_windows
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"),
                        words(F.col(text_col)).alias("words"))
     hashed = rows.select("id", "text_hash", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
                          F.size("words").alias("n_words"))
     shortest = min(lengths, default=window)
+    if not small:
+        return _shuffled_hits(hashed, windows, lengths)
+    windows = F.broadcast(windows)
     # place -1 keeps documents without any hit
     places = hashed.select("*", F.explode(F.sequence(
         F.lit(-1), F.greatest(F.col("n_words") - shortest, F.lit(-1)))).alias("at"))
@@ -67,11 +70,31 @@ def _hits(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_
     found = found.where((F.col("at") < 0) | (F.col("w_hash").isNotNull() & (F.col("len") == F.col("w_len")) & (
         same == F.col("w_words"))))
     return found.groupBy("id", "text_hash").agg(
-        F.max("n_words").alias("n_words"),
+        F.count_if((F.col("at") < 0) & (F.col("len") == shortest)).alias("copies"), F.max("n_words").alias("n_words"),
         F.array_sort(F.collect_set(F.when(F.col("w_hash").isNotNull(), F.struct("at", "len")))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
 
+def _shuffled_hits(hashed: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """What `_hits` returns, for windows of any number: windows meet by hash and length, each document is moved once."""
+    docs = hashed.groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("n_words"),
+                                                 F.first("words").alias("words"))
+    spots = hashed.select("id", "text_hash", "hashes", "n_words", F.explode(F.array(*[F.lit(n) for n in lengths]) if lengths else F.array(
+        ).cast("array<int>")).alias("len")).where(F.col("n_words") >= F.col("len"))
+    spots = spots.select("id", "text_hash", "len", F.posexplode(F.transform(
+        F.sequence(F.lit(1), F.col("n_words") - F.col("len") + 1), lambda a: F.xxhash64(F.slice("hashes", a, F.col("len"))))).alias("at", "hash"))
+    met = spots.join(windows, (spots["hash"] == windows["w_hash"]) & (spots["len"] == windows["w_len"])).groupBy("id", "text_hash").agg(
+        F.collect_set(F.struct("at", "len", "w_words", "items")).alias("met")).select(
+        F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "met")
+    both = docs.join(met, docs["id"].eqNullSafe(met["_id"]) & (docs["text_hash"] == met["_hash"]), "left")
+    same = F.filter(F.coalesce("met", F.expr("filter(array(named_struct('at', 0, 'len', 0, 'w_words', '', 'items', array(''))), x -> false)")),
+                    lambda m: F.array_join(F.slice("words", m["at"] + 1, m["len"]), " ") == m["w_words"])
+    return both.withColumn("met", same).select(
+        "id", "text_hash", "copies", "n_words",
+        F.array_sort(F.array_distinct(F.transform("met", lambda m: F.struct(m["at"].alias("at"), m["len"].alias("len"))))).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform("met", lambda m: m["items"])))).alias("items"))
+
+
 def _covered(hits: Column) -> Column:
     """Number of words inside at least one of the sorted hits."""
     state = F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n"))
@@ -88,8 +111,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
                   text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """Per document: id, text_hash, n_words, hits [(at, len)] in words, n_hit and the sorted ids of the items found."""
     found = _hits(docs, benchmark, window, id_col, text_col, broadcast_windows)
-    return found.select(F.col("id").alias(id_col), "text_hash", F.col("n_words").cast("bigint").alias("n_words"), "hits",
-                        _covered(F.col("hits")).alias("n_hit"), "items")
+    return each_copy(found.select(F.col("id").alias(id_col), "text_hash", F.col("n_words").cast("bigint").alias("n_words"), "hits",
+                                  _covered(F.col("hits")).alias("n_hit"), "items", "copies"), "copies")
 
 
 def without_spans(text: Column, hits: Column) -> Column:
@@ -120,8 +143,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, remove: str = "docu
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove must be documents or spans, not {remove}")
-    found = contamination(docs, benchmark, window=window, id_col=id_col, text_col=text_col).where("n_hit > 0").select(
-        F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), F.col("hits").alias("_hits"))
+    found = _hits(docs, benchmark, window, id_col, text_col, BROADCAST_WINDOWS).where(F.size("hits") > 0).select(
+        F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("hits").alias("_hits"))
     held = docs.select(F.struct("*").alias("_doc"))
     same = held["_doc"][id_col].eqNullSafe(found["_id"]) & (F.xxhash64(held["_doc"][text_col]) == found["_hash"])
     if remove == "documents":

@@ -230,10 +230,14 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
     return held.mapInArrow(label, out)
 
 
-def accepted(docs: DataFrame, model: Model, *, least_score: float = 0.5, text_col: str = "text") -> DataFrame:
-    """`docs` without those whose language is unknown or scores under `least_score`; all columns stay as they are."""
-    return predict(docs, model, text_col=text_col).where(
-        (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("_doc.*")
+def accepted(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """`docs` without those of unknown language; all columns stay as they are.
+
+    A text with a letter has a language, whatever its score; a model that has learnt nothing keeps all such texts.
+    """
+    if not model.languages:
+        return docs.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    return predict(docs, model, text_col=text_col).where(F.col("lang_pred") != UNKNOWN).select("_doc.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ in ever smaller steps to where Dice is highest. Of overlapping windows the one w
 it counts where no segment has its licence. Templates are a small table (their bigrams are counted before the join).
 
 Defined cases: null, empty and wordless texts have no segments and no licence, as have segments of a single word; equal
-scores go to the template that sorts first; rows that agree in id and text are one document; other columns are never read.
+scores go to the template that sorts first; repeated rows are scanned once and each returned; texts of
+any length are read whole; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postingworks.llm.common import bound, lower_ascii
+from postingworks.llm.common import bound, each_copy, lower_ascii
 from postingworks.llm.pii import apart
 
 THRESHOLD = 0.8
@@ -206,19 +207,21 @@ def scan(docs: DataFrame, table: DataFrame, *, threshold: float = THRESHOLD, id_
                     & (F.col("t_size") * (2 - t) >= F.col("size") * t), "left")
     met = met.where(F.col("license").isNotNull() | (F.col("segment") == 0))
     shared = met.groupBy("id", "text_hash", "segment", "license").agg(
-        F.size(F.collect_set("gram")).alias("n"), F.max("size").alias("size"), F.max("t_size").alias("t_size"))
+        F.size(F.collect_set("gram")).alias("n"), F.max("size").alias("size"), F.max("t_size").alias("t_size"),
+        F.count_if(F.col("segment") == 0).alias("copies"))
     scored = shared.withColumn("dice", F.when(F.col("license").isNotNull(), 2.0 * F.col("n") / (F.col("size") + F.col("t_size"))))
     good = scored.where((F.col("segment") == 0) | (F.col("dice") >= t))
     best = good.groupBy("id", "text_hash", "segment").agg(
-        F.min(F.struct((-F.col("dice")).alias("less"), F.col("license").alias("license"))).alias("b"))
-    each = best.select("id", "text_hash", "segment", F.col("b.license").alias("license"), (-F.col("b.less")).alias("dice"))
-    inner = windows(rows, table, t, small).select("id", "text_hash", F.lit(None).cast("int").alias("segment"), "license", "dice")
+        F.min(F.struct((-F.col("dice")).alias("less"), F.col("license").alias("license"))).alias("b"), F.max("copies").alias("copies"))
+    each = best.select("id", "text_hash", "segment", F.col("b.license").alias("license"), (-F.col("b.less")).alias("dice"), "copies")
+    inner = windows(rows, table, t, small).select("id", "text_hash", F.lit(None).cast("int").alias("segment"), "license", "dice",
+                                                  F.lit(0).cast("bigint").alias("copies"))
     whole = each.unionByName(inner).groupBy("id", "text_hash").agg(F.collect_list(F.when(
-        F.col("license").isNotNull(), F.struct("segment", "license", "dice"))).alias("all"))
+        F.col("license").isNotNull(), F.struct("segment", "license", "dice"))).alias("all"), F.max("copies").alias("copies"))
     cut = F.array_sort(F.filter("all", lambda m: m["segment"].isNotNull()))
     within = F.array_sort(F.filter("all", lambda m: m["segment"].isNull() & ~F.exists("all", lambda o: o["segment"].isNotNull() & (
         o["license"] == m["license"]))))
-    return whole.select(F.col("id").alias(id_col), "text_hash", F.concat(cut, within).alias("matches"))
+    return each_copy(whole.select(F.col("id").alias(id_col), "text_hash", F.concat(cut, within).alias("matches"), "copies"), "copies")
 
 
 def digest(docs: DataFrame, table: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ HASHES, ROWS, BITS = 128, 4, 4
 SLACK = 0.22
 LARGE, ROUNDS = 64, 2
 PLACES, LEVELS, SPREAD = 512, 2, 32
-SKETCH = "id bigint, n bigint, class binary, planes array<bigint>, keys array<bigint>"
+SKETCH = "id bigint, text_hash bigint, n bigint, class binary, planes array<bigint>, keys array<bigint>"
 _factors = hashing.mix(np.arange(1, HASHES + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 _shifts = hashing.mix(np.arange(1001, 1001 + HASHES, dtype=np.uint64)).astype(np.uint32)
 
@@ -101,11 +101,12 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
                     classes.append(None)
                     planes.append(None)
                     keys.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ns, pa.int64()), pa.array(classes, pa.binary()),
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(ns, pa.int64()), pa.array(classes, pa.binary()),
                                               pa.array(planes, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
-                                             names=["id", "n", "class", "planes", "keys"])
+                                             names=["id", "text_hash", "n", "class", "planes", "keys"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(sketch, SKETCH)
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("text_hash"),
+                       F.col(text_col).alias("text")).mapInArrow(sketch, SKETCH)
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -152,7 +153,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(class, shingles) of the wanted (id, class): the texts are read again for these only."""
+    """(class, shingles) of the wanted (id, text_hash, class): the texts are read again for these only.
+
+    The texts' hash is part of the join, so many rows of one id, or of none, meet their own class alone.
+    """
     def build(batches):
         for batch in batches:
             sets = [s.astype("<u8").tobytes() for s in shingle_sets(batch, "text", words)]
@@ -161,8 +165,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_
             # an id that repeats with another text isn't what was asked for
             yield made.filter(pa.array([c == d for c, d in zip(batch.column("class").to_pylist(), digests, strict=True)], pa.bool_()))
 
-    texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("text"))
-    rows = texts.join(wanted, texts["_id"].eqNullSafe(wanted["id"])).select("class", "text")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("text"))
+    rows = texts.join(wanted, texts["_id"].eqNullSafe(wanted["id"]) & (texts["_hash"] == wanted["text_hash"])).select("class", "text")
     return rows.mapInArrow(build, "class binary, shingles binary").dropDuplicates(["class"])
 
 
@@ -202,7 +206,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     spark = docs.sparkSession
     rows = materialize(sketches(docs, words, id_col, text_col), "sketches")
     classes = materialize(rows.where("n > 0").groupBy("class").agg(
-        F.min("id").alias("id"), F.first("n").alias("n"), F.first("planes").alias("planes"), F.first("keys").alias("keys")), "classes")
+        F.min("id").alias("id"), F.min(F.struct("text_hash", "id")).alias("source"), F.first("n").alias("n"), F.first("planes").alias("planes"), F.first("keys").alias("keys")), "classes")
     keyed = classes.select("class", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("least")).where("size > 1")
     members = materialize(keyed.join(buckets, "key"), "members")
@@ -211,7 +215,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     # the least member of any of its buckets is held against each member
     stars = members.where("class <> least").groupBy("class").agg(F.min("least").alias("a")).select("a", F.col("class").alias("b"))
     active = members.select("class").distinct()
-    sets = materialize(full_sets(docs, classes.join(active, "class").select("id", "class"), words, id_col, text_col), "sets")
+    sets = materialize(full_sets(docs, classes.join(active, "class").select("source.id", "source.text_hash", "class"), words, id_col, text_col), "sets")
 
     def grown(links: DataFrame | None, pairs: DataFrame) -> DataFrame:
         found = confirmed(likely(pairs, classes, percent), sets, percent)

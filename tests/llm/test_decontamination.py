@@ -56,7 +56,9 @@ def test_empty_tables_and_repeated_rows(documents, benchmark):
     docs = documents(["short item three", "x"])
     assert decontamination.digest(docs.where("false"), benchmark).count() == 0
     assert [r.n_hit for r in decontamination.digest(docs, benchmark.where("false")).collect()] == [0, 0]
-    assert decontamination.digest(docs.unionAll(docs), benchmark).count() == 2
+    for n in (0, 10_000):
+        found = decontamination.contamination(docs.unionAll(docs.unionAll(docs)), benchmark, broadcast_windows=n).collect()
+        assert sorted((r.doc_id, r.n_hit) for r in found) == [(0, 3)] * 3 + [(1, 0)] * 3
     assert decontamination.decontaminated(docs.unionAll(docs), benchmark).count() == 2
 
 

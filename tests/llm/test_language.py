@@ -68,6 +68,9 @@ def test_accepted_keeps_rows_whole(spark, rows):
     assert kept.columns == docs.columns
     assert {400, 401, 402}.isdisjoint({r.doc_id for r in kept.collect()})
     assert kept.count() > 390
+    nothing = language.Model([], np.zeros(language.DIMENSIONS), np.zeros((0, language.DIMENSIONS + 1)))
+    assert sorted(r.doc_id for r in language.accepted(table(spark, [(1, "w", "a"), (2, "12", "a"), (3, None, "a"), (4, "", "a")]), nothing)
+                  .collect()) == [1]
 
 
 def test_frequencies_cover_all_texts(spark, rows):

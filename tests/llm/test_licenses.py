@@ -36,6 +36,7 @@ def test_ties_repeats_and_empty_tables(spark, documents):
     docs = documents(["same template words", "x"])
     got = by_id(licenses.digest(docs.unionAll(docs), table))
     assert (got[0].license, got[0].dice, got[1].license) == ("a", 1.0, None)
+    assert licenses.digest(docs.unionAll(docs.unionAll(docs)), table).count() == 6
     assert licenses.digest(docs.where("false"), table).count() == 0
     assert [r.license for r in licenses.digest(docs, table.where("false")).collect()] == [None, None]
     assert licenses.scan(docs, table, broadcast_bigrams=0).count() == 2

@@ -102,6 +102,17 @@ def test_rows_without_id_and_repeated_rows(spark):
     assert sorted(map(tuple, got), key=str) == [(4, 4), (4, 4), (None, 4), (None, None)]
 
 
+def test_many_rows_of_one_id_or_none(spark):
+    texts = [f"{a} and {a} once more {i} with words of its own {a}" for i in range(60) for a in ("left", "right")]
+    rows = [(None if i % 2 else 7, t + (" tail" if i % 4 > 1 else "")) for i, t in enumerate(texts * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = minhash.near_duplicates(docs, words=2)
+    assert got.count() == len(rows)
+    want = {root for _, root in plain([t for _, t in rows], 2)}
+    classes = {r["class"] for r in got.collect()}
+    assert len(classes) >= len(want)
+
+
 def test_query_equals_all_pairs(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
     got = by_id(QUERIES["op2_near_duplicates"](spark, "/root/testdata/sf0.001"))
