@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and reads all its predecessor kept, as Parquet in the shared folder. Stages one to
 four return the columns of the documents; the last returns one row per packed piece.
+
+Defined cases, of every stage: an empty table gives no rows; null and empty texts, and texts without letters, go in the first
+stage; a null id is an id like any other and joins null-safely; repeated rows are documents of their own, but of rows that
+share an id and lie in one component of near-duplicates either all stay or all go, as an id names one document; ties between
+near-duplicates go to the least id; texts of any length are read whole and packed in pieces; further columns are handed
+through, whatever their names, up to the last stage, which returns its own.
 """
 
 from __future__ import annotations
@@ -16,13 +22,11 @@ from postingworks.llm.registry import prepared
 from postingworks.llm.tokens import tokenizer_path
 from postingworks.session import configure, materialize
 
-LEAST_SCORE = 0.5
-
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; unknown ones and those that score under `LEAST_SCORE` go."""
+    """Documents with a language: those without any letter go. Where no row says its language, all with letters stay."""
     prepared(spark)
-    return language.accepted(docs, language.fit(docs), least_score=LEAST_SCORE)
+    return language.accepted(docs, language.fit(docs))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
