@@ -12,7 +12,7 @@ from postingworks.functions import text as tx
 from postingworks.operators import dedup, identity, lifecycle
 from postingworks.plans import daily_run as plan
 from postingworks.session import run_folder
-from postingworks.sources import details, files, html_boards, json_boards, jsonld, sinks, xml_boards
+from postingworks.sources import details, files, html_boards, json_boards, jsonld, landing, sinks, xml_boards
 from postingworks.streaming import boards as live
 from postingworks.streaming import snapshots
 
@@ -34,15 +34,17 @@ def _pages(rows, payload, kind, site=None):
 JSON_TYPES = ("greenhouse", "lever", "smartrecruiters", "workday", "ashby", "eightfold")
 
 
-@query("json_listings", f"""
+_LISTINGS = f"""
 WITH c AS (SELECT c_custkey, c_custkey % 6 AS k, n_name, c_mktsegment, 'u' || c_custkey AS u FROM customer JOIN nation ON c_nationkey = n_nationkey)
 SELECT CASE k WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'smartrecruiters' WHEN 3 THEN 'workday' WHEN 4 THEN 'ashby' ELSE 'eightfold' END AS board_type,
   CASE WHEN k = 3 THEN '/job/x/' || c_custkey ELSE CAST(c_custkey AS STRING) END AS posting_id, c_mktsegment || ' Analyst' AS title,
   CASE k WHEN 2 THEN n_name || ', US' WHEN 3 THEN '2 Locations (x)' WHEN 5 THEN n_name || ' | Remote' ELSE n_name END AS location,
   CASE k WHEN 2 THEN 'https://jobs.smartrecruiters.com/co' || c_custkey || '/' || c_custkey WHEN 3 THEN 'https://jobs.example.com/main/job/x/' || c_custkey ELSE u END AS url,
   CAST(CASE k WHEN 3 THEN {DAY} - 3 ELSE DATE '1999-01-02' END AS STRING) AS posted, CASE k WHEN 3 THEN 'approx' END AS posted_source,
-  CASE k WHEN 1 THEN 'Plain text Extra a & b tail Compensation: USD 100,000 - 120,000 per year.' WHEN 4 THEN 'Body & more Compensation: USD 50 - 60 per hour.' END AS description FROM c""")
-def json_listings(spark, sf):
+  CASE k WHEN 1 THEN 'Plain text Extra a & b tail Compensation: USD 100,000 - 120,000 per year.' WHEN 4 THEN 'Body & more Compensation: USD 50 - 60 per hour.' END AS description FROM c"""
+
+
+def _json_pages(spark, sf):
     rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), C("c_nationkey") == C("n_nationkey")).withColumn(
         "company", F.concat(L("co"), C("c_custkey").cast("string"))).withColumn("page_no", L(0))
     k, key = C("c_custkey") % 6, C("c_custkey").cast("string")
@@ -68,10 +70,18 @@ def json_listings(spark, sf):
     for i, shape in enumerate(shapes[1:], 1):
         payload = F.when(k == i, F.to_json(shape)).otherwise(payload)
         kind = F.when(k == i, JSON_TYPES[i]).otherwise(kind)
-    out = json_boards.normalize_json(_pages(rows, payload, kind, "main"), as_of(), JSON_TYPES)
+    return _pages(rows, payload, kind, "main")
+
+
+def _listed(out):
     return out.select("board_type", "posting_id", "title", "location", "url", C("posted").cast("string").alias("posted"), "posted_source", "description")
 
 
+@query("json_listings", _LISTINGS)
+def json_listings(spark, sf):
+    return _listed(json_boards.normalize_json(_json_pages(spark, sf), as_of(), JSON_TYPES))
+
+
 # one payload per board type, @K@ and @T@ stand for number and title; with what its location and date must read as
 SHAPES = {
     "adp_rm": ("""{"jobRequisitions":[{"reqId":"@K@","publishedJobTitle":"@T@","requisitionLocations":[{"address":{"cityName":"Rome","countrySubdivisionLevel1":{"codeValue":"NY"},"country":{"codeValue":"US"}}}],"postingDate":"1999-01-02T"}]}""", "Rome, NY, US", True),
@@ -169,10 +179,12 @@ def embedded_json(spark, sf):
     return out.select("board_type", "posting_id", "title", "location", C("posted").cast("string").alias("posted"))
 
 
-@query("structured_pages", """
+_NODES = """
 SELECT page_id, 'Role ' || page_id AS ld_title, 'Ohio, US; Remote' AS ld_location, CASE WHEN page_id % 2 = 0 THEN '1999-03-04' ELSE '1999-01-02' END AS ld_posted,
-  'Text ' || page_id || ' Compensation: USD 90,000 - 120,000 per year.' AS ld_description FROM pages""")
-def structured_pages(spark, sf):
+  'Text ' || page_id || ' Compensation: USD 90,000 - 120,000 per year.' AS ld_description FROM pages"""
+
+
+def _node_pages(spark, sf):
     node = F.struct(L("https://schema.org").alias("@context"), F.array(
         F.struct(L("Organization").alias("@type"), L(None).cast("string").alias("title"), L(None).cast("string").alias("description"), L(None).cast("string").alias("datePosted"),
                  L(None).cast("string").alias("jobLocationType"), L(None).cast("struct<address:struct<addressRegion:string,addressCountry:struct<name:string>>>").alias("jobLocation"),
@@ -182,10 +194,18 @@ def structured_pages(spark, sf):
                  F.struct(F.struct(L("Ohio").alias("addressRegion"), F.struct(L("US").alias("name")).alias("addressCountry")).alias("address")).alias("jobLocation"),
                  F.struct(L("USD").alias("currency"), F.struct(L(120000).alias("minValue"), L(90000).alias("maxValue"), L("YEAR").alias("unitText")).alias("value")).alias("baseSalary"))).alias("@graph"))
     html = F.concat("html", L('<script type="application/ld+json">not json</script><script type="application/ld+json">'), F.to_json(node), L("</script>"))
-    out = jsonld.read_pages(table(spark, sf, "pages").select("page_id", html.alias("html")), as_of())
+    return table(spark, sf, "pages").select("page_id", html.alias("html"))
+
+
+def _node_facts(out):
     return out.select("page_id", "ld_title", "ld_location", C("ld_posted").cast("string").alias("ld_posted"), "ld_description")
 
 
+@query("structured_pages", _NODES)
+def structured_pages(spark, sf):
+    return _node_facts(jsonld.read_pages(_node_pages(spark, sf), as_of()))
+
+
 @query("merged_details", f"""
 SELECT posting_id, CASE WHEN o_custkey % 2 = 0 THEN 'from list' WHEN o_custkey % 3 = 0 THEN 'from detail' ELSE '' END AS description,
   CAST(CASE WHEN o_custkey % 3 = 0 THEN {DAY} - 9 ELSE posted END AS STRING) AS posted, CASE WHEN o_custkey % 3 = 0 THEN 'exact' ELSE posted_source END AS posted_source,
@@ -257,16 +277,49 @@ def exported_queue(spark, sf):
     return top.select("id", F.row_number().over(Window.orderBy("file", "at", "n")).cast("bigint").alias("place"))
 
 
-@query("payload_counts", """
-SELECT l_orderkey, l_linenumber, CAST(CASE l_linenumber % 4 WHEN 0 THEN l_quantity WHEN 3 THEN 0 ELSE l_linenumber END AS INT) AS n FROM lineitem""")
-def payload_counts(spark, sf):
+_COUNTS = """
+SELECT l_orderkey, l_linenumber, CAST(CASE l_linenumber % 4 WHEN 0 THEN l_quantity WHEN 3 THEN 0 ELSE l_linenumber END AS INT) AS n FROM lineitem"""
+
+
+def _probe_pages(spark, sf):
     k = C("l_linenumber")
     rows = F.transform(F.sequence(L(1), k), lambda i: F.struct(i.alias("id")))
     kind = F.when(k % 4 == 0, "smartrecruiters").when(k % 4 == 1, "lever").when(k % 4 == 2, "greenhouse").otherwise("ashby")
     payload = (F.when(k % 4 == 0, F.to_json(F.struct(C("l_quantity").cast("int").alias("totalFound")))).when(k % 4 == 1, F.to_json(rows))
                .when(k % 4 == 2, F.to_json(F.struct(rows.alias("jobs")))).otherwise("<html>"))
-    pages = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", kind.alias("board_type"), payload.alias("payload"))
-    return json_boards.count_listed(pages).select("l_orderkey", "l_linenumber", "n")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", kind.alias("board_type"), payload.alias("payload"))
+
+
+@query("payload_counts", _COUNTS)
+def payload_counts(spark, sf):
+    return json_boards.count_listed(_probe_pages(spark, sf)).select("l_orderkey", "l_linenumber", "n")
+
+
+def _landed(spark, sf):
+    """One landed table of the pages of the last three queries, told apart by their site."""
+    path, none = run_folder(spark, "landed"), L(None).cast("bigint")
+    listed = _json_pages(spark, sf).withColumns({"page_id": none, "l_orderkey": none, "l_linenumber": L(None).cast("int")})
+    nodes = _node_pages(spark, sf).select(L("").alias("company"), L("page").alias("board_type"), L(None).cast("map<string,string>").alias("endpoint"), L("nodes").alias("site"),
+                                          L("").alias("term"), L(0).alias("page_no"), C("html").alias("payload"), "page_id", none.alias("l_orderkey"), L(None).cast("int").alias("l_linenumber"))
+    probes = _probe_pages(spark, sf).select(L("").alias("company"), "board_type", L(None).cast("map<string,string>").alias("endpoint"), L("probes").alias("site"), L("").alias("term"),
+                                            L(0).alias("page_no"), "payload", none.alias("page_id"), "l_orderkey", "l_linenumber")
+    landing.land(listed.unionByName(nodes).unionByName(probes), path)
+    return landing.landed(spark, path)
+
+
+@query("landed_listings", _LISTINGS)
+def landed_listings(spark, sf):
+    return _listed(landing.listings(_landed(spark, sf).where("site = 'main'"), as_of(), JSON_TYPES))
+
+
+@query("landed_nodes", _NODES)
+def landed_nodes(spark, sf):
+    return _node_facts(landing.structured(_landed(spark, sf).where("site = 'nodes'"), as_of()))
+
+
+@query("landed_counts", _COUNTS)
+def landed_counts(spark, sf):
+    return landing.counts(_landed(spark, sf).where("site = 'probes'")).select("l_orderkey", "l_linenumber", "n")
 
 
 @query("guest_cards", """

@@ -319,13 +319,23 @@ def _ladder(types: Iterable[str], build: Callable[[JsonBoard], Column | None], o
     return otherwise if out is None else out.otherwise(otherwise)
 
 
+def payload_tree(types: Iterable[str] | None = None) -> Column:
+    """The JSON of a page, also where it stands inside HTML; null where there is none."""
+    payload = _ladder(list(types or JSON_BOARDS), lambda b: unescape(F.regexp_extract("payload", b.cut, 1)) if b.cut and "data-page" in b.cut
+                      else F.regexp_extract("payload", b.cut, 1) if b.cut else None, F.col("payload"))
+    return F.try_parse_json(payload)
+
+
 def normalize_json(pages: DataFrame, as_of: Column, types: Iterable[str] | None = None) -> DataFrame:
     """Postings of landed JSON pages (or HTML pages with the JSON inside), in page and list order, not yet deduplicated."""
     types = list(types or JSON_BOARDS)
+    return postings_of_trees(pages.where(F.col("board_type").isin(*types)).withColumn("_tree", payload_tree(types)), as_of, types)
+
+
+def postings_of_trees(tree: DataFrame, as_of: Column, types: Iterable[str] | None = None) -> DataFrame:
+    """Postings of pages whose JSON is parsed already, as `_tree`."""
+    types = list(types or JSON_BOARDS)
     none = F.lit(None).cast("string")
-    payload = _ladder(types, lambda b: unescape(F.regexp_extract("payload", b.cut, 1)) if b.cut and "data-page" in b.cut
-                      else F.regexp_extract("payload", b.cut, 1) if b.cut else None, F.col("payload"))
-    tree = pages.where(F.col("board_type").isin(*types)).withColumn("_tree", F.try_parse_json(payload))
     listed = _ladder(types, lambda b: F.try_variant_get("_tree", f"$.{b.list_path}" if b.list_path else "$", "array<variant>"),
                      F.lit(None).cast("array<variant>"))
     # a page that holds one posting holds an object, not a list
@@ -349,7 +359,11 @@ def normalize_json(pages: DataFrame, as_of: Column, types: Iterable[str] | None
 
 def count_listed(pages: DataFrame) -> DataFrame:
     """Postings in a probe payload, by board type: `pages(board_type, payload)`; unreadable payloads count 0."""
-    tree = pages.withColumn("_tree", F.try_parse_json("payload"))
+    return count_in_trees(pages.withColumn("_tree", F.try_parse_json("payload")))
+
+
+def count_in_trees(tree: DataFrame) -> DataFrame:
+    """`count_listed` of pages whose JSON is parsed already, as `_tree`."""
     size = lambda path: F.size(F.try_variant_get("_tree", path, "array<variant>"))
     kind = F.col("board_type")
     markers = {"icims": 'class="iCIMS_JobCardItem"', "jobvite": 'class="jv-job-list-name"', "silkroad": 'class="sr-panel"',

@@ -66,7 +66,11 @@ def read_pages(pages: DataFrame, as_of: Column, html: str = "html") -> DataFrame
 
     Pages without structured data give their visible text as the description.
     """
-    staged = pages.withColumn("_node", job_posting(F.col(html)))
+    return read_nodes(pages.withColumn("_node", job_posting(F.col(html))), as_of, html)
+
+
+def read_nodes(staged: DataFrame, as_of: Column, html: str = "html") -> DataFrame:
+    """`read_pages` of pages whose JobPosting node is parsed already, as `_node`."""
     node = F.col("_node")
     body = F.coalesce(first_filled(_get(node, "description")), drop_blocks(F.col(html)))
     return (staged.withColumn("ld_title", strip_html(_get(node, "title")))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postingworks.operators.lifecycle import update_liveness
-from postingworks.sources import buckets, files, shards, sinks
+from postingworks.sources import buckets, files, json_boards, landing, shards, sinks
 from postingworks.streaming import boards, snapshots
 
 
@@ -224,3 +224,29 @@ def test_bucket_edges(spark, tmp_path):
     with pytest.raises(buckets.Moved):
         buckets.rewrite(spark, folder, extra.select("company"), other_run, kept)
     assert buckets.read(spark, folder, "queue", SCHEMA).count() == 2
+
+
+PAGE = "company string, board_type string, endpoint map<string,string>, site string, term string, page_no int, payload string"
+
+
+def test_landed_payloads_are_read_by_path(spark, tmp_path):
+    path = str(tmp_path / "landed")
+    job = '<html><script type="application/ld+json">{"@type": "JobPosting", "title": "T", "description": "D"}</script></html>'
+    rows = [("a", "greenhouse", {}, None, "", 0, '{"jobs": [{"id": 1, "title": "X", "location": {"name": "Y"}, "absolute_url": "u"}]}'),
+            ("b", "greenhouse", {}, None, "", 0, "not json"), ("c", "lever", {}, None, "", 0, "[]"), ("d", "lever", {}, None, "", 0, None),
+            ("e", "other", {}, None, "", 0, job), ("f", "other", {}, None, "", 0, "  <html>no node, plain text</html>"), ("g", "icims", {}, None, "", 0, "<li>")]
+    pages = spark.createDataFrame(rows, PAGE)
+    landing.land(pages.where("company < 'd'"), path)
+    landing.land(pages.where("company >= 'd'"), path)                     # later pages are appended
+    table = landing.landed(spark, path)
+    day = F.lit("2026-11-01").cast("date")
+    listed = landing.listings(table, day)
+    assert [(r.company, r.posting_id, r.title, r.location) for r in listed.collect()] == [("a", "1", "X", "Y")]
+    want = {r.company: r.n for r in json_boards.count_listed(pages).collect()}
+    assert {r.company: r.n for r in landing.counts(table).collect()} == want
+    facts = {r.company: (r.ld_title, r.ld_description) for r in landing.structured(table, day).collect()}
+    assert facts["e"] == ("T", "D") and facts["f"][0] in (None, "") and set(facts) == {"e", "f", "g"}
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.split("\n") if "FileScan" in line)
+    assert "payload:string" not in scan and "tree:struct<" in scan        # the paths asked for, and no payload
+    assert "parse_json" not in plan and landing.listings(table.where("1 = 0"), day).count() == 0
