@@ -140,6 +140,26 @@ def xml_listings(spark, sf):
     return out.select("board_type", "posting_id", "title", "location", C("posted").cast("string").alias("posted"), "description")
 
 
+@query("xml_odd_feeds", """
+SELECT CAST(p_partkey AS STRING) AS posting_id, p_name || CASE p_size % 6 WHEN 4 THEN ' & co' ELSE '' END AS title, p_brand AS location,
+  CASE p_size % 6 WHEN 0 THEN 'own text' WHEN 1 THEN '' WHEN 2 THEN 'seen' WHEN 3 THEN 'before after' WHEN 4 THEN 'R&D caf\u00e9' ELSE 'whole' END AS description FROM part""")
+def xml_odd_feeds(spark, sf):
+    """Feeds with an item inside an item, self-closing elements, a commented item, an end tag in CDATA, stray ampersands, and a torn end."""
+    rows = table(spark, sf, "part").select(C("p_brand").alias("company"), C("p_partkey").cast("string").alias("k"), "p_name", "p_brand", "p_size", L(0).alias("page_no"))
+    k = C("p_size") % 6
+    own = F.concat(L("<title>"), "p_name", L(" ("), "p_brand", L(")</title><link>https://x.com/job/a/"), "k", L("/</link>"))
+    spoilt = F.concat(L("<title>"), "p_name", L(" & co ("), "p_brand", L(")</title><link>https://x.com/job/a/"), "k", L("/</link>"))
+    inner = L("<item><title>inner (Nowhere)</title><link>https://x.com/job/a/no/</link><description>other</description></item>")
+    item = (F.when(k == 0, F.concat(L("<item><related>"), inner, L("</related>"), own, L("<description>own text</description></item>")))
+            .when(k == 1, F.concat(L("<item/><item>"), own, L("<guid/><description/></item>")))
+            .when(k == 2, F.concat(L("<!-- "), inner, L(" --><item><!-- <title>x (y)</title> -->"), own, L("<description>seen</description></item>")))
+            .when(k == 3, F.concat(L("<item>"), own, L("<description><![CDATA[before <b>after</b></item>]]></description></item>")))
+            .when(k == 4, F.concat(L("<item>"), spoilt, L("<description>R&D caf&eacute;</description></item>")))
+            .otherwise(F.concat(L("<item>"), own, L("<description>whole</description></item><item><title>torn (Nowh"))))
+    payload = F.concat(L('<?xml version="1.0"?><rss xmlns:m="http://m.example.com"><channel><title>x</title>'), item, F.when(k < 5, "</channel></rss>").otherwise(""))
+    return xml_boards.normalize_xml(_pages(rows, payload, "successfactors")).select("posting_id", "title", "location", "description")
+
+
 @query("html_cards", """
 SELECT CASE p_size % 3 WHEN 0 THEN 'icims' WHEN 1 THEN 'jobvite' ELSE 'talentbrew' END AS board_type, CAST(p_partkey AS STRING) AS posting_id, p_name || ' & co' AS title,
   CASE p_size % 3 WHEN 0 THEN 'New York, NY, US' WHEN 1 THEN p_brand ELSE 'Boston' END AS location, CASE p_size % 3 WHEN 1 THEN NULL ELSE '1999-03-04' END AS posted FROM part""")

@@ -1,4 +1,9 @@
-"""Landed XML, RSS, Atom and sitemap payloads as postings."""
+"""Landed XML, RSS, Atom and sitemap payloads as postings.
+
+Feeds are parsed as XML with one schema, so nested elements of one name, self-closing ones, comments and marked-up CDATA are
+what they are. A feed that is no well-formed XML is parsed again with its stray ampersands and HTML entities escaped, and
+only what is torn beyond that is cut by patterns, which give the elements before the tear.
+"""
 
 from __future__ import annotations
 
@@ -18,6 +23,19 @@ ELEMENTS = {"personio": "position", "successfactors": "item", "teamtailor": "ite
             "nas_recruitment": "url"}
 
 
+_ENTRY = ("title:array<string>, link:array<string>, guid:array<string>, pubDate:array<string>, description:array<string>, "
+          "location:array<string>, locations:array<struct<location:array<string>>>, remote_status:array<string>, "
+          "`remote-status`:array<string>, id:array<string>, name:array<string>, office:array<string>, "
+          "additionalOffices:array<struct<office:array<string>>>, createdAt:array<string>, published:array<string>, loc:array<string>, "
+          "lastmod:array<string>, jobDescriptions:array<struct<jobDescription:array<struct<value:string>>>>")
+_LISTS = ("item", "entry", "position", "url")
+_FEED = ", ".join([*(f"{tag} array<struct<{_ENTRY}>>" for tag in _LISTS),
+                   f"channel struct<item:array<struct<{_ENTRY}>>>", "_corrupt_record string"])
+_LIST = f"array<struct<{_ENTRY}>>"
+_PARSE = {"mode": "PERMISSIVE", "ignoreNamespace": "true", "columnNameOfCorruptRecord": "_corrupt_record"}
+_STRAY = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#[xX][0-9A-Fa-f]+);)"
+
+
 def without_namespaces(xml: Column) -> Column:
     return F.regexp_replace(xml, r"<(/?)[A-Za-z_][\w.-]*:(?=[A-Za-z_])", "<$1")
 
@@ -33,12 +51,47 @@ def inner(xml: Column, tag: str) -> Column:
         raw.rlike(data), F.regexp_extract(raw, data, 1)).otherwise(unescape(raw)))
 
 
-def value(xml: Column, tag: str) -> Column:
-    return strip(inner(xml, tag))
+def _cut_entry(e: Column) -> Column:
+    """An entry of a torn feed, in the shape of a parsed one."""
+    def texts(xml: Column, tag: str) -> Column:
+        return F.transform(elements(xml, tag), lambda x: inner(x, tag))
+
+    plain = ("title", "link", "guid", "pubDate", "description", "location")
+    rest = ("remote_status", "remote-status", "id", "name")
+    return F.struct(
+        *[texts(e, t).alias(t) for t in plain], F.array().cast("array<struct<location:array<string>>>").alias("locations"),
+        *[texts(e, t).alias(t) for t in rest], F.array(inner(e, "office")).alias("office"),
+        F.array(F.struct(texts(inner(e, "additionalOffices"), "office").alias("office"))).alias("additionalOffices"),
+        *[texts(e, t).alias(t) for t in ("createdAt", "published", "loc", "lastmod")],
+        F.array(F.struct(F.transform(texts(inner(e, "jobDescriptions"), "value"), lambda v: F.struct(v.alias("value"))).alias(
+            "jobDescription"))).alias("jobDescriptions"))
+
 
+def feed_entries(xml: Column, tag: Column) -> Column:
+    """The entries [(entry, repaired)] of a feed whose postings are elements of the name `tag`, in order."""
+    def listed(feed: Column) -> Column:
+        out = F.when(tag == "item", F.concat(*[F.coalesce(x, F.array().cast(_LIST)) for x in (feed["channel"]["item"], feed["item"])]))
+        for name in _LISTS[1:]:
+            out = out.when(tag == name, feed[name])
+        return F.coalesce(out, F.array().cast(_LIST))
 
-def _every(xml: Column, tag: str) -> Column:
-    return F.transform(elements(xml, tag), lambda e: strip_html(inner(e, tag)))
+    def marked(entries: Column, repaired: bool) -> Column:
+        return F.transform(entries, lambda e: F.struct(e.alias("e"), F.lit(repaired).alias("repaired")))
+
+    def torn(text: Column) -> Column:
+        plain = without_namespaces(text)
+        out = F.when(tag == _LISTS[0], elements(plain, _LISTS[0]))
+        for name in _LISTS[1:]:
+            out = out.when(tag == name, elements(plain, name))
+        return F.transform(F.coalesce(out, F.array().cast("array<string>")), lambda x: _cut_entry(x).cast(f"struct<{_ENTRY}>"))
+
+    def escaped(text: Column) -> Column:
+        again = F.regexp_replace(text, _STRAY, "&amp;")
+        return let(F.from_xml(again, _FEED, _PARSE), lambda feed: F.when(
+            feed["_corrupt_record"].isNull(), marked(listed(feed), True)).otherwise(marked(torn(text), False)))
+
+    return let(F.from_xml(xml, _FEED, _PARSE), lambda feed: F.when(
+        feed["_corrupt_record"].isNull(), marked(listed(feed), False)).otherwise(escaped(xml)))
 
 
 def _url_path(url: Column) -> Column:
@@ -54,42 +107,50 @@ def normalize_xml(pages: DataFrame) -> DataFrame:
 
     Of sitemap boards only feeds are read here; a plain list of pages gives its postings through `sitemap_board`.
     """
-    xml = without_namespaces(F.col("payload"))
     kind, e = F.col("board_type"), F.col("e")
-    listed = None
-    for name, tag in ELEMENTS.items():
-        found = elements(F.col("_xml"), tag)
-        listed = F.when(kind == name, found) if listed is None else listed.when(kind == name, found)
-    rows = (pages.where(kind.isin(*ELEMENTS)).withColumn("_xml", xml)
-            .select("company", "board_type", "endpoint", "site", "term", "page_no", F.posexplode(listed).alias("pos", "e")))
-    link = F.when(kind == "tal", value(e, "id")).when(kind == "nas_recruitment", value(e, "loc")).when(
-        kind == "sitemap", F.coalesce(*[F.nullif(value(e, t), F.lit("")) for t in ("link", "guid")])).otherwise(value(e, "link"))
+    tag = F.create_map(*[F.lit(x) for pair in ELEMENTS.items() for x in pair])[kind]
+    rows = (pages.where(kind.isin(*ELEMENTS)).withColumn("_found", feed_entries(F.col("payload"), tag))
+            .select("company", "board_type", "endpoint", "site", "term", "page_no", F.posexplode("_found").alias("pos", "_one"))
+            .select("*", F.col("_one.e").alias("e"), F.col("_one.repaired").alias("_repaired")).drop("_one"))
+
+    def raw(name: str) -> Column:
+        """The text of the entry's first element of the name."""
+        text = F.coalesce(F.get(e[name], F.lit(0)), F.lit(""))
+        return F.when(F.col("_repaired"), unescape(text)).otherwise(text)
+
+    def value(name: str) -> Column:
+        return strip(raw(name))
+
+    link = F.when(kind == "tal", value("id")).when(kind == "nas_recruitment", value("loc")).when(
+        kind == "sitemap", F.coalesce(*[F.nullif(value(t), F.lit("")) for t in ("link", "guid")])).otherwise(value("link"))
+    none = F.array().cast("array<string>")
     rows = rows.withColumn("_link", link)
     host = F.coalesce(F.col("endpoint")["host"], F.col("endpoint")["slug"], F.lit(""))
-    ids = (F.when(kind == "personio", value(e, "id")).when(kind == "successfactors", _tail(F.col("_link")))
+    ids = (F.when(kind == "personio", value("id")).when(kind == "successfactors", _tail(F.col("_link")))
            .when(kind == "teamtailor", F.regexp_extract(_url_path(F.col("_link")), r"^/jobs/(\d+)(?:-[^/]+)?/?$", 1))
-           .when(kind == "sitemap", F.coalesce(F.nullif(value(e, "guid"), F.lit("")), F.col("_link")))
+           .when(kind == "sitemap", F.coalesce(F.nullif(value("guid"), F.lit("")), F.col("_link")))
            .when(kind == "tal", F.regexp_extract("_link", r"/opp/(\d+)-", 1))
            .when(F.col("_link").contains("/search/jobdetails/"), _tail(F.col("_link"))))
-    sf = split_title_place(value(e, "title"))
-    title = (F.when(kind == "personio", value(e, "name")).when(kind == "successfactors", sf["title"])
-             .when(kind == "teamtailor", strip_html(inner(e, "title"))).otherwise(value(e, "title")))
-    office = F.concat(F.array(value(e, "office")), F.transform(elements(inner(e, "additionalOffices"), "office"), lambda o: value(o, "office")))
-    remote = F.lower(F.concat(value(e, "remote_status"), value(e, "remote-status")))
+    sf = split_title_place(value("title"))
+    title = (F.when(kind == "personio", value("name")).when(kind == "successfactors", sf["title"])
+             .when(kind == "teamtailor", strip_html(raw("title"))).otherwise(value("title")))
+    office = F.concat(F.array(value("office")), F.transform(F.coalesce(F.flatten(e["additionalOffices"]["office"]), none), strip))
+    places = F.transform(F.concat(F.coalesce(F.flatten(e["locations"]["location"]), none), F.coalesce(e["location"], none)), strip_html)
+    remote = F.lower(F.concat(value("remote_status"), value("remote-status")))
     flag = F.when(remote == "hybrid", "Hybrid").when(remote.isin("remote", "fully", "fully_remote", "fully-remote"), "Remote")
     location = (F.when(kind == "personio", F.array_join(F.filter(office, lambda o: o != ""), ", "))
                 .when(kind == "successfactors", sf["place"])
-                .when(kind == "teamtailor", distinct_sites(F.concat(_every(e, "location"), F.array(flag))))
-                .otherwise(value(e, "location")))
-    modified = dt.iso_date(value(e, "lastmod"))
-    feed_day = F.when(kind == "sitemap", None).otherwise(dt.rfc822_date(value(e, "pubDate")))
-    posted = (F.when(kind == "personio", dt.iso_date(value(e, "createdAt"))).when(kind == "tal", dt.iso_date(value(e, "published")))
+                .when(kind == "teamtailor", distinct_sites(F.concat(places, F.array(flag))))
+                .otherwise(value("location")))
+    modified = dt.iso_date(value("lastmod"))
+    feed_day = F.when(kind == "sitemap", None).otherwise(dt.rfc822_date(value("pubDate")))
+    posted = (F.when(kind == "personio", dt.iso_date(value("createdAt"))).when(kind == "tal", dt.iso_date(value("published")))
               .when(kind == "nas_recruitment", modified).otherwise(feed_day))
-    url = F.when(kind == "personio", F.concat(F.lit("https://"), host, F.lit(".jobs.personio.de/job/"), value(e, "id"),
+    url = F.when(kind == "personio", F.concat(F.lit("https://"), host, F.lit(".jobs.personio.de/job/"), value("id"),
                                               F.lit("?language=en"))).when(
         kind == "successfactors", F.regexp_replace("_link", r"[?#].*$", "")).otherwise(F.col("_link"))
-    text = F.when(kind == "personio", F.array_join(_every(inner(e, "jobDescriptions"), "value"), " ")).when(
-        kind.isin("tal", "nas_recruitment"), None).otherwise(strip_html(inner(e, "description")))
+    text = F.when(kind == "personio", F.array_join(F.transform(F.coalesce(F.flatten(e["jobDescriptions"]["jobDescription"])["value"], none), strip_html), " ")).when(
+        kind.isin("tal", "nas_recruitment"), None).otherwise(strip_html(raw("description")))
     return (rows.withColumn("posting_id", ids).where("posting_id <> ''").withColumn("posted", posted)
             .select("company", "board_type", "posting_id", title.alias("title"), location.alias("location"), url.alias("url"), "posted",
                     F.when((kind == "nas_recruitment") & F.col("posted").isNotNull(), "approx").alias("posted_source"),
@@ -98,10 +159,14 @@ def normalize_xml(pages: DataFrame) -> DataFrame:
 
 def sitemap_urls(pages: DataFrame, pattern: str = JOB_URL) -> DataFrame:
     """Posting pages named by sitemaps: (company, lastmod, url); keep the newest with `newest_pages`."""
-    e = F.col("e")
-    rows = pages.withColumn("_xml", without_namespaces(F.col("payload"))).select(
-        "company", F.explode(elements(F.col("_xml"), "url")).alias("e"))
-    return rows.select("company", value(e, "lastmod").alias("lastmod"), value(e, "loc").alias("url")).where(
+    e = F.col("one.e")
+    rows = pages.select("company", F.explode(feed_entries(F.col("payload"), F.lit("url"))).alias("one"))
+
+    def value(name: str) -> Column:
+        text = F.coalesce(F.get(e[name], F.lit(0)), F.lit(""))
+        return strip(F.when(F.col("one.repaired"), unescape(text)).otherwise(text))
+
+    return rows.select("company", value("lastmod").alias("lastmod"), value("loc").alias("url")).where(
         (F.col("url") != "") & F.col("url").rlike(pattern)).distinct()
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from postingworks.sources.details import normalize_details
 from postingworks.sources.html_boards import normalize_html
 from postingworks.sources.json_boards import normalize_json
+from postingworks.sources.xml_boards import feed_entries
 
 DAY = datetime.date(2026, 11, 20)
 PAGES = "company string, board_type string, endpoint map<string,string>, site string, term string, page_no int, payload string"
@@ -89,3 +90,33 @@ def test_detail_types(spark):
     assert sorted(got["rippling"].detail_description.split()) == ["A", "B"] and got["rippling"].detail_source == "exact"
     assert got["phenom"].detail_description.startswith("long & long &") and got["hrmdirect"].detail_description == "A"
     assert got["bamboohr"].ok is False and got["lever"].ok is True
+
+
+def entries(spark, *feeds):
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(feeds)], "i int, payload string")
+    rows = df.select("i", F.explode(feed_entries(F.col("payload"), F.lit("item"))).alias("x")).select("i", "x.e.title", "x.e.description").collect()
+    return [[((r.title or [""])[0], (r.description or [None])[0]) for r in rows if r.i == i] for i in range(len(feeds))]
+
+
+def test_xml_is_parsed_as_xml(spark):
+    def rss(items):
+        return f'<?xml version="1.0"?><rss><channel><title>c</title>{items}</channel></rss>'
+
+    got = entries(
+        spark,
+        rss("<item><sub><item><title>in</title></item></sub><title>out</title></item><item><title>b</title></item>"),
+        rss("<item/><item><title/></item><item><title>t</title><description/></item>"),
+        rss("<!-- <item><title>no</title></item> --><item><title>yes<!-- not this --></title></item>"),
+        rss("<item><title>t</title><description><![CDATA[<p>a</item> & b</p>]]></description></item>"),
+        rss('<item><x:title xmlns:x="u">n</x:title><description a="1">d</description></item>'),
+        rss("<item><title>Q & A</title><description>x&nbsp;&amp;</description></item>"),
+        rss("<item><title>first</title></item><item><title>torn").partition("torn")[0],
+        "<item><title>no feed", "", None, "plain text")
+    assert got[0] == [("out", None), ("b", None)]
+    assert [t for t, _ in got[1]] == ["", "", "t"]
+    assert got[2] == [("yes", None)]
+    assert got[3] == [("t", "<p>a</item> & b</p>")]
+    assert got[4] == [("n", "d")]
+    assert got[5] == [("Q & A", "x&nbsp;&")]
+    assert [t for t, _ in got[6]] == ["first"]
+    assert got[7:] == [[], [], [], []]
