@@ -124,6 +124,8 @@ def with_fixtures(sql: str, **more: str) -> str:
         return sql
     heads = ", ".join(f"{n} AS ({parts[n]})" for n in found)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {heads}, {body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {heads}, {body[5:]}"
     return f"WITH {heads} {body}"

@@ -66,18 +66,31 @@ def employer_coverage(spark, sf):
     return identity.mark_covered(names.unionByName(short), boards).select("key", C("has_board").cast("int").alias("has_board"))
 
 
-@query("uncovered_employers", """
-WITH polled AS (SELECT DISTINCT regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS k FROM customer WHERE c_acctbal > 5000),
-groups AS (SELECT c_nationkey AS g, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS k FROM customer WHERE c_custkey < c_nationkey * 40),
-cov AS (SELECT k FROM polled UNION SELECT k FROM groups WHERE g IN (SELECT g FROM groups WHERE k IN (SELECT k FROM polled))),
+# every customer is an alias group with two others' names, so groups hang on one another; a group sees what lies before it
+ALIASES = """SELECT a.c_custkey AS group_no, b.c_name AS name FROM customer a JOIN customer b
+  ON b.c_custkey IN (a.c_custkey, (a.c_custkey * 37 + 11) % 1499, (a.c_custkey * 7 + 3) % 997)"""
+_COVERED = """
+polled AS (SELECT DISTINCT regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS k FROM customer WHERE c_acctbal > 9500),
+groups AS (SELECT DISTINCT group_no AS g, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS k FROM aliases),
+cov AS (SELECT k, CAST(-1 AS BIGINT) AS since FROM polled
+  UNION SELECT m.k, m.g FROM cov JOIN groups t ON t.k = cov.k AND cov.since < t.g JOIN groups m ON m.g = t.g),"""
+
+
+@query("alias_closure", f"WITH RECURSIVE {_COVERED[1:-1]} SELECT DISTINCT k AS key FROM cov", aliases=ALIASES)
+def alias_closure(spark, sf):
+    polled = table(spark, sf, "customer").where("c_acctbal > 9500").select(C("c_name").alias("name"))
+    return identity.covered_keys(polled, select(spark, sf, ALIASES))
+
+
+@query("uncovered_employers", f"""
+WITH RECURSIVE {_COVERED[1:]}
 old AS (SELECT c_name AS name, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS k FROM customer WHERE c_mktsegment = 'BUILDING'),
 ans AS (SELECT s_name AS name, regexp_replace(lower(s_name), '[^a-z0-9]', '', 'g') AS k FROM supplier WHERE s_acctbal > 0)
 SELECT name, CASE WHEN k IN (SELECT k FROM cov) THEN 'dropped' ELSE 'kept' END AS change FROM old
-UNION ALL SELECT name, 'added' FROM ans WHERE k NOT IN (SELECT k FROM cov) AND k NOT IN (SELECT k FROM old)""")
+UNION ALL SELECT name, 'added' FROM ans WHERE k NOT IN (SELECT k FROM cov) AND k NOT IN (SELECT k FROM old)""", aliases=ALIASES)
 def uncovered_employers(spark, sf):
     cust, supp = table(spark, sf, "customer"), table(spark, sf, "supplier")
-    groups = cust.where("c_custkey < c_nationkey * 40").select(C("c_nationkey").alias("group_no"), C("c_name").alias("name"))
-    covered = identity.covered_keys(cust.where("c_acctbal > 5000").select(C("c_name").alias("name")), groups)
+    covered = identity.covered_keys(cust.where("c_acctbal > 9500").select(C("c_name").alias("name")), select(spark, sf, ALIASES))
     old = cust.where("c_mktsegment = 'BUILDING'").select(C("c_name").alias("name"), L("r").alias("reason"), L(None).cast("string").alias("url"))
     answers = supp.select(F.concat("s_name", L(" | note")).alias("company"), F.when(C("s_acctbal") > 0, None).otherwise("found").alias("adapter"),
                           L("").alias("evidence_url"), C("s_suppkey").alias("ord"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from postingworks.catalog.fixtures import AS_OF, fixture, select, table
 from postingworks.catalog.registry import query
 from postingworks.functions import fixed_values as fv
-from postingworks.operators import anchors, boards, intake, lifecycle
+from postingworks.operators import anchors, boards, intake, lifecycle, lineage
 from postingworks.operators.intake import describe_entries, new_entries
 from postingworks.session import run_folder
 from postingworks.sources import buckets
@@ -214,6 +214,30 @@ def recall_capped(spark, sf):
     return _recall(spark, sf, fv.RECALL_MAX_PER_RUN)
 
 
+# orders in chains of a thousand re-listings; one in fifty links leads to an entry that is gone, every third chain's end is a ring
+REPOSTED = """SELECT CONCAT('p', LPAD(CAST(o_orderkey AS STRING), 9, '0')) AS id, CAST(o_orderdate AS DATE) AS first_seen,
+  CASE WHEN o_orderkey % 1000 = 0 THEN CASE WHEN o_orderkey % 3000 = 0 THEN CONCAT('p', LPAD(CAST(o_orderkey + 6 AS STRING), 9, '0')) END
+    WHEN o_orderkey % 1000 > 300 AND o_orderkey % 50 = 0 AND o_orderkey % 2000 > 1000 THEN CONCAT('gone', CAST(o_orderkey AS STRING))
+    ELSE CONCAT('p', LPAD(CAST(o_orderkey - 1 AS STRING), 9, '0')) END AS repost_of,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'carried' END AS lineage_root, CAST(NULL AS DATE) AS lineage_first_seen FROM orders"""
+
+
+@query("rebuilt_lineage", """
+WITH RECURSIVE up AS (SELECT a.id, b.id AS parent FROM reposted a JOIN reposted b ON a.repost_of = b.id),
+down AS (SELECT id, id AS root FROM reposted WHERE id NOT IN (SELECT id FROM up) UNION ALL SELECT up.id, down.root FROM up JOIN down ON up.parent = down.id),
+turning AS (SELECT id, parent FROM up WHERE id NOT IN (SELECT id FROM down)),
+ring AS (SELECT id, parent FROM turning WHERE CAST(substr(id, 2) AS BIGINT) % 1000 <= 6),
+reach AS (SELECT id, id AS other FROM ring UNION SELECT reach.id, ring.parent FROM reach JOIN ring ON ring.id = reach.other),
+tails AS (SELECT id, (SELECT min(other) FROM reach r WHERE r.id = ring.id) AS root FROM ring
+  UNION ALL SELECT t.id, tails.root FROM turning t JOIN tails ON t.parent = tails.id WHERE t.id NOT IN (SELECT id FROM ring)),
+found AS (SELECT id, root FROM down UNION ALL SELECT id, root FROM tails)
+SELECT q.id, coalesce(q.lineage_root, found.root) AS lineage_root, CAST(o.first_seen AS STRING) AS lineage_first_seen
+FROM reposted q JOIN found ON found.id = q.id JOIN reposted o ON o.id = found.root""", reposted=REPOSTED)
+def rebuilt_lineage(spark, sf):
+    out = lineage.rebuilt(select(spark, sf, REPOSTED))
+    return text_dates(out.select("id", "lineage_root", "lineage_first_seen"), "lineage_first_seen")
+
+
 _RENEW = """FROM queue q JOIN (SELECT company, posting_id, max(posted) AS listed FROM listing WHERE posted IS NOT NULL GROUP BY 1, 2) l
   ON q.company = l.company AND q.posting_id = l.posting_id WHERE q.closed_on IS NULL AND q.posted IS NOT NULL AND listed - q.posted >= 2 AND q.company IN ('1-URGENT', '3-MEDIUM')"""
 

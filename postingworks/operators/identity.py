@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from postingworks.functions import fixed_values as fv
 from postingworks.functions import text as tx
+from postingworks.functions.scale import lookup
+from postingworks.session import materialize
 
 
 def _metadata_key(company: str, role: str, location: str) -> Column:
@@ -85,20 +87,26 @@ def coverage_key(name: Column) -> Column:
 def covered_keys(companies: DataFrame, alias_groups: DataFrame) -> DataFrame:
     """Keys of polled employers plus every member of an alias group with a covered member.
 
-    `alias_groups(group_no, name)` is a short hand-kept list; its members alone are read here, with whether an employer is
-    polled under their key. Groups are taken in order: a group sees the keys added by groups before it.
+    Groups `alias_groups(group_no, name)` are taken in ascending order, once: a group sees the keys added by groups before
+    it. A group is covered from the number of the first group on that covers one of its keys, so each round passes numbers
+    from groups to their keys and back by grouped joins, until none falls; there are as many rounds as groups hang on one
+    another in a row. Numbers only fall and a group takes what lies before itself, so the order is kept.
     """
     keys = companies.select(coverage_key(F.col("name")).alias("key")).distinct()
-    members = alias_groups.select("group_no", coverage_key(F.col("name")).alias("key")).distinct()
-    listed = members.join(keys.withColumn("polled", F.lit(True)), "key", "left").collect()
-    covered = {r["key"] for r in listed if r["polled"]}
-    polled = set(covered)
-    for number in sorted({r["group_no"] for r in listed}):
-        group = {r["key"] for r in listed if r["group_no"] == number}
-        if group & covered:
-            covered |= group
-    added = companies.sparkSession.createDataFrame([(k,) for k in sorted(covered - polled)], "key string")
-    return keys.unionByName(added)
+    members = materialize(alias_groups.select(F.col("group_no").cast("bigint").alias("group_no"), coverage_key(F.col("name")).alias("key"))
+                          .distinct(), "alias-groups")
+    polled = members.join(keys, "key", "left_semi").select("key").distinct()
+    # the groups that cover a key: polled keys are covered before any group
+    since = materialize(polled.withColumn("since", F.lit(None).cast("bigint")).withColumn("polled", F.lit(True)), "aliases")
+    while True:
+        met = members.join(since, "key").where(F.col("polled") | (F.col("since") < F.col("group_no")))
+        covered = met.select("group_no").distinct()
+        reached = lookup(members, covered, ["group_no"], ["key"], "left_semi").groupBy("key").agg(F.min("group_no").alias("since"))
+        after = materialize(since.where("polled").unionByName(reached.join(polled, "key", "left_anti").withColumn("polled", F.lit(False))), "aliases")
+        if after.join(since.select("key", F.col("since").alias("_before"), F.lit(True).alias("_was")), "key", "left").where(
+                "NOT polled AND (_was IS NULL OR since < _before)").isEmpty():
+            return keys.unionByName(after.where("NOT polled").select("key"))
+        since = after
 
 
 def update_uncovered(uncovered: DataFrame, answers: DataFrame, covered: DataFrame, reason: str) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from postingworks.functions.scale import lookup, numbered
-from postingworks.operators import anchors, boards, identity, intake, lifecycle
+from postingworks.operators import anchors, boards, identity, intake, lifecycle, lineage
 from postingworks.operators.filters import FilterRules, UnlessRule, location_rule, rules_from_tables, title_passes, title_reason
 from postingworks.operators.views import search
 
@@ -238,3 +238,34 @@ def test_fetch_times_fold_in_file_order(spark):
     measured = spark.createDataFrame([("a", "s2", 1.0), ("a", "s1", 20.0), ("b", "s1", 4.126), ("b", "s2", None)], "company string, file string, secs double")
     got = {r.company: r.secs for r in boards.update_fetch_times(known, measured).collect()}
     assert got == {"a": 8.0, "b": 4.13, "c": 3.0}
+
+
+def test_lineages_of_chains_breaks_and_rings(spark):
+    chain = [(f"c{i:04}", f"c{i - 1:04}") for i in range(1, 1000)]
+    links = chain + [("r1", "r2"), ("r2", "r3"), ("r3", "r1"), ("t1", "r2"), ("t2", "t1"), ("s", "s"), ("u", "s")]
+    got = {r.id: (r.root, r.steps) for r in lineage.roots(spark.createDataFrame(links, "id string, up string")).collect()}
+    assert {k: v for k, v in got.items() if k[0] == "c"} == {f"c{i:04}": ("c0000", i) for i in range(1, 1000)}
+    assert {k: v for k, v in got.items() if k[0] != "c"} == {
+        **{k: ("r1", None) for k in ("r1", "r2", "r3", "t1", "t2")}, "s": ("s", None), "u": ("s", None)}
+    assert lineage.roots(spark.createDataFrame([], "id string, up string")).count() == 0
+    day = datetime.date(2026, 1, 1)
+    rows = [("a", None, day, None, None), ("b", "a", day + datetime.timedelta(5), None, None), ("c", "b", day, "kept", None), ("d", "gone", day, None, None),
+            ("e", "b", None, None, day)]
+    queue = spark.createDataFrame(rows, "id string, repost_of string, first_seen date, lineage_root string, lineage_first_seen date")
+    out = {r.id: (r.lineage_root, r.lineage_first_seen) for r in lineage.rebuilt(queue).collect()}
+    assert out == {"a": ("a", day), "b": ("a", day), "c": ("kept", day), "d": ("d", day), "e": ("a", day)}
+    assert {r.id: r.lineage_root for r in lineage.rebuilt(queue, only_missing=False).collect()}["c"] == "a"
+
+
+def test_alias_groups_are_taken_in_order(spark):
+    def covered(polled, groups):
+        rows = [(g, n) for g, names in groups.items() for n in names]
+        out = identity.covered_keys(spark.createDataFrame([(n,) for n in polled], "name string"), spark.createDataFrame(rows, "group_no long, name string"))
+        return sorted(r["key"] for r in out.collect())
+
+    # 1 is before 2, which covers b; 3 comes after; a chain of groups each seen by the next
+    assert covered(["A"], {1: ["b", "x"], 2: ["a", "b"], 3: ["B", "c"]}) == ["a", "b", "c"]
+    chain = {k: [f"n{k}", f"n{k + 1}"] for k in range(12)}
+    assert covered(["n0"], chain) == sorted(f"n{k}" for k in range(13))
+    assert covered(["n12"], chain) == ["n11", "n12"]
+    assert covered([], chain) == [] and covered(["q", "q | note"], {}) == ["q"]
