@@ -1,14 +1,19 @@
-"""Document fingerprints from closed syncmers of words.
+"""Document fingerprints from closed syncmers of words and, in short texts, of characters.
 
-Words are hashed; a k-mer of words is an anchor when the smallest of its inner s-mers stands first or last (closed
+Units are hashed; a k-mer of units is an anchor when the smallest of its inner s-mers stands first or last (closed
 syncmer). The choice depends on the k-mer alone, so a stretch that two texts share gives both the same anchors, whatever
-stands around it, and their places line the texts up (`anchors`, `shared_stretches`). The fingerprint holds the `SKETCH`
-smallest anchor hashes, in hex; the likeness of two fingerprints estimates the Jaccard likeness of their anchor sets and
-is exact for texts of at most `SKETCH` anchors.
-
-Defined cases: null is the empty text; a text without words has the empty fingerprint; one with fewer than k words has one
-anchor, its whole word sequence; two empty fingerprints have likeness 1, an empty and another 0. Rows that repeat are kept
-and follow each other in order of id, then of the text's hash; a row without id comes first.
+stands around it, and their places line the texts up (`anchors`, `shared_stretches`, `aligned`). Units are words, cut every
+`LONGEST` characters so that texts without blanks have units too, in texts of over `SHORT` code points; in texts of at most
+twice as many they are also the characters other than blanks. So a text and an edited one of half its length at least always
+have anchors of one kind. The fingerprint holds the `SKETCH` smallest anchor hashes, in hex, each with its first place beside
+it; the likeness of two fingerprints is the share of anchors that both have (Dice), estimated from the smallest hashes of
+both and exact for texts of at most `SKETCH` anchors together. The standard error of the estimated Jaccard likeness J is
+sqrt(J * (1 - J) / SKETCH), 0.0625 at most.
+
+Defined cases: null is the empty text; a text without units has the empty fingerprint; one with fewer than k units has one
+anchor, its whole sequence of units; two empty fingerprints have likeness 1, an empty and another 0; hashes that tie stand
+once, at their first place; texts of any length are read whole. Rows that repeat are kept and follow each other in order of
+id, then of the text's hash; a row without id comes first; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -20,11 +25,26 @@ from postingworks.llm.common import bound, hex_text
 
 K, S, SKETCH = 4, 2, 64
 ROWS_PER_SLICE, MOST_SLICES = 2_000, 10_000
-SPACES = r"[\x20\x09-\x0D]+"
+SHORT, LONGEST = 240, 12
+VISIBLE = r"[^\x20\x09-\x0D]"
 
 
 def word_hashes(text: Column) -> Column:
-    return F.transform(F.filter(F.split(text, SPACES), lambda w: w != ""), lambda w: F.xxhash64(w))
+    return F.transform(F.regexp_extract_all(text, F.lit(f"{VISIBLE}{{1,{LONGEST}}}"), F.lit(0)), lambda w: F.xxhash64(w))
+
+
+def character_hashes(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(VISIBLE), F.lit(0)), lambda c: F.xxhash64(c))
+
+
+def _by_units(text: Column, of) -> Column:
+    """The anchors that `of` finds in the units of a text, words and characters by the text's length."""
+    def both(t: Column) -> Column:
+        n = F.length(t)
+        return F.when(n > 2 * SHORT, bound(word_hashes(t), of)).when(n > SHORT, F.concat(
+            bound(word_hashes(t), of), bound(character_hashes(t), of))).otherwise(bound(character_hashes(t), of))
+
+    return bound(F.coalesce(text, F.lit("")), both)
 
 
 def _chosen(h: Column, build, k: int, s: int) -> Column:
@@ -43,7 +63,7 @@ def _chosen(h: Column, build, k: int, s: int) -> Column:
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """All anchors of a text as [(at, hash)], `at` in words."""
+    """All anchors of a text as [(at, hash)], `at` in units."""
     if k - s < 2 or s < 1:
         raise ValueError("k must exceed s by two at least")
 
@@ -53,20 +73,30 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
         return F.when(F.size(h) == 0, F.array().cast("array<struct<at:int,hash:bigint>>")).when(
             F.size(h) < k, short).otherwise(full)
 
-    return bound(word_hashes(F.coalesce(text, F.lit(""))), of)
+    return _by_units(text, of)
 
 
 def sketch(text: Column, k: int = K, s: int = S, size: int = SKETCH) -> Column:
-    """The `size` smallest distinct anchor hashes (31 bits each), ascending."""
+    """The `size` smallest distinct anchor hashes (31 bits each), ascending, and their first places: (hashes, places)."""
     def cut(x: Column) -> Column:
-        return F.shiftrightunsigned(x, 33).cast("int")
+        return F.shiftrightunsigned(x, 33)
 
     def of(h: Column) -> Column:
-        return F.when(F.size(h) == 0, F.array().cast("array<int>")).when(F.size(h) < k, F.array(cut(F.xxhash64(h)))).otherwise(
-            _chosen(h, lambda i: cut(F.xxhash64(*[F.get(h, i + j) for j in range(k)])), k, s))
+        # hash and place in one number, so that sorting them is sorting numbers
+        return F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(
+            F.size(h) < k, F.array(F.shiftleft(cut(F.xxhash64(h)), 32))).otherwise(
+            _chosen(h, lambda i: F.shiftleft(cut(F.xxhash64(*[F.get(h, i + j) for j in range(k)])), 32) + i.cast("bigint"), k, s))
 
-    hashes = bound(word_hashes(F.coalesce(text, F.lit(""))), of)
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, size)
+    def hash_of(x: Column) -> Column:
+        return F.shiftright(x, 32).cast("int")
+
+    def least(found: Column) -> Column:
+        # the first of equal hashes is the one of the first place
+        firsts = F.filter(found, lambda x, i: (i == 0) | (hash_of(x) != hash_of(F.get(found, i - 1))))
+        return bound(F.slice(firsts, 1, size), lambda f: F.struct(F.transform(f, hash_of).alias("hashes"), F.transform(
+            f, lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("places")))
+
+    return bound(F.sort_array(_by_units(text, of)), least)
 
 
 def fingerprint(sketched: Column) -> Column:
@@ -74,11 +104,24 @@ def fingerprint(sketched: Column) -> Column:
 
 
 def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
-    """Jaccard likeness of two anchor sets from their sketches: the shared part of the smallest hashes of both."""
+    """Dice likeness of two anchor sets from their smallest hashes: the share of those that both have."""
     both = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
-    shared = bound(both, lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u))
+    jaccard = bound(both, lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(
-        shared.cast("double"))
+        bound(jaccard, lambda j: (2 * j / (1 + j)).cast("double")))
+
+
+def aligned(a: Column, b: Column) -> Column:
+    """Positional matching of two sketches: (n, shift), the shift of places that most of their common anchors agree on.
+
+    `shift` is the place in `b` less the place in `a`; of equal numbers the least shift; (0, null) without common anchors.
+    """
+    at = F.map_from_arrays(b["hashes"], b["places"])
+    shifts = bound(at, lambda m: F.filter(F.transform(F.arrays_zip(a["hashes"], a["places"]), lambda x: F.element_at(m, x["hashes"]) - x["places"]),
+                                          lambda v: v.isNotNull()))
+    best = bound(shifts, lambda v: F.array_max(F.transform(F.array_distinct(v), lambda d: F.struct(
+        F.size(F.filter(v, lambda x: x == d)).alias("n"), (-d).alias("less")))))
+    return bound(best, lambda w: F.struct(F.coalesce(w["n"], F.lit(0)).cast("bigint").alias("n"), (-w["less"]).cast("bigint").alias("shift")))
 
 
 def shared_stretches(left: Column, right: Column) -> Column:
@@ -125,7 +168,8 @@ def with_next(docs: DataFrame, extra: dict[str, Column], id_col: str = "doc_id",
     Rows are dealt to consecutive slices of the ids; the first row of a slice also goes to the slice before, so no slice
     needs another one's rows and no task sees more than a slice.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"),
+                       *[e.alias(n) for n, e in extra.items()])
     bounds = _slices(rows.select("id"), "id")
     firsts = (rows.select("id").withColumn("slice", _slice_of(F.col("id"), bounds)).groupBy("slice")
               .agg(F.min("id").alias("first"), F.bool_or(F.col("id").isNull()).alias("empty")).orderBy("slice").collect())
@@ -140,7 +184,7 @@ def with_next(docs: DataFrame, extra: dict[str, Column], id_col: str = "doc_id",
         F.col("id").eqNullSafe(first), F.array(F.struct(own.alias("slice"), F.lit(False).alias("copy")), F.struct(
             F.get(F.array([F.lit(x) for x in befores]), own).alias("slice"), F.lit(True).alias("copy")))).otherwise(
         F.array(F.struct(own.alias("slice"), F.lit(False).alias("copy")))))
-    dealt = dealt.select("id", "text", *[e.alias(n) for n, e in extra.items()], F.explode("to").alias("to")).select(
+    dealt = dealt.select("id", "text", *extra, F.explode("to").alias("to")).select(
         "id", "text", *extra, "to.slice", "to.copy")
     order = Window.partitionBy("slice").orderBy("copy", F.col("id").asc_nulls_first(), F.xxhash64("text"))
     names = ["text", *extra]
@@ -150,20 +194,25 @@ def with_next(docs: DataFrame, extra: dict[str, Column], id_col: str = "doc_id",
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, sketch and fingerprint of its text."""
-    return docs.select(id_col, sketch(F.col(text_col)).alias("sketch")).withColumn("fingerprint", fingerprint(F.col("sketch")))
+    return docs.select(id_col, sketch(F.col(text_col)).alias("sketch")).withColumn("fingerprint", fingerprint(F.col("sketch.hashes")))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """Each text against its own edited text and the next document, as the query returns them."""
-    pairs = with_next(docs, {"sketch": sketch(F.col("text"))})
+    rows = docs.select("doc_id", "text")
+    made = F.transform(F.array(F.coalesce("text", F.lit(""))), lambda t: sketch(t))[0]
+    pairs = with_next(rows.select("doc_id", "text", made.alias("s")).select("doc_id", "text", "s.hashes", "s.places"),
+                      {"hashes": F.col("hashes"), "places": F.col("places")})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = pairs.select("id", n.cast("bigint").alias("n_chars"), "sketch", "next_sketch",
+    edited = pairs.select("id", n.cast("bigint").alias("n_chars"), "hashes", "places", "next_hashes",
                           F.concat(F.left("text", n - half), F.left("next_text", half)).alias("edited"))
-    known = edited.select("id", "n_chars", "sketch", "next_sketch", hex_text(F.col("edited")).alias("edited_sha256"),
-                          F.transform(F.array("edited"), lambda e: sketch(e))[0].alias("edited_sketch"))
+    known = edited.select("id", "n_chars", "hashes", "places", "next_hashes", hex_text(F.col("edited")).alias("edited_sha256"),
+                          F.transform(F.array("edited"), lambda e: sketch(e))[0].alias("other"))
+    met = aligned(F.struct("hashes", "places"), F.col("other"))
     return known.select(
-        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", fingerprint(F.col("sketch")).alias("fingerprint"),
-        fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", fingerprint(F.col("hashes")).alias("fingerprint"),
+        fingerprint(F.col("other.hashes")).alias("edited_fingerprint"),
+        likeness(F.col("hashes"), F.col("other.hashes")).alias("near_edited"),
+        likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"), met["n"].alias("aligned_edited"),
+        met["shift"].alias("shift_edited"))

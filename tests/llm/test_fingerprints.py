@@ -1,4 +1,6 @@
 import hashlib
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,7 +61,7 @@ def test_every_window_of_syncmers_is_closed(spark):
 def test_likeness_of_short_and_far_texts(spark):
     pairs = [(words(60), words(60)), (words(60), words(60, 500)), (words(60), words(30)), ("", ""), ("", "a"), ("a b", "a b"), (None, "")]
     df = spark.createDataFrame(pairs, "a string, b string")
-    near = [r[0] for r in df.select(fingerprints.likeness(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b")))).collect()]
+    near = [r[0] for r in df.select(fingerprints.likeness(fingerprints.sketch(F.col("a"))["hashes"], fingerprints.sketch(F.col("b"))["hashes"])).collect()]
     assert near[0] == 1.0 and near[1] < 0.1 and 0.3 < near[2] < 0.7 and near[3:] == [1.0, 0.0, 1.0, 1.0]
 
 
@@ -79,3 +81,36 @@ def test_no_python_in_the_plan(spark):
     plan = got._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert got.count() == 200
+
+
+def dice(a, b, size=fingerprints.SKETCH):
+    """Likeness of two sets of anchor hashes by plain sets."""
+    if not a or not b:
+        return float(not a and not b)
+    both = set(sorted(a | b)[:size])
+    j = len(both & a & b) / len(both)
+    return 2 * j / (1 + j)
+
+
+def test_likeness_columns_against_plain_sets(spark, documents):
+    rng = random.Random(2)
+    chinese = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n)) for n in (30, 380, 400, 2000)]
+    texts = [None, "one two", "three short words", "the quick brown fox jumps over it", *chinese, words(9), words(50), words(70), words(100, 40),
+             words(900), "x" * 3000, "ties " * 200, words(50), "a", "same tail " + words(60)]
+    got = by_id(fingerprints.digest(documents(texts, clashing=True)))
+    plain = [t or "" for t in texts]
+    edited = [t[:len(t) - len(t) // 2] + plain[(i + 1) % len(plain)][:len(t) // 2] for i, t in enumerate(plain)]
+    df = spark.createDataFrame(list(enumerate(plain + edited)), "i int, t string")
+    found = {r.i: [((a.hash >> 33) & 0x7FFFFFFF, a.at) for a in r.a] for r in df.select("i", fingerprints.anchors(F.col("t")).alias("a")).collect()}
+    n = len(texts)
+    for i in range(n):
+        own, other, following = ({h for h, _ in found[k]} for k in (i, n + i, (i + 1) % n))
+        assert got[i].near_edited == pytest.approx(dice(own, other), abs=1e-12)
+        assert got[i].near_next == pytest.approx(dice(own, following), abs=1e-12)
+        assert got[i].fingerprint == "".join(f"{h:08x}" for h in sorted(own)[:fingerprints.SKETCH])
+        places = [{h: min(p for g, p in found[k] if g == h) for h in sorted({h for h, _ in found[k]})[:fingerprints.SKETCH]} for k in (i, n + i)]
+        shifts = Counter(places[1][h] - p for h, p in places[0].items() if h in places[1])
+        best = max(shifts.items(), key=lambda x: (x[1], -x[0]), default=(None, 0))
+        assert (got[i].shift_edited, got[i].aligned_edited) == best
+    # texts that share half are seen to, however short and with or without blanks
+    assert all(got[i].near_edited > 0.3 for i in (3, 4, 5, 6, 7, 8, 9, 10, 11)), [(i, got[i].near_edited) for i in range(n)]
