@@ -2,20 +2,25 @@
 
 `base_spans` finds the four strict kinds (email, ip, card, phone) with checked parts, digits and check sums. Generators
 with loose patterns then propose spans, which may overlap each other; each gets a few small whole-number features of its
-format and context. Boosted trees are fitted on all candidates of the given documents, with those as positives that overlap
-a strict span, or are one in another form (an email with [at] or [dot] spelled out, an IPv6 address of eight groups): Spark counts the candidates per feature vector, and since the vectors are few (their number is bounded
-by the product of the features' values, whatever the input) the trees are fitted on these counts. Scores are turned into
-probabilities on documents held out of the fit, and a candidate is selected from `threshold` on. Base spans always stay.
+format and context. Boosted trees are fitted on two kinds of examples. Of the given documents all candidates for addresses and
+numbers count, with those as positives that overlap a strict span, or are one in another form (an email with [at] or [dot]
+spelled out, an IPv6 address of eight groups). The strict patterns say nothing of secrets (`secret`: a name with a value,
+`key`: a long run of letters and digits), so their labels come from a seeded table of examples (`planted`): keys, tokens and
+passwords in varied forms among hard negatives, such as settings, file names, long words and numbers that fail their check
+sum. Spark counts the candidates per feature vector, and since the vectors are few (their number is bounded by the product
+of the features' values, whatever the input) the trees are fitted on these counts. Scores are turned into probabilities on
+documents and examples held out of the fit, and a candidate is selected from `threshold` on. Base spans always stay.
 
 Text never leaves the JVM. Patterns that could try a long stretch again from each of its characters start only at its
 beginning or where the last match ended, and loops are possessive, so very long texts cost linear time and no deep stack.
 
-Defined cases: null is the empty text, without spans; without candidates the model selects nothing; repeated rows are kept
-as they are; other columns are never read, and `redacted` hands them through, whatever their names.
+Defined cases: null is the empty text, without spans; with no documents the model knows secrets alone; an empty table gives no
+rows; ties go to the longer, then the earlier span; texts of any length are read whole; repeated rows are kept as they are; other columns are never read, and `redacted` hands them through, whatever their names.
 """
 
 from __future__ import annotations
 
+import random
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -47,17 +52,23 @@ GENERATORS = {
     "number": r"(?<![0-9A-Za-z])\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+",
     "grouped": r"(?<![0-9])[0-9]{2,4}(?:[.\x20-][0-9]{2,4}){2,4}(?![0-9])",
     "network": r"(?<![0-9A-Za-z:.])(?:[0-9]{1,4}(?:\.[0-9]{1,4}){3,5}|(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4})",
+    "secret": r"(?<![A-Za-z0-9_.-])[A-Za-z][A-Za-z0-9_.-]{1,40}+[\"']?\x20{0,2}[=:]\x20{0,2}[\"']?(?!//)[!-&(-~]{6,256}+",
+    "key": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,64}[0-9])[A-Za-z0-9_+/-]{16,512}+={0,2}",
 }
+OF_DOCUMENTS = 4  # so many generators learn from the documents as well
 GUARDS = {
     "address": r"@|[(\[{]\x20?(?:at|AT)\x20?[)\]}]", "number": r"[0-9][\x20().-]{0,2}[0-9][\x20().-]{0,2}[0-9]",
     "grouped": r"[0-9][.\x20-][0-9]", "network": r"[0-9A-Fa-f][.:][0-9A-Fa-f]",
+    "secret": r"[A-Za-z0-9_.-][\"']?\x20{0,2}[=:]\x20{0,2}[\"']?[!-&(-~]{6}", "key": r"[0-9][A-Za-z_+/=-]{0,15}[A-Za-z0-9_+/=-]{4}",
 }
+SECRET_NAME = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|credential|auth|bearer|(?:api|access|private|client|signing)[_.-]?(?:key|id)|key)s?[\"']?\W*"
 CUES = (
     r"(?:tel|phone|call|fax|mobile|cell)\W*$", r"(?:mail|contact|write)\W*$", r"(?:card|visa|credit|account|iban)\W*$",
     r"(?:ip|host|server|address)\W*$", r"(?:version|isbn|no|order|page|v)\W*$",
 )
 # what only tells strict spans apart, as the sign before a number does, is left out, or the trees would learn just that
-FEATURES = ("family", "digits", "separators", "groups", "cue", "luhn", "octets", "domain", "joined")
+FEATURES = ("family", "digits", "separators", "groups", "cue", "luhn", "octets", "domain", "joined", "letters",
+            "size", "named")
 CONTEXT = 24
 
 
@@ -148,13 +159,21 @@ def _features(family: int, m: Column) -> Column:
                  "cue": cue,
                  "luhn": F.when(n.between(12, 19), luhn(digits).cast("int")).otherwise(0),
                  "octets": F.when(valid("ip", value), 1).when(value.rlike(IPV6), 2).otherwise(0), "domain": domain,
-                 "joined": after.rlike("[0-9A-Za-z]").cast("int")}
+                 "joined": after.rlike("[0-9A-Za-z]").cast("int"), "letters": F.lit(0), "size": F.lit(0), "named": F.lit(0)}
+        if family >= OF_DOCUMENTS:
+            core = F.regexp_replace(value, r"^[A-Za-z][A-Za-z0-9_.-]*+[\"']?\x20*[=:]\x20*[\"']?", "") if family == OF_DOCUMENTS else value
+            parts["letters"] = core.rlike("[A-Z]").cast("int") + 2 * core.rlike("[a-z]").cast("int") + 4 * core.rlike(
+                "[^A-Za-z0-9\"',;.]").cast("int")
+            parts["size"] = sum((F.when(F.length(core) >= low, 1).otherwise(0) for low in (8, 12, 16, 20, 24, 32, 40)), F.lit(0))
+            parts["groups"] = F.least(F.size(F.filter(F.split(core, "[^0-9]+"), lambda g: g != "")), F.lit(4))
+            parts["named"] = (value.rlike(f"^(?:[A-Za-z0-9_.-]*[_.-])?{SECRET_NAME}[=:]") if family == OF_DOCUMENTS else before.rlike(
+                f"{SECRET_NAME}$")).cast("int")
         return F.struct(*[parts[f].cast("int").alias(f) for f in FEATURES])
 
     return bound(digits_of(value), build)
 
 
-def candidates(text: Column, base: Column) -> Column:
+def candidates(text: Column, base: Column, families: int = len(GENERATORS)) -> Column:
     """All proposed spans as [(start, end, features, strict, positive)]; strict: it overlaps a base span; positive: that, or
     it is personal data in another form."""
     def of(family: int, name: str, pattern: str) -> Column:
@@ -163,7 +182,58 @@ def candidates(text: Column, base: Column) -> Column:
             F.exists(base, lambda b: overlaps(m, b)).alias("strict"),
             (F.exists(base, lambda b: overlaps(m, b)) | known_form(family, m["value"])).alias("positive")))
 
-    return F.concat(*[of(i, name, pattern) for i, (name, pattern) in enumerate(GENERATORS.items())])
+    return F.concat(*[of(i, name, pattern) for i, (name, pattern) in enumerate(GENERATORS.items()) if i < families])
+
+
+def planted(n: int = 4_000, seed: int = 17, held: bool = False) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Texts with the (start, end) of their secrets, none in the hard negatives; seeded, `held` gives others than are fitted."""
+    rng = random.Random(seed + held * 1_000_003)
+    lower, upper, digits, hexes = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
+
+    def some(letters: str, low: int, high: int) -> str:
+        while True:
+            made = "".join(rng.choices(letters, k=rng.randint(low, high)))
+            if len(letters) < 27 and letters != hexes or any(c in digits for c in made):
+                return made
+
+    def word(low: int = 2, high: int = 9) -> str:
+        return some(lower, low, high)
+
+    def name() -> str:
+        stem = rng.choice(["password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "access_key", "auth_token", "client_secret",
+                           "private-key", "signing.key", "credential", "db_password"])
+        return rng.choice([stem, stem.upper(), stem.title(), f"{word(2, 5)}_{stem}"])
+
+    def value() -> str:
+        return rng.choice([some(hexes, 12, 64), some(lower + digits, 8, 30), some(lower + upper + digits, 8, 48),
+                           some(lower + upper + digits + "!#$%&*+/_-", 9, 32), some(upper + digits, 12, 24)])
+
+    def sign() -> str:
+        return rng.choice(["=", ": ", " = ", ":", "="])
+
+    secrets = [lambda: f"{name()}{sign()}{value()}", lambda: f'{name()}{sign()}"{value()}"', lambda: f"{name()}{sign()}'{value()}'",
+               lambda: rng.choice(["AKIA", "ASIA", "AIza"]) + some(upper + digits, 16, 16), lambda: some(hexes, 32, 64),
+               lambda: rng.choice(["ghp_", "sk_live_", "xoxb-", "pk_", "tok_"]) + some(lower + upper + digits, 20, 40),
+               lambda: f"bearer {some(lower + upper + digits + '_-', 24, 80)}", lambda: some(lower + upper + digits, 28, 48),
+               lambda: ".".join("eyJ" + some(lower + upper + digits, 17, 60) for _ in range(3))]
+    plain = [lambda: f"{rng.choice(['page', 'width', 'lang', 'order', 'size', 'color', 'id', 'ref', 'lot'])}{sign()}{rng.randint(100_000, 10**9)}",
+             lambda: f"{word(3, 8)}{sign()}{word(6, 14)}", lambda: f"{name()}: {word(6, 12)} {word()}", lambda: word(16, 30),
+             lambda: f"{word()}_{word()}_{rng.randint(1990, 2030)}_{word()}.pdf", lambda: f"{word()}-{word()}-{word()}-{rng.randint(1, 99)}-{word()}",
+             lambda: f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}T{rng.randint(10, 23)}:{rng.randint(10, 59)}:{rng.randint(10, 59)}",
+             lambda: f"{word()}: {rng.randint(10, 23)}:{rng.randint(10, 59)}:{rng.randint(10, 59)}", lambda: some(digits, 16, 19),
+             lambda: f"{word(4, 9)}/{word(4, 9)}/{rng.randint(1, 2030)}/{word(4, 12)}", lambda: f"{word().title()}{word().title()}{word().title()}{rng.randint(1, 9)}",
+             lambda: f"time: {rng.randint(1, 9)}h{rng.randint(10, 59)}min{rng.randint(10, 59)}s", lambda: "=" * rng.randint(10, 40) + str(rng.randint(1, 9)),
+             lambda: f"v{rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 20)}-{word(4, 6)}", lambda: f"{word()}={word(3, 6)}&{word()}={rng.randint(1, 999)}"]
+    out = []
+    for _ in range(n):
+        is_secret = rng.random() < 0.5
+        item = rng.choice(secrets if is_secret else plain)()
+        lead = " ".join(word() for _ in range(rng.randint(0, 6)))
+        start = len(lead) + bool(lead)
+        cue = item.startswith("bearer ") * 7
+        out.append((f"{lead} {item}".lstrip() + rng.choice(["", " ", ", ", "\n", ". "]) + " ".join(word() for _ in range(rng.randint(0, 4))),
+                    [(start + cue, start + len(item))] if is_secret else []))
+    return out
 
 
 @dataclass
@@ -174,26 +244,44 @@ class Trees:
     trees: list = field(default_factory=list)
     steps: list = field(default_factory=list)  # (least score, probability), ascending
     threshold: float = 0.9
-
-    def _score(self, get, choose, add):
-        total = self.prior
-        for f, cut, *parts in self.trees:
-            low, high = (choose(get(g), c, a, b) for g, c, a, b in parts)
-            total = add(total, choose(get(f), cut, low, high))
-        return total
+    secrets: Trees | None = None  # judges the candidates of the generators that documents teach nothing about
 
     def score(self, features: Column) -> Column:
-        return self._score(lambda f: features[FEATURES[f]], lambda x, cut, a, b: F.when(x <= cut, a).otherwise(b),
-                           lambda a, b: (F.lit(a) if isinstance(a, float) else a) + b) if self.trees else F.lit(self.prior)
+        if not self.trees:
+            return F.lit(self.prior)
+
+        def leaf(f: int, cut: int, low, high) -> Column:
+            return F.when(features[FEATURES[f]] <= cut, low).otherwise(high)
+
+        # one array and one sum over it: a chain of additions would be as deep as there are trees
+        each = [leaf(f, cut, *[leaf(*part) for part in parts]) for f, cut, *parts in self.trees]
+        return F.aggregate(F.array(*each), F.lit(self.prior), lambda total, x: total + x)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return np.zeros(len(x)) + self._score(lambda f: x[:, f], lambda v, cut, a, b: np.where(v <= cut, a, b), lambda a, b: a + b)
+        total = np.zeros(len(x)) + self.prior
+        for f, cut, *parts in self.trees:
+            low, high = (np.where(x[:, g] <= c, a, b) for g, c, a, b in parts)
+            total = total + np.where(x[:, f] <= cut, low, high)
+        return total
 
     @property
     def least_score(self) -> float | None:
         """The score from which a candidate is selected; None if there is none."""
         return next((s for s, p in self.steps if p >= self.threshold), None)
 
+    @property
+    def selects(self) -> bool:
+        return self.least_score is not None or self.secrets is not None and self.secrets.least_score is not None
+
+    def selecting(self, features: Column) -> Column:
+        """The score of a candidate that is selected, null for others."""
+        def of(model: Trees | None) -> Column:
+            if model is None or model.least_score is None:
+                return F.lit(None).cast("double")
+            return bound(model.score(features).cast("double"), lambda x: F.when(x >= model.least_score, x))
+
+        return F.when(features["family"] < OF_DOCUMENTS, of(self)).otherwise(of(self.secrets))
+
 
 def _split(x, g, h):
     """Feature, cut and gain of the best single split for gradients g and curvatures h."""
@@ -250,13 +338,24 @@ def calibrated(model: Trees, x: np.ndarray, positive: np.ndarray, total: np.ndar
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.95) -> Trees:
-    """Trees fitted on the candidates of all `docs`, calibrated on the fifth of the documents held out by their id."""
+    """Trees fitted on the candidates of all `docs` and on the planted examples, calibrated on a fifth of both held out."""
     text = F.coalesce(text_col, F.lit(""))
     rows = docs.select(text.alias("text"), (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0).alias("held"))
     found = rows.where(F.col("text").rlike(r"[0-9@]|[(\[{]\x20?(?:at|AT)")).select("held", F.explode(
-        bound(base_spans(F.col("text")), lambda b: candidates(F.col("text"), b))).alias("c"))
+        bound(base_spans(F.col("text")), lambda b: candidates(F.col("text"), b, OF_DOCUMENTS))).alias("c"))
+    model = _fitted(found, F.col("c.positive"), threshold)
+    lessons = docs.sparkSession.createDataFrame([(t, spans, i % 5 == 0) for i, (t, spans) in enumerate(planted())],
+                                                "text string, spans array<struct<start:int,end:int>>, held boolean")
+    taught = lessons.select("held", F.col("spans"), F.explode(bound(base_spans(F.col("text")), lambda b: candidates(F.col("text"), b)))
+                            .alias("c")).where(F.col("c.features.family") >= OF_DOCUMENTS)
+    model.secrets = _fitted(taught, F.exists("spans", lambda p: overlaps(F.col("c"), p)), threshold)
+    return model
+
+
+def _fitted(found: DataFrame, is_positive: Column, threshold: float) -> Trees:
+    """Trees of the candidates `c` that are not `held`, calibrated on those that are; Spark counts them per feature vector."""
     counts = found.groupBy("c.features", "held").agg(
-        F.sum(F.col("c.positive").cast("bigint")).alias("positive"), F.count(F.lit(1)).alias("total")).collect()
+        F.sum(is_positive.cast("bigint")).alias("positive"), F.count(F.lit(1)).alias("total")).collect()
     if not counts:
         return Trees()
     counts.sort(key=lambda r: (tuple(r["features"]), r["held"]))
@@ -270,11 +369,10 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thre
 
 def selected(text: Column, base: Column, model: Trees) -> Column:
     """All candidates apart from the base spans whose score selects them, by start; they may overlap."""
-    least = model.least_score
     scored = F.transform(F.filter(candidates(text, base), lambda c: ~c["strict"]), lambda c: F.struct(
-        c["start"].alias("start"), c["end"].alias("end"), model.score(c["features"]).cast("double").alias("score"),
+        c["start"].alias("start"), c["end"].alias("end"), model.selecting(c["features"]).alias("score"),
         c["features"]["family"].alias("family")))
-    chosen = F.filter(scored, lambda c: c["score"] >= F.lit(least).cast("double"))
+    chosen = F.filter(scored, lambda c: c["score"].isNotNull())
     return F.array_sort(chosen)
 
 
@@ -306,19 +404,16 @@ def apart(items: Column, also: tuple = ()) -> Column:
     return F.when(F.size(items) > 1, bound(prefix_maxima(F.transform(items, lambda c: c["end"])), by_stretch)).otherwise(items)
 
 
-def added_spans(text: Column, base: Column, model: Trees) -> Column:
-    """Selected candidates apart from the base spans as [(kind, start, end)] by start; of overlapping ones the best stays."""
-    if model.least_score is None:
-        return F.array().cast(SPANS)
-    return bound(selected(text, base, model), lambda items: named(apart(items)))
-
-
 def find(docs: DataFrame, model: Trees, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, the base spans and the added spans."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(F.col(id_col).alias("id"), bound(text, lambda t: bound(base_spans(t), lambda b: F.struct(
-        b.alias("base"), added_spans(t, b, model).alias("added")))).alias("spans"))
-    return found.select(F.col("id").alias(id_col), "spans.base", "spans.added")
+    """Per row: id, the base spans and the added ones [(kind, start, end)] by start; of overlapping candidates the best stays."""
+    # step by step, so that each step's expressions are analysed by themselves
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    based = rows.select("id", "text", base_spans(F.col("text")).alias("base"))
+    chosen = selected(F.col("text"), F.col("base"), model) if model.selects else None
+    if chosen is None:
+        return based.select(F.col("id").alias(id_col), "base", F.array().cast(SPANS).alias("added"))
+    picked = based.select("id", "base", chosen.alias("chosen"))
+    return picked.select(F.col("id").alias(id_col), "base", named(apart(F.col("chosen"))).alias("added"))
 
 
 def redact(text: Column, spans: Column) -> Column:
@@ -347,13 +442,12 @@ def redacted(docs: DataFrame, model: Trees, *, text_col: str = "text", length_co
     """`docs` with all spans of the text column redacted; null texts and all other columns stay as they are, but for
     `length_col`, where it is named, which follows the length of changed texts.
     """
-    def clean(t: Column) -> Column:
-        # all selected spans, also those a better one overlaps: what they hold beyond it goes as well
-        more = F.array().cast(SPANS)
-        return bound(base_spans(t), lambda b: redact(t, F.concat(b, more if model.least_score is None else named(selected(t, b, model)))))
-
-    held = docs.select(F.struct("*").alias("_doc"), F.when(F.col(text_col).isNotNull(), bound(
-        F.coalesce(F.col(text_col), F.lit("")), clean)).alias("_text"))
+    held = docs.select(F.struct("*").alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    based = held.select("_doc", "_t", base_spans(F.col("_t")).alias("_base"))
+    # all selected spans, also those a better one overlaps: what they hold beyond it goes as well
+    more = named(selected(F.col("_t"), F.col("_base"), model)) if model.selects else F.array().cast(SPANS)
+    spans = based.select("_doc", "_t", F.concat("_base", more).alias("_spans"))
+    held = spans.select("_doc", F.when(F.col("_doc")[text_col].isNotNull(), redact(F.col("_t"), F.col("_spans"))).alias("_text"))
 
     def column(c: str) -> Column:
         if c == text_col:

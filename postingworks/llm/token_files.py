@@ -37,6 +37,7 @@ BLOCK_TOKENS = 1 << 17
 SEGMENT_TOKENS = 1 << 21
 MAGIC = b"RTF1"
 MOST_KEPT = 600_000  # words whose ids a worker keeps, in each of two generations
+SLICE = 8 << 20  # characters encoded at once
 LOW = np.uint64(1 << 31)
 HEAD = struct.Struct("<4sQIII")
 DOCUMENT = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("tokens", "<u8")])
@@ -193,7 +194,7 @@ def write(docs: DataFrame, folder: str, path: str, *, blanks: bool = True, end:
 
         for batch in batches:
             docs_in, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in in_slices(texts):
+            for a, b in in_slices(texts, SLICE):
                 for doc, one in zip(docs_in[a:b], encode(texts[a:b]), strict=True):
                     one += end
                     if ids and size + len(one) // 4 > SEGMENT_TOKENS:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MOST_KEPT = 400_000
+MOST_KEPT = 200_000
 BYTES_KEPT, LONGEST_KEPT = 48 << 20, 64
 AT_ONCE = 20_000
 END = (0).to_bytes(4, "little")
@@ -136,6 +136,7 @@ class Encoder:
         try:
             return self._encode(texts)
         finally:
+            pa.default_memory_pool().release_unused()
             if on:
                 gc.enable()
 
@@ -161,7 +162,7 @@ def encoder(path: str, blanks: bool, most: int = MOST_KEPT) -> Encoder:
     return _open[key]
 
 
-def in_slices(texts: list[str | None], most: int = 8 << 20):
+def in_slices(texts: list[str | None], most: int = 2 << 20):
     """Index ranges whose texts hold at most `most` characters, one text at least."""
     first, size = 0, 0
     for i, t in enumerate(texts):
