@@ -9,9 +9,10 @@ Nyström space; the machine is trained there on labelled sentences, a text's dec
 sigmoid fitted on rows kept apart makes it a score.
 
 The model is fitted on at most `SAMPLE` labelled rows of each label, chosen by a hash of their ids; their texts are found by
-a broadcast of that bounded list. Of a row labelled 0 the sentence nearest to the landmarks and one other are labelled 0; a
-sentence of a row labelled 1 is labelled 1 if it holds a word that rows labelled 1 have and others hardly do, and teaches
-nothing otherwise.
+a broadcast of that bounded list. Of a row labelled 0 the sentence nearest to the landmarks and one other are labelled 0. Of a
+row labelled 1 those sentences are labelled 1 that hold a word which rows labelled 1 have and others hardly do; where none
+does, the one nearest to the landmarks is, so spoilt forms of such words are learnt from too. Its other sentences teach
+nothing.
 
 A unit shares no subsequence of `ORDER` characters with a landmark unless their longest common subsequence is that long,
 which bit-parallel sums tell for all units at once; the kernel itself is computed for those that remain.
@@ -257,7 +258,8 @@ def words_of_rows(rows: DataFrame) -> DataFrame:
 def chosen_landmarks(telling: list[str], plain: list[str]) -> list[str]:
     """Words in turn, none too like an earlier one."""
     out: list[str] = []
-    for words, most in ((telling, LANDMARKS), (plain, LANDMARKS + PLAIN_LANDMARKS)):
+    for words, more in ((telling, LANDMARKS), (plain, PLAIN_LANDMARKS)):
+        most = len(out) + more
         for w in words:
             w = w[:LONGEST_LANDMARK]
             if len(out) < most and (not out or Model([*out]).kernels([w]).max() < 0.75):
@@ -273,13 +275,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, **columns)
         return Model()
     counts = materialize(words_of_rows(rows), "units")
     bad, good = F.col("bad") / sizes[1], (F.col("good") + 0.5) / sizes[0]
-    telling = counts.where((F.col("bad") >= max(3, sizes[1] // 200)) & (bad >= 10 * good)).orderBy(
+    # so many rows labelled 1 that a word of no meaning is hardly found in them alone
+    least = max(5, int(np.ceil(9.0 / np.log((sizes[0] + sizes[1]) / sizes[1]))))
+    telling = counts.where((F.col("bad") >= least) & (bad >= 10 * good)).orderBy(
         (F.col("bad") * F.log(bad / good)).desc(), "unit").limit(5000)
     plain = counts.where("bad + good >= 3").orderBy((F.col("bad") + F.col("good")).desc(), "unit").limit(100)
     told = [r["unit"] for r in telling.collect()]
     if not told:
         return Model()
     model = Model(chosen_landmarks(told[:400], [r["unit"] for r in plain.collect()]))
+    telling_marks = len(chosen_landmarks(told[:400], []))
     gram = model.kernels(model.landmarks).astype(np.float64)
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     kept = value > 1e-6
@@ -294,12 +299,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, **columns)
             keys, labels_out, values = [], [], []
             for text, label, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 split = [u for u in map(units, SENTENCE(text)) if u]
-                if label:
-                    split = [u for u in split if not marks.isdisjoint(u)]
                 if not split:
                     continue
-                v = described.sentences(split)
-                some = range(len(split)) if label else {int(np.argmax(v.max(axis=1))), key % len(split)}
+                told_apart = [u for u in split if not marks.isdisjoint(u)] if label else []
+                v = described.sentences(told_apart or split)
+                nearest = int(np.argmax(v[:, :telling_marks].max(axis=1)))
+                some = range(len(told_apart)) if told_apart else {nearest} if label else {nearest, key % len(split)}
                 for i in some:
                     keys.append(key)
                     labels_out.append(label)
