@@ -285,16 +285,29 @@ def detail_payloads(spark, sf):
 
 
 @query("exported_queue", """
-SELECT id, row_number() OVER (ORDER BY coalesce(posted, first_seen) DESC, company, ord) AS place FROM queue QUALIFY place <= 100""")
+SELECT id, row_number() OVER (ORDER BY coalesce(posted, first_seen) DESC, company, ord) AS place FROM queue""")
 def exported_queue(spark, sf):
     path = run_folder(spark, "export")
     sinks.export_queue(fixture(spark, sf, "queue").withColumn("kw_hits", F.array().cast("array<string>")), path)
-    # files and lines keep the written order: the first hundred lines are the newest rows
+    # the place of every written line: its number in its block, after the lines of all blocks before
     lines = spark.read.text(path).select(C("_metadata.file_name").alias("file"), C("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"),
                                          F.get_json_object("value", "$.id").alias("id"))
     from pyspark.sql import Window
-    top = lines.orderBy("file", "at", "n").limit(100)
-    return top.select("id", F.row_number().over(Window.orderBy("file", "at", "n")).cast("bigint").alias("place"))
+    blocks = lines.groupBy("file", "at").agg(F.min("n").alias("first"), F.count(L(1)).alias("rows"))
+    before = blocks.select(C("file").alias("f"), C("at").alias("a"), (F.sum("rows").over(Window.orderBy("file", "at").rowsBetween(
+        Window.unboundedPreceding, 0)) - C("rows") - C("first") + 1).alias("shift"))
+    placed = lines.join(before, (C("file") == C("f")) & (C("at") == C("a")))
+    return placed.select("id", (C("n") + C("shift")).cast("bigint").alias("place"))
+
+
+@query("optional_tables", "SELECT 'present' AS source, company, posting_id, ord FROM listing")
+def optional_tables(spark, sf):
+    """A table that is there and one that is not yet: the second gives no rows, with the declared columns."""
+    folder, columns = run_folder(spark, "optional"), "company string, posting_id string, ord bigint"
+    fixture(spark, sf, "listing").select("company", "posting_id", "ord").write.parquet(f"{folder}/there")
+    there = files.read_optional(spark, f"{folder}/there", columns).withColumn("source", L("present"))
+    absent = files.read_optional(spark, f"{folder}/absent", columns).withColumn("source", L("absent"))
+    return there.unionByName(absent).select("source", "company", "posting_id", "ord")
 
 
 _COUNTS = """

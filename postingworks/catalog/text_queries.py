@@ -10,6 +10,7 @@ from postingworks.functions import dates as dt
 from postingworks.functions import terms as tm
 from postingworks.functions import text as tx
 from postingworks.functions.spans import spans
+from postingworks.operators import dictionary
 from postingworks.sources.html_boards import page_links
 
 C, L = F.col, F.lit
@@ -261,3 +262,33 @@ def long_vocabulary(spark, sf):
     return wide_table(spark, sf, "documents").select("doc_id", tm.contains_any_ngrams(C("text"), ["the", "and of", "le la", "thth", "der"]).cast("int").alias("found"))
 
 
+
+
+# all runs of two and three words of the benchmark, spelled with single blanks: thousands of terms
+TERMS = """SELECT DISTINCT w[i] || ' ' || w[i + 1] || CASE WHEN n = 3 THEN ' ' || w[i + 2] ELSE '' END AS term
+  FROM (SELECT w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT regexp_extract_all(lower(text), '[a-z0-9]+') AS w, unnest([2, 3]) AS n FROM benchmark))"""
+
+
+def _benchmark_terms(spark, sf):
+    words = table(spark, sf, "benchmark").select(F.regexp_extract_all(F.lower("text"), L("[a-z0-9]+"), L(0)).alias("w")).withColumn("n", F.explode(F.array(L(2), L(3))))
+    cut = words.where(F.size("w") >= C("n")).select("w", "n", F.explode(F.sequence(L(1), F.size("w") - C("n") + 1)).alias("i"))
+    return cut.select(F.array_join(F.slice("w", C("i"), C("n")), " ").alias("term")).distinct()
+
+
+_FOUND = f"""
+WITH terms AS ({TERMS}),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w, regexp_split_to_array(lower(text), '[a-z0-9]+') AS g FROM documents),
+runs AS (SELECT doc_id, i, w[i] || g[i + 1] || w[i + 1] || CASE WHEN n = 3 THEN g[i + 2] || w[i + 2] ELSE '' END AS run
+  FROM (SELECT doc_id, w, g, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, unnest([2, 3]) AS n FROM d))),
+hits AS (SELECT doc_id, i, run FROM runs WHERE run IN (SELECT term FROM terms))"""
+
+
+@query("dictionary_first_terms", f"{_FOUND} SELECT doc_id, arg_min(run, (i, -length(run))) AS term FROM hits GROUP BY doc_id")
+def dictionary_first_terms(spark, sf):
+    found = dictionary.first_terms(wide_table(spark, sf, "documents"), _benchmark_terms(spark, sf), id_col="doc_id", aliases=False)
+    return found.select("doc_id", "term")
+
+
+@query("dictionary_term_counts", f"{_FOUND} SELECT term, count(DISTINCT doc_id) AS n FROM terms LEFT JOIN hits ON run = term GROUP BY term")
+def dictionary_term_counts(spark, sf):
+    return dictionary.term_counts(wide_table(spark, sf, "documents"), _benchmark_terms(spark, sf), id_col="doc_id", aliases=False)

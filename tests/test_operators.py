@@ -5,8 +5,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from postingworks.functions import terms as tm
 from postingworks.functions.scale import lookup, numbered
-from postingworks.operators import anchors, boards, identity, intake, lifecycle, lineage
+from postingworks.operators import anchors, boards, dictionary, identity, intake, lifecycle, lineage
 from postingworks.operators.filters import FilterRules, UnlessRule, location_rule, rules_from_tables, title_passes, title_reason
 from postingworks.operators.views import search
 
@@ -269,3 +270,42 @@ def test_alias_groups_are_taken_in_order(spark):
     assert covered(["n0"], chain) == sorted(f"n{k}" for k in range(13))
     assert covered(["n12"], chain) == ["n11", "n12"]
     assert covered([], chain) == [] and covered(["q", "q | note"], {}) == ["q"]
+
+
+def test_signatures_differ_where_sets_differ(spark):
+    """No two of many small id sets, all sizes and near one another, share a signature; order and delivery don't matter."""
+    rng = random.Random(12)
+    sets = {frozenset(map(str, rng.sample(range(40), k))) for k in range(1, 7) for _ in range(900)}
+    sets |= {frozenset([f"{i}", f"{i + 1}"]) for i in range(300)} | {frozenset([f"a{i}{j}", f"b{j}{i}"]) for i in range(20) for j in range(20)}
+    rows = [(f"c{k:05}", i) for k, ids in enumerate(sorted(map(sorted, sets))) for i in ids]
+    df = spark.createDataFrame(rows, "company string, posting_id string")
+    found = {r.company: r.sig for r in boards.id_signature(df).collect()}
+    assert len(found) == len(sets) == len(set(found.values()))
+    again = {r.company: r.sig for r in boards.id_signature(df.orderBy(F.desc("posting_id")).repartition(5)).collect()}
+    assert again == found
+
+
+def test_dictionary_finds_what_the_pattern_finds(spark):
+    rng = random.Random(9)
+    pieces = ["red", "bolt", "bolt ring", "c++", ".net", "a/b", "vp", "vice president", "ring", "x", "Bolt", "RED", "c", "net", "(old)", "old"]
+    gaps = [" ", "  ", ", ", "-", "/", "", "++", ".", "é", "(", ") "]
+    texts = [None, "", "++", "red"] + ["".join(rng.choice(pieces) + rng.choice(gaps) for _ in range(rng.randint(1, 8))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for terms in (["red bolt", "red", "bolt ring", "ring", "x"], ["c++", ".net", "a/b", "(old)", "net"], ["vice president", "bolt  ring", "Red, Red"], ["++", "none"]):
+        table = spark.createDataFrame([(t,) for t in terms], "term string")
+        plain = [t for t in terms if any(c.isalnum() for c in t)]
+        want = {r.id: r.m.lower() for r in rows.select("id", tm.first_match(F.col("text"), plain).alias("m")).collect() if r.m is not None}
+        assert {r.id: r.found for r in dictionary.first_terms(rows, table).collect()} == want, terms
+    assert dictionary.first_terms(rows, table.where("1 = 0")).count() == 0 and dictionary.first_terms(rows.where("1 = 0"), table).count() == 0
+
+
+def test_a_hundred_thousand_terms(spark, monkeypatch):
+    terms = spark.range(100_000).selectExpr("concat('senior word', id, ' of ', id % 7) AS term")
+    rows = spark.createDataFrame([(1, "a Senior word77 of 0, and senior word5 of 5"), (2, "senior word77 of 1"), (3, "word77 of 0")], "id int, text string")
+    for bound in (200_000, 0):  # broadcast and dealt
+        monkeypatch.setattr(dictionary, "BROADCAST_TERMS", bound)
+        found = dictionary.first_terms(rows, terms)
+        assert {r.id: r.term for r in found.collect()} == {1: "senior word77 of 0"}
+        assert "word77" not in found._jdf.queryExecution().toString()
+    counts = {r.term: r.n for r in dictionary.term_counts(rows, terms.limit(100)).collect()}
+    assert len(counts) == 100 and sum(counts.values()) == sum(t in ("senior word77 of 0", "senior word5 of 5") for t in counts)
