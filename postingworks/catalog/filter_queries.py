@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from postingworks.catalog.fixtures import fixture, table, wide_table
+from postingworks.catalog.fixtures import fixture, select, table, wide_table
 from postingworks.catalog.registry import query
 from postingworks.functions import terms as tm
-from postingworks.operators import audit, categories, filters
+from postingworks.operators import audit, categories, filters, trends
 from postingworks.operators.filters import FilterRules, UnlessRule
+from postingworks.session import run_folder
 
 C, L = F.col, F.lit
 RULES = FilterRules(
@@ -160,3 +161,28 @@ def category_merge(spark, sf):
     terms = table(spark, sf, "part").select(C("p_type").alias("label"), L(0).alias("label_ord"), C("p_name").alias("term"), C("p_partkey").alias("ord"))
     merges = terms.select("label").where("label in ('SMALL', 'MEDIUM')").distinct().select(C("label").alias("member"), L("Sized").alias("label"))
     return categories.merge_terms(terms, merges).select("label", "term", C("place.ord").alias("ord"))
+
+
+# events read as hidden postings: the rule is the event type and the term a user, each run day one sketch
+HIDDEN = """SELECT CAST(ts AS DATE) AS run_date, event_type AS company, CAST(event_id AS STRING) AS posting_id, 'exclude' AS rule_kind,
+  CONCAT(event_type, ' ', CAST(user_id AS STRING)) AS rule_term FROM events"""
+
+
+def _sketches(spark, sf):
+    path = run_folder(spark, "sketches")
+    trends.daily_sketches(select(spark, sf, HIDDEN)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("rule_trends", """
+SELECT rule_kind, rule_term, count(*) AS n FROM hidden WHERE run_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-19'
+GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 25""", hidden=HIDDEN)
+def rule_trends(spark, sf):
+    """The 25 most frequent rules of a fortnight, from the days' sketches; the given tables have fewer rules than are tracked."""
+    return trends.top_rules(_sketches(spark, sf), L("2024-01-05").cast("date"), L("2024-01-19").cast("date"))
+
+
+@query("rule_trend_totals", """
+SELECT count(DISTINCT run_date) AS days, count(*) AS hits FROM hidden WHERE run_date >= DATE '2024-01-10'""", hidden=HIDDEN)
+def rule_trend_totals(spark, sf):
+    return trends.totals(_sketches(spark, sf), L("2024-01-10").cast("date")).select("days", "hits")

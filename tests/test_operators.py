@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postingworks.functions import terms as tm
 from postingworks.functions.scale import lookup, numbered
-from postingworks.operators import anchors, boards, dictionary, identity, intake, lifecycle, lineage
+from postingworks.operators import anchors, boards, dictionary, identity, intake, lifecycle, lineage, trends
 from postingworks.operators.filters import FilterRules, UnlessRule, location_rule, rules_from_tables, title_passes, title_reason
 from postingworks.operators.views import search
 
@@ -309,3 +309,35 @@ def test_a_hundred_thousand_terms(spark, monkeypatch):
         assert "word77" not in found._jdf.queryExecution().toString()
     counts = {r.term: r.n for r in dictionary.term_counts(rows, terms.limit(100)).collect()}
     assert len(counts) == 100 and sum(counts.values()) == sum(t in ("senior word77 of 0", "senior word5 of 5") for t in counts)
+
+
+def test_trends_merge_and_keep_their_bounds(spark):
+    rng = random.Random(4)
+    days = [DAY - datetime.timedelta(k) for k in range(6)]
+    rows = [(d, f"b{rng.randrange(5)}", str(rng.randrange(400)), "exclude", f"t{min(int(rng.paretovariate(0.8)), 900)}") for d in days for _ in range(1500)]
+    rows += [(days[0], "b", "1", None, "no kind"), (days[0], "b", "1", "location", None)]
+    df = spark.createDataFrame(rows, "run_date date, company string, posting_id string, rule_kind string, rule_term string")
+    sketches = trends.daily_sketches(df)
+    assert sketches.count() == len(days)
+    counts = {}
+    for d, _, _, kind, term in rows:
+        if d >= days[3]:
+            counts[(kind, term or "")] = counts.get((kind, term or ""), 0) + 1
+    first = F.lit(days[3]).cast("date")
+    got = [(r.rule_kind, r.rule_term, r.n) for r in trends.top_rules(sketches, first).collect()]
+    want = sorted(((k, t, n) for (k, t), n in counts.items()), key=lambda r: (-r[2], r[0] is not None, r[0] or "", r[1]))[:25]
+    assert got == want                                       # fewer rules than are tracked: exact
+    # few counters: what is told is within the stated bound, and no rule over it is missed
+    tracked, total = 128, len(rows)
+    small = trends.daily_sketches(df, tracked=tracked)
+    every = {}
+    for _, _, _, kind, term in rows:
+        every[(kind, term or "")] = every.get((kind, term or ""), 0) + 1
+    told = {(r.rule_kind, r.rule_term): r.n for r in trends.top_rules(small, top=tracked, tracked=tracked).collect()}
+    slack = 3.5 / tracked * total
+    assert all(abs(n - every[k]) <= slack for k, n in told.items())
+    assert all(k in told for k, n in every.items() if n > slack)
+    one = trends.totals(sketches).first()
+    exact = len({(c, p) for _, c, p, _, _ in rows})
+    assert (one.days, one.hits) == (6, total) and abs(one.postings - exact) <= 0.03 * exact
+    assert trends.top_rules(sketches.where("1 = 0")).count() == 0 and trends.totals(sketches.where("1 = 0")).first()["hits"] == 0
