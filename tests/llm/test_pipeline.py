@@ -100,5 +100,5 @@ def test_empty_documents(spark, folder):
 
 def test_all_names_are_registered():
     names = entry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
-    assert {"op4_licenses", "op10_decontamination"} <= set(entry.oracle_sql())
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
+    assert {"op4_licenses", "op10_decontamination", "op11_manifest", "op12_spelling"} <= set(entry.oracle_sql())
