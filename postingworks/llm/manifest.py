@@ -17,7 +17,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postingworks.llm.common import bound
 from postingworks.session import materialize
 
 ARITY = 3
