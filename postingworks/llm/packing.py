@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postingworks.functions.scale import numbered
-from postingworks.llm.tokens import END, encoder, in_slices
+from postingworks.llm.tokens import END, MOST_KEPT, encoder, in_slices
 from postingworks.session import materialize
 
 CAPACITY = 2048
@@ -33,16 +33,19 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 
 
 def pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, blanks: bool = False, end: bytes = END,
-           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, piece, start, length and the checksum of its ids."""
+           id_col: str = "doc_id", text_col: str = "text", most_kept: int = MOST_KEPT, slice_chars: int = 2 << 20) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length and the checksum of its ids.
+
+    A worker keeps the ids of up to twice `most_kept` words and encodes `slice_chars` characters at once: memory for speed.
+    """
     if capacity < 1:
         raise ValueError("capacity must be positive")
 
     def cut(batches):
-        encode = encoder(path, blanks).encode
+        encode = encoder(path, blanks, most_kept).encode
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in in_slices(texts):
+            for a, b in in_slices(texts, slice_chars):
                 rows = ([], [], [], [], [])
                 for doc, data in zip(ids[a:b], encode(texts[a:b]), strict=True):
                     data += end
@@ -221,6 +224,6 @@ def pack(items: DataFrame, *, capacity: int = CAPACITY, length_col: str = "lengt
     return ranked.select("_item", "_length", "_number").mapInArrow(placed, schema).select("_item.*", "sequence_id", "offset")
 
 
-def digest(docs: DataFrame, path: str) -> DataFrame:
-    """The rows the query returns: pieces, counted and packed."""
-    return pack(materialize(pieces(docs, path), "pieces"))
+def digest(docs: DataFrame, path: str, **memory: int) -> DataFrame:
+    """The rows the query returns: pieces, counted and packed; `memory` as in `pieces`."""
+    return pack(materialize(pieces(docs, path, **memory), "pieces"))

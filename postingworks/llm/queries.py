@@ -48,7 +48,7 @@ def op4(spark, sf_dir):
 
 @query("op1_packing")
 def op1(spark, sf_dir):
-    return packing.digest(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return packing.digest(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), most_kept=500_000, slice_chars=8 << 20)
 
 
 @query("op7_token_files")
