@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from postingworks.functions import fixed_values as fv
 from postingworks.functions import text as tx
-from postingworks.functions.scale import lookup
 from postingworks.session import materialize
 
 
@@ -101,7 +100,7 @@ def covered_keys(companies: DataFrame, alias_groups: DataFrame) -> DataFrame:
     while True:
         met = members.join(since, "key").where(F.col("polled") | (F.col("since") < F.col("group_no")))
         covered = met.select("group_no").distinct()
-        reached = lookup(members, covered, ["group_no"], ["key"], "left_semi").groupBy("key").agg(F.min("group_no").alias("since"))
+        reached = members.join(covered, "group_no", "left_semi").groupBy("key").agg(F.min("group_no").alias("since"))
         after = materialize(since.where("polled").unionByName(reached.join(polled, "key", "left_anti").withColumn("polled", F.lit(False))), "aliases")
         if after.join(since.select("key", F.col("since").alias("_before"), F.lit(True).alias("_was")), "key", "left").where(
                 "NOT polled AND (_was IS NULL OR since < _before)").isEmpty():
