@@ -97,7 +97,7 @@ SELECT name, CASE WHEN k IN (SELECT k FROM cov) THEN 'dropped' ELSE 'kept' END A
 UNION ALL SELECT name, 'added' FROM ans WHERE k NOT IN (SELECT k FROM cov) AND k NOT IN (SELECT k FROM old)""", aliases=ALIASES)
 def uncovered_employers(spark, sf):
     cust, supp = table(spark, sf, "customer"), table(spark, sf, "supplier")
-    covered = identity.covered_keys(cust.where("c_acctbal > 9500").select(C("c_name").alias("name")), select(spark, sf, ALIASES))
+    covered = identity.covered_keys(cust.where("c_acctbal > 9500").select(C("c_name").alias("name")), _aliases(spark, sf))
     old = cust.where("c_mktsegment = 'BUILDING'").select(C("c_name").alias("name"), L("r").alias("reason"), L(None).cast("string").alias("url"))
     answers = supp.select(F.concat("s_name", L(" | note")).alias("company"), F.when(C("s_acctbal") > 0, None).otherwise("found").alias("adapter"),
                           L("").alias("evidence_url"), C("s_suppkey").alias("ord"))
