@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, VariantType
 
 from postingworks.functions.scale import SALTS
 from postingworks.sources import json_boards, jsonld
@@ -27,13 +28,18 @@ def parsed(pages: DataFrame) -> DataFrame:
     return pages.withColumn("tree", tree).withColumn("node", F.when(is_page, jsonld.job_posting(F.col("payload"))))
 
 
-def land(pages: DataFrame, path: str, *, spread: str = "payload") -> None:
-    """Parses the pages and appends them to the table at `path`, a folder per board type; a type of any size is many files."""
+def land(pages: DataFrame, path: str, *, spread: str | None = None) -> None:
+    """Parses the pages and appends them to the table at `path`, a folder per board type; a type of any size is many files.
+
+    Pages are dealt by `spread`, or by all columns that can be hashed: many pages may have the same payload. What still
+    meets in one task, like copies of a whole page, is split by the runtime.
+    """
     spark = pages.sparkSession
     for key, value in SHREDDED.items():
         spark.conf.set(key, value)
-    dealt = pages.repartition("board_type", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
-    parsed(dealt).write.mode("append").partitionBy("board_type").parquet(path)
+    by = [spread] if spread else [f.name for f in pages.schema if isinstance(f.dataType, AtomicType) and not isinstance(f.dataType, VariantType)]
+    salted = pages.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)))
+    parsed(salted.hint("rebalance", "board_type", "_salt").drop("_salt")).write.mode("append").partitionBy("board_type").parquet(path)
 
 
 def landed(spark: SparkSession, path: str) -> DataFrame:

@@ -250,3 +250,17 @@ def test_landed_payloads_are_read_by_path(spark, tmp_path):
     read = next(line for line in plan.split("\n") if "FileScan" in line).partition("ReadSchema")[2]
     assert "payload" not in read.replace("landed_payloads", "") and "tree:struct" in read   # the paths asked for, and no payload
     assert "parse_json" not in plan and landing.listings(table.where("1 = 0"), day).count() == 0
+
+
+def test_landed_pages_of_one_payload_are_dealt_out(spark, tmp_path):
+    path = str(tmp_path / "landed")
+    pages = spark.range(400).select(F.concat(F.lit("c"), "id").alias("company"), F.lit("ashby").alias("board_type"), F.create_map(F.lit("k"), F.lit("v")).alias("endpoint"),
+                                    F.lit("main").alias("site"), F.lit("").alias("term"), F.lit(0).alias("page_no"), F.lit("<html>").alias("payload"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the runtime would join parts as small as these
+    try:
+        landing.land(pages, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    table = landing.landed(spark, path)
+    assert len(table.inputFiles()) > 1 and "_salt" not in table.columns
+    assert table.count() == table.select("company").distinct().count() == 400
