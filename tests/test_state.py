@@ -264,3 +264,72 @@ def test_landed_pages_of_one_payload_are_dealt_out(spark, tmp_path):
     table = landing.landed(spark, path)
     assert len(table.inputFiles()) > 1 and "_salt" not in table.columns
     assert table.count() == table.select("company").distinct().count() == 400
+
+
+class _Counted:
+    """A state variable in memory that counts its calls."""
+
+    def __init__(self, calls):
+        self.calls, self.kept = calls, {}
+
+    def getValue(self, key):
+        self.calls.append("get")
+        return self.kept.get(key)
+
+    def updateValue(self, key, value):
+        self.calls.append("put")
+        self.kept[key] = value
+
+    def removeKey(self, key):
+        self.calls.append("remove")
+        self.kept.pop(key, None)
+
+    def keys(self):
+        self.calls.append("keys")
+        return iter(list(self.kept))
+
+    def get(self):
+        return self.getValue(())
+
+    def update(self, value):
+        self.updateValue((), value)
+
+
+def test_board_moves_many_postings_per_call_to_its_store():
+    import pandas as pd
+    from postingworks.streaming import boards as live
+
+    calls, timers = [], []
+
+    class Handle:
+        def getMapState(self, *names):
+            return _Counted(calls)
+
+        def getValueState(self, *names):
+            return _Counted(calls)
+
+        def registerTimer(self, at):
+            timers.append(at)
+
+    class Expired:
+        def __init__(self, at):
+            self.getExpiryTimeInMs = lambda: at
+
+    n, day = 20_000, datetime.date(2026, 11, 2)
+    names = [f"p{i}" for i in range(n)]
+    board = live.Board()
+    board.init(Handle())
+    first = pd.DataFrame({"company": "a", "posting_id": [*names, None], "id": [*names, "none"], "last_seen_live": datetime.date(2026, 10, 1), "miss_count": 1,
+                          "closed_on": None, "closed_reason": None, "repost_count": None, "reposted_on": None})
+    board.handleInitialState(("a",), first.iloc[:n // 2], None)
+    board.handleInitialState(("a",), first.iloc[n // 2:], None)
+    seen = pd.DataFrame({"company": "a", "posting_id": [*names[:n - 3], names[0], None], "run_date": day, "complete": True, "board_type": "lever"})
+    board.handleInputRows(("a",), iter([seen.iloc[:5000], seen.iloc[5000:], seen.iloc[:10]]), None)
+    changes = pd.concat(list(board.handleExpiredTimer(("a",), None, Expired(timers[0]))))
+    assert len(calls) < n / 4
+    closed = changes[changes["event"] == "closed"]
+    assert set(closed["id"]) == {*names[n - 3:], "none"} and set(closed["closed_on"]) == {day} and set(closed["miss_count"]) == {2}
+    kept = changes[changes["event"].isna()]
+    assert len(kept) == n - 3 and set(kept["miss_count"]) == {0} and set(kept["last_seen_live"]) == {day} and set(kept["repost_count"]) == {0}
+    assert not board.waiting.kept and not board.days.kept
+    assert list(board.handleExpiredTimer(("a",), None, Expired(timers[0]))) == []    # a day is applied once
