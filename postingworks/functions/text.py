@@ -141,31 +141,49 @@ def _runs(chars: Sequence[str]) -> str:
     return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in out) + "]"
 
 
-_RARE = _runs(_SEVERAL)
 _SYLLABLES = r"[\x{AC00}-\x{D7A3}]"
+# the classes are long, so plain letters are kept from them by a short one
+_RARE = rf"(?=[^\x00-\x7F])(?:{_runs(_SEVERAL)}|{_SYLLABLES})"
+_BLOCK = 256
 
 
-def _letters_of(ch: Column) -> Column:
-    """A rare character's letters; a syllable block's are counted out, as the standard does."""
-    def block(n: Column) -> Column:
+def _blocks() -> str:
+    """The rare characters by blocks of code points, so that a look meets few of them."""
+    blocks = [{} for _ in range(max(map(ord, _SEVERAL)) // _BLOCK + 1)]
+    for ch, base in _SEVERAL.items():
+        blocks[ord(ch) // _BLOCK][ch] = base
+    return json.dumps(blocks)
+
+
+_RARE_BLOCKS = _blocks()
+
+
+def _letters_of(piece: Column) -> Column:
+    """A rare character's letters; a syllable block's are counted out, as the standard does. ASCII stays as it is."""
+    def syllable(n: Column) -> Column:
         def letter(code: Column) -> Column:
             return F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32")
         last = n % 28
         return F.concat(letter(0x1100 + F.floor(n / 588)), letter(0x1161 + F.floor((n % 588) / 28)),
                         F.when(last > 0, letter(0x11A7 + last)).otherwise(""))
 
-    table = F.from_json(F.lit(json.dumps(_SEVERAL)), "map<string,string>")
-    number = F.conv(F.hex(F.encode(ch, "UTF-32")), 16, 10).cast("bigint") - 0xAC00
-    return F.when(ch.rlike(_SYLLABLES), let(number, block)).otherwise(F.coalesce(table[ch], ch))
+    blocks = F.from_json(F.lit(_RARE_BLOCKS), "array<map<string,string>>")
+
+    def letters(number: Column) -> Column:
+        known = F.get(blocks, F.floor(number / _BLOCK).cast("int"))[piece]
+        return F.when(number.between(0xAC00, 0xD7A3), let(number - 0xAC00, syllable)).otherwise(F.coalesce(known, piece))
+
+    number = F.conv(F.hex(F.encode(piece, "UTF-32")), 16, 10).cast("bigint")
+    return F.when(piece.rlike(r"^[\x00-\x7F]"), piece).otherwise(let(number, letters))
 
 
 def fold_accents(text: Column) -> Column:
     """Letters without their accents: compatibility decomposition with the combining marks dropped."""
-    def folded(t: Column) -> Column:
-        plain = F.translate(t, _SINGLES + _MARKS, _BASES)
-        return F.when(plain.rlike(f"{_RARE}|{_SYLLABLES}"), F.array_join(F.transform(F.split(plain, ""), _letters_of), "")).otherwise(plain)
+    def folded(plain: Column) -> Column:
+        pieces = F.regexp_extract_all(plain, F.lit(r"[\x00-\x7F]+|[^\x00-\x7F]"), F.lit(0))
+        return F.when(plain.rlike(_RARE), F.array_join(F.transform(pieces, _letters_of), "")).otherwise(plain)
 
-    return let(text, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), folded(t)).otherwise(t))
+    return let(text, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), let(F.translate(t, _SINGLES + _MARKS, _BASES), folded)).otherwise(t))
 
 
 def alnum_key(text: Column) -> Column:

@@ -3,6 +3,7 @@
 import datetime
 import html
 import re
+import time
 import unicodedata
 
 from hypothesis import HealthCheck, given, settings
@@ -77,6 +78,19 @@ def test_fold_accents(column):
     assert column(lambda df: tx.fold_accents(F.col("value")), values) == want
 
 
+def test_fold_accents_of_rare_letters(column):
+    values = ["½ﬁ Ⅷ… ㎏ 한국 각", "x\U0001d400y\U0001f600é\n", "Ｆｕｌｌ ﷺ ™", "привет № й", "", (None,)]
+    want = [None if v == (None,) else "".join(c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c)) for v in values]
+    assert column(lambda df: tx.fold_accents(F.col("value")), values) == want
+
+
+def test_one_rare_letter_costs_no_look_per_letter(spark):
+    long = spark.createDataFrame([("½",)], "value string").select(F.concat(F.repeat(F.lit("plain e "), 250_000), "value").alias("value"))
+    began = time.monotonic()
+    assert long.select(F.length(tx.fold_accents(F.col("value"))).alias("n")).first().n == 2_000_003
+    assert time.monotonic() - began < 8
+
+
 def test_links_and_keys(column):
     values = ["HTTPS://X.com/a/?utm_source=f&id=1&&gclid=2", "http://a.b/c/?utm_id=1", "a.b/c//", "", (None,), "x.com?a=b/"]
     assert column(lambda df: tx.normalize_link(F.col("value")), values) == ["x.com/a/?id=1", "a.b/c", "a.b/c", "", "", "x.com?a=b"]
