@@ -1,9 +1,9 @@
 """Whole-word terms of a large list found in texts by joins, where one pattern of all terms would be too long.
 
 The dictionary is a table of terms cut at their first word: the number of words they have, the text of those words, and the
-marks before and after them. A text's words meet the dictionary by their first word, which tells how many words to take from
-there; the taken text then meets the terms that are exactly that. So each word costs as many looks as its dictionary entry
-has lengths, however many terms there are. The leftmost hit counts, of several there the longest, as with a pattern.
+marks before and after them. A text's words meet the dictionary by their head, the first two words of a term with what stands
+between them, or its only word; the head tells how many words to take from there, and the taken text then meets the terms that
+are exactly that. So each word costs one or two looks and as many as its dictionary entry has lengths, however many terms there are. The leftmost hit counts, of several there the longest, as with a pattern.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ LONGEST_BROADCAST = 200  # characters of a term
 
 
 def cut_terms(terms: DataFrame, *, aliases: bool = True) -> DataFrame:
-    """Rows (term, found, key, words, core, before, after) of `terms(term)`: `found` is the term, or an alias of it, in lower case.
+    """Rows (term, found, key, words, core, before, after, head) of `terms(term)`: `found` is the term, or an alias of it, in lower case.
 
     Terms without a letter or digit of ASCII have no word to be found by and are left out.
     """
@@ -31,27 +31,36 @@ def cut_terms(terms: DataFrame, *, aliases: bool = True) -> DataFrame:
     before = F.regexp_extract("found", "^[^a-z0-9]*", 0)
     after = F.regexp_extract("found", "[^a-z0-9]*$", 0)
     core = F.substring("found", F.length(before) + 1, F.length("found") - F.length(before) - F.length(after))
+    gap = F.get(F.split("found", WORD, -1), F.lit(1))
+    head = F.when(F.size(words) > 1, F.concat(words[0], gap, F.get(words, F.lit(1)))).otherwise(words[0])
     return lowered.select("term", "found", words[0].alias("key"), F.size(words).alias("words"), core.alias("core"),
-                          before.alias("before"), after.alias("after"))
+                          before.alias("before"), after.alias("after"), head.alias("head"))
 
 
 def _hits(rows: DataFrame, terms: DataFrame, id_col: str, text_col: str, aliases: bool) -> DataFrame:
     """Every hit: id, the place of its first word, its marks before that, its length, term and found text."""
     cut = cut_terms(terms, aliases=aliases)
-    size = cut.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("found")).alias("longest"), F.max("words").alias("words")).first()
+    size = cut.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("found")).alias("longest"), F.max("words").alias("words"),
+                   F.min("words").alias("least")).first()
     most = size["words"] or 1
     small = size["n"] <= BROADCAST_TERMS and (size["longest"] or 0) <= LONGEST_BROADCAST
-    keys = cut.groupBy("key").agg(F.array_sort(F.collect_set("words")).alias("lengths"))
+    heads = cut.groupBy("head", F.least("words", F.lit(2)).alias("n")).agg(F.array_sort(F.collect_set("words")).alias("lengths"))
     lowered = rows.select(F.col(id_col).alias("id"), F.lower(F.coalesce(text_col, F.lit(""))).alias("t"))
     parts = lowered.select("id", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w"), F.split("t", WORD, -1).alias("g"))
 
-    def around(i: Column) -> Column:
-        return F.struct(i.alias("at"), F.get("w", i).alias("key"), F.slice("w", i + 1, most).alias("w"),
-                        F.slice("g", i + 1, most + 1).alias("g"), (F.size("w") - i).alias("rest"))
-
-    placed = parts.where(F.size("w") > 0).select("id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 1), around)).alias("p")).select(
-        "id", "p.at", "p.key", "p.w", "p.g", "p.rest")
-    met = placed.join(F.broadcast(keys), "key") if small else lookup(placed, keys, ["key"], ["id", "at"], "inner")
+    at = F.col("at")
+    single = F.struct(F.lit(1).alias("n"), F.col("word").alias("head"))
+    double = F.struct(F.lit(2).alias("n"), F.concat("word", F.get("g", at + 1), F.get("w", at + 1)).alias("head"))
+    asked = [*([single] if (size["least"] or 1) == 1 else []), *([double] if most > 1 else [])]
+    near = [F.slice("w", at + 1, most).alias("w"), F.slice("g", at + 1, most + 1).alias("g"), (F.size("w") - at).alias("rest")]
+    every = parts.select("id", "w", "g", F.posexplode("w").alias("at", "word"))
+    # joined to a broadcast, the words around are taken for those that met only; else before the rows are moved
+    if small:
+        looked = every.select("id", "at", "w", "g", F.inline(F.array(*asked)))
+        met = looked.join(F.broadcast(heads), ["head", "n"]).select("id", "at", "lengths", *near)
+    else:
+        looked = every.select("id", "at", *near, F.inline(F.array(*asked))).where("head IS NOT NULL")
+        met = lookup(looked, heads, ["head", "n"], ["id", "at"], "inner")
     taken = met.select("id", "at", "w", "g", "rest", F.explode(F.filter("lengths", lambda n: n <= F.size("w"))).alias("words"))
 
     def text(words: Column, gaps: Column, n: Column) -> Column:
