@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 SALTS = 32
 BLOCK_ROWS = 100_000
+FEW_KEYS = 10_000
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -21,13 +22,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def is_short(per_key: DataFrame) -> bool:
+    """Whether a table has so few rows that every task can hold it; at most one row more than that is counted."""
+    return per_key.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+
+
 def lookup(fact: DataFrame, per_key: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "left",
-           salts: int = SALTS) -> DataFrame:
+           salts: int = SALTS, short: bool = False) -> DataFrame:
     """`fact` joined to a table with one row per key, each key of `fact` spread over `salts` partitions.
 
     `per_key` holds one row per board or group; its copies cost far less than a hot key in one task. When it is small
-    the runtime broadcasts it after checking its size.
+    the runtime broadcasts it after checking its size, but only when `fact` has been moved; where it is known to be `short`
+    (see `is_short`), `fact` stays where it is.
     """
+    if short:
+        return fact.join(F.broadcast(per_key), [*keys], how)
     salted = fact.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -19,13 +19,13 @@ def verified_companies(fetched: DataFrame) -> DataFrame:
 
 
 def update_liveness(queue: DataFrame, listing: DataFrame, boards: DataFrame, as_of: Column,
-                    verdicts: DataFrame | None = None) -> DataFrame:
+                    verdicts: DataFrame | None = None, *, short: bool = False) -> DataFrame:
     """Queue after comparing it with the full listing of every read board.
 
     `boards(company, complete, board_type, n_jobs)`: a board absent here or with an empty listing changes nothing, an
     incomplete one never counts a miss. `verdicts(id, verdict)` holds the double check of due closures on checkable
     board types: listed, gone, or unknown (check again next run); without one such a row stays open as listed.
-    Adds `event` (closed, reopened or null).
+    Adds `event` (closed, reopened or null). `short` says that `scale.is_short(boards)` was found true.
     """
     live = listing.select(*POSTING).distinct().withColumn("_live", F.lit(True))
     rows = queue.join(live, POSTING, "left").withColumn("_live", F.coalesce("_live", F.lit(False)))
@@ -36,7 +36,7 @@ def update_liveness(queue: DataFrame, listing: DataFrame, boards: DataFrame, as_
         missing_counts, "company")
     per_board = read.select("company", "_complete", "board_type", is_mass_vanish(
         F.col("_open"), F.col("_missing")).alias("_vanish"))
-    rows = lookup(rows.drop("board_type"), per_board, ["company"], ["posting_id"])
+    rows = lookup(rows.drop("board_type"), per_board, ["company"], ["posting_id"], short=short)
     if verdicts is None:
         rows = rows.withColumn("_verdict", F.when(F.col("board_type").isin(*fv.CHECKABLE_TYPES), "listed"))
     else:

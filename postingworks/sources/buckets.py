@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from postingworks.functions.scale import SALTS, lookup
+from postingworks.functions.scale import SALTS, is_short, lookup
 from postingworks.operators.lifecycle import update_liveness
 from postingworks.sources.sinks import _path, current_version, move_pointer, write_text
 
@@ -100,11 +100,12 @@ def rewrite(spark: SparkSession, folder: str, boards: DataFrame, change: Callabl
     if not mine:
         return []
     keys = boards.select(key).distinct()
+    short = is_short(keys)
     old = {name: read(spark, folder, name, schema, mine) for name, schema in schemas.items()}
-    new = change({name: lookup(df, keys, [key], [c for c in spread if c in df.columns] or [key], "left_semi") for name, df in old.items()})
+    new = change({name: lookup(df, keys, [key], [c for c in spread if c in df.columns] or [key], "left_semi", short=short) for name, df in old.items()})
     content = {name: dict(where) for name, where in known["tables"].items()}
     for name, rows in new.items():
-        others = lookup(old[name], keys, [key], [c for c in spread if c in old[name].columns] or [key], "left_anti")
+        others = lookup(old[name], keys, [key], [c for c in spread if c in old[name].columns] or [key], "left_anti", short=short)
         fresh = _write(others.unionByName(rows), folder, name, key, known["buckets"], [c for c in spread if c in rows.columns])
         kept = {b: v for b, v in content.get(name, {}).items() if int(b) not in mine}
         content[name] = {**kept, **fresh}
@@ -116,9 +117,10 @@ def apply_liveness(spark: SparkSession, folder: str, schema: StructType | str, l
                    verdicts: DataFrame | None = None, note: str = "") -> list[int]:
     """One run over the table `queue`: only boards read with postings are looked at and only their buckets are written."""
     read_boards = boards.where("n_jobs > 0")
+    short = is_short(read_boards)
     return rewrite(spark, folder, read_boards.select("company"), lambda t: {"queue": update_liveness(
-        t["queue"], lookup(listing, read_boards.select("company").distinct(), ["company"], ["posting_id"], "left_semi"), read_boards,
-        as_of, verdicts).drop("event")}, {"queue": schema}, note=note)
+        t["queue"], lookup(listing, read_boards.select("company").distinct(), ["company"], ["posting_id"], "left_semi", short=short),
+        read_boards, as_of, verdicts, short=short).drop("event")}, {"queue": schema}, note=note)
 
 
 def drop_unreferenced(spark: SparkSession, folder: str) -> list[str]:

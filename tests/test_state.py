@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from postingworks.functions import scale
 from postingworks.operators.lifecycle import update_liveness
 from postingworks.sources import buckets, files, json_boards, landing, shards, sinks
 from postingworks.streaming import boards, snapshots
@@ -202,6 +203,22 @@ def test_a_run_rewrites_only_the_buckets_of_its_boards(spark, tmp_path):
     assert buckets.drop_unreferenced(spark, str(folder)) == []
 
 
+def test_few_boards_leave_the_queue_in_place(spark):
+    rows = [("a:1", "a", "1", 1), ("a:2", "a", "2", 0), ("b:3", "b", "3", 1), (None, None, "4", 1)]
+    queue = spark.createDataFrame([(i, c, p, datetime.date(2026, 1, 5), m) for i, c, p, m in rows], "id string, company string, posting_id string, last_seen_live date, miss_count int").selectExpr(
+        "*", "CAST(NULL AS DATE) AS closed_on", "CAST(NULL AS STRING) AS closed_reason", "0 AS repost_count", "CAST(NULL AS DATE) AS reposted_on", "'greenhouse' AS board_type")
+    listing = spark.createDataFrame([("a", "2"), ("b", "9")], "company string, posting_id string")
+    boards_ = spark.createDataFrame([("a", True, "greenhouse", 1), ("b", True, "workday", 1)], "company string, complete boolean, board_type string, n_jobs bigint")
+    day = F.lit("2026-01-06").cast("date")
+    assert scale.is_short(boards_)
+    plans, found = [], []
+    for short in (False, True):
+        out = update_liveness(queue, listing, boards_, day, short=short)
+        found.append(sorted(map(str, out.collect())))
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString().count("explode("))
+    assert found[0] == found[1] and plans == [1, 0]
+
+
 def test_bucket_edges(spark, tmp_path):
     folder = str(tmp_path / "store")
     kept = {"queue": SCHEMA}
