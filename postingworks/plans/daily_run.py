@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from postingworks import schemas
 from postingworks.functions import fixed_values as fv
-from postingworks.functions.scale import lookup
+from postingworks.functions.scale import is_short, lookup
 from postingworks.operators import anchors, boards, dedup, health, intake, lifecycle
 from postingworks.operators.filters import FilterRules, drop_rejected_locations, hidden_by_title, matching, rescue_multi_site
 from postingworks.session import materialize
@@ -107,9 +107,10 @@ def daily_run(run: RunInput, state: State, rules: FilterRules, keywords: Sequenc
         state = dataclasses.replace(state, queue=lifecycle.apply_marks(state.queue, outcomes.marks, as_of))
     order = run.companies.select("company", "board_type", F.col("ord").alias("company_ord"))
     clean = run.fetched.where("err is null").select("company")
+    short = is_short(run.companies) and is_short(run.fetched)
     # the largest table, read by seven steps
-    postings = materialize(dedup.last_wins(lookup(run.listing, clean, ["company"], ["posting_id"], "left_semi")), "postings")
-    typed = lookup(postings, order, ["company"], ["posting_id"], "inner")
+    postings = materialize(dedup.last_wins(lookup(run.listing, clean, ["company"], ["posting_id"], "left_semi", short=short)), "postings")
+    typed = lookup(postings, order, ["company"], ["posting_id"], "inner", short=short)
     hits = matching(typed, rules)
     rescued = rescue_multi_site(typed, run.sites, rules)
     # read by the flood test, intake and recall
@@ -119,7 +120,7 @@ def daily_run(run: RunInput, state: State, rules: FilterRules, keywords: Sequenc
     complete = run.fetched.where("err is null and complete").select("company")
     # the text readers are the costly step: their result is written once and the descriptions are gone from it
     described = materialize(intake.describe_entries(merge_details(fresh, run.details), keywords), "described")
-    relisted = lookup(described.where("not first_run"), complete, ["company"], ["posting_id"], "left_semi")
+    relisted = lookup(described.where("not first_run"), complete, ["company"], ["posting_id"], "left_semi", short=short)
     sources = materialize(intake.repost_sources(relisted, state.queue, postings, as_of), "reposts")
     entries = intake.new_entries(described, sources, state.queue, as_of)
     floods = boards.flooded(hits, described, described.where("first_run"))
@@ -133,12 +134,12 @@ def daily_run(run: RunInput, state: State, rules: FilterRules, keywords: Sequenc
         recalled = materialize(intake.new_entries(read, sources.limit(0), state.queue, as_of), "recalled")
         added = added.unionByName(recalled.select(
             "*", *[(F.lit("recall") if c == "origin" else F.lit(None).cast(queue.schema[c].dataType)).alias(c) for c in extra]))
-    candidates = intake.alert_candidates(lookup(entries, order.drop("board_type"), ["company"], ["posting_id"], "inner"), floods)
+    candidates = intake.alert_candidates(lookup(entries, order.drop("board_type"), ["company"], ["posting_id"], "inner", short=short), floods)
     alerts = intake.select_alerts(candidates)
 
     read_boards = run.fetched.where("err is null").join(order, "company").select("company", "complete", "board_type", "n_jobs")
     before = queue.unionByName(added.select(*queue.columns))
-    after = materialize(lifecycle.update_liveness(before, postings, read_boards, as_of, run.verdicts), "live")
+    after = materialize(lifecycle.update_liveness(before, postings, read_boards, as_of, run.verdicts, short=short), "live")
     live = _settled(after.drop("event"), outcomes, alerts)
     if outcomes.renewals is not None:
         live = lifecycle.apply_renewals(live, outcomes.renewals)
