@@ -22,7 +22,7 @@ def let(value: Column, body) -> Column:
 
 def untagged(text: Column) -> Column:
     """`text` with the three tag characters blanked; the length does not change."""
-    return F.translate(text, OPEN + GROUP + CLOSE, "   ")
+    return F.when(text.rlike(f"[{OPEN}-{CLOSE}]"), F.translate(text, OPEN + GROUP + CLOSE, "   ")).otherwise(text)
 
 
 def shaped(text: Column) -> Column:
@@ -31,9 +31,9 @@ def shaped(text: Column) -> Column:
     The patterns can then use the plain ASCII classes, which run several times faster than the Unicode ones.
     """
     plain = untagged(text)
-    foreign = F.regexp_replace(F.regexp_replace(plain, r"(?U)[\s&&[^\x00-\x7F]]", " "),
-                               r"[\p{L}\p{N}&&[^\x00-\x7F]]", "j")
-    return F.when(plain.rlike(r"[^\x00-\x7F]"), foreign).otherwise(plain)
+    foreign = F.regexp_replace(F.regexp_replace(plain, r"(?U)[[^\x00-\x7F]&&\s]", " "),
+                               r"[[^\x00-\x7F]&&[\p{L}\p{N}]]", "j")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), foreign).otherwise(plain)
 
 
 def matches(text: Column, pattern: str, flags: str = FLAGS) -> Column:
