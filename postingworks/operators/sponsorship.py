@@ -34,7 +34,7 @@ def plain_abbreviations(text: Column) -> Column:
     for letters in ("USA", "US", "UK"):
         find = r"(?i)\b" + "".join(rf"({c})\." for c in letters)
         out = F.regexp_replace(out, find, "".join(f"${i} " for i in range(1, len(letters) + 1)))
-    return F.when(text.rlike(r"[uU]\.[sSkK]\."), out).otherwise(text)
+    return out
 
 
 def _quote(text: Column, span: Column) -> Column:
