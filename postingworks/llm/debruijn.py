@@ -67,14 +67,9 @@ def _one_edge_round(table: DataFrame, window: int, bits: int, width: int, level:
                 if level == 2:
                     again = repeats.level_flags(flags, 1, words.edges, bits, width)[0]
                     hashes, sides = words.edges[again], words.sides(words.at[again])
-                parts, given = [], []
-                for part, cell in repeats.cells(hashes, bits, width, sides):
-                    parts.append(part)
-                    given.append(cell)
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(parts), pa.int64()), pa.array(parts, pa.int32()),
-                                                  pa.array(given, pa.binary())], names=["block", "part", "data"])
-
-    return table.mapInArrow(give, "block bigint, part int, data binary")
+                yield repeats.cells(block, hashes, bits, width, sides)
+
+    return table.mapInArrow(give, repeats.CELLS)
 
 
 def paths(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

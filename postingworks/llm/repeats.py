@@ -19,9 +19,10 @@ from postingworks.llm import hashing
 from postingworks.session import run_folder
 
 BLOCK_BYTES = 4 << 20
-RANGE_ITEMS = 1 << 19
+RANGE_ITEMS = 1 << 20
 BLOCKS = "block bigint, bytes bigint, ids array<bigint>, sizes binary, data binary"
-FLAGS = "block bigint, level int, part int, bits binary"
+CELLS = "block bigint, part int, width int, gaps binary, wide binary, twice binary, sides binary"
+FLAGS = "block bigint, level int, part int, items bigint, again bigint, bits binary"
 MIXED = np.uint64(1)
 
 
@@ -66,85 +67,141 @@ def range_bits(items: int) -> int:
     return max(0, (max(1, items) // RANGE_ITEMS).bit_length())
 
 
-def packed(values: np.ndarray, origin: int) -> bytes:
-    """Sorted distinct values from `origin` on as gaps of a few bytes; the rare wide gaps are listed apart."""
-    gaps = np.diff(values, prepend=np.uint64(origin))
-    width = 8
-    for w in (2, 3, 4, 5, 6, 7):
-        if np.count_nonzero(gaps >> np.uint64(8 * w)) * 100 <= len(gaps):
-            width = w
-            break
-    wide = np.flatnonzero(gaps >> np.uint64(8 * width)) if width < 8 else np.empty(0, dtype=np.int64)
-    body = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return b"".join([np.array([len(values), width, len(wide)], dtype="<u4").tobytes(), body.tobytes(),
-                     wide.astype("<u4").tobytes(), gaps[wide].astype("<u8").tobytes()])
-
-
-def unpacked(data: bytes | memoryview, origin: int) -> np.ndarray:
-    n, width, k = np.frombuffer(data, "<u4", 3).tolist()
-    gaps = np.zeros((n, 8), dtype=np.uint8)
-    gaps[:, :width] = np.frombuffer(data, np.uint8, n * width, 12).reshape(n, width)
-    gaps = gaps.reshape(-1).view("<u8").astype(np.uint64)
-    at = 12 + n * width
-    gaps[np.frombuffer(data, "<u4", k, at)] = np.frombuffer(data, "<u8", k, at + 4 * k)
-    return np.cumsum(gaps, dtype=np.uint64) + np.uint64(origin)
-
+def starts_of(sizes: np.ndarray) -> np.ndarray:
+    """Where each of some adjoining stretches begins."""
+    return np.cumsum(sizes) - sizes
 
-def bitmap(flags: np.ndarray) -> bytes:
-    return np.packbits(flags, bitorder="little").tobytes()
 
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column in turn and the bytes of each value."""
+    _, at, data = column.buffers()
+    offsets = np.frombuffer(at, np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return whole[offsets[0]:offsets[-1]], np.diff(offsets)
 
-def flags_of(bits: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(bits, np.uint8), count=n, bitorder="little").astype(bool)
 
+def binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column of the stretches of `data` that end at `ends`."""
+    offsets = np.concatenate([[0], ends])
+    if offsets[-1] >= 1 << 31:
+        raise ValueError("a block's items take more than 2 GB")
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
-def ranges_of(values: np.ndarray, bits: int, width: int) -> np.ndarray:
-    """The range of each hash of `width` bits, told by its top `bits`."""
-    return values >> np.uint64(width - bits) if bits else np.zeros(len(values), dtype=np.uint64)
 
+def packed(values: np.ndarray, origins: np.ndarray | int, cuts: np.ndarray | None = None) -> list[pa.Array]:
+    """Columns (width, gaps, wide) of cells of sorted distinct values, each cell's from its origin on.
 
-def cells(hashes: np.ndarray, bits: int, width: int = 64, sides: tuple[np.ndarray, np.ndarray] | None = None):
-    """(part, data) of a block's item hashes of `width` bits, one per item; `sides` are values before and after each item."""
-    if not len(hashes):
-        return
-    order = np.argsort(hashes, kind="stable")
-    in_order = hashes[order]
-    firsts = np.flatnonzero(np.concatenate([[True], in_order[1:] != in_order[:-1]]))
+    `cuts` are the places where cells begin. Gaps are given in a few bytes; the rare wide ones are listed apart by their place.
+    """
+    cuts = np.zeros(1, dtype=np.int64) if cuts is None else cuts
+    ends = cuts + np.diff(cuts, append=len(values))
+    gaps = np.diff(values, prepend=np.uint64(0))
+    gaps[cuts] = values[cuts] - np.asarray(origins, dtype=np.uint64)
+    width = 8
+    for w in (2, 3, 4, 5, 6, 7):
+        if np.count_nonzero(gaps >> np.uint64(8 * w)) * 100 <= len(gaps):
+            width = w
+            break
+    wide = np.flatnonzero(gaps >> np.uint64(8 * width)) if width < 8 else np.empty(0, dtype=np.int64)
+    upto = np.searchsorted(wide, ends)
+    listed = np.stack([wide - np.repeat(cuts, np.diff(upto, prepend=0)), gaps[wide].astype("<u8").view(np.int64)], axis=1)
+    body = gaps.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :width]
+    return [pa.array(np.full(len(cuts), width, dtype=np.int32)), binary(body.reshape(-1), ends * width),
+            binary(listed.astype("<i8", copy=False).view(np.uint8).reshape(-1), upto * 16)]
+
+
+def sizes_of(columns: list[pa.Array]) -> np.ndarray:
+    """How many values each cell has."""
+    return bytes_of(columns[1])[1] // columns[0].to_numpy()
+
+
+def unpacked(columns: list[pa.Array], origins: np.ndarray | int) -> np.ndarray:
+    """The values of all cells in turn."""
+    widths, (body, lengths), (listed, more) = columns[0].to_numpy(), bytes_of(columns[1]), bytes_of(columns[2])
+    sizes = lengths // widths
+    starts = starts_of(sizes)
+    every = np.unique(widths)
+    gaps = np.zeros((int(sizes.sum()), 8), dtype=np.uint8)
+    for w in every.tolist():
+        if len(every) == 1:
+            gaps[:, :w] = body.reshape(-1, w)
+        else:  # cells of small blocks have other widths
+            gaps[np.repeat(widths == w, sizes), :w] = body[np.repeat(widths == w, lengths)].reshape(-1, w)
+    gaps = gaps.reshape(-1).view("<u8").astype(np.uint64, copy=False)
+    pairs = np.frombuffer(listed.tobytes(), "<i8").reshape(-1, 2)
+    gaps[np.repeat(starts, more // 16) + pairs[:, 0]] = pairs[:, 1].view(np.uint64)
+    sums = np.cumsum(gaps, dtype=np.uint64)
+    return sums + np.repeat(np.asarray(origins, dtype=np.uint64) + gaps[starts] - sums[starts], sizes)
+
+
+def bit_places(sizes: np.ndarray, kind: int = 0, kinds: int = 1) -> np.ndarray:
+    """The bit of each item of cells that begin at a byte of their own and have `kinds` bitmaps each."""
+    size = (sizes + 7) // 8
+    return np.arange(int(sizes.sum())) + np.repeat(8 * (kinds * starts_of(size) + kind * size) - starts_of(sizes), sizes)
+
+
+def bitmaps(answers: list[np.ndarray], sizes: np.ndarray) -> pa.Array:
+    """For each cell, the bitmaps of its flags, one for each kind of answer."""
+    kinds, size = len(answers), (sizes + 7) // 8
+    bits = np.zeros(8 * kinds * int(size.sum()), dtype=bool)
+    for kind, flags in enumerate(answers):
+        bits[bit_places(sizes, kind, kinds)] = flags
+    return binary(np.packbits(bits, bitorder="little"), kinds * np.cumsum(size))
+
+
+def flags_of(data: np.ndarray, sizes: np.ndarray, kinds: int = 1) -> list[np.ndarray]:
+    """The flags of all items of cells, for each kind of answer."""
+    bits = np.unpackbits(data, bitorder="little").view(bool)
+    return [bits[bit_places(sizes, kind, kinds)] for kind in range(kinds)]
+
+
+def ranges_of(values: np.ndarray, bits: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each range of sorted hashes of `width` bits begins, and its number, told by its top `bits`."""
+    if not len(values):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    if not bits:
+        return np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+    parts = (values >> np.uint64(width - bits)).astype(np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]]))
+    return cuts, parts[cuts]
+
+
+def cells(block: int, hashes: np.ndarray, bits: int, width: int = 64, sides: tuple[np.ndarray, np.ndarray] | None = None) -> pa.RecordBatch:
+    """A block's item hashes of `width` bits, dealt to ranges, one row each; `sides` are values before and after each item.
+
+    All ranges of a block are packed at once, so many ranges of few items cost little more than their items.
+    """
+    order = None if sides is None else np.argsort(hashes)
+    in_order = np.sort(hashes) if sides is None else hashes[order]
+    firsts = np.flatnonzero(np.concatenate([[True], in_order[1:] != in_order[:-1]])) if len(hashes) else np.empty(0, dtype=np.int64)
     values = in_order[firsts]
     twice = np.diff(firsts, append=len(hashes)) > 1
-    merged = []
-    for side in sides or ():
-        s = side[order]
-        low, high = np.minimum.reduceat(s, firsts), np.maximum.reduceat(s, firsts)
-        merged.append(np.where(low == high, low, MIXED))
-    parts = ranges_of(values, bits, width)
-    cuts = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]])).tolist()
-    for a, b in zip(cuts, [*cuts[1:], len(parts)], strict=True):
-        part = int(parts[a])
-        data = packed(values[a:b], part << (width - bits))
-        yield part, b"".join([len(data).to_bytes(4, "little"), data, bitmap(twice[a:b]), *[m[a:b].tobytes() for m in merged]])
+    cuts, parts = ranges_of(values, bits, width)
+    sizes = np.diff(cuts, append=len(values))
+    merged = np.empty((len(values), 2 if sides else 0), dtype="<u8")
+    for k, side in enumerate(sides or ()):
+        if len(values):
+            s = side[order]
+            low, high = np.minimum.reduceat(s, firsts), np.maximum.reduceat(s, firsts)
+            merged[:, k] = np.where(low == high, low, MIXED)
+    origins = parts.astype(np.uint64) << np.uint64(width - bits) if bits else np.zeros(len(parts), dtype=np.uint64)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(cuts), block, dtype=np.int64)), pa.array(parts.astype(np.int32)), *packed(values, origins, cuts),
+         bitmaps([twice], sizes), binary(merged.view(np.uint8).reshape(-1), np.cumsum(sizes) * (16 if sides else 0))],
+        names=["block", "part", "width", "gaps", "wide", "twice", "sides"])
 
 
 def _reduced(bits: int, width: int, level: int, sides: bool):
     """The function that answers one range: (block, level, part, bits) for each block that gave items to it."""
     def reduce(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
-        origin = part << (width - bits)
-        values, twice, before, after = [], [], [], []
-        for data in table.column("data").to_pylist():
-            size = int.from_bytes(data[:4], "little")
-            v = unpacked(memoryview(data)[4:4 + size], origin)
-            at = 4 + size
-            values.append(v)
-            twice.append(flags_of(data[at:at + (len(v) + 7) // 8], len(v)))
-            at += (len(v) + 7) // 8
-            if sides:
-                before.append(np.frombuffer(data, "<u8", len(v), at))
-                after.append(np.frombuffer(data, "<u8", len(v), at + 8 * len(v)))
-        ends = np.cumsum([len(v) for v in values])
-        every = np.concatenate(values)
-        order = np.argsort(every, kind="stable")
-        firsts = np.flatnonzero(np.concatenate([[True], np.diff(every[order]) != 0]))
+        columns = {name: pa.concat_arrays(table.column(name).chunks) for name in table.column_names}
+        part = columns["part"][0].as_py()
+        coded = [columns[name] for name in ("width", "gaps", "wide")]
+        sizes = sizes_of(coded)
+        every = unpacked(coded, part << (width - bits))
+        order = np.argsort(every)
+        in_order = every[order]
+        firsts = np.flatnonzero(np.concatenate([[True], in_order[1:] != in_order[:-1]]))
         counts = np.diff(firsts, append=len(every))
 
         def back(flag: np.ndarray) -> np.ndarray:
@@ -154,22 +211,22 @@ def _reduced(bits: int, width: int, level: int, sides: bool):
 
         if sides:
             answers = []
-            for side in (np.concatenate(before), np.concatenate(after)):
+            for side in np.frombuffer(bytes_of(columns["sides"])[0].tobytes(), "<u8").reshape(-1, 2).T:
                 s = side[order]
                 low, high = np.minimum.reduceat(s, firsts), np.maximum.reduceat(s, firsts)
                 answers.append(back((low == high) & (low != MIXED)))
         else:
-            answers = [back((counts > 1) | np.logical_or.reduceat(np.concatenate(twice)[order], firsts))]
-        bits_out = [b"".join(bitmap(a[e - len(v):e]) for a in answers) for v, e in zip(values, ends, strict=True)]
-        n = len(bits_out)
-        return pa.table([table.column("block"), pa.array([level] * n, pa.int32()), pa.array([part] * n, pa.int32()),
-                         pa.array(bits_out, pa.binary())], names=["block", "level", "part", "bits"])
+            twice = flags_of(bytes_of(columns["twice"])[0], sizes)[0]
+            answers = [back((counts > 1) | np.logical_or.reduceat(twice[order], firsts))]
+        again = np.add.reduceat(answers[0], starts_of(sizes), dtype=np.int64)
+        return pa.table([columns["block"], pa.array(np.full(len(sizes), level, dtype=np.int32)), columns["part"],
+                         pa.array(sizes), pa.array(again), bitmaps(answers, sizes)], names=["block", "level", "part", "items", "again", "bits"])
 
     return reduce
 
 
 def answered(given: DataFrame, bits: int, level: int, width: int = 64, sides: bool = False) -> DataFrame:
-    """Flags of the cells (block, part, data), written and read back."""
+    """Flags of the cells, written and read back, with the number of their items and of those that the first flag holds for."""
     spark = given.sparkSession
     path = run_folder(spark, "flags")
     given.groupBy("part").applyInArrow(_reduced(bits, width, level, sides), FLAGS).write.parquet(path)
@@ -185,20 +242,22 @@ def known(blocks_table: DataFrame, *flags: DataFrame) -> DataFrame:
     return blocks_table.join(per_block, "block", "left").select("block", "ids", "sizes", "data", "flags")
 
 
-def level_flags(flags: list | None, level: int, hashes: np.ndarray, bits: int, width: int = 64, kinds: int = 1) -> list[np.ndarray]:
+def level_flags(flags: pa.StructArray | None, level: int, hashes: np.ndarray, bits: int, width: int = 64, kinds: int = 1) -> list[np.ndarray]:
     """For each kind of answer of a level, one flag per item of the block, in the items' order."""
     values, inverse = np.unique(hashes, return_inverse=True)
-    parts = ranges_of(values, bits, width)
-    out = np.zeros((kinds, len(values)), dtype=bool)
-    for f in flags or ():
-        if f["level"] == level:
-            a, b = np.searchsorted(parts, [f["part"], f["part"] + 1])
-            size = (b - a + 7) // 8
-            if len(f["bits"]) != kinds * size:
-                raise ValueError("a block's items differ from those that were answered")
-            for k in range(kinds):
-                out[k, a:b] = flags_of(f["bits"][k * size:(k + 1) * size], b - a)
-    return [o[inverse] for o in out]
+    cuts, parts = ranges_of(values, bits, width)
+    sizes = np.diff(cuts, append=len(values))
+    mine = np.empty(0, dtype=np.int64) if flags is None else np.flatnonzero(flags.field("level").to_numpy() == level)
+    given = np.empty(0, dtype=np.int32) if flags is None else flags.field("part").to_numpy()[mine]
+    order = np.argsort(given)
+    if not np.array_equal(given[order], parts):
+        raise ValueError("a block's items differ from those that were answered")
+    if not len(parts):
+        return [np.zeros(0, dtype=bool)] * kinds
+    data, lengths = bytes_of(flags.field("bits").take(pa.array(mine[order])))
+    if not np.array_equal(lengths, kinds * ((sizes + 7) // 8)):
+        raise ValueError("a block's items differ from those that were answered")
+    return [out[inverse] for out in flags_of(data, sizes, kinds)]
 
 
 def rows_of(batch: pa.RecordBatch):
@@ -208,5 +267,5 @@ def rows_of(batch: pa.RecordBatch):
     for i in range(batch.num_rows):
         data = np.frombuffer(open_up.decompress(column["data"][i].as_py()), np.uint8)
         offsets = np.concatenate([[0], np.cumsum(np.frombuffer(column["sizes"][i].as_py(), "<i8"))])
-        flags = column["flags"][i].as_py() if "flags" in column else None
+        flags = column["flags"][i].values if "flags" in column else None
         yield column["block"][i].as_py(), column["ids"][i].values, data, offsets, flags

@@ -28,7 +28,7 @@ from postingworks.llm.common import drop_unused
 
 THRESHOLD = 200
 SPARE_BITS = 10
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 SCHEMA = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<first:int,last:int>>"
 
 
@@ -60,9 +60,17 @@ class Ranks:
 
     def sent(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct picked places and their ranks."""
-        places = np.unique(self.picks)
+        picked = np.zeros(len(self.half), dtype=bool)
+        picked[self.picks] = True
+        places = np.flatnonzero(picked)
         return places, self.half[places]
 
+    def kept(self, places: np.ndarray) -> np.ndarray:
+        """The positions whose picked place is among these."""
+        picked = np.zeros(len(self.half), dtype=bool)
+        picked[places] = True
+        return self.at[picked[self.picks]]
+
     def pairs(self, at: np.ndarray) -> np.ndarray:
         """The ranks of whole strings: of pairs of ranks a half apart."""
         later = self.half[at + (self.threshold - self.first)]
@@ -86,15 +94,16 @@ def _sent(pieces: list, width: int) -> np.ndarray:
     return np.concatenate(found) >> np.uint64(64 - width) if found else np.empty(0, dtype=np.uint64)
 
 
-def _candidates(data: np.ndarray, offsets: np.ndarray, flags: list | None, bits: int, width: int, threshold: int):
-    """For each stretch of texts, its rows, bytes, ranks and the positions that outlive the first round."""
+def _candidates(data: np.ndarray, offsets: np.ndarray, flags: pa.StructArray | None, bits: int, width: int, threshold: int):
+    """For each stretch of texts, its rows, bytes, offsets, the positions that outlive the first round and their pairs' ranks."""
     cut = list(_pieces(data, offsets, threshold))
     again, used = repeats.level_flags(flags, 1, _sent(cut, width), bits, width)[0], 0
-    pieces = [(*piece, *piece[4].sent()) for piece in cut]
-    for first, last, data, own, ranks, places, _ in pieces:
-        mine = again[used:used + len(places)]
+    while cut:
+        first, last, data, own, ranks = cut.pop(0)
+        places = ranks.sent()[0]
+        at = ranks.kept(places[again[used:used + len(places)]])
         used += len(places)
-        yield first, last, data, own, ranks, ranks.at[mine[np.searchsorted(places, ranks.picks)]] if len(places) else ranks.at
+        yield first, last, data, own, at, ranks.pairs(at)
 
 
 def _round(table: DataFrame, threshold: int, bits: tuple[int, int], width: int, level: int) -> DataFrame:
@@ -104,16 +113,29 @@ def _round(table: DataFrame, threshold: int, bits: tuple[int, int], width: int,
                 if level == 1:
                     hashes = _sent(list(_pieces(data, offsets, threshold)), width)
                 else:
-                    found = [ranks.pairs(at) for *_, ranks, at in _candidates(data, offsets, flags, bits[0], width, threshold)]
+                    found = [pairs for *_, pairs in _candidates(data, offsets, flags, bits[0], width, threshold)]
                     hashes = np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
-                parts, given = [], []
-                for part, cell in repeats.cells(hashes, bits[level - 1], width if level == 1 else 64):
-                    parts.append(part)
-                    given.append(cell)
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(parts), pa.int64()), pa.array(parts, pa.int32()),
-                                                  pa.array(given, pa.binary())], names=["block", "part", "data"])
+                yield repeats.cells(block, hashes, bits[level - 1], width if level == 1 else 64)
+
+    return table.mapInArrow(give, repeats.CELLS)
+
 
-    return table.mapInArrow(give, "block bigint, part int, data binary")
+def _outcome(data: np.ndarray, own: np.ndarray, hit: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """The spans that strings at `hit` cover in a stretch of texts (first and last byte, row of each), and each row's kept digest."""
+    n = len(data)
+    edge = np.zeros(n + threshold + 1, dtype=np.int32)
+    edge[hit] += 1
+    edge[hit + threshold] -= 1
+    out = np.cumsum(edge[:n]) > 0
+    begins = np.zeros(n + 1, dtype=bool)
+    begins[own] = True
+    firsts = np.flatnonzero(out & (begins[:n] | ~np.concatenate([[False], out[:-1]])))
+    lasts = np.flatnonzero(out & (begins[1:] | ~np.concatenate([out[1:], [False]]))) + 1
+    rows = np.searchsorted(own, firsts, side="right") - 1
+    kept = memoryview(np.ascontiguousarray(data[~out]))
+    upto = np.concatenate([[0], np.cumsum(~out)])[own].tolist()
+    shas = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(upto, upto[1:])]
+    return np.stack([firsts, lasts], axis=1) - own[rows][:, None], rows, np.diff(own), shas
 
 
 def deduplicated(docs: DataFrame, *, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,9 +146,12 @@ def deduplicated(docs: DataFrame, *, threshold: int = THRESHOLD, id_col: str = "
     table = repeats.blocks(docs, id_col, text_col)
     total = table.agg(F.sum("bytes")).first()[0] or 0
     sampled = total * 4 // threshold
-    bits, width = (repeats.range_bits(sampled), repeats.range_bits(total // 4)), repeats.hash_bits(sampled, SPARE_BITS)
+    bits, width = (repeats.range_bits(sampled), 0), repeats.hash_bits(sampled, SPARE_BITS)
     one = repeats.answered(_round(table, threshold, bits, width, 1), bits[0], 1, width)
     drop_unused(spark)
+    # about as many positions outlive the first round as the share of its ranks that were met again
+    items, again = one.agg(F.sum("items"), F.sum("again")).first()
+    bits = bits[0], repeats.range_bits(total * again // items if items else 0)
     two = repeats.answered(_round(repeats.known(table, one), threshold, bits, width, 2), bits[1], 2)
     drop_unused(spark)
 
@@ -134,28 +159,22 @@ def deduplicated(docs: DataFrame, *, threshold: int = THRESHOLD, id_col: str = "
         for batch in batches:
             for _, ids, data_in, offsets, flags in repeats.rows_of(batch):
                 pieces = list(_candidates(data_in, offsets, flags, bits[0], width, threshold))
-                pairs = [p[4].pairs(p[5]) for p in pieces]
+                pairs = [p[5] for p in pieces]
                 again = repeats.level_flags(flags, 2, np.concatenate(pairs) if pairs else np.empty(0, np.uint64), bits[1])[0]
-                sizes, gone, spans, shas, used = [], [], [], [], 0
-                for (first, last, data, own, _, at), mine in zip(pieces, pairs, strict=True):
-                    hit = at[again[used:used + len(mine)]]
+                found, used = [], 0
+                for first, _, data, own, at, mine in pieces:
+                    spans, rows, sizes, shas = _outcome(data, own, at[again[used:used + len(mine)]], threshold)
+                    found.append((spans, rows + first, sizes, shas))
                     used += len(mine)
-                    edge = np.zeros(len(data) + threshold + 1, dtype=np.int32)
-                    edge[hit] += 1
-                    edge[hit + threshold] -= 1
-                    out = np.cumsum(edge[:len(data)]) > 0
-                    for i in range(last - first):
-                        a, b = own[i], own[i + 1]
-                        g = out[a:b]
-                        turns = np.flatnonzero(np.diff(np.concatenate([[0], g.view(np.int8), [0]])))
-                        sizes.append(int(b - a))
-                        gone.append(int(g.sum()))
-                        spans.append([{"first": int(x), "last": int(y)} for x, y in turns.reshape(-1, 2)])
-                        shas.append(hashlib.sha256(data[a:b][~g].tobytes()).hexdigest())
+                spans, rows, sizes = (np.concatenate([f[k] for f in found]) for k in range(3))
+                counts = np.bincount(rows, minlength=len(ids))
+                gone = np.concatenate([[0], np.cumsum(spans[:, 1] - spans[:, 0])])
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                both = [pa.array(spans[:, k].astype(np.int32)) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([
-                    ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()),
-                    pa.array([len(s) for s in spans], pa.int64()), pa.array(shas, pa.string()),
-                    pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))],
+                    ids.cast(pa.int64()), pa.array(sizes), pa.array(np.diff(gone[ends])), pa.array(counts),
+                    pa.array([x for f in found for x in f[3]], pa.string()),
+                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays(both, ["first", "last"]))],
                     names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     return repeats.known(table, one, two).mapInArrow(remove, f"`{id_col}` bigint, {SCHEMA}")

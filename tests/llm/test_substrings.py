@@ -1,9 +1,12 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from postingworks.llm import debruijn, repeats, suffixes
@@ -113,6 +116,68 @@ def test_values_survive_packing():
         assert np.array_equal(repeats.unpacked(repeats.packed(values, 0), 0), values)
 
 
+def asked(blocks, bits, sides=None):
+    """What each block's items are answered, over all ranges."""
+    given = pa.concat_tables([pa.Table.from_batches([repeats.cells(b, h, bits, 64, sides and sides[b])]) for b, h in enumerate(blocks)])
+    reduce = repeats._reduced(bits, 64, 2, sides is not None)
+    out = pa.concat_tables([reduce(given.filter(pc.equal(given["part"], p))) for p in pc.unique(given["part"]).to_pylist()])
+    flags = []
+    for b in range(len(blocks)):
+        mine = out.filter(pc.equal(out["block"], b)).combine_chunks().select(["level", "part", "bits"])
+        flags.append(mine.to_struct_array().combine_chunks() if len(mine) else None)
+    return flags
+
+
+@pytest.mark.parametrize("bits", [0, 3, 11])
+def test_answers_do_not_depend_on_the_ranges(bits):
+    rng = np.random.default_rng(bits)
+    spread = [rng.integers(0, 2**64, n, dtype=np.uint64) for n in (3000, 40, 1, 0, 900)]
+    some = np.concatenate([spread[0][:500], spread[1][:20], np.arange(5, dtype=np.uint64), np.full(3, 2**64 - 1, dtype=np.uint64)])
+    blocks = [rng.permutation(np.concatenate([x, rng.choice(some, len(x) // 2)])) for x in spread]
+    seen = Counter(np.concatenate(blocks).tolist())
+    flags = asked(blocks, bits)
+    for own, f in zip(blocks, flags, strict=True):
+        assert repeats.level_flags(f, 2, own, bits)[0].tolist() == [seen[x] > 1 for x in own.tolist()]
+    sides = [tuple(rng.integers(0, 3, len(x)).astype(np.uint64) for _ in range(2)) for x in blocks]
+    wanted = []
+    for k in range(2):
+        near = {}
+        for own, side in zip(blocks, sides, strict=True):
+            for x, y in zip(own.tolist(), side[k].tolist(), strict=True):
+                near.setdefault(x, set()).add(y)
+        wanted.append({x: len(y) == 1 and y != {int(repeats.MIXED)} for x, y in near.items()})
+    flags = asked(blocks, bits, sides)
+    for own, f in zip(blocks, flags, strict=True):
+        got = repeats.level_flags(f, 2, own, bits, 64, 2)
+        assert [g.tolist() for g in got] == [[w[x] for x in own.tolist()] for w in wanted]
+
+
+def test_a_block_whose_answers_are_lost_is_refused():
+    own = np.arange(100, dtype=np.uint64) << np.uint64(57)
+    flags = asked([own], 4)[0]
+    for bad in (None, flags[1:], flags[:-1]):
+        with pytest.raises(ValueError):
+            repeats.level_flags(bad, 2, own, 4)
+
+
+def test_many_ranges_cost_little_more_than_few():
+    """A block is dealt to more ranges the larger the table is; its time must be that of its items."""
+    own = np.random.default_rng(3).integers(0, 2**64, 600_000, dtype=np.uint64)
+
+    def seconds(bits):
+        given = repeats.cells(0, own, bits)
+        flags = pa.StructArray.from_arrays([pa.array(np.full(len(given), 2, np.int32)), given["part"], given["twice"]], ["level", "part", "bits"])
+        took = []
+        for _ in range(3):
+            began = time.thread_time()
+            repeats.cells(0, own, bits)
+            repeats.level_flags(flags, 2, own, bits)
+            took.append(time.thread_time() - began)
+        return min(took)
+
+    assert seconds(13) < 4 * seconds(2)
+
+
 def test_queries_equal_the_plain_versions(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
     texts = [r.text for r in docs]
