@@ -89,9 +89,12 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, threshold: int):
 
 
 def _sent(pieces: list, width: int) -> np.ndarray:
-    """The ranks that the stretches of a block send in the first round, cut to `width` bits."""
+    """The ranks that the stretches of a block send in the first round, cut to `width` bits.
+
+    Least ranks are small numbers; scrambled, they fill all ranges alike and all their bits tell them apart.
+    """
     found = [p[4].sent()[1] for p in pieces]
-    return np.concatenate(found) >> np.uint64(64 - width) if found else np.empty(0, dtype=np.uint64)
+    return hashing.mix(np.concatenate(found)) >> np.uint64(64 - width) if found else np.empty(0, dtype=np.uint64)
 
 
 def _candidates(data: np.ndarray, offsets: np.ndarray, flags: pa.StructArray | None, bits: int, width: int, threshold: int):

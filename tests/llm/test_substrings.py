@@ -178,6 +178,14 @@ def test_many_ranges_cost_little_more_than_few():
     assert seconds(13) < 4 * seconds(2)
 
 
+def test_first_round_ranges_are_alike():
+    data = np.random.default_rng(4).integers(97, 123, 300_000).astype(np.uint8)
+    sent = suffixes._sent(list(suffixes._pieces(data, np.array([0, 100_000, 300_000]), 200)), 40)
+    counts = np.bincount((sent >> np.uint64(36)).astype(int), minlength=16)
+    assert len(sent) > 4000
+    assert counts.max() < 2 * counts.min()
+
+
 def test_queries_equal_the_plain_versions(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
     texts = [r.text for r in docs]
